@@ -118,11 +118,11 @@ def fitted(docs: DataFrame, labels: DataFrame) -> dict:
     counts = {r["_y"]: r["n"] for r in lab.groupBy("_y").agg(F.count("*").alias("n")).collect()}
     total = sum(counts.values())
     share = counts.get(1, 0) / total if total else 0.0
-    rows = docs.select("doc_id", F.col("text").cast("string").alias("text")).where(F.octet_length("text").between(1, LONGEST))
-    rows = rows.join(lab, F.col("doc_id") == F.col("_id")).select("_y", "doc_id", "text")
-    got = []
-    for y in (0, 1):
-        got += rows.where(F.col("_y") == y).orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(SAMPLE).collect()
+    text = F.col("text").cast("string").alias("text")
+    sized = docs.where(F.octet_length(text).between(1, LONGEST)).select("doc_id").join(lab, F.col("doc_id") == F.col("_id")).select("_y", "_id")
+    first = [sized.where(F.col("_y") == y).orderBy(F.xxhash64("_id"), "_id").limit(SAMPLE) for y in (0, 1)]
+    ids = F.broadcast(first[0].unionByName(first[1]))  # 2 * SAMPLE rows at most
+    got = docs.where(F.octet_length(text).between(1, LONGEST)).select("doc_id", text).join(ids, F.col("doc_id") == F.col("_id")).select("_y", "doc_id", "text").orderBy("_y", "doc_id", "text").limit(2 * SAMPLE).collect()
     return train([r["text"] for r in got], np.array([r["_y"] for r in got]), share)
 
 
