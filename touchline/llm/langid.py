@@ -5,7 +5,7 @@ lower-cased, over the whole text), as square roots of shares, which has unit
 length. Family machines are one-versus-rest; inside a family every pair of
 languages has a machine and the votes, then the summed margins, decide.
 
-The fit uses at most ``SAMPLE`` rows a language, the first by a hash of doc_id
+The fit uses at most ``SAMPLE`` rows a language and ``LANGS`` * ``SAMPLE`` in all, the first by a hash of doc_id
 among texts of 1..``LONGEST`` bytes; prediction uses whole texts.
 
 Cases: null, empty and letterless texts give ``und`` with score 0, as does every
@@ -30,6 +30,8 @@ from touchline.llm.textcore import LOWER, SPACE, chunks
 
 SAMPLE = 400
 LONGEST = 8192
+#: Languages whose samples are sure to fit; the bound of what is collected.
+LANGS = 20
 BITS = 12
 ORDERS = (1, 2, 3)
 
@@ -135,8 +137,9 @@ def fitted(docs: DataFrame) -> dict:
     # a task's first rows, then the first of those: no more than SAMPLE rows of a language leave a task
     first = ids.withColumn("n", F.row_number().over(Window.partitionBy("lang", F.pmod("k", F.lit(64))).orderBy("k", "doc_id"))).where(F.col("n") <= SAMPLE)
     first = first.withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy("k", "doc_id"))).where(F.col("n") <= SAMPLE)
-    # at most SAMPLE ids a language
-    got = rows.join(first.select(F.col("doc_id").alias("_i"), F.col("lang").alias("_l")).distinct(), (F.col("doc_id") == F.col("_i")) & (F.col("lang") == F.col("_l"))).select("doc_id", "text", "lang").orderBy("lang", "doc_id", "text").limit(200 * SAMPLE).collect()
+    picked = F.broadcast(first.select(F.col("doc_id").alias("_i"), F.col("lang").alias("_l")).distinct().limit(LANGS * SAMPLE))
+    got = rows.join(picked, (F.col("doc_id") == F.col("_i")) & (F.col("lang") == F.col("_l"))).select("doc_id", "text", "lang").limit(LANGS * SAMPLE).collect()
+    got.sort(key=lambda r: (r["lang"], r["doc_id"], r["text"]))
     return train([r["text"] for r in got], [r["lang"] for r in got])
 
 
