@@ -91,12 +91,14 @@ def mix(docs: DataFrame, seed: int = 1) -> DataFrame:
 def mixed(docs: DataFrame, seed: int = 1) -> DataFrame:
     """The mix as documents: each as often as it is taken, and one per source cut after its last taken word. Repeats keep their doc_id; n_chars follows a cut."""
     took = mix(docs, seed).where("taken > 0").select(F.col("doc_id").alias("_d"), F.col("size").alias("_n"), F.col("taken").alias("_t"))
-    # repeated doc_ids take by turns; a number beside the id pairs them off
-    w = Window.partitionBy("_d").orderBy("_n", "_t")
-    took = took.withColumn("_i", F.row_number().over(w))
-    n = F.size(F.expr(r"filter(split(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), x -> x <> '')"))
-    own = docs.withColumn("_m", n).withColumn("_j", F.row_number().over(Window.partitionBy("doc_id").orderBy("_m")))
-    rows = own.join(took, (F.col("doc_id") == F.col("_d")) & (F.col("_j") == F.col("_i")))
+    if docs.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").limit(1).count():
+        # rows with one doc_id are paired with their shares in the order of their sizes
+        took = took.withColumn("_i", F.row_number().over(Window.partitionBy("_d").orderBy("_n", "_t")))
+        n = F.size(F.expr(r"filter(split(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), x -> x <> '')"))
+        w = Window.partitionBy("doc_id").orderBy("_m")
+        rows = docs.withColumn("_m", n).where("_m > 0").withColumn("_j", F.row_number().over(w)).join(took, (F.col("doc_id") == F.col("_d")) & (F.col("_j") == F.col("_i")))
+    else:
+        rows = docs.join(took, F.col("doc_id") == F.col("_d"))
     whole = F.floor(F.col("_t") / F.col("_n")).cast("int")
     rest = (F.col("_t") % F.col("_n")).cast("int")
     rows = rows.withColumn("_w", F.explode(F.concat(F.array_repeat(F.lit(0), whole), F.when(rest > 0, F.array(rest)).otherwise(F.expr("array()").cast("array<int>")))))

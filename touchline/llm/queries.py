@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from touchline.llm import langid, mixing, packing, quality, toxicity
+from touchline.llm import annforest, fmdedup, html, langid, mixing, packing, quality, simhash, suffixdedup, toxicity
 from touchline.llm.runtime import table
 
 
@@ -14,10 +15,22 @@ def vocabulary() -> str:
     return public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
+def op1_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract(table(spark, sf_dir, "pages"))
+
+
+def op2_ann_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return annforest.search(table(spark, sf_dir, "embeddings"))
+
+
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixdedup.digests(table(spark, sf_dir, "documents"))
+
+
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(table(spark, sf_dir, "documents"))
 
@@ -34,7 +47,16 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).drop("source")
 
 
-QUERIES = (op3_toxicity, op5_language_id, op6_quality_rules, op7_packing, op8_mixing)
+def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = simhash.components(table(spark, sf_dir, "documents"))
+    return got.select("doc_id", F.format_string("%016x", "fingerprint").alias("fingerprint"), "component_id")
+
+
+def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fmdedup.digests(table(spark, sf_dir, "documents"))
+
+
+QUERIES = (op1_html_extraction, op2_ann_forest, op3_toxicity, op4_suffix_dedup, op5_language_id, op6_quality_rules, op7_packing, op8_mixing, op9_simhash, op10_substring_dedup)
 
 
 def queries() -> dict:
