@@ -11,7 +11,8 @@ so text is compared inside buckets of blocks with one anchor.
 2. Keep the runs of repeated anchors, with a hash of the block. Equal blocks form
    a class: copies are one block with a multiplicity from here on.
 3. Cut one block a class out of the texts, bring the blocks of a bucket together
-   and judge each window there (the suffix array or FM-index of the caller).
+   and judge each window there (the suffix array or FM-index of the caller). A
+   bucket of one class is settled by its multiplicity.
    A bucket of more than ``HOT`` classes is dealt by whole windows instead: a
    window's hash is its key and counts combine before the shuffle.
 4. Give the verdicts to all runs of the class and gather them by document.
@@ -33,7 +34,7 @@ from touchline.llm.runtime import checkpointed
 from touchline.llm.textcore import Poly, U, mix, ranges, runs
 
 #: Distinct blocks of one anchor up to which they are judged in one task.
-HOT = 400
+HOT = 6000
 #: Stands for a null doc_id inside the search.
 NO_ID = -(1 << 63)
 _SEGMENT = 1 << 22
@@ -93,7 +94,7 @@ def keyed(docs: DataFrame) -> DataFrame:
     text = F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")
     twice = docs.groupBy(ids).agg(F.count("*").alias("n")).where("n > 1").limit(1).count()
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"]).alias("row")
-    return docs.select(ids, text, row).withColumn("th", F.xxhash64("text") if twice else F.lit(0).cast("long"))
+    return docs.select(ids, text, row).withColumn("th", F.xxhash64("text") if twice else F.pmod("doc_id", F.lit(1).cast("long")))
 
 
 Finder = Callable[[pa.Array, bool], Iterator[tuple[int, dict]]]
@@ -115,24 +116,35 @@ def _emit(find: Finder, full: bool):
 
 
 class Search:
-    """find: runs of a text column. cut: blocks of a text; judge: verdicts of buckets; windows: hashes of the windows of a run."""
+    """find: runs of a text column. With ``sift`` anchors are counted first and runs of single ones never leave their task, for a second pass over the texts.
 
-    def __init__(self, docs: DataFrame, find: Finder):
+    Where one side of a join is an aggregate, it is grouped by a further column
+    made of its keys: the join then has a shuffle of its own on both sides, which
+    adaptive execution can split where one key holds most rows.
+    """
+
+    def __init__(self, docs: DataFrame, find: Finder, sift: bool):
         self.docs = keyed(docs)
-        once = self.docs.select("text").mapInArrow(_emit(find, False), "a long")
-        often = once.groupBy("a").agg(F.count("*").alias("c")).where("c > 1").select("a")
         rows = self.docs.select("doc_id", "th", "text").mapInArrow(_emit(find, True), "doc_id long, th long, a long, f long, p long")
-        self.rows = checkpointed(rows.join(often, "a", "left_semi"))
+        if sift:
+            once = self.docs.select("text").mapInArrow(_emit(find, False), "a long")
+            often = once.groupBy("a", F.bitwise_not("a").alias("x")).agg(F.count("*").alias("c")).where("c > 1").select("a")
+            rows = rows.join(often, "a", "left_semi")
+        self.rows = checkpointed(rows)
         classes = self.rows.groupBy("a", "f").agg(F.count("*").alias("m"), F.min(F.struct("doc_id", F.shiftright("p", 20).alias("s"), "th", "p")).alias("first"))
-        per = classes.groupBy("a").agg(F.count("*").alias("c"))
+        per = classes.groupBy("a", F.bitwise_not("a").alias("x")).agg(F.count("*").alias("c")).drop("x")
         self.classes = checkpointed(classes.join(per, "a").where("m > 1 or c > 1").select("a", "f", "m", "c", "first.*"))
 
     def blocks(self, hot: bool, cut, schema: str) -> DataFrame:
         """cut applied to each document with the list of its blocks that stand for a class."""
-        some = self.classes.where(F.col("c") > HOT if hot else F.col("c") <= HOT)
+        some = self.classes.where(F.col("c") > HOT if hot else F.col("c").between(2, HOT))
         lists = some.groupBy("doc_id", "th").agg(F.collect_list(F.struct("a", "f", "m", "p")).alias("blocks"))
         return self.docs.join(lists, ["doc_id", "th"]).select("doc_id", "text", "blocks").mapInArrow(cut, schema)
 
+    def alone(self) -> DataFrame:
+        """Verdicts of buckets with one distinct block: it equals its copies in every window, and nothing else has its anchor."""
+        return self.classes.where("c = 1").select("a", "f", F.lit(0).cast("long").alias("lo"), F.shiftright("p", 10).bitwiseAND(1023).alias("n"))
+
     def spread(self, verdicts: DataFrame, first_only: bool) -> DataFrame:
         """Covered windows of every document: doc_id, th, spans (start, count of windows).
 
@@ -140,7 +152,7 @@ class Search:
         verdict holds for the first run of the class, and the others are covered
         entirely.
         """
-        hit = verdicts.groupBy("a", "f").agg(F.collect_list(F.struct("lo", "n")).alias("spans"))
+        hit = verdicts.groupBy("a", "f", F.col("a").bitwiseXOR(F.col("f")).alias("x")).agg(F.collect_list(F.struct("lo", "n")).alias("spans")).drop("x")
         rows = self.rows.select("doc_id", "th", "a", "f", F.shiftright("p", 20).alias("s"), F.shiftright("p", 10).bitwiseAND(1023).alias("k"))
         if first_only:
             cls = self.classes.select("a", "f", "m", F.struct("doc_id", "s").alias("first")).join(hit, ["a", "f"], "left").where("m > 1 or spans is not null")

@@ -39,20 +39,19 @@ _BYTES, _WORDS = Poly(31), Poly(32)
 
 
 def suffix_array(t: np.ndarray) -> np.ndarray:
-    """Order of all suffixes of an integer sequence, by prefix doubling."""
+    """Order of all suffixes of an integer sequence, by prefix doubling. Length and symbols are below 2**21, so two ranks and a place fit one number."""
     n = len(t)
-    rank = t.astype(np.int64)
-    step = 1
+    at = np.arange(n, dtype=np.uint64)
+    rank = np.unique(t, return_inverse=True)[1].astype(np.uint64)
+    low, step = np.uint64((1 << 21) - 1), 1
     while True:
-        nxt = np.full(n, -1, np.int64)
-        nxt[: n - step] = rank[step:]
-        key = rank * (n + 2 + int(t.max(initial=0))) + nxt + 1
-        order = np.argsort(key, kind="stable")
-        s = key[order]
-        new = np.concatenate([[0], np.cumsum(s[1:] != s[:-1])])
-        rank = np.empty(n, np.int64)
-        rank[order] = new
-        if new[-1] == n - 1 or step >= n:
+        nxt = np.zeros(n, np.uint64)
+        nxt[: max(n - step, 0)] = rank[step:] + np.uint64(1)
+        packed = np.sort(rank << np.uint64(42) | nxt << np.uint64(21) | at)
+        order, top = (packed & low).astype(np.int64), packed >> np.uint64(21)
+        rank = np.empty(n, np.uint64)
+        rank[order] = np.concatenate([np.zeros(1, np.uint64), np.cumsum(top[1:] != top[:-1], dtype=np.uint64)])
+        if step >= n or rank[order[-1]] == n - 1:
             return order
         step *= 2
 
@@ -70,16 +69,13 @@ class WaveletMatrix:
             self.zeros.append(len(s) - int(count[-1]))
             s = np.concatenate([s[bit == 0], s[bit == 1]])
 
-    def rank(self, symbol: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Occurrences of each symbol before lo and before hi, both minus the same offset of the symbol."""
-        base = np.zeros(len(symbol), np.int64)
+    def descend(self, symbol: np.ndarray, at: list[np.ndarray]) -> list[np.ndarray]:
+        """Where each position goes when its prefix is followed down the levels by the symbol; ranks are differences of such places."""
         for k, count, zeros in zip(range(self.levels - 1, -1, -1), self.ranks, self.zeros, strict=True):
             one = (symbol >> k & 1).astype(bool)
-            l1, h1, b1 = count[lo], count[hi], count[base]
-            lo = np.where(one, zeros + l1, lo - l1)
-            hi = np.where(one, zeros + h1, hi - h1)
-            base = np.where(one, zeros + b1, base - b1)
-        return lo - base, hi - base
+            ranks = [count[p] for p in at]
+            at = [np.where(one, r + zeros, p - r) for p, r in zip(at, ranks, strict=True)]
+        return at
 
 
 class FMIndex:
@@ -90,17 +86,21 @@ class FMIndex:
         self.sa = suffix_array(t)
         sigma = int(t.max(initial=0)) + 1
         self.first = np.concatenate([[0], np.cumsum(np.bincount(t, minlength=sigma))])
-        self.wavelet = WaveletMatrix(t[self.sa - 1], max(1, sigma.bit_length()))
+        self.wavelet = WaveletMatrix(t[self.sa - 1].astype(np.int32), max(1, sigma.bit_length()))
+        # first row of each symbol, less the place where its own positions begin
+        symbols = np.arange(sigma, dtype=np.int32)
+        self.offset = (self.first[:-1] - self.wavelet.descend(symbols, [np.zeros(sigma, np.int32)])[0]).astype(np.int32)
 
     def matches(self, text: np.ndarray, ends: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Matching statistics: for each end (exclusive) in text, the longest match ending there, up to most, and its suffix-array interval."""
-        lo, hi = np.zeros(len(ends), np.int64), np.full(len(ends), self.n, np.int64)
+        lo, hi = np.zeros(len(ends), np.int32), np.full(len(ends), self.n, np.int32)
+        text = text.astype(np.int32)
         length = np.zeros(len(ends), np.int64)
         live = np.arange(len(ends))
         for step in range(1, most + 1):
             c = text[ends[live] - step]
-            a, b = self.wavelet.rank(c, lo[live], hi[live])
-            a, b = self.first[c] + a, self.first[c] + b
+            a, b = self.wavelet.descend(c, [lo[live], hi[live]])
+            a, b = a + self.offset[c], b + self.offset[c]
             ok = (b > a) & (c > 0)
             live = live[ok]
             lo[live], hi[live], length[live] = a[ok], b[ok], step
@@ -247,11 +247,11 @@ def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def digests(docs: DataFrame) -> DataFrame:
     """doc_id, n_words, n_removed and kept_sha256 of each row of docs."""
-    search = Search(docs, find)
+    search = Search(docs, find, sift=True)
     return search.annotated(spans(search)).select("doc_id", "text", "spans").mapInArrow(_digest, "doc_id long, n_words long, n_removed long, kept_sha256 string")
 
 
 def kept_text(docs: DataFrame) -> DataFrame:
     """doc_id and the words that are left, joined by one space."""
-    search = Search(docs, find)
+    search = Search(docs, find, sift=True)
     return search.annotated(spans(search)).select("doc_id", "text", "spans").mapInArrow(_texts, "doc_id long, kept_text string")

@@ -38,7 +38,7 @@ from touchline.llm.textcore import Poly, chunks, ranges, runs
 
 WINDOW = 400
 GRAM = 32
-V = 32
+V = 16
 #: Bytes of text in whose suffixes a task sorts at once.
 BLOCK = 1 << 20
 #: Suffixes sorted at once; larger buckets of equal leading bytes are sorted whole.
@@ -68,32 +68,40 @@ def leading(text: np.ndarray, at: np.ndarray, k: int) -> np.ndarray:
     return np.ascontiguousarray(view).view(">u8").ravel().astype(np.uint64)
 
 
+def dense(hi: np.ndarray, lo: np.ndarray | None = None) -> np.ndarray:
+    """Rank of each value (or pair) among the distinct ones. Pairs are of ranks below 2**21, so a pair and its place fit one number."""
+    if lo is None:
+        return np.unique(hi, return_inverse=True)[1].astype(np.uint64)
+    if len(hi) >= 1 << 21:
+        return np.unique(hi << np.uint64(32) | lo, return_inverse=True)[1].astype(np.uint64)
+    packed = np.sort(hi << np.uint64(42) | lo << np.uint64(21) | np.arange(len(hi), dtype=np.uint64))
+    top = packed >> np.uint64(21)
+    out = np.empty(len(hi), np.uint64)
+    out[(packed & np.uint64((1 << 21) - 1)).astype(np.int64)] = np.cumsum(np.concatenate([[False], top[1:] != top[:-1]]))[: len(hi)]
+    return out
+
+
+def period_ranks(text: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Order of the V bytes from each position, as dense ranks."""
+    r = dense(leading(text, at, 0))
+    for k in range(1, V // 8):
+        r = dense(r, dense(leading(text, at, k)))
+    return r
+
+
 def ranks(text: np.ndarray, size: int, depth: int) -> np.ndarray:
-    """Rank of every cover-sample suffix of text[:size] by at least depth bytes; indexed by position, -1 elsewhere."""
+    """Rank of every cover-sample suffix of text[:size] by at least depth bytes; indexed by position, 0 elsewhere."""
     periods = -(-size // V)
     at = (np.arange(periods)[:, None] * V + COVER).ravel()
-    keys = [leading(text, at, k) for k in range(V // 8)]
-    order = np.lexsort(keys[::-1])
-    rank = np.empty(len(at), np.int64)
-
-    def name(*cols):
-        new = np.zeros(len(order), bool)
-        for c in cols:
-            s = c[order]
-            new[1:] |= s[1:] != s[:-1]
-        rank[order] = np.cumsum(new)
-
-    name(*keys)
+    rank = period_ranks(text, at)
     have, step = V, len(COVER)
     while have < depth:
         # the sample `have` bytes on has the same residue: `step` sample rows further
-        nxt = np.full(len(at), -1, np.int64)
-        nxt[: max(len(at) - step, 0)] = rank[step:]
-        pair = rank.copy()
-        order = np.lexsort((nxt, pair))
-        name(pair, nxt)
+        nxt = np.zeros(len(at), np.uint64)
+        nxt[: max(len(at) - step, 0)] = rank[step:] + np.uint64(1)
+        rank = dense(rank, nxt)
         have, step = 2 * have, 2 * step
-    out = np.full(periods * V + V, -1, np.int64)
+    out = np.zeros(periods * V + V, np.uint64)
     out[at] = rank
     return out
 
@@ -105,30 +113,29 @@ def suffix_groups(text: np.ndarray, size: int, starts: np.ndarray, window: int =
     """
     cover = ranks(text, size, window)
     lead = leading(text, starts, 0)
-    order = np.argsort(lead, kind="stable")
+    order = np.argsort(lead)
     lead, starts = lead[order], starts[order]
     first, count = runs(lead)
+    view = np.lib.stride_tricks.sliding_window_view(text, window)
     i = 0
     while i < len(first):
         end = first[i] + BUCKET
         j = max(i + 1, int(np.searchsorted(first + count, end, "right")))
-        lo, hi = first[i], first[j - 1] + count[j - 1]
+        s = starts[first[i] : first[j - 1] + count[j - 1]]
         i = j
-        s = starts[lo:hi]
+        # the first V bytes, then the residue class and the cover sample's rank at its shift
         residue = s % V
-        keys = [lead[lo:hi], *(leading(text, s, k) for k in range(1, V // 8)), residue, cover[s + SHIFT[residue]]]
-        s = s[np.lexsort(keys[::-1])]
-        new = np.zeros(len(s), bool)
-        new[:1] = True
-        words = window // 8
-        for a in range(0, len(s) - 1, 1 << 13):
-            x, y = s[a : a + (1 << 13) + 1][:-1], s[a + 1 : a + (1 << 13) + 1]
-            x = x[: len(y)]
-            view = np.lib.stride_tricks.sliding_window_view(text, 8 * words)
-            same = (np.ascontiguousarray(view[x]).view(np.uint64) == np.ascontiguousarray(view[y]).view(np.uint64)).all(1)
-            for k in range(8 * words, window):
-                same &= text[x + k] == text[y + k]
-            new[a + 1 : a + 1 + len(y)] = ~same
+        tie = residue.astype(np.uint64) << np.uint64(27) | cover[s + SHIFT[residue]]
+        key = period_ranks(text, s) << np.uint64(32) | tie
+        order = np.argsort(key)
+        s, key = s[order], key[order]
+        # equal keys agree on more than the window; where only the rank differs the bytes decide
+        new = np.ones(len(s), bool)
+        new[1:] = key[1:] != key[:-1]
+        close = np.flatnonzero(new[1:] & (key[1:] >> np.uint64(27) == key[:-1] >> np.uint64(27)))
+        for a in range(0, len(close), 1 << 12):
+            c = close[a : a + (1 << 12)]
+            new[c + 1] = (np.ascontiguousarray(view[s[c]]).view(np.uint64) != np.ascontiguousarray(view[s[c + 1]]).view(np.uint64)).any(1)
         yield s, np.cumsum(new) - 1
 
 
@@ -226,7 +233,7 @@ def spans(search: Search) -> DataFrame:
     blocks = search.blocks(False, _cut, BLOCKS).repartition("a").sortWithinPartitions("a")
     verdicts = blocks.mapInArrow(_judge, "a long, f long, lo long, n long")
     hot = window_counts(search.blocks(True, _windows, "a long, f long, m long, lo long, key long"), False)
-    return search.spread(verdicts.unionByName(hot), False)
+    return search.spread(verdicts.unionByName(hot).unionByName(search.alone()), False)
 
 
 def _left(b: pa.RecordBatch) -> Iterator[tuple[bytes, bytes, int]]:
@@ -252,13 +259,13 @@ def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def digests(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and kept_sha256 of each row of docs."""
-    search = Search(docs, find)
+    search = Search(docs, find, sift=False)
     return search.annotated(spans(search)).select("doc_id", "text", "spans").mapInArrow(_digest, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def removed(docs: DataFrame) -> DataFrame:
     """docs with the text that is left in place of the text (and n_chars to match); all columns and rows stay."""
-    search = Search(docs, find)
+    search = Search(docs, find, sift=False)
     kind = search.docs.schema["row"].dataType.simpleString()
     got = search.annotated(spans(search)).select("text", "spans", "row").mapInArrow(_texts, f"row {kind}, kept string")
     new = {"text": F.col("kept"), "n_chars": F.length("kept").cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {"text": F.col("kept")}
