@@ -108,7 +108,7 @@ RANKED = f"SELECT *, row_number() OVER (PARTITION BY seq ORDER BY regexp_extract
 
 @register("w2_frame_rank", f"SELECT seq, image_id, rank FROM ({RANKED}) r")
 def _(spark, d):
-    return tracks.frame_rank(fx.frames(spark, d)).select("seq", "image_id", "rank")
+    return tracks.frame_rank(fx.frames(spark, d)).select("seq", "image_id", F.col("rank").cast("long").alias("rank"))
 
 
 for _name, _most in (("w1_carry_forward", 0), ("w1_carry_forward_bounded", 2)):
@@ -120,7 +120,7 @@ for _name, _most in (("w1_carry_forward", 0), ("w1_carry_forward_bounded", 2)):
         SELECT seq, image_id, src AS source_rank, CASE WHEN src IS NOT NULL THEN p0 END AS pan, CASE WHEN src IS NOT NULL THEN t0 END AS tilt, src IS NOT NULL AND NOT ok AS carried FROM u""",
     )
     def _(spark, d, most=_most):
-        return tracks.carry_forward(fx.frames(spark, d), 0.5, most).select("seq", "image_id", "source_rank", "pan", "tilt", "carried")
+        return tracks.carry_forward(fx.frames(spark, d), 0.5, most).select("seq", "image_id", F.col("source_rank").cast("long").alias("source_rank"), "pan", "tilt", "carried")
 
 
 @register(
@@ -168,12 +168,12 @@ def _(spark, d):
 
 @register("o2_dense_ids", f"SELECT det_id, dense_rank() OVER (PARTITION BY seq ORDER BY track_id) AS new_id FROM {D} d WHERE track_id IS NOT NULL")
 def _(spark, d):
-    return tracks.dense_ids(fx.detections(spark, d)).select("det_id", "new_id")
+    return tracks.dense_ids(fx.detections(spark, d)).select("det_id", F.col("new_id").cast("long").alias("new_id"))
 
 
 @register("o3_shards", f"SELECT seq, track_id, (row_number() OVER (PARTITION BY seq ORDER BY track_id) - 1) % 3 AS shard FROM (SELECT DISTINCT seq, track_id FROM {D} d WHERE track_id IS NOT NULL) q")
 def _(spark, d):
-    return tracks.shards(fx.detections(spark, d))
+    return tracks.shards(fx.detections(spark, d)).withColumn("shard", F.col("shard").cast("long"))
 
 
 @register(
@@ -239,13 +239,13 @@ def reads(spark: SparkSession, sf_dir: str, reader: str) -> DataFrame:
     def vec(i):
         return F.transform(F.sequence(F.lit(0), F.lit(10)), lambda k: F.when(k == i, F.ln(p)).otherwise(F.ln((1 - p) / 10)))
 
-    return d.select("seq", F.concat_ws("_", "seq", F.col("track_id").cast("string")).alias("track"), "det_id", vec(hot).alias("tens"), vec(unit).alias("units"), (F.col("det_id") % 100 / 100).alias("legibility"), (F.col("image_id") % 100 / 100).alias("det_score"))
+    return d.select("seq", F.concat_ws("_", "seq", F.col("track_id").cast("string")).alias("track"), "det_id", vec(hot).alias("tens"), vec(unit).alias("units"), ((F.col("det_id") * 13 + F.col("image_id") * 7) % 100 / 100).alias("legibility"), (F.col("image_id") % 100 / 100).alias("det_score"))
 
 
 def reads_sql(reader: str) -> str:
     a = reader == "a"
     return f"""(SELECT concat(seq, '_', CAST(track_id AS STRING)) AS track, det_id, list_transform(range(0, 11), lambda k: CASE WHEN k = hot THEN ln(p) ELSE ln((1 - p) / 10) END) AS tens,
-    list_transform(range(0, 11), lambda k: CASE WHEN k = unit THEN ln(p) ELSE ln((1 - p) / 10) END) AS units, det_id % 100 / 100 AS legibility, image_id % 100 / 100 AS det_score FROM (SELECT *,
+    list_transform(range(0, 11), lambda k: CASE WHEN k = unit THEN ln(p) ELSE ln((1 - p) / 10) END) AS units, (det_id * 13 + image_id * 7) % 100 / 100 AS legibility, image_id % 100 / 100 AS det_score FROM (SELECT *,
     (track_id * {3 if a else 5} + CASE WHEN det_id % 4 = 0 THEN det_id ELSE 0 END) % 11 AS hot, (track_id * 7 + CASE WHEN det_id % {3 if a else 5} = 0 THEN det_id ELSE 0 END) % 11 AS unit,
     0.5 + CAST(det_id % {37 if a else 41} AS DOUBLE) / 100 AS p FROM {D} d WHERE track_id IS NOT NULL) q)"""
 
@@ -280,7 +280,7 @@ def both_stats(spark, d):
 @register("a14_ranked_candidates", f"SELECT track, label, round(mx, 6) AS mx, round(conf_sum, 6) AS conf_sum, CAST(votes AS BIGINT) AS votes, row_number() OVER (PARTITION BY track ORDER BY round(exp(mx) * conf_sum, 9) DESC, votes DESC, round(strength, 9) DESC, label DESC) AS rank FROM {POOL} p")
 def _(spark, d):
     a, b = both_stats(spark, d)
-    return votes.ranked(votes.pooled(a.unionByName(b), "track"), "track").select("track", "label", *r6("mx", "conf_sum"), "votes", "rank")
+    return votes.ranked(votes.pooled(a.unionByName(b), "track"), "track").select("track", "label", *r6("mx", "conf_sum"), "votes", F.col("rank").cast("long").alias("rank"))
 
 
 @register("a15_vote_pool", f"SELECT track, label, round(votes / CAST(total AS DOUBLE), 6) AS share FROM (SELECT *, sum(votes) OVER (PARTITION BY track) AS total, row_number() OVER (PARTITION BY track ORDER BY votes DESC, round(strength, 9) DESC, label DESC) AS r FROM {POOL} p) q WHERE r = 1")
