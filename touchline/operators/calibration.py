@@ -34,7 +34,7 @@ def project(cam: dict, xyz: np.ndarray) -> np.ndarray:
     n = np.full((len(xyz), 2), np.nan)
     n[front] = c[front, :2] / c[front, 2:]
     r2 = (n**2).sum(1)
-    k = list(cam["radial_distortion"] or []) + [0.0] * 6
+    k = [*(cam["radial_distortion"] if cam["radial_distortion"] is not None else []), *[0.0] * 6]
     n *= ((1 + k[0] * r2 + k[1] * r2**2 + k[2] * r2**3) / (1 + k[3] * r2 + k[4] * r2**2 + k[5] * r2**3))[:, None]
     cx, cy = cam["principal_point"]
     return n * [cam["x_focal_length"] * WIDTH / (2 * cx), cam["y_focal_length"] * HEIGHT / (2 * cy)] + [WIDTH / 2, HEIGHT / 2]

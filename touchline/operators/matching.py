@@ -97,17 +97,25 @@ def match(pred: DataFrame, gt: DataFrame, rule: Callable = optimal, threshold: f
     """Matched pairs of the frames, by the rule. Boxes go in order of det_id."""
 
     def frame(p: pd.DataFrame, g: pd.DataFrame) -> pd.DataFrame:
-        if not len(p) or not len(g):
-            return pd.DataFrame({"seq": [], "image_id": [], "pred_id": [], "gt_id": [], "iou": []})
-        p, g = p.sort_values("det_id"), g.sort_values("det_id")
-        box = ["l", "t", "w", "h"]
-        iou = iou_matrix(p[box].to_numpy(float), g[box].to_numpy(float))
-        pairs = rule(iou, threshold)
-        return pd.DataFrame([(p.seq.iloc[0], p.image_id.iloc[0], p.det_id.iloc[i], g.det_id.iloc[j], iou[i, j]) for i, j in pairs], columns=["seq", "image_id", "pred_id", "gt_id", "iou"])
+        pairs, iou = [], np.zeros((0, 0))
+        if len(p) and len(g):
+            p, g = p.sort_values("det_id"), g.sort_values("det_id")
+            box = ["l", "t", "w", "h"]
+            iou = iou_matrix(p[box].to_numpy(float), g[box].to_numpy(float))
+            pairs = rule(iou, threshold)
+        at = np.array(pairs, np.int64).reshape(-1, 2)
+        whole = p if len(p) else g
+        n = len(at)
+        ids = [d.det_id.to_numpy(np.int64)[at[:, k]] if n else np.zeros(0, np.int64) for k, d in enumerate((p, g))]
+        return pd.DataFrame({"seq": np.full(n, whole.seq.iloc[0], object), "image_id": np.full(n, whole.image_id.iloc[0], np.int64), "pred_id": ids[0], "gt_id": ids[1], "iou": iou[at[:, 0], at[:, 1]] if n else np.zeros(0)})
 
     cols = ["seq", "image_id", "det_id", "l", "t", "w", "h"]
-    # frames without a pair that touches cannot match and stay out of Python
-    return pred.select(*cols).groupBy("seq", "image_id").cogroup(gt.select(*cols).groupBy("seq", "image_id")).applyInPandas(frame, MATCHES)
+    return renewed(pred, cols).groupBy("seq", "image_id").cogroup(renewed(gt, cols).groupBy("seq", "image_id")).applyInPandas(frame, MATCHES)
+
+
+def renewed(df: DataFrame, cols: list[str]) -> DataFrame:
+    """The columns under new identities: both sides of a cogroup may come from one table."""
+    return df.select(*[F.col(c).alias(c) for c in cols])
 
 
 def pairs_of(matches: DataFrame, pred: DataFrame, gt: DataFrame) -> DataFrame:

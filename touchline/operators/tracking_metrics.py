@@ -14,7 +14,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
-from touchline.operators.matching import assign, iou_matrix
+from touchline.operators.matching import assign, iou_matrix, renewed
 
 ALPHAS = np.arange(0.05, 0.99, 0.05)
 OUT = "seq string, hota double, deta double, assa double, mota double, idf1 double, idsw long, tp long, fp long, fn long"
@@ -101,4 +101,4 @@ def tracking_metrics(gt: DataFrame, pred: DataFrame, space: str = "image", attri
             frames.append((a.k.to_numpy(), b.k.to_numpy(), s))
         return pd.DataFrame([{"seq": seq, **evaluate(frames)}])
 
-    return gt.select(*keep).groupBy("seq").cogroup(pred.select(*keep).groupBy("seq")).applyInPandas(one, OUT)
+    return renewed(gt, keep).groupBy("seq").cogroup(renewed(pred, keep).groupBy("seq")).applyInPandas(one, OUT)

@@ -579,7 +579,7 @@ def _(spark, d):
 
     f = cameras(fx.frames(spark, d))
     shift = F.col("image_id") % 7
-    lines = F.create_map(F.lit("Middle line"), F.array(*[pt(960 + shift + k, 400.0 + 200 * k) for k in range(3)]), F.lit("Side line top"), F.array(*[pt(300.0 + 600 * k, 500.0 + shift) for k in range(3)]))
+    lines = F.create_map(F.lit("Middle line"), F.array(*[pt(960 + shift + k, F.lit(400.0 + 200 * k)) for k in range(3)]), F.lit("Side line top"), F.array(*[pt(F.lit(300.0 + 600 * k), 500.0 + shift) for k in range(3)]))
     rows = f.select("image_id", F.when(F.col("listed"), F.col("cam")).alias("cam"), lines.alias("lines"))
     return calibration.calibration_metrics(calibration.image_scores(rows)).select(*r6("jac5", "jac10", "cr", "final_score"), F.round("mre", 4).alias("mre"), F.round("medre", 4).alias("medre"), "n_frames", "n_points")
 
