@@ -27,6 +27,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -97,6 +98,25 @@ def keyed(docs: DataFrame) -> DataFrame:
     return docs.select(ids, text, row).withColumn("th", F.xxhash64("text") if twice else F.pmod("doc_id", F.lit(1).cast("long")))
 
 
+def unpacked(z: pa.Array) -> pa.Array:
+    """Texts of a column of compressed texts."""
+    d = zstandard.ZstdDecompressor()
+    return pa.array([d.decompress(x) for x in z.to_pylist()], pa.binary()).cast(pa.string())
+
+
+def packed(docs: DataFrame) -> DataFrame:
+    """docs with compressed texts (z) in place of text: what the shuffles carry."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        c = zstandard.ZstdCompressor(level=3, write_content_size=True)
+        for b in batches:
+            z = pa.array([c.compress(t.as_py().encode()) for t in b["text"]], pa.binary())
+            yield pa.RecordBatch.from_arrays([b["doc_id"], b["th"], z, *([b["row"]] if "row" in b.schema.names else [])], ["doc_id", "th", "z", *(["row"] if "row" in b.schema.names else [])])
+
+    row = f", row {docs.schema['row'].dataType.simpleString()}" if "row" in docs.columns else ""
+    return docs.mapInArrow(run, f"doc_id long, th long, z binary{row}")
+
+
 Finder = Callable[[pa.Array, bool], Iterator[tuple[int, dict]]]
 
 
@@ -125,6 +145,7 @@ class Search:
 
     def __init__(self, docs: DataFrame, find: Finder, sift: bool):
         self.docs = keyed(docs)
+        self.texts = packed(self.docs.select("doc_id", "th", "text"))
         rows = self.docs.select("doc_id", "th", "text").mapInArrow(_emit(find, True), "doc_id long, th long, a long, f long, p long")
         if sift:
             once = self.docs.select("text").mapInArrow(_emit(find, False), "a long")
@@ -139,7 +160,7 @@ class Search:
         """cut applied to each document with the list of its blocks that stand for a class."""
         some = self.classes.where(F.col("c") > HOT if hot else F.col("c").between(2, HOT))
         lists = some.groupBy("doc_id", "th").agg(F.collect_list(F.struct("a", "f", "m", "p")).alias("blocks"))
-        return self.docs.join(lists, ["doc_id", "th"]).select("doc_id", "text", "blocks").mapInArrow(cut, schema)
+        return self.texts.join(lists, ["doc_id", "th"]).select("doc_id", "z", "blocks").mapInArrow(cut, schema)
 
     def alone(self) -> DataFrame:
         """Verdicts of buckets with one distinct block: it equals its copies in every window, and nothing else has its anchor."""
@@ -164,9 +185,10 @@ class Search:
         spans = F.transform("spans", lambda x: F.struct((F.col("s") + x["lo"]).alias("s"), x["n"].alias("n")))
         return rows.groupBy("doc_id", "th").agg(F.flatten(F.collect_list(spans)).alias("spans"))
 
-    def annotated(self, spans: DataFrame) -> DataFrame:
-        """doc_id, text, row, spans (null: none) for every document."""
-        return self.docs.join(spans, ["doc_id", "th"], "left").withColumn("doc_id", F.nullif("doc_id", F.lit(NO_ID)))
+    def annotated(self, spans: DataFrame, rows: bool = False) -> DataFrame:
+        """doc_id, z (the compressed text), spans (null: none) and with ``rows`` the other columns as row, for every document."""
+        texts = packed(self.docs.select("doc_id", "th", "text", "row")) if rows else self.texts
+        return texts.join(spans, ["doc_id", "th"], "left").withColumn("doc_id", F.nullif("doc_id", F.lit(NO_ID)))
 
 
 def unpack(p: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

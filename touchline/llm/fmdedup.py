@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from touchline.llm.anchored import Runs, Search, covered, window_counts
+from touchline.llm.anchored import Runs, Search, covered, unpacked, window_counts
 from touchline.llm.suffixdedup import ranges_of
 from touchline.llm.textcore import Poly, chunks, ranges, word_spans
 
@@ -157,7 +157,7 @@ BLOCKS = "a long, f long, doc_id long, s long, n long, words binary"
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        for i, _, data, offs in chunks(b["text"]):
+        for i, _, data, offs in chunks(unpacked(b["z"])):
             h, _, _, rows = words_of(data, offs)
             cols: list[list] = [[] for _ in range(6)]
             ids = b["doc_id"].slice(i, len(offs) - 1).to_pylist()
@@ -173,7 +173,7 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The windows of hot buckets' blocks by hash."""
     for b in batches:
-        for i, _, data, offs in chunks(b["text"]):
+        for i, _, data, offs in chunks(unpacked(b["z"])):
             h, _, _, rows = words_of(data, offs)
             p = _WORDS.prefix(h)
             ids = b["doc_id"].slice(i, len(offs) - 1).to_pylist()
@@ -219,7 +219,7 @@ def spans(search: Search) -> DataFrame:
 
 def _left(b: pa.RecordBatch) -> Iterator[tuple[int, int, bytes]]:
     """Words, words removed and the words that are left, joined by a space, of each row."""
-    for i, _, data, offs in chunks(b["text"]):
+    for i, _, data, offs in chunks(unpacked(b["z"])):
         lo, hi, doc = word_spans(data, offs)
         count = np.bincount(doc, minlength=len(offs) - 1)
         end = np.cumsum(count)
@@ -248,10 +248,10 @@ def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def digests(docs: DataFrame) -> DataFrame:
     """doc_id, n_words, n_removed and kept_sha256 of each row of docs."""
     search = Search(docs, find, sift=True)
-    return search.annotated(spans(search)).select("doc_id", "text", "spans").mapInArrow(_digest, "doc_id long, n_words long, n_removed long, kept_sha256 string")
+    return search.annotated(spans(search)).select("doc_id", "z", "spans").mapInArrow(_digest, "doc_id long, n_words long, n_removed long, kept_sha256 string")
 
 
 def kept_text(docs: DataFrame) -> DataFrame:
     """doc_id and the words that are left, joined by one space."""
     search = Search(docs, find, sift=True)
-    return search.annotated(spans(search)).select("doc_id", "text", "spans").mapInArrow(_texts, "doc_id long, kept_text string")
+    return search.annotated(spans(search)).select("doc_id", "z", "spans").mapInArrow(_texts, "doc_id long, kept_text string")

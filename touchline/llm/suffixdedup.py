@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from touchline.llm.anchored import Runs, Search, covered, unpack, window_counts
+from touchline.llm.anchored import Runs, Search, covered, unpack, unpacked, window_counts
 from touchline.llm.textcore import Poly, chunks, ranges, runs
 
 WINDOW = 400
@@ -176,7 +176,7 @@ BLOCKS = "a long, f long, m long, n long, d long, bytes binary"
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         cols: list[list] = [[] for _ in range(6)]
-        for text, blocks in zip(b["text"], b["blocks"].to_pylist(), strict=True):
+        for text, blocks in zip(unpacked(b["z"]), b["blocks"].to_pylist(), strict=True):
             raw = text.as_py().encode()
             for x in blocks:
                 s, n, d = x["p"] >> 20, x["p"] >> 10 & 1023, x["p"] & 1023
@@ -188,7 +188,7 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The windows of hot buckets' blocks by hash."""
     for b in batches:
-        for i, _, data, offs in chunks(b["text"]):
+        for i, _, data, offs in chunks(unpacked(b["z"])):
             p = _POLY.of_bytes(data)
             for k, blocks in enumerate(b["blocks"].slice(i, len(offs) - 1).to_pylist()):
                 for x in blocks:
@@ -238,7 +238,7 @@ def spans(search: Search) -> DataFrame:
 
 def _left(b: pa.RecordBatch) -> Iterator[tuple[bytes, bytes, int]]:
     """Bytes, bytes that are left, and removed runs of each row."""
-    for text, got in zip(b["text"], b["spans"].to_pylist(), strict=True):
+    for text, got in zip(unpacked(b["z"]), b["spans"].to_pylist(), strict=True):
         raw = text.as_py().encode()
         cut = covered(got or [], WINDOW, len(raw))
         ends = [0, *(x for c in cut for x in c), len(raw)]
@@ -259,14 +259,14 @@ def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def digests(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and kept_sha256 of each row of docs."""
-    search = Search(docs, find, sift=False)
-    return search.annotated(spans(search)).select("doc_id", "text", "spans").mapInArrow(_digest, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    search = Search(docs, find, sift=True)
+    return search.annotated(spans(search)).select("doc_id", "z", "spans").mapInArrow(_digest, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def removed(docs: DataFrame) -> DataFrame:
     """docs with the text that is left in place of the text (and n_chars to match); all columns and rows stay."""
-    search = Search(docs, find, sift=False)
+    search = Search(docs, find, sift=True)
     kind = search.docs.schema["row"].dataType.simpleString()
-    got = search.annotated(spans(search)).select("text", "spans", "row").mapInArrow(_texts, f"row {kind}, kept string")
+    got = search.annotated(spans(search), rows=True).select("z", "spans", "row").mapInArrow(_texts, f"row {kind}, kept string")
     new = {"text": F.col("kept"), "n_chars": F.length("kept").cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {"text": F.col("kept")}
     return got.select(*[new[c].alias(c) if c in new else F.col("row").getField(c).alias(c) for c in docs.columns])
