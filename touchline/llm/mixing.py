@@ -68,7 +68,9 @@ def targets(per_source: DataFrame) -> DataFrame:
 
 def mix(docs: DataFrame, seed: int = 1) -> DataFrame:
     """One row per document: doc_id, source, size, source_size, target, taken (words the mix takes, repeats counted)."""
-    sized = checkpointed(sizes(docs).withColumn("k", F.shiftrightunsigned(F.xxhash64(F.lit(seed), "doc_id"), 64 - KEY_BITS)))
+    # a key that any engine can compute: the first 15 hex digits of an MD5
+    key = F.conv(F.left(F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("doc_id").cast("string"))), F.lit(15)), 16, 10).cast("long")
+    sized = checkpointed(sizes(docs).withColumn("k", key))
     per = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("docs"))
     goal = targets(per).withColumn("width", F.ceil((1 << KEY_BITS) / F.ceil(F.col("docs") / BUCKET)).cast("long"))
     goal = checkpointed(goal.withColumnRenamed("source", "s"))

@@ -63,5 +63,42 @@ def queries() -> dict:
     return {f.__name__: f for f in QUERIES}
 
 
+WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
+
+OP6 = rf"""
+WITH d AS (SELECT row_number() OVER () AS id, doc_id, source, coalesce(text, '') AS text, {WORDS} AS w FROM documents),
+win AS (SELECT id, i, array_to_string(w[i:i + 7], ' ') AS g FROM (SELECT id, w, unnest(range(1, len(w) - 6)) AS i FROM d WHERE len(w) >= 8) q),
+twice AS (SELECT id, g FROM win GROUP BY id, g HAVING count(*) > 1),
+rep AS (SELECT id, count(DISTINCT x) AS n FROM (SELECT win.id, unnest(range(i, i + 8)) AS x FROM win JOIN twice USING (id, g)) q GROUP BY id),
+line AS (SELECT id, doc_id, source, l, regexp_extract_all(l, '[^\x20\x09-\x0D]+') AS lw FROM (SELECT *, unnest(string_split(text, chr(10))) AS l FROM d) q),
+real AS (SELECT *, translate(array_to_string(lw, ' '), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS norm FROM line WHERE len(lw) > 0),
+dup AS (SELECT id, count(*) - count(DISTINCT l) AS n FROM real GROUP BY id),
+host AS (SELECT source, greatest(50.0, 0.005 * count(*)) AS most FROM d GROUP BY source),
+often AS (SELECT o.source, norm FROM (SELECT source, norm, count(DISTINCT id) AS docs FROM real GROUP BY source, norm) o JOIN host h ON o.source IS NOT DISTINCT FROM h.source WHERE docs > most),
+lost AS (SELECT id, sum(len(lw)) AS n FROM real r JOIN often o ON r.source IS NOT DISTINCT FROM o.source AND r.norm = o.norm GROUP BY id),
+f AS (SELECT d.doc_id, len(w) AS n_words, coalesce(length(array_to_string(w, '')), 0) AS word_chars, len(regexp_extract_all(text, '[#*$%&|<>]')) AS n_symbols, coalesce(dup.n, 0) AS n_dup_lines, coalesce(rep.n, 0) AS n_repeat_words, CAST(coalesce(lost.n, 0) AS BIGINT) AS n_boiler_words
+  FROM d LEFT JOIN rep USING (id) LEFT JOIN dup USING (id) LEFT JOIN lost USING (id))
+SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed, NOT (n_words < 20 OR 100 * n_repeat_words > 30 * n_words) AND n_boiler_words <= 0.5 * n_words AS kept FROM f"""
+
+OP8 = rf"""
+WITH d AS (SELECT doc_id, source, len({WORDS}) AS size, CAST('0x' || left(md5('1|' || CAST(doc_id AS VARCHAR)), 15) AS BIGINT) AS k FROM documents),
+s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source),
+w AS (SELECT *, CAST((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS DOUBLE) AS weight, 3.0 * CAST(source_size AS DOUBLE) AS cap, CAST(sum(source_size) OVER () AS DOUBLE) AS total FROM s),
+f AS (SELECT *, cap / weight AS r, (total - (sum(cap) OVER o - cap)) / sum(weight) OVER (ORDER BY cap / weight, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS t FROM w WINDOW o AS (ORDER BY cap / weight, source NULLS LAST ROWS UNBOUNDED PRECEDING)),
+g AS (SELECT source, source_size, least(cap, weight * coalesce((SELECT arg_min(t, r) FROM f WHERE t <= r), 0)) AS target FROM f),
+p AS (SELECT d.*, source_size, target, CAST(round(target) AS BIGINT) AS budget, CAST(sum(size) OVER (PARTITION BY d.source ORDER BY k, doc_id, size ROWS UNBOUNDED PRECEDING) AS BIGINT) - size AS before FROM d JOIN g ON d.source IS NOT DISTINCT FROM g.source)
+SELECT doc_id, size, source_size, target, CAST(CASE WHEN source_size > 0 THEN budget // source_size * size + least(greatest(budget % source_size - before, 0), size) ELSE 0 END AS BIGINT) AS taken FROM p"""
+
+OP10 = rf"""
+WITH d AS (SELECT doc_id, {WORDS} AS w FROM documents),
+win AS (SELECT doc_id, i, md5(array_to_string(w[i:i + 19], ' ')) AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 18)) AS i FROM d WHERE len(w) >= 20) q),
+late AS (SELECT doc_id, i FROM (SELECT *, row_number() OVER (PARTITION BY g ORDER BY doc_id, i) AS r FROM win) q WHERE r > 1),
+gone AS (SELECT DISTINCT doc_id, x FROM (SELECT doc_id, unnest(range(i, i + 20)) AS x FROM late) q),
+per AS (SELECT doc_id, count(*) AS n FROM gone GROUP BY doc_id),
+word AS (SELECT doc_id, unnest(w) AS v, unnest(range(1, len(w) + 1)) AS x FROM d WHERE doc_id IN (SELECT doc_id FROM per)),
+kept AS (SELECT word.doc_id, string_agg(v, ' ' ORDER BY word.x) AS t FROM word LEFT JOIN gone ON gone.doc_id = word.doc_id AND gone.x = word.x WHERE gone.x IS NULL GROUP BY word.doc_id)
+SELECT d.doc_id, len(w) AS n_words, coalesce(n, 0) AS n_removed, sha256(CASE WHEN n IS NULL THEN array_to_string(w, ' ') ELSE coalesce(t, '') END) AS kept_sha256 FROM d LEFT JOIN per USING (doc_id) LEFT JOIN kept USING (doc_id)"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op6_quality_rules": OP6, "op8_mixing": OP8, "op10_substring_dedup": OP10}
