@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 from touchline.functions import geometry as geo
 from touchline.functions import text
-from touchline.operators import audit, cluster, matching, metrics, overlap, refine, tracks
+from touchline.operators import audit, cluster, matching, metrics, overlap, refine, roles, tracks, votes
 from touchline.plans import fixtures as fx
-from touchline.plans.queries import FR, RANKED, STATS, TR, TRAJ, D, overlap_sql, pred_gt, r6, register, trajectories
+from touchline.plans.queries import FR, POOL, RANKED, ROLE_SQL, TR, TRAJ, D, both_stats, overlap_sql, pred_gt, r6, register, trajectories
+from touchline.sources import state
 
 L, T, W, H = (F.col(c) for c in "ltwh")
 
@@ -591,3 +592,132 @@ def _(spark, d):
     fx.views(spark, d, "documents")
     words = spark.table("documents").select("doc_id", F.get(F.split("text", " "), F.lit(0)).alias("w"))
     return words.select("doc_id", prepared("abcdefghijklmnopqrstuvwxyz0123456789", 25)(F.col("w")).alias("label")).where("label IS NOT NULL")
+
+
+# --- remaining predicates, sinks and checks -----------------------------------------------------------------------
+
+
+@register("p15_radar_colour", f"SELECT seq, track_id, CASE WHEN role = 'referee' THEN 'yellow' WHEN team = 'left' THEN 'red' WHEN team = 'right' THEN 'blue' END AS colour FROM ({ROLE_SQL}) r")
+def _(spark, d):
+    colour = F.when(F.col("role") == "referee", "yellow").when(F.col("team") == "left", "red").when(F.col("team") == "right", "blue")
+    return roles.role_team(trajectories(spark, d)).select("seq", "track_id", colour.alias("colour"))
+
+
+@register("p18_finite_positions", f"SELECT det_id, px, py FROM {D} d WHERE px IS NOT NULL AND py IS NOT NULL")
+def _(spark, d):
+    return fx.detections(spark, d).where(tracks.located()).select("det_id", "px", "py")
+
+
+@register("c5_label_normalised", f"SELECT det_id, coalesce(CAST(TRY_CAST(trim(v) AS INTEGER) AS STRING), '-1') AS label FROM (SELECT det_id, CASE det_id % 3 WHEN 0 THEN '0' || number WHEN 1 THEN ' ' || number ELSE 'n' || number END AS v FROM {D} d) q")
+def _(spark, d):
+    k, n = F.col("det_id") % 3, F.col("number")
+    v = F.when(k == 0, F.concat(F.lit("0"), n)).when(k == 1, F.concat(F.lit(" "), n)).otherwise(F.concat(F.lit("n"), n))
+    return fx.detections(spark, d).select("det_id", text.label(v).alias("label"))
+
+
+@register("a13_pooled_stats", f"SELECT track, label, round(mx, 6) AS mx, round(conf_sum, 6) AS conf_sum, CAST(votes AS BIGINT) AS votes, round(strength, 6) AS strength FROM {POOL} p")
+def _(spark, d):
+    a, b = both_stats(spark, d)
+    return votes.pooled(a.unionByName(b), "track").select("track", "label", *r6("mx", "conf_sum"), "votes", *r6("strength"))
+
+
+@register("a20_smallest_mode", f"SELECT seq, v AS mode FROM (SELECT seq, v, row_number() OVER (PARTITION BY seq ORDER BY n DESC, v) AS r FROM (SELECT seq, CAST(l AS BIGINT) % 17 AS v, count(*) AS n FROM {D} d GROUP BY seq, v) q) z WHERE r = 1")
+def _(spark, d):
+    return fx.detections(spark, d).groupBy("seq").agg(F.mode(L.cast("long") % 17, True).alias("mode"))
+
+
+@register("a11_knee", "WITH p AS (SELECT a.label, a.vec_id, b.vec_id AS o, greatest(0, least(2, 1 - list_sum(list_transform(range(1, 65), lambda i: CAST(a.embedding[i] AS DOUBLE) * b.embedding[i])))) AS d FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id <> b.vec_id), k AS (SELECT label, d FROM (SELECT *, row_number() OVER (PARTITION BY label, vec_id ORDER BY d, o) AS r FROM p) q WHERE r = 3), s AS (SELECT label, d, CAST(row_number() OVER (PARTITION BY label ORDER BY d) - 1 AS DOUBLE) / (count(*) OVER (PARTITION BY label) - 1) AS x, (d - min(d) OVER (PARTITION BY label)) / (max(d) OVER (PARTITION BY label) - min(d) OVER (PARTITION BY label) + 1e-9) AS y FROM k), c AS (SELECT *, abs(x * max(y) OVER (PARTITION BY label) - y) AS far FROM s) SELECT label, round(d, 5) AS eps FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY round(far, 9) DESC, x) AS r FROM c) q WHERE r = 1")
+def _(spark, d):
+    fx.views(spark, d, "embeddings")
+    w = Window.partitionBy("label")
+    k = cluster.neighbour_distance(spark.table("embeddings"), "label")
+    k = k.withColumn("x", (F.row_number().over(w.orderBy("d")) - 1) / (F.count("*").over(w) - 1)).withColumn("y", (F.col("d") - F.min("d").over(w)) / (F.max("d").over(w) - F.min("d").over(w) + 1e-9))
+    far = F.abs(F.col("x") * F.max("y").over(w) - F.col("y"))
+    return k.withColumn("far", far).groupBy("label").agg(F.round(F.max_by("d", F.struct(F.round("far", 9), -F.col("x"))), 5).alias("eps"))
+
+
+FL = f"""(WITH r AS (SELECT seq, track_id, frame, l, w, row_number() OVER (PARTITION BY seq, track_id ORDER BY frame, det_id) AS a, row_number() OVER (PARTITION BY seq, track_id ORDER BY frame DESC, det_id) AS b FROM {TR} t WHERE frame % 20 = track_id % 20)
+SELECT seq, track_id, max(CASE WHEN a = 1 THEN frame END) AS f0, max(CASE WHEN b = 1 THEN frame END) AS f1, bool_or(a = 1 AND l + w / 2 < 150) AS in_left, bool_or(b = 1 AND l + w / 2 < 150) AS out_left FROM r GROUP BY seq, track_id)"""
+
+
+@register("j11_return_side", f"SELECT a.seq, a.track_id AS a, b.track_id AS b, CASE WHEN a.f1 < b.f0 THEN a.out_left = b.in_left WHEN b.f1 < a.f0 THEN b.out_left = a.in_left ELSE TRUE END AS ok FROM {FL} a JOIN {FL} b ON a.seq = b.seq AND a.track_id < b.track_id")
+def _(spark, d):
+    left = L + W / 2 < 150
+    t = fx.tracked(spark, d).where("frame % 20 = track_id % 20").groupBy("seq", "track_id").agg(F.min("frame").alias("f0"), F.max("frame").alias("f1"), F.min_by(left, F.struct("frame", "det_id")).alias("i"), F.max_by(left, F.struct("frame", -F.col("det_id"))).alias("o"))
+    a, b = t.alias("a"), t.alias("b")
+    ok = F.when(F.col("a.f1") < F.col("b.f0"), F.col("a.o") == F.col("b.i")).when(F.col("b.f1") < F.col("a.f0"), F.col("b.o") == F.col("a.i")).otherwise(True)
+    return a.join(b, (F.col("a.seq") == F.col("b.seq")) & (F.col("a.track_id") < F.col("b.track_id"))).select("a.seq", F.col("a.track_id").alias("a"), F.col("b.track_id").alias("b"), ok.alias("ok"))
+
+
+@register("s14_submission", f"SELECT track, CASE WHEN v = 0 THEN -1 ELSE v END AS value FROM (SELECT CAST(det_id AS STRING) AS track, TRY_CAST(number AS INTEGER) % 7 AS v FROM {D} d) q")
+def _(spark, d):
+    a = fx.detections(spark, d).select(F.col("det_id").cast("string").alias("track"), (F.col("number").try_cast("int") % 7).cast("string").alias("label"))
+    return state.submission(a)[0]
+
+
+@register("s16_masks", f"SELECT seq, image_id, count(*) AS n, round(sum(l + t + l + w + t + h), 4) AS total FROM {D} d GROUP BY seq, image_id")
+def _(spark, d):
+    m = state.masks(fx.detections(spark, d))
+    return m.select("seq", "image_id", F.size("boxes").cast("long").alias("n"), F.round(F.aggregate(F.flatten("boxes"), F.lit(0.0), lambda s, x: s + x), 4).alias("total"))
+
+
+@register("s17_summary_table", f"SELECT 'conf' AS block, seq AS metric, printf('%.4f', avg(conf) FILTER (track_id % 2 = 0)) AS even, printf('%.4f', avg(conf) FILTER (track_id % 2 = 1)) AS odd FROM {D} d WHERE track_id IS NOT NULL GROUP BY seq")
+def _(spark, d):
+    m = fx.detections(spark, d).where("track_id IS NOT NULL").groupBy(F.lit("conf").alias("block"), F.col("seq").alias("metric"), F.when(F.col("track_id") % 2 == 0, "even").otherwise("odd").alias("label")).agg(F.avg("conf").alias("value"))
+    return state.summary_table(m, ["even", "odd"])
+
+
+@register("s19_log_patterns", "SELECT p AS pattern, count(*) AS n FROM conversations, (SELECT unnest(['the', 'and', 'thank']) AS p) x WHERE regexp_matches(text, p) GROUP BY p")
+def _(spark, d):
+    fx.views(spark, d, "conversations")
+    return audit.log_failures(spark.table("conversations").select(F.col("text").alias("value")), ("the", "and", "thank"))
+
+
+@register("q6_calibration_check", f"WITH r AS (SELECT *, listed AND score >= 0.5 AS ok FROM ({RANKED}) q), s AS (SELECT seq, last_value(CASE WHEN ok THEN rank END IGNORE NULLS) OVER (PARTITION BY seq ORDER BY rank ROWS UNBOUNDED PRECEDING) AS src FROM r) SELECT seq, round(count(src) / CAST(count(*) AS DOUBLE), 6) AS coverage, CASE WHEN count(src) = 0 THEN 'FAIL' WHEN count(src) / CAST(count(*) AS DOUBLE) < 0.9 THEN 'WARN' ELSE 'PASS' END AS verdict FROM s GROUP BY seq")
+def _(spark, d):
+    return audit.calibration(tracks.carry_forward(fx.frames(spark, d))).select("seq", F.round(F.col("observed")["coverage"], 6).alias("coverage"), "verdict")
+
+
+@register("q9_role_check", f"SELECT seq, count(*) FILTER (role = 'referee') AS refs, count(*) FILTER (role = 'goalkeeper') AS keepers, CASE WHEN count(*) FILTER (role = 'referee') > 3 OR count(*) FILTER (role = 'goalkeeper') > 2 THEN 'WARN' ELSE 'PASS' END AS verdict FROM ({ROLE_SQL}) r GROUP BY seq")
+def _(spark, d):
+    q = audit.role_team(roles.role_team(trajectories(spark, d)))
+    return q.select("seq", F.col("observed")["refs"].cast("long").alias("refs"), F.col("observed")["keepers"].cast("long").alias("keepers"), "verdict")
+
+
+@register("q10_jersey_check", f"WITH e AS (SELECT DISTINCT seq, track_id FROM {D} d WHERE track_id IS NOT NULL AND conf > 0.3), a AS (SELECT DISTINCT seq, track_id FROM {D} d WHERE track_id IS NOT NULL AND number IS NOT NULL AND conf > 0.6) SELECT e.seq, count(*) AS n, count(*) FILTER (a.seq IS NULL) AS missing, CASE WHEN count(*) FILTER (a.seq IS NULL) > 0 THEN 'FAIL' ELSE 'PASS' END AS verdict FROM e LEFT JOIN a ON e.seq = a.seq AND e.track_id = a.track_id GROUP BY e.seq")
+def _(spark, d):
+    t = fx.detections(spark, d).where("track_id IS NOT NULL")
+    e, a = (t.where(c).select("seq", "track_id").distinct() for c in ("conf > 0.3", "number IS NOT NULL AND conf > 0.6"))
+    return audit.jersey(e, a).select("seq", F.col("observed")["n"].cast("long").alias("n"), F.col("observed")["missing"].cast("long").alias("missing"), "verdict")
+
+
+@register("q12_voted_check", f"WITH t AS (SELECT seq, track_id, count(DISTINCT number) AS k FROM {D} d WHERE track_id IS NOT NULL GROUP BY seq, track_id) SELECT seq, count(*) FILTER (k > 1) AS mixed, CASE WHEN count(*) FILTER (k > 1) > 0 THEN 'FAIL' ELSE 'PASS' END AS verdict FROM t GROUP BY seq")
+def _(spark, d):
+    return audit.voted(fx.detections(spark, d), "number", "number").select("seq", F.col("observed")["mixed"].cast("long").alias("mixed"), "verdict")
+
+
+@register("q13_drawable_check", f"SELECT d.seq, count(*) FILTER (px IS NOT NULL AND coalesce(role, '') <> 'referee' AND team IS NULL) AS blank FROM {D} d LEFT JOIN ({ROLE_SQL}) r ON d.seq = r.seq AND d.track_id = r.track_id GROUP BY d.seq")
+def _(spark, d):
+    r = roles.role_team(trajectories(spark, d)).select(F.col("seq").alias("_s"), F.col("track_id").alias("_t"), "role", "team")
+    det = fx.detections(spark, d).join(r, (F.col("seq") == F.col("_s")) & (F.col("track_id") == F.col("_t")), "left")
+    return audit.drawable(det).select("seq", F.col("observed")["blank"].cast("long").alias("blank"))
+
+
+@register("q15_lineage", f"WITH a AS (SELECT DISTINCT seq, track_id FROM {D} d WHERE track_id IS NOT NULL), b AS (SELECT * FROM a WHERE track_id % 5 > 0), c AS (SELECT * FROM b WHERE track_id % 3 > 0) SELECT seq, track_id, 'cache' AS lost_before FROM (SELECT * FROM a EXCEPT SELECT * FROM b) x UNION ALL SELECT seq, track_id, 'detection' FROM (SELECT * FROM b EXCEPT SELECT * FROM c) y")
+def _(spark, d):
+    a = fx.detections(spark, d).where("track_id IS NOT NULL").select("seq", "track_id").distinct()
+    b = a.where("track_id % 5 > 0")
+    c = b.where("track_id % 3 > 0")
+    return audit.lineage(a, b, c, c)
+
+
+@register("q16_sidecar_agreement", f"SELECT seq, track_id FROM ({ROLE_SQL}) r WHERE track_id % 7 = 0 AND role <> 'referee'")
+def _(spark, d):
+    r = roles.role_team(trajectories(spark, d)).select("seq", "track_id", "role", "team")
+    side = r.withColumn("team", F.when((F.col("track_id") % 7 == 0) & F.col("team").isNotNull(), "middle").otherwise(F.col("team")))
+    return audit.agreement(side, r).select("seq", "track_id")
+
+
+@register("q19_slot_collisions", f"SELECT seq, image_id, track_id, count(*) AS n FROM {D} d WHERE track_id IS NOT NULL GROUP BY seq, image_id, track_id HAVING count(*) > 1")
+def _(spark, d):
+    return audit.collisions(fx.detections(spark, d))
