@@ -30,7 +30,7 @@ from touchline.llm.textcore import LOWER, SPACE, chunks
 
 SAMPLE = 1200
 LONGEST = 8192
-FEATURES = 4000
+FEATURES = 600
 ORDERS = (3, 4, 5)
 BITS = 20
 
@@ -70,7 +70,7 @@ def features(data: np.ndarray, offs: np.ndarray, index: np.ndarray | None = None
 
 
 def train(texts: list[str], toxic: np.ndarray, share: float) -> dict:
-    """The model. share: of toxic rows among all labels, to which the bias is moved, as the sample is balanced."""
+    """The model. share: of toxic rows among all labels, the score of every text if nothing can be learned."""
     y = np.where(toxic == 1, 1.0, -1.0)
     flat = {"index": None, "w": np.zeros(1), "b": float(share)}
     if not (y > 0).any() or not (y < 0).any():
@@ -97,10 +97,7 @@ def train(texts: list[str], toxic: np.ndarray, share: float) -> dict:
     index[kept] = np.arange(len(kept))
     f = index[col]
     x = Rows(row[f >= 0], f[f >= 0], (len(y), len(kept)))
-    w, b = fit(x, y, "log", 1e-3, scale=ratio[kept], steps=100)
-    mine = (y > 0).mean()
-    share = min(max(share, 1e-3), 1 - 1e-3)
-    b += np.log(share / (1 - share)) - np.log(mine / (1 - mine))
+    w, b = fit(x, y, "log", 1e-4, scale=ratio[kept], steps=200)
     return {"index": index, "w": w, "b": float(b)}
 
 
