@@ -12,8 +12,6 @@ from touchline.plans import fixtures as fx
 from touchline.plans.queries import FR, POOL, RANKED, ROLE_SQL, TR, TRAJ, D, both_stats, overlap_sql, pred_gt, r6, register, trajectories
 from touchline.sources import state
 
-L, T, W, H = (F.col(c) for c in "ltwh")
-
 # --- predicates and boxes ------------------------------------------------------------------------------
 
 
@@ -24,7 +22,7 @@ def _(spark, d):
 
 @register("p2_ltrb", f"SELECT det_id, l, t, l + w AS r, t + h AS b FROM {D} d")
 def _(spark, d):
-    return fx.detections(spark, d).select("det_id", geo.ltrb(L, T, W, H).alias("x")).select("det_id", "x.*")
+    return fx.detections(spark, d).select("det_id", geo.ltrb(F.col("l"), F.col("t"), F.col("w"), F.col("h")).alias("x")).select("det_id", "x.*")
 
 
 @register("p3_high_confidence", f"SELECT det_id FROM {D} d WHERE conf > 0.6")
@@ -36,7 +34,7 @@ SHIFT = "l * 1.37 - 20.5 AS l, t * 1.21 - 10.25 AS t, w * 0.9 AS w, h * 0.8 AS h
 
 
 def shifted(spark, d) -> DataFrame:
-    return fx.detections(spark, d).select("det_id", (L * 1.37 - 20.5).alias("l"), (T * 1.21 - 10.25).alias("t"), (W * 0.9).alias("w"), (H * 0.8).alias("h"))
+    return fx.detections(spark, d).select("det_id", (F.col("l") * 1.37 - 20.5).alias("l"), (F.col("t") * 1.21 - 10.25).alias("t"), (F.col("w") * 0.9).alias("w"), (F.col("h") * 0.8).alias("h"))
 
 
 def clamp_sql(f: str, least: int) -> str:
@@ -47,28 +45,28 @@ def clamp_sql(f: str, least: int) -> str:
 
 @register("p4_crop_truncated", clamp_sql("CAST(trunc({}) AS INTEGER)", 1))
 def _(spark, d):
-    return shifted(spark, d).select("det_id", geo.crop_truncated(L, T, W, H, 320, 300).alias("x")).select("det_id", "x.*")
+    return shifted(spark, d).select("det_id", geo.crop_truncated(F.col("l"), F.col("t"), F.col("w"), F.col("h"), 320, 300).alias("x")).select("det_id", "x.*")
 
 
 @register("p5_crop_rounded", clamp_sql("CAST(round_even({}, 0) AS INTEGER)", 2))
 def _(spark, d):
-    return shifted(spark, d).select("det_id", geo.crop_rounded(L, T, W, H, 320, 300, 2).alias("x")).select("det_id", "x.*")
+    return shifted(spark, d).select("det_id", geo.crop_rounded(F.col("l"), F.col("t"), F.col("w"), F.col("h"), 320, 300, 2).alias("x")).select("det_id", "x.*")
 
 
 @register("p6_crop_box", clamp_sql("CAST(round_even({}, 0) AS INTEGER)", 1))
 def _(spark, d):
-    return shifted(spark, d).select("det_id", geo.crop_rounded(L, T, W, H, 320, 300).alias("x")).select("det_id", "x.*")
+    return shifted(spark, d).select("det_id", geo.crop_rounded(F.col("l"), F.col("t"), F.col("w"), F.col("h"), 320, 300).alias("x")).select("det_id", "x.*")
 
 
 @register("p7_pad_box", f"SELECT det_id, greatest(0, CAST(round_even(l - w * 0.18, 0) AS INTEGER)) AS x0, greatest(0, CAST(round_even(t - h * 0.18, 0) AS INTEGER)) AS y0, least(320, CAST(round_even(l + w + w * 0.18, 0) AS INTEGER)) AS x1, least(300, CAST(round_even(t + h + h * 0.18, 0) AS INTEGER)) AS y1 FROM {D} d")
 def _(spark, d):
-    return fx.detections(spark, d).select("det_id", geo.pad_box(L, T, W, H, 320, 300).alias("x")).select("det_id", "x.*")
+    return fx.detections(spark, d).select("det_id", geo.pad_box(F.col("l"), F.col("t"), F.col("w"), F.col("h"), 320, 300).alias("x")).select("det_id", "x.*")
 
 
 @register("p8_quad_box", f"SELECT det_id, l AS x0, t - 3 AS y0, l + w AS x1, t + h AS y1, round(CASE WHEN h / sqrt(h * h + 4) * 0 + 2 / sqrt(4 + h * h) <= 1 / sqrt(1 + (h + 3) * (h + 3)) THEN sqrt(4 + h * h) ELSE sqrt(1 + (h + 3) * (h + 3)) END, 6) AS glyph FROM {D} d")
 def _(spark, d):
     # a leaning quadrilateral: the right edge leans by one, the left by two
-    pts = [(L, T), (L + W - 1, T - 3), (L + W, T + H), (L + 2, T + H)]
+    pts = [(F.col("l"), F.col("t")), (F.col("l") + F.col("w") - 1, F.col("t") - 3), (F.col("l") + F.col("w"), F.col("t") + F.col("h")), (F.col("l") + 2, F.col("t") + F.col("h"))]
     quad = F.array(*[F.struct(x.alias("x"), y.alias("y")) for x, y in pts])
     return fx.detections(spark, d).select("det_id", geo.quad_box(quad).alias("b"), F.round(geo.quad_height(quad), 6).alias("glyph")).select("det_id", "b.*", "glyph")
 
@@ -76,7 +74,7 @@ def _(spark, d):
 @register("p9_best_roi", f"SELECT image_id, det_id, floor(l - 2) AS x0, floor(t - 2) AS y0, ceil(l + w + 2) AS x1, ceil(t + h + 2) AS y1 FROM (SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY conf DESC, det_id) AS r FROM {D} d WHERE conf >= 0.3) q WHERE r = 1 AND w >= 8 AND h >= 8")
 def _(spark, d):
     best = fx.detections(spark, d).where("conf >= 0.3").groupBy("image_id").agg(F.max_by(F.struct("det_id", "l", "t", "w", "h"), F.struct("conf", -F.col("det_id"))).alias("x")).select("image_id", "x.*").where("w >= 8 AND h >= 8")
-    return best.select("image_id", "det_id", *[c.cast("double").alias(n) for n, c in (("x0", F.floor(L - 2)), ("y0", F.floor(T - 2)), ("x1", F.ceil(L + W + 2)), ("y1", F.ceil(T + H + 2)))])
+    return best.select("image_id", "det_id", *[c.cast("double").alias(n) for n, c in (("x0", F.floor(F.col("l") - 2)), ("y0", F.floor(F.col("t") - 2)), ("x1", F.ceil(F.col("l") + F.col("w") + 2)), ("y1", F.ceil(F.col("t") + F.col("h") + 2)))])
 
 
 @register("p10_top_score", f"SELECT image_id, coalesce(max(CASE WHEN conf >= 0.8 THEN conf END), 0) AS top FROM {D} d GROUP BY image_id")
@@ -86,7 +84,7 @@ def _(spark, d):
 
 @register("p11_letterbox", f"SELECT det_id, CAST(round_even(w * s, 0) AS INTEGER) AS w, CAST(round_even(h * s, 0) AS INTEGER) AS h, CAST(floor((128 - CAST(round_even(w * s, 0) AS INTEGER)) / 2.0) AS INTEGER) AS \"left\", CAST(floor((64 - CAST(round_even(h * s, 0) AS INTEGER)) / 2.0) AS INTEGER) AS top FROM (SELECT *, least(128 / w, 64 / h) AS s FROM {D} d) q")
 def _(spark, d):
-    return fx.detections(spark, d).select("det_id", geo.letterbox(W, H, 128, 64).alias("x")).select("det_id", "x.w", "x.h", "x.left", "x.top")
+    return fx.detections(spark, d).select("det_id", geo.letterbox(F.col("w"), F.col("h"), 128, 64).alias("x")).select("det_id", "x.w", "x.h", "x.left", "x.top")
 
 
 @register("p12_legible_tracks", f"SELECT seq, track_id, count(CASE WHEN conf > 0.5 THEN 1 END) > 3 AS legible FROM {D} d WHERE track_id IS NOT NULL GROUP BY seq, track_id")
@@ -106,7 +104,7 @@ def _(spark, d):
 
 @register("p30_edge_side", f"SELECT det_id, CASE WHEN l + w / 2 < 150 THEN 'left' ELSE 'right' END AS side FROM {D} d")
 def _(spark, d):
-    return fx.detections(spark, d).select("det_id", geo.edge_side(L, W, 300).alias("side"))
+    return fx.detections(spark, d).select("det_id", geo.edge_side(F.col("l"), F.col("w"), 300).alias("side"))
 
 
 # --- cameras ----------------------------------------------------------------------------------------------
@@ -143,7 +141,7 @@ def _(spark, d):
 SELECT det_id, {", ".join(f"round({a}_bottom_{n}, 4) AS {a}_bottom_{n}" for n in ("left", "right", "middle") for a in "xy")} FROM g WHERE abs(x_bottom_middle) < 1000 AND abs(y_bottom_middle) < 1000""")
 def _(spark, d):
     cams = cameras(fx.frames(spark, d)).select("image_id", "cam")
-    p = fx.detections(spark, d).join(cams, "image_id").select("det_id", geo.bbox_pitch(F.col("cam"), L * 6, T * 3, W * 6, H * 3).alias("p")).where("p IS NOT NULL").select("det_id", "p.*")
+    p = fx.detections(spark, d).join(cams, "image_id").select("det_id", geo.bbox_pitch(F.col("cam"), F.col("l") * 6, F.col("t") * 3, F.col("w") * 6, F.col("h") * 3).alias("p")).where("p IS NOT NULL").select("det_id", "p.*")
     names = [f"{a}_bottom_{n}" for n in ("left", "right", "middle") for a in "xy"]
     return p.where("abs(x_bottom_middle) < 1000 AND abs(y_bottom_middle) < 1000").select("det_id", *[F.round(c, 4).alias(c) for c in names])
 
@@ -181,7 +179,7 @@ def pt(x, y):
 @register("p28_scaled_lines", f"SELECT det_id, round(CASE WHEN det_id % 2 = 0 THEN l / 400 * 960 ELSE l * 0.5 END, 6) AS x, round(CASE WHEN det_id % 2 = 0 THEN t / 400 * 540 ELSE t * 0.5 END, 6) AS y FROM {D} d WHERE greatest(l, t) > 1.5")
 def _(spark, d):
     k = F.when(F.col("det_id") % 2 == 0, 400.0).otherwise(1.0)
-    lines = F.create_map(F.lit("a"), F.array(pt(L / k, T / k)))
+    lines = F.create_map(F.lit("a"), F.array(pt(F.col("l") / k, F.col("t") / k)))
     s = geo.scaled_lines(lines, 960.0, 540.0)
     return fx.detections(spark, d).where("greatest(l, t) > 1.5").select("det_id", F.get(s["a"], F.lit(0)).alias("p")).select("det_id", *[F.round(f"p.{c}", 6).alias(c) for c in "xy"])
 
@@ -196,20 +194,20 @@ SEG = "sqrt(power({x} - ({a} + k{i} * ({c} - {a})), 2) + power({y} - ({b} + k{i}
 )
 def _(spark, d):
     line = F.array(*[pt(F.lit(float(x)), F.lit(float(y))) for x, y in ((50, 60), (150, 100), (200, 250))])
-    return fx.detections(spark, d).select("det_id", F.round(geo.polyline_distance(L, T, line), 6).alias("d"))
+    return fx.detections(spark, d).select("det_id", F.round(geo.polyline_distance(F.col("l"), F.col("t"), line), 6).alias("d"))
 
 
 @register("a30_extremities", f"SELECT det_id, round(CASE WHEN flip THEN b1 ELSE a1 END, 6) AS d1, round(CASE WHEN flip THEN b2 ELSE a2 END, 6) AS d2, CAST((CASE WHEN flip THEN b1 ELSE a1 END < 60) AS INTEGER) + CAST((CASE WHEN flip THEN b2 ELSE a2 END < 60) AS INTEGER) AS tp FROM (SELECT *, b1 <= a1 AND b2 <= a2 AS flip FROM (SELECT det_id, sqrt(power(l - 50, 2) + power(t - 60, 2)) AS a1, sqrt(power(l + w - 200, 2) + power(t + h - 250, 2)) AS a2, sqrt(power(l - 200, 2) + power(t - 250, 2)) AS b1, sqrt(power(l + w - 50, 2) + power(t + h - 60, 2)) AS b2 FROM {D} d) q) z")
 def _(spark, d):
     gt = F.array(pt(F.lit(50.0), F.lit(60.0)), pt(F.lit(200.0), F.lit(250.0)))
-    e = geo.extremity_distances(F.array(pt(L, T), pt(L + W, T + H)), gt)
+    e = geo.extremity_distances(F.array(pt(F.col("l"), F.col("t")), pt(F.col("l") + F.col("w"), F.col("t") + F.col("h"))), gt)
     out = fx.detections(spark, d).select("det_id", e.alias("e"))
     return out.select("det_id", F.round(F.get("e", F.lit(0)), 6).alias("d1"), F.round(F.get("e", F.lit(1)), 6).alias("d2"), F.size(F.filter("e", lambda x: x < 60)).alias("tp"))
 
 
 @register("a29_line_confusion", f"SELECT image_id, count(*) FILTER (p AND g AND far = 0) AS tp, count(*) FILTER (p AND (NOT g OR far > 0)) AS fp, count(*) FILTER (NOT p) AS fn FROM (SELECT image_id, class, bool_or(conf > 0.3) AS p, bool_or(conf < 0.8) AS g, count(*) FILTER (w >= 45) AS far FROM (SELECT *, l % 3 AS class FROM {D} d) q GROUP BY image_id, class) z WHERE p OR g GROUP BY image_id")
 def _(spark, d):
-    lines = fx.detections(spark, d).groupBy("image_id", (L % 3).alias("class")).agg(F.bool_or(F.col("conf") > 0.3).alias("in_pred"), F.bool_or(F.col("conf") < 0.8).alias("in_gt"), F.collect_list("w").alias("dists"))
+    lines = fx.detections(spark, d).groupBy("image_id", (F.col("l") % 3).alias("class")).agg(F.bool_or(F.col("conf") > 0.3).alias("in_pred"), F.bool_or(F.col("conf") < 0.8).alias("in_gt"), F.collect_list("w").alias("dists"))
     return metrics.confusion(lines.where("in_pred OR in_gt"), 45.0)
 
 
@@ -309,7 +307,7 @@ def _(spark, d):
 
 @register("j20_line_classes", f"SELECT image_id, count(*) FILTER (p AND g) AS common, count(*) FILTER (p AND NOT g) AS only_pred, count(*) FILTER (NOT p AND g) AS only_gt FROM (SELECT coalesce(a.image_id, b.image_id) AS image_id, a.image_id IS NOT NULL AS p, b.image_id IS NOT NULL AS g FROM (SELECT DISTINCT image_id, l % 5 AS c FROM {D} d WHERE conf > 0.4) a FULL JOIN (SELECT DISTINCT image_id, l % 5 AS c FROM {D} d WHERE conf < 0.7) b ON a.image_id = b.image_id AND a.c = b.c) q GROUP BY image_id")
 def _(spark, d):
-    det = fx.detections(spark, d).withColumn("c", L % 5)
+    det = fx.detections(spark, d).withColumn("c", F.col("l") % 5)
     a = det.where("conf > 0.4").select("image_id", "c").distinct().withColumn("p", F.lit(True))
     b = det.where("conf < 0.7").select("image_id", "c").distinct().withColumn("g", F.lit(True))
     p, g = F.col("p").isNotNull(), F.col("g").isNotNull()
@@ -472,7 +470,7 @@ def _(spark, d):
 
 @register("c15_ctc_and_end", f"SELECT image_id, array_to_string(list_filter(list_transform(range(1, len(x) + 1), lambda i: CASE WHEN i = 1 OR x[i] <> x[i - 1] THEN x[i] END), lambda v: v IS NOT NULL AND v <> 0), ',') AS ctc, array_to_string(CASE WHEN list_position(x, 2) > 0 THEN x[1:list_position(x, 2) - 1] ELSE x END, ',') AS until_end FROM (SELECT image_id, list(c ORDER BY det_id) AS x FROM (SELECT image_id, det_id, CAST(l % 3 AS BIGINT) AS c FROM {D} d) q GROUP BY image_id) z")
 def _(spark, d):
-    x = F.transform(F.array_sort(F.collect_list(F.struct("det_id", (L % 3).cast("long").alias("c")))), lambda r: r["c"])
+    x = F.transform(F.array_sort(F.collect_list(F.struct("det_id", (F.col("l") % 3).cast("long").alias("c")))), lambda r: r["c"])
     g = fx.detections(spark, d).groupBy("image_id").agg(x.alias("x"))
     return g.select("image_id", F.array_join(text.ctc_collapse(F.col("x")), ",").alias("ctc"), F.array_join(text.until_end(F.col("x"), 2), ",").alias("until_end"))
 
@@ -623,7 +621,7 @@ def _(spark, d):
 
 @register("a20_smallest_mode", f"SELECT seq, v AS mode FROM (SELECT seq, v, row_number() OVER (PARTITION BY seq ORDER BY n DESC, v) AS r FROM (SELECT seq, CAST(l AS BIGINT) % 17 AS v, count(*) AS n FROM {D} d GROUP BY seq, v) q) z WHERE r = 1")
 def _(spark, d):
-    return fx.detections(spark, d).groupBy("seq").agg(F.mode(L.cast("long") % 17, True).alias("mode"))
+    return fx.detections(spark, d).groupBy("seq").agg(F.mode(F.col("l").cast("long") % 17, True).alias("mode"))
 
 
 @register("a11_knee", "WITH p AS (SELECT a.label, a.vec_id, b.vec_id AS o, greatest(0, least(2, 1 - list_sum(list_transform(range(1, 65), lambda i: CAST(a.embedding[i] AS DOUBLE) * b.embedding[i])))) AS d FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id <> b.vec_id), k AS (SELECT label, d FROM (SELECT *, row_number() OVER (PARTITION BY label, vec_id ORDER BY d, o) AS r FROM p) q WHERE r = 3), s AS (SELECT label, d, CAST(row_number() OVER (PARTITION BY label ORDER BY d) - 1 AS DOUBLE) / (count(*) OVER (PARTITION BY label) - 1) AS x, (d - min(d) OVER (PARTITION BY label)) / (max(d) OVER (PARTITION BY label) - min(d) OVER (PARTITION BY label) + 1e-9) AS y FROM k), c AS (SELECT *, abs(x * max(y) OVER (PARTITION BY label) - y) AS far FROM s) SELECT label, round(d, 5) AS eps FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY round(far, 9) DESC, x) AS r FROM c) q WHERE r = 1")
@@ -642,7 +640,7 @@ SELECT seq, track_id, max(CASE WHEN a = 1 THEN frame END) AS f0, max(CASE WHEN b
 
 @register("j11_return_side", f"SELECT a.seq, a.track_id AS a, b.track_id AS b, CASE WHEN a.f1 < b.f0 THEN a.out_left = b.in_left WHEN b.f1 < a.f0 THEN b.out_left = a.in_left ELSE TRUE END AS ok FROM {FL} a JOIN {FL} b ON a.seq = b.seq AND a.track_id < b.track_id")
 def _(spark, d):
-    left = L + W / 2 < 150
+    left = F.col("l") + F.col("w") / 2 < 150
     t = fx.tracked(spark, d).where("frame % 20 = track_id % 20").groupBy("seq", "track_id").agg(F.min("frame").alias("f0"), F.max("frame").alias("f1"), F.min_by(left, F.struct("frame", "det_id")).alias("i"), F.max_by(left, F.struct("frame", -F.col("det_id"))).alias("o"))
     a, b = t.alias("a"), t.alias("b")
     ok = F.when(F.col("a.f1") < F.col("b.f0"), F.col("a.o") == F.col("b.i")).when(F.col("b.f1") < F.col("a.f0"), F.col("b.o") == F.col("a.i")).otherwise(True)
