@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from touchline.functions.text import basename, grandparent, label, namespaced
 
+# Name of the label file of a sequence (fixed value).
 FILE = "Labels-GameState.json"
 SCHEMA = """info struct<num_tracklets: string>,
 images array<struct<image_id: string, id: string, file_name: string>>,
