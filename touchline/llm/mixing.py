@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from touchline.llm.runtime import checkpointed
+from touchline.llm.runtime import checkpointed, text_key
 from touchline.llm.textcore import chunks, word_spans
 
 BUCKET = 4000
@@ -38,12 +38,14 @@ def _sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n = np.zeros(b.num_rows, np.int64)
         for i, j, data, offs in chunks(b["text"]):
             n[i:j] = np.bincount(word_spans(data, offs)[2], minlength=j - i)
-        yield pa.RecordBatch.from_arrays([b["doc_id"], b["source"], pa.array(n)], ["doc_id", "source", "size"])
+        keep = [c for c in b.schema.names if c != "text"]
+        yield pa.RecordBatch.from_arrays([*(b[c] for c in keep), pa.array(n)], [*keep, "size"])
 
 
-def sizes(docs: DataFrame) -> DataFrame:
-    """doc_id, source and number of words."""
-    return docs.select("doc_id", F.col("source").cast("string"), F.col("text").cast("string")).mapInArrow(_sizes, "doc_id long, source string, size long")
+def sizes(docs: DataFrame, keyed: bool = False) -> DataFrame:
+    """doc_id, source and number of words, and with ``keyed`` the text's key h."""
+    more = [text_key().alias("h")] if keyed else []
+    return docs.select("doc_id", F.col("source").cast("string"), F.col("text").cast("string"), *more).mapInArrow(_sizes, f"doc_id long, source string, {'h binary, ' if keyed else ''}size long")
 
 
 def targets(per_source: DataFrame) -> DataFrame:
@@ -66,11 +68,11 @@ def targets(per_source: DataFrame) -> DataFrame:
     return w.select(*per_source.columns, "sid", "weight", F.least("cap", F.col("weight") * F.coalesce("level", F.lit(0.0))).alias("target"))
 
 
-def mix(docs: DataFrame, seed: int = 1) -> DataFrame:
-    """One row per document: doc_id, source, size, source_size, target, taken (words the mix takes, repeats counted)."""
+def mix(docs: DataFrame, seed: int = 1, keyed: bool = False) -> DataFrame:
+    """One row per document: doc_id, source, size, source_size, target, taken (words the mix takes, repeats counted), and with ``keyed`` h."""
     # a key that any engine can compute: the first 15 hex digits of an MD5
     key = F.conv(F.left(F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("doc_id").cast("string"))), F.lit(15)), 16, 10).cast("long")
-    sized = checkpointed(sizes(docs).withColumn("k", key))
+    sized = checkpointed(sizes(docs, keyed).withColumn("k", key))
     per = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("docs"))
     goal = targets(per).withColumn("width", F.ceil((1 << KEY_BITS) / F.ceil(F.col("docs") / BUCKET)).cast("long"))
     goal = checkpointed(goal.withColumnRenamed("source", "s"))
@@ -81,26 +83,29 @@ def mix(docs: DataFrame, seed: int = 1) -> DataFrame:
     sums = rows.groupBy("sid", "b").agg(F.sum("size").alias("in_bucket"))
     before = F.sum("in_bucket").over(Window.partitionBy("sid").orderBy("b").rowsBetween(Window.unboundedPreceding, 0)) - F.col("in_bucket")
     sums = sums.select("sid", "b", before.alias("before"))
-    inside = F.sum("size").over(Window.partitionBy("sid", "b").orderBy("k", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)) - F.col("size")
+    more = ["h"] if keyed else []
+    inside = F.sum("size").over(Window.partitionBy("sid", "b").orderBy("k", "doc_id", "size", *more).rowsBetween(Window.unboundedPreceding, 0)) - F.col("size")
     rows = rows.withColumn("inside", inside).join(sums, ["sid", "b"])
     budget = F.round("target").cast("long")
     epochs = F.when(F.col("source_size") > 0, F.floor(budget / F.greatest("source_size", F.lit(1)))).otherwise(0)
     rows = rows.withColumn("epochs", epochs).withColumn("left", budget - F.col("epochs") * F.col("source_size") - F.col("before") - F.col("inside"))
     part = F.least(F.greatest("left", F.lit(0)), "size")
-    return rows.select("doc_id", "source", "size", "source_size", "target", (F.col("epochs") * F.col("size") + part).cast("long").alias("taken"))
+    return rows.select("doc_id", "source", "size", "source_size", "target", (F.col("epochs") * F.col("size") + part).cast("long").alias("taken"), *more)
 
 
 def mixed(docs: DataFrame, seed: int = 1) -> DataFrame:
     """The mix as documents: each as often as it is taken, and one per source cut after its last taken word. Repeats keep their doc_id; n_chars follows a cut."""
-    took = mix(docs, seed).where("taken > 0").select(F.col("doc_id").alias("_d"), F.col("size").alias("_n"), F.col("taken").alias("_t"))
-    if docs.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").limit(1).count():
-        # rows with one doc_id are paired with their shares in the order of their sizes
-        took = took.withColumn("_i", F.row_number().over(Window.partitionBy("_d").orderBy("_n", "_t")))
-        n = F.size(F.expr(r"filter(split(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), x -> x <> '')"))
-        w = Window.partitionBy("doc_id").orderBy("_m")
-        rows = docs.withColumn("_m", n).where("_m > 0").withColumn("_j", F.row_number().over(w)).join(took, (F.col("doc_id") == F.col("_d")) & (F.col("_j") == F.col("_i")))
-    else:
-        rows = docs.join(took, F.col("doc_id") == F.col("_d"))
+    share = ["doc_id", "source", "h"]
+    took = checkpointed(mix(docs, seed, keyed=True).select(*share, "size", "taken"))
+    rows = docs.withColumn("_s", F.col("source").cast("string")).withColumn("_k", text_key())
+    on = F.col("doc_id").eqNullSafe(F.col("_d")) & F.col("_s").eqNullSafe(F.col("_o")) & F.col("_k").eqNullSafe(F.col("_h"))
+    if took.where("size > 0").groupBy(*share).agg(F.count("*").alias("n")).where("n > 1").limit(1).count():
+        # equal texts with one doc_id and source are paired with their shares by number, shares of nothing included
+        took = took.withColumn("_i", F.row_number().over(Window.partitionBy(*share).orderBy("taken")))
+        rows = rows.withColumn("_j", F.row_number().over(Window.partitionBy("doc_id", "_s", "_k").orderBy("doc_id")))
+        on &= F.col("_i") == F.col("_j")
+    names = {"doc_id": "_d", "source": "_o", "h": "_h", "size": "_n", "taken": "_t"}
+    rows = rows.join(took.where("taken > 0").withColumnsRenamed(names), on)
     whole = F.floor(F.col("_t") / F.col("_n")).cast("int")
     rest = (F.col("_t") % F.col("_n")).cast("int")
     rows = rows.withColumn("_w", F.explode(F.concat(F.array_repeat(F.lit(0), whole), F.when(rest > 0, F.array(rest)).otherwise(F.expr("array()").cast("array<int>")))))

@@ -26,6 +26,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def text_key() -> Column:
+    """The MD5 of the text: it tells rows that share a doc_id, or have none, apart. Null for a null text."""
+    return F.unhex(F.md5(F.col("text").cast("string")))
+
+
 def crc_mod(key: Column, n: int) -> Column:
     """crc32 of the key as text, modulo n."""
     return F.crc32(key.cast("string").cast("binary")) % F.lit(n)

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from touchline.llm.components import connected
-from touchline.llm.runtime import checkpointed
+from touchline.llm.runtime import checkpointed, text_key
 from touchline.llm.textcore import LOWER, SPACE, U, chunks, ranges, word_spans
 
 RADIUS = 4
@@ -86,7 +86,8 @@ def _fingerprint(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         f = np.zeros(b.num_rows, U)
         for i, j, data, offs in chunks(b["text"], 1 << 20):
             f[i:j] = fingerprints(data, offs)
-        yield pa.RecordBatch.from_arrays([b["doc_id"], pa.array(f.view(np.int64))], ["doc_id", "fingerprint"])
+        keep = [c for c in b.schema.names if c != "text"]
+        yield pa.RecordBatch.from_arrays([*(b[c] for c in keep), pa.array(f.view(np.int64))], [*keep, "fingerprint"])
 
 
 def part(f: np.ndarray, k: int) -> np.ndarray:
@@ -232,13 +233,18 @@ def link(points: DataFrame, n: int) -> DataFrame:
     return dealt.mapInArrow(_links, "a long, b long")
 
 
+def labelled(points: DataFrame) -> DataFrame:
+    """points (a row per fingerprint fp) with node (null: linked to nothing) and the least fingerprint of the group as label."""
+    labels = connected(link(points.select("fp"), points.count()))
+    return points.join(labels, F.col("fp") == F.col("node"), "left").withColumn("label", F.coalesce("label", "fp"))
+
+
 def components(docs: DataFrame) -> DataFrame:
     """doc_id, fingerprint (its 64 bits as a long) and component_id for each row of docs."""
     kind = docs.schema["doc_id"].dataType.simpleString()
     fps = checkpointed(docs.select("doc_id", F.col("text").cast("string")).mapInArrow(_fingerprint, f"doc_id {kind}, fingerprint long"))
     points = checkpointed(fps.groupBy(F.col("fingerprint").alias("fp")).agg(F.min("doc_id").alias("least")))
-    labels = connected(link(points.select("fp"), points.count()))
-    own = points.join(labels, F.col("fp") == F.col("node"), "left").withColumn("label", F.coalesce("label", "fp"))
+    own = labelled(points)
     least = own.groupBy("label").agg(F.min("least").alias("component_id"))
     group = own.where("node is not null").select("fp", "label").join(least, "label").select("fp", "component_id")
     named = points.select("fp", "least").join(group, "fp", "left").select(F.col("fp").alias("fingerprint"), F.coalesce("component_id", "least").alias("component_id"))
@@ -246,6 +252,11 @@ def components(docs: DataFrame) -> DataFrame:
 
 
 def first_of_each(docs: DataFrame) -> DataFrame:
-    """One document of each component, the one with the least doc_id; all columns stay."""
-    keep = components(docs).where("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(keep, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
+    """One document of each component, the one with the least doc_id, null last, and of those the one with the least text hash; all columns stay."""
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    fps = docs.select("doc_id", F.col("text").cast("string"), text_key().alias("h")).mapInArrow(_fingerprint, f"doc_id {kind}, h binary, fingerprint long")
+    first = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("d"), F.col("h").isNull().alias("blank"), "h")
+    points = checkpointed(fps.groupBy(F.col("fingerprint").alias("fp")).agg(F.min(first).alias("first")))
+    keep = labelled(points).groupBy("label").agg(F.min("first").alias("first")).select(F.col("first.d").alias("_d"), F.col("first.h").alias("_h"))
+    kept = docs.join(keep, F.col("doc_id").eqNullSafe(F.col("_d")) & text_key().eqNullSafe(F.col("_h")), "left_semi")
+    return kept.dropDuplicates(["doc_id", "text"])
