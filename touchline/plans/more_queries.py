@@ -333,6 +333,14 @@ def _(spark, d):
     return a.intersect(b).select(F.lit("both").alias("kind"), "track_id").unionByName(a.subtract(b).select(F.lit("first").alias("kind"), "track_id"))
 
 
+# all sequences; the tracks of a fixture column have no low box
+@register("o5_set_operations_whole", f"WITH d AS (SELECT seq, track_id, conf, CASE WHEN track_id % 5 = 0 THEN conf + 1 ELSE conf END AS low FROM {D} d) SELECT 'both' AS kind, seq, track_id FROM (SELECT seq, track_id FROM d WHERE conf > 0.9 INTERSECT SELECT seq, track_id FROM d WHERE low < 0.1) a UNION ALL SELECT 'first', seq, track_id FROM (SELECT seq, track_id FROM d WHERE conf > 0.9 EXCEPT SELECT seq, track_id FROM d WHERE low < 0.1) b")
+def _(spark, d):
+    det = fx.detections(spark, d).withColumn("low", F.when(F.col("track_id") % 5 == 0, F.col("conf") + 1).otherwise(F.col("conf")))
+    a, b = det.where("conf > 0.9").select("seq", "track_id"), det.where("low < 0.1").select("seq", "track_id")
+    return a.intersect(b).select(F.lit("both").alias("kind"), "seq", "track_id").unionByName(a.subtract(b).select(F.lit("first").alias("kind"), "seq", "track_id"))
+
+
 @register("o6_stratified_sample")
 def _(spark, d):
     det = overlap.crop_filter(fx.detections(spark, d)).where("track_id IS NOT NULL")
@@ -343,14 +351,25 @@ def _(spark, d):
 # --- aggregates, windows ---------------------------------------------------------------------------------------
 
 
-@register("a5_median_with_fallback", f"WITH f AS ({overlap_sql('b.track_id IS NOT NULL')}), r AS (SELECT seq, track_id, det_id, crop_single, l, sum(CAST(crop_single AS INTEGER)) OVER (PARTITION BY seq, track_id) AS ns, row_number() OVER (PARTITION BY seq, track_id ORDER BY crop_rt, det_id) AS i FROM f JOIN {D} d USING (det_id) WHERE track_id IS NOT NULL AND det_id % 5 = 0) SELECT seq, track_id, median(l) AS m, max(ns) < 3 AS fallback FROM r WHERE CASE WHEN ns >= 3 THEN crop_single ELSE i <= 3 END GROUP BY seq, track_id")
-def _(spark, d):
+def median_with_fallback(r):
     w = Window.partitionBy("seq", "track_id")
-    r = overlap.crop_filter(fx.detections(spark, d)).where("track_id IS NOT NULL AND det_id % 5 = 0").withColumn("rr", F.round("crop_rt", 6))
+    r = r.withColumn("rr", F.round("crop_rt", 6))
     r = r.withColumn("ns", F.sum(F.col("crop_single").cast("int")).over(w)).withColumn("i", F.row_number().over(w.orderBy("rr", "det_id")))
     return r.where(F.when(F.col("ns") >= 3, F.col("crop_single")).otherwise(F.col("i") <= 3)).groupBy("seq", "track_id").agg(F.median("l").alias("m"), (F.max("ns") < 3).alias("fallback"))
 
 
+@register("a5_median_with_fallback", f"WITH f AS ({overlap_sql('b.track_id IS NOT NULL')}), r AS (SELECT seq, track_id, det_id, crop_single, l, sum(CAST(crop_single AS INTEGER)) OVER (PARTITION BY seq, track_id) AS ns, row_number() OVER (PARTITION BY seq, track_id ORDER BY crop_rt, det_id) AS i FROM f JOIN {D} d USING (det_id) WHERE track_id IS NOT NULL AND det_id % 5 = 0) SELECT seq, track_id, median(l) AS m, max(ns) < 3 AS fallback FROM r WHERE CASE WHEN ns >= 3 THEN crop_single ELSE i <= 3 END GROUP BY seq, track_id")
+def _(spark, d):
+    return median_with_fallback(overlap.crop_filter(fx.detections(spark, d)).where("track_id IS NOT NULL AND det_id % 5 = 0"))
+
+
+# every tracked box; the tracks of a fixture column have no single crops and fall back
+@register("a5_median_with_fallback_whole", f"WITH f AS ({overlap_sql('b.track_id IS NOT NULL')}), s AS (SELECT seq, track_id, det_id, crop_rt, l, crop_single AND track_id % 8 > 0 AS single FROM f JOIN {D} d USING (det_id) WHERE track_id IS NOT NULL), r AS (SELECT *, sum(CAST(single AS INTEGER)) OVER (PARTITION BY seq, track_id) AS ns, row_number() OVER (PARTITION BY seq, track_id ORDER BY crop_rt, det_id) AS i FROM s) SELECT seq, track_id, median(l) AS m, max(ns) < 3 AS fallback FROM r WHERE CASE WHEN ns >= 3 THEN single ELSE i <= 3 END GROUP BY seq, track_id")
+def _(spark, d):
+    r = overlap.crop_filter(fx.detections(spark, d)).where("track_id IS NOT NULL")
+    return median_with_fallback(r.withColumn("crop_single", F.col("crop_single") & (F.col("track_id") % 8 > 0)))
+
+
 @register("a7_mergeable_centroid", f"SELECT seq, round(sum(s) / sum(n), 6) AS mean FROM (SELECT seq, track_id, sum(l) AS s, count(*) AS n FROM {D} d GROUP BY seq, track_id) q GROUP BY seq")
 def _(spark, d):
     parts = fx.detections(spark, d).groupBy("seq", "track_id").agg(F.sum("l").alias("s"), F.count("*").alias("n"))
@@ -588,7 +607,7 @@ def _(spark, d):
     from touchline.functions.labels import prepared
 
     fx.views(spark, d, "documents")
-    words = spark.table("documents").select("doc_id", F.get(F.split("text", " "), F.lit(0)).alias("w"))
+    words = spark.table("documents").select("doc_id", F.explode(F.split("text", r"\s+")).alias("w"))
     return words.select("doc_id", prepared("abcdefghijklmnopqrstuvwxyz0123456789", 25)(F.col("w")).alias("label")).where("label IS NOT NULL")
 
 
@@ -638,15 +657,32 @@ FL = f"""(WITH r AS (SELECT seq, track_id, frame, l, w, row_number() OVER (PARTI
 SELECT seq, track_id, max(CASE WHEN a = 1 THEN frame END) AS f0, max(CASE WHEN b = 1 THEN frame END) AS f1, bool_or(a = 1 AND l + w / 2 < 150) AS in_left, bool_or(b = 1 AND l + w / 2 < 150) AS out_left FROM r GROUP BY seq, track_id)"""
 
 
-@register("j11_return_side", f"SELECT a.seq, a.track_id AS a, b.track_id AS b, CASE WHEN a.f1 < b.f0 THEN a.out_left = b.in_left WHEN b.f1 < a.f0 THEN b.out_left = a.in_left ELSE TRUE END AS ok FROM {FL} a JOIN {FL} b ON a.seq = b.seq AND a.track_id < b.track_id")
-def _(spark, d):
+def return_side(t):
     left = F.col("l") + F.col("w") / 2 < 150
-    t = fx.tracked(spark, d).where("frame % 20 = track_id % 20").groupBy("seq", "track_id").agg(F.min("frame").alias("f0"), F.max("frame").alias("f1"), F.min_by(left, F.struct("frame", "det_id")).alias("i"), F.max_by(left, F.struct("frame", -F.col("det_id"))).alias("o"))
+    t = t.groupBy("seq", "track_id").agg(F.min("frame").alias("f0"), F.max("frame").alias("f1"), F.min_by(left, F.struct("frame", "det_id")).alias("i"), F.max_by(left, F.struct("frame", -F.col("det_id"))).alias("o"))
     a, b = t.alias("a"), t.alias("b")
     ok = F.when(F.col("a.f1") < F.col("b.f0"), F.col("a.o") == F.col("b.i")).when(F.col("b.f1") < F.col("a.f0"), F.col("b.o") == F.col("a.i")).otherwise(True)
     return a.join(b, (F.col("a.seq") == F.col("b.seq")) & (F.col("a.track_id") < F.col("b.track_id"))).select("a.seq", F.col("a.track_id").alias("a"), F.col("b.track_id").alias("b"), ok.alias("ok"))
 
 
+@register("j11_return_side", f"SELECT a.seq, a.track_id AS a, b.track_id AS b, CASE WHEN a.f1 < b.f0 THEN a.out_left = b.in_left WHEN b.f1 < a.f0 THEN b.out_left = a.in_left ELSE TRUE END AS ok FROM {FL} a JOIN {FL} b ON a.seq = b.seq AND a.track_id < b.track_id")
+def _(spark, d):
+    return return_side(fx.tracked(spark, d).where("frame % 20 = track_id % 20"))
+
+
+# every tracked box; a fixture column cuts each track into the quarters of its sequence, so that some end before others begin
+FW = f"""(WITH q AS (SELECT seq, frame, det_id, l, w, track_id * 4 + 4 * frame // (max(frame) OVER (PARTITION BY seq) + 1) AS track_id FROM {TR} t),
+r AS (SELECT *, row_number() OVER (PARTITION BY seq, track_id ORDER BY frame, det_id) AS a, row_number() OVER (PARTITION BY seq, track_id ORDER BY frame DESC, det_id) AS b FROM q)
+SELECT seq, track_id, max(CASE WHEN a = 1 THEN frame END) AS f0, max(CASE WHEN b = 1 THEN frame END) AS f1, bool_or(a = 1 AND l + w / 2 < 150) AS in_left, bool_or(b = 1 AND l + w / 2 < 150) AS out_left FROM r GROUP BY seq, track_id)"""
+
+
+@register("j11_return_side_whole", f"SELECT a.seq, a.track_id AS a, b.track_id AS b, CASE WHEN a.f1 < b.f0 THEN a.out_left = b.in_left WHEN b.f1 < a.f0 THEN b.out_left = a.in_left ELSE TRUE END AS ok FROM {FW} a JOIN {FW} b ON a.seq = b.seq AND a.track_id < b.track_id")
+def _(spark, d):
+    t = fx.tracked(spark, d)
+    last = t.groupBy("seq").agg(F.max("frame").alias("last"))
+    return return_side(t.join(last, "seq").withColumn("track_id", F.expr("track_id * 4 + 4 * frame DIV (last + 1)")))
+
+
 @register("s14_submission", f"SELECT track, CASE WHEN v = 0 THEN -1 ELSE v END AS value FROM (SELECT CAST(det_id AS STRING) AS track, TRY_CAST(number AS INTEGER) % 7 AS v FROM {D} d) q")
 def _(spark, d):
     a = fx.detections(spark, d).select(F.col("det_id").cast("string").alias("track"), (F.col("number").try_cast("int") % 7).cast("string").alias("label"))
