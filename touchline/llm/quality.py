@@ -6,9 +6,13 @@ documents than the limit is boilerplate. A document that loses more than half
 of its words with such lines is depleted and rejected.
 
 The limit is the larger of ``LINE_DOCS`` documents and ``LINE_SHARE`` of the host's
-documents, so small groups of copies pass and site furniture does not.
+documents, so small groups of copies pass and site furniture does not. A host of
+``LINE_DOCS`` documents or fewer has no line above it.
 
-Only 16-byte line keys and counts are shuffled, never text. The counts per
+``rules`` gives the figures and the verdict, ``cleaned`` the documents that are
+kept, without their lines above the limit.
+
+``rules`` shuffles only 16-byte line keys and counts, never text. The counts per
 (host, line) combine before the shuffle, so a line of every document is one row
 a task.
 
@@ -26,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from touchline.llm.runtime import checkpointed
+from touchline.llm.runtime import checkpointed, text_key
 from touchline.llm.textcore import LOWER, Poly, U, chunks, mix, ranges, runs, word_spans
 
 LINE_DOCS = 50
@@ -61,6 +65,17 @@ def repeated_words(h: np.ndarray, doc: np.ndarray, n: int) -> np.ndarray:
     return np.bincount(doc[np.cumsum(mark[:-1]) > 0], minlength=n)
 
 
+def lines_of(data: np.ndarray, offs: np.ndarray, lo: np.ndarray, hi: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Lines with a word: first word, number of words, row, place among all lines of the row, key of the normalised line."""
+    # a new one begins where a line feed or the row's start lies between two words
+    feeds = np.zeros(len(data) + 1, np.int64)
+    np.cumsum(data == 10, out=feeds[1:])
+    first, size = runs(feeds[lo] + doc)
+    ldoc = doc[first]
+    q = _WORDS.prefix(_BYTES.slices(_BYTES.of_bytes(LOWER[data]), lo, hi))
+    return first, size, ldoc, feeds[lo[first]] - feeds[offs[ldoc]], _WORDS.slices(q, first, first + size)
+
+
 def measure(data: np.ndarray, offs: np.ndarray) -> dict[str, np.ndarray]:
     """Base figures of every row, and its distinct normalised lines (row, key, words in all its copies)."""
     n = len(offs) - 1
@@ -73,12 +88,7 @@ def measure(data: np.ndarray, offs: np.ndarray) -> dict[str, np.ndarray]:
     out["n_symbols"] = np.bincount(np.searchsorted(offs, sym, "right") - 1, minlength=n)
     p = _BYTES.of_bytes(data)
     out["n_repeat_words"] = repeated_words(_BYTES.slices(p, lo, hi), doc, n)
-    # lines with a word: a new one begins where a line feed or the row's start lies between two words
-    feeds = np.zeros(len(data) + 1, np.int64)
-    np.cumsum(data == 10, out=feeds[1:])
-    line = feeds[lo] + doc
-    first, size = runs(line)
-    ldoc = doc[first]
+    first, size, ldoc, _, norm = lines_of(data, offs, lo, hi, doc)
     nl = np.flatnonzero(data == 10)
     nxt = np.searchsorted(nl, lo[first])
     a = np.maximum(np.append(-1, nl)[nxt] + 1, offs[ldoc])  # the whole line, for exact equality
@@ -87,8 +97,6 @@ def measure(data: np.ndarray, offs: np.ndarray) -> dict[str, np.ndarray]:
     order = np.argsort(raw, kind="stable")
     f, s = runs(raw[order])
     out["n_dup_lines"] = np.bincount(ldoc[order[ranges(f + 1, s - 1)]], minlength=n)
-    q = _WORDS.prefix(_BYTES.slices(_BYTES.of_bytes(LOWER[data]), lo, hi))
-    norm = _WORDS.slices(q, first, first + size)
     order = np.lexsort((norm, ldoc))
     key = np.stack([ldoc[order].astype(U), norm[order]], 1)
     f, s = runs(key.view("V16").ravel()) if len(key) else (np.zeros(0, np.int64),) * 2
@@ -106,18 +114,64 @@ def _run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             m = measure(data, offs)
             cuts = np.searchsorted(m["line_row"], np.arange(j - i + 1)).astype(np.int32)
             lines = pa.StructArray.from_arrays([pa.array(m["line_key"], pa.int64()), pa.array(m["line_words"], pa.int64())], ["line", "words"])
-            yield pa.RecordBatch.from_arrays([b["doc_id"].slice(i, j - i), b["source"].slice(i, j - i), *(pa.array(m[c], pa.int64()) for c in BASE), pa.ListArray.from_arrays(pa.array(cuts), lines)], ["doc_id", "source", *BASE, "lines"])
+            keep = [c for c in b.schema.names if c != "text"]
+            yield pa.RecordBatch.from_arrays([*(b[c].slice(i, j - i) for c in keep), *(pa.array(m[c], pa.int64()) for c in BASE), pa.ListArray.from_arrays(pa.array(cuts), lines)], [*keep, *BASE, "lines"])
 
 
-def rules(docs: DataFrame) -> DataFrame:
-    """doc_id, the base figures, base_failed, n_boiler_words (in lines above the limit) and kept, a row per row of docs."""
+def _measured(docs: DataFrame, keyed: bool = False) -> DataFrame:
+    """Base figures and lines of each row of docs, its row number and host, and with ``keyed`` its source and text key h."""
     kind = docs.schema["doc_id"].dataType.simpleString()
-    got = docs.select("doc_id", F.col("source").cast("string"), F.col("text").cast("string")).mapInArrow(_run, f"doc_id {kind}, source string, {', '.join(f'{c} long' for c in BASE)}, lines array<struct<line: long, words: long>>")
-    got = checkpointed(got.withColumn("row", F.monotonically_increasing_id()).withColumn("host", F.when(F.col("source").isNull(), 0).otherwise(F.xxhash64("source"))))
+    more = [text_key().alias("h")] if keyed else []
+    got = docs.select("doc_id", F.col("source").cast("string"), F.col("text").cast("string"), *more).mapInArrow(_run, f"doc_id {kind}, source string, {'h binary, ' if keyed else ''}{', '.join(f'{c} long' for c in BASE)}, lines array<struct<line: long, words: long>>")
+    return checkpointed(got.withColumn("row", F.monotonically_increasing_id()).withColumn("host", F.when(F.col("source").isNull(), 0).otherwise(F.xxhash64("source"))))
+
+
+def _boilerplate(got: DataFrame) -> DataFrame:
+    """row, line and words of the lines above the limit of their host."""
     lines = got.select("row", "host", F.inline("lines"))
     hosts = got.groupBy("host").agg(F.greatest(F.lit(float(LINE_DOCS)), LINE_SHARE * F.count("*")).alias("most"))
     often = lines.groupBy("host", "line").agg(F.count("*").alias("docs")).where(F.col("docs") > LINE_DOCS).join(hosts, "host").where(F.col("docs") > F.col("most"))
-    lost = lines.join(often.select("host", "line"), ["host", "line"]).groupBy("row").agg(F.sum("words").alias("lost"))
-    out = got.drop("lines", "host", "source").join(lost, "row", "left").withColumn("n_boiler_words", F.coalesce("lost", F.lit(0)))
+    return lines.join(often.select("host", "line"), ["host", "line"])
+
+
+def _verdicts(got: DataFrame, lost: DataFrame) -> DataFrame:
+    """got with the columns of lost(row, lost, ...), base_failed, n_boiler_words and kept."""
+    out = got.drop("lines", "host").join(lost, "row", "left").withColumn("n_boiler_words", F.coalesce("lost", F.lit(0)))
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > REPEAT_PERCENT * F.col("n_words"))
-    return out.select("doc_id", *BASE, failed.alias("base_failed"), "n_boiler_words", (~failed & (F.col("n_boiler_words") <= DEPLETED * F.col("n_words"))).alias("kept"))
+    return out.withColumn("base_failed", failed).withColumn("kept", ~failed & (F.col("n_boiler_words") <= DEPLETED * F.col("n_words")))
+
+
+def rules(docs: DataFrame) -> DataFrame:
+    """doc_id, the base figures, base_failed, n_boiler_words (in lines above the limit) and kept, a row per row of docs."""
+    got = _measured(docs)
+    lost = _boilerplate(got).groupBy("row").agg(F.sum("words").alias("lost"))
+    return _verdicts(got, lost).select("doc_id", *BASE, "base_failed", "n_boiler_words", "kept")
+
+
+def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Takes the lines with a key in gone out of the texts."""
+    for b in batches:
+        text, gone = b["text"].to_pylist(), b["gone"].to_pylist()
+        for i, j, data, offs in chunks(b["text"]):
+            lo, hi, doc = word_spans(data, offs)
+            _, _, ldoc, place, norm = lines_of(data, offs, lo, hi, doc)
+            cuts = np.searchsorted(ldoc, np.arange(j - i + 1))
+            for k in range(i, j):
+                if gone[k]:
+                    x, y = cuts[k - i], cuts[k - i + 1]
+                    out = set(place[x:y][np.isin(norm[x:y].view(np.int64), gone[k])].tolist())
+                    text[k] = "\n".join(t for n, t in enumerate(text[k].split("\n")) if n not in out)
+        keep = [c for c in b.schema.names if c != "gone"]
+        yield pa.RecordBatch.from_arrays([pa.array(text, b["text"].type) if c == "text" else b[c] for c in keep], keep)
+
+
+def cleaned(docs: DataFrame) -> DataFrame:
+    """The kept documents without their lines above the limit; all columns stay, and n_chars follows the text."""
+    got = _measured(docs, keyed=True)
+    lost = _boilerplate(got).groupBy("row").agg(F.sum("words").alias("lost"), F.collect_list("line").alias("gone"))
+    # rows equal in doc_id, source and text lose the same lines
+    kept = _verdicts(got, lost).where("kept").groupBy(F.col("doc_id").alias("_d"), F.col("source").alias("_s"), F.col("h").alias("_h")).agg(F.first("gone").alias("gone"))
+    on = F.col("doc_id").eqNullSafe(F.col("_d")) & F.col("source").cast("string").eqNullSafe(F.col("_s")) & text_key().eqNullSafe(F.col("_h"))
+    rows = docs.withColumn("text", F.col("text").cast("string")).join(kept, on).select(*docs.columns, "gone")
+    out = rows.mapInArrow(_cut, rows.drop("gone").schema)
+    return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
