@@ -1,7 +1,10 @@
 """Documents without a doc_id, or with a shared one, go through the pipeline's stages as documents of their own."""
 
+import hashlib
 import random
 
+from pyspark.sql import Window
+from pyspark.sql import functions as F
 from tests.llm.conftest import frame, words
 
 import corpus_pipeline
@@ -40,3 +43,42 @@ def test_stages_keep_documents_without_an_id(spark, sf):
     packed = STAGES["packing"](spark, mixed, sf)
     assert mixed.where("doc_id is null").count() > 0
     assert packed.where("doc_id is null").count() > 0
+
+
+def test_shared_ids_are_paired_with_their_own_share(spark, monkeypatch):
+    df = spark.createDataFrame([(1, "a " * 10, "s"), (1, "b " * 20, "s"), (2, "c " * 7, "s"), (2, "c " * 7, "s")], "doc_id long, text string, source string")
+    first = mixing.mix
+
+    def fixed(*a, **k):
+        # the 10 words are not taken; of the two equal rows one is taken twice, the other not at all
+        w = Window.partitionBy("doc_id", "size").orderBy("doc_id")
+        rows = first(*a, **k).withColumn("i", F.row_number().over(w))
+        return rows.withColumn("taken", F.when((F.col("size") == 10) | (F.col("i") > 1), 0).when(F.col("size") == 7, 14).otherwise(20).cast("long")).drop("i")
+
+    monkeypatch.setattr(mixing, "mix", fixed)
+    c = " ".join("c" * 7)
+    assert sorted((r["doc_id"], r["text"].strip()) for r in mixing.mixed(df).collect()) == [(1, " ".join("b" * 20)), (2, c), (2, c)]
+
+
+def test_shared_ids_in_the_mix(spark):
+    # the remainder falls inside the rows that share an id: every seed must give the words that it takes
+    rows = [(k // 4, f"{w} " * (3 + 5 * k), "ab"[k % 2]) for k, w in enumerate("abcdefghijkl")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    for seed in range(3):
+        shares = mixing.mix(df, seed, keyed=True).collect()
+        text = {hashlib.md5(t.encode()).digest(): t.split()[0] for _, t, _ in rows}
+        want = {text[bytes(r["h"])]: r["taken"] for r in shares if r["taken"]}
+        got = {}
+        for r in mixing.mixed(df, seed).collect():
+            w = r["text"].split()
+            got[w[0]] = got.get(w[0], 0) + len(w)
+        assert got == want
+
+
+def test_one_document_of_each_group_where_ids_are_shared(spark):
+    rnd = random.Random(14)
+    a, b = words(rnd, 120, 4000), words(rnd, 120, 4000)
+    near = a + "\n"  # the same words: the same fingerprint
+    # 5 leads the group of b; its other text is a near copy of 4's and must go
+    assert texts(simhash.first_of_each(frame(spark, [(4, a), (5, near), (5, b), (9, b)]))) == sorted([("4", a), ("5", b)])
+    assert len(texts(simhash.first_of_each(frame(spark, [(4, a), (4, near)])))) == 1
