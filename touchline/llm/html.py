@@ -35,10 +35,13 @@ MAIN_TAGS = frozenset("article main".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 # Words in class names and ids that declare furniture (fixed values).
 FURNITURE_NAMES = re.compile(
-    r"(?:^|[\s_-])(?:ad|ads|adv|advert\w*|banner\w*|promo\w*|sponsor\w*|nav\w*|menu\w*|side-?bar\w*|widget\w*|foot(?:er|note)?s?|head(?:er)?|masthead|comment\w*|disqus\w*|respon[ds]\w*|reply|replies|discussion\w*|share\w*|sharing|social\w*|related|recommend\w*|cookies?|consent|gdpr|notice\w*|alert\w*|popup\w*|modal\w*|overlay\w*|newsletter\w*|subscri\w*|signup|login|breadcrumbs?|pagination|pager|tags?|toolbar\w*|copyright|legal|disclaimer|skip|search\w*|hidden|outbrain|taboola)(?:$|[\s_-])",
+    r"(?:^|[\s_-])(?:ad|ads|adv|advert\w*|banner\w*|promo\w*|sponsor\w*|nav\w*|menu\w*|side-?bar\w*|widget\w*|foot(?:er|note)?s?|head(?:er)?|masthead|comment\w*|disqus\w*|respond|reply|replies|discussion\w*|share\w*|sharing|social\w*|related|recommend\w*|cookies?|consent|gdpr|notice\w*|alert\w*|popup\w*|modal\w*|overlay\w*|newsletter\w*|subscri\w*|signup|login|breadcrumbs?|pagination|pager|tags?|toolbar\w*|copyright|legal|disclaimer|skip|search(?!-?results)\w*|hidden|outbrain|taboola)(?:$|[\s_-])",
     re.I,
 )
 
+# Class names that say how a part is laid out, not what it is (fixed values).
+LAYOUT_NAMES = re.compile(r"(?<!\S)(?:has|with|no|sticky)[_-]\S*", re.I)
+
 _TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>?", re.S)
 _ATTR = re.compile(r"""(?:^|\s)(class|id|role|hidden|aria-hidden|style)\b(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""", re.I)
 _SPACE = re.compile(r"\s+")
@@ -146,8 +149,9 @@ class Block:
 def blocks(page: str) -> list[tuple]:
     """(text, words, link share, main, furniture, heading, item) of each non-empty block in page order."""
     out: list[tuple] = []
-    stack: list[tuple[str, bool, bool]] = []  # open elements: name, begins main text, begins furniture
-    main = furniture = links = 0
+    stack: list[tuple[str, bool, bool, int]] = []  # open elements: name, begins main text, begins furniture, change of named
+    main = furniture = named = links = 0  # named: open elements that only a class name or id makes furniture
+    seen = False  # an article or main element began
     heading = item = False
     parts: list[tuple[str, bool]] = []
 
@@ -157,14 +161,15 @@ def blocks(page: str) -> list[tuple]:
             if text:
                 linked = sum(len(p.split()) for p, a in parts if a)
                 words = len(text.split())
-                out.append((text, words, min(1.0, linked / words), main > 0, furniture > 0, heading, item))
+                out.append((text, words, min(1.0, linked / words), main > 0, furniture + named > 0, heading, item))
             parts.clear()
 
     def shut(k: int):
-        nonlocal main, furniture, links
-        for name, m, f in stack[k:]:
+        nonlocal main, furniture, named, links
+        for name, m, f, c in stack[k:]:
             main -= m
             furniture -= f
+            named -= c
             links -= name == "a"
         del stack[k:]
 
@@ -216,20 +221,25 @@ def blocks(page: str) -> list[tuple]:
                         break
         if name in VOID:
             continue
-        is_main, is_furniture = name in MAIN_TAGS, name in FURNITURE_TAGS
+        is_main, is_furniture, by_name = name in MAIN_TAGS, name in FURNITURE_TAGS, False
         if m[3]:
             for a in _ATTR.finditer(m[3]):
                 key, value = a[1].lower(), a[2] or a[3] or a[4] or ""
                 if key in ("class", "id"):
-                    is_furniture |= name not in ("html", "body", "article", "main") and FURNITURE_NAMES.search(value) is not None
+                    by_name |= FURNITURE_NAMES.search(LAYOUT_NAMES.sub("", value)) is not None
                 elif key == "role":
                     is_main |= value in ("main", "article")
                     is_furniture |= value in ("navigation", "banner", "contentinfo", "complementary", "search", "form", "alert", "dialog", "menu")
                 elif key == "hidden" or (key == "aria-hidden" and value == "true") or (key == "style" and re.search(r"display\s*:\s*none", value)):
                     is_furniture = True
-        if name == "header" and main and not furniture:
-            is_furniture = False  # an article's own heading
-        stack.append((name, is_main, is_furniture))
+        if name == "header" and main and not furniture + named:
+            is_furniture = by_name = False  # an article's own heading
+        change = int(by_name and name not in ("html", "body", "article", "main"))
+        if name in MAIN_TAGS and (name == "main" or not (seen or by_name)):
+            change = -named  # a wrapper's class name does not make the page's text furniture; later articles may be comments or teasers
+        seen |= name in MAIN_TAGS
+        stack.append((name, is_main, is_furniture, change))
+        named += change
         main += is_main
         furniture += is_furniture
         links += name == "a"
