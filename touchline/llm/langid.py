@@ -6,7 +6,7 @@ length. Family machines are one-versus-rest; inside a family every pair of
 languages has a machine and the votes, then the summed margins, decide.
 
 The fit uses at most ``SAMPLE`` rows a language and ``LANGS`` * ``SAMPLE`` in all, the first by a hash of doc_id
-among texts of 1..``LONGEST`` bytes; prediction uses whole texts.
+(languages in turn) among texts of 1..``LONGEST`` bytes; prediction uses whole texts.
 
 Cases: null, empty and letterless texts give ``und`` with score 0, as does every
 text if nothing can be learned. Null languages are not learned from. A language
@@ -69,7 +69,8 @@ def histograms(data: np.ndarray, offs: np.ndarray) -> np.ndarray:
             h ^= d[q : q + m]
         h ^= h >> np.uint32(15)
         h *= np.uint32(0x85EBCA6B)
-        hist += np.bincount(doc[:m] | (h >> np.uint32(32 - BITS)), minlength=n * size)
+        inside = doc[:m] == doc[k - 1 :]  # not run into the next text
+        hist += np.bincount((doc[:m] | (h >> np.uint32(32 - BITS)))[inside], minlength=n * size)
     hist = np.sqrt(hist.reshape(n, size))
     return hist / np.maximum(np.linalg.norm(hist, axis=1, keepdims=True), 1e-12)
 
@@ -137,8 +138,11 @@ def fitted(docs: DataFrame) -> dict:
     # a task's first rows, then the first of those: no more than SAMPLE rows of a language leave a task
     first = ids.withColumn("n", F.row_number().over(Window.partitionBy("lang", F.pmod("k", F.lit(64))).orderBy("k", "doc_id"))).where(F.col("n") <= SAMPLE)
     first = first.withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy("k", "doc_id"))).where(F.col("n") <= SAMPLE)
-    picked = F.broadcast(first.select(F.col("doc_id").alias("_i"), F.col("lang").alias("_l")).distinct().limit(LANGS * SAMPLE))
-    got = rows.join(picked, (F.col("doc_id") == F.col("_i")) & (F.col("lang") == F.col("_l"))).select("doc_id", "text", "lang").limit(LANGS * SAMPLE).collect()
+    # every language's first row comes before any second one
+    first = first.groupBy(F.col("doc_id").alias("_i"), F.col("lang").alias("_l")).agg(F.min("n").alias("_n"), F.min("k").alias("_k"))
+    picked = F.broadcast(first.orderBy("_n", "_k", "_i", "_l").limit(LANGS * SAMPLE))
+    got = rows.join(picked, (F.col("doc_id") == F.col("_i")) & (F.col("lang") == F.col("_l"))).select("doc_id", "text", "lang", "_n", "_k")
+    got = got.orderBy("_n", "_k", "doc_id", "lang", "text").limit(LANGS * SAMPLE).select("doc_id", "text", "lang").collect()
     got.sort(key=lambda r: (r["lang"], r["doc_id"], r["text"]))
     return train([r["text"] for r in got], [r["lang"] for r in got])
 
