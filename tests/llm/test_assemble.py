@@ -15,20 +15,39 @@ def reference_ids(texts):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
     return [[*e.ids, 0] for e in t.encode_batch([x or "" for x in texts], add_special_tokens=False)]
 
 
 def test_encoder_equals_tokenizer_file(spark, sf):
     texts = [r[0] for r in spark.read.parquet(f"{sf}/documents.parquet").select("text").collect()] + ["", " ", "  a\n\n b", "naïve 漢字 🙂", "<|endoftext|>", "don't 12345 !!"]
+    texts += ["a<|endoftext|> b <|endof text|>", "\u0558 \ua7ce\U00010940", " " * 30_000 + "a", "x" * 30_000]
     encode = packing.encoder(vocabulary())
+    assert encode.fast is not None
     assert [[*encode(t), 0] for t in texts] == reference_ids(texts)
 
 
+def test_the_faster_encoder_agrees_on_every_plain_character():
+    encode = packing.encoder(vocabulary())
+    plain = [chr(c) for c in range(0x10000) if not 0xD800 <= c < 0xE000 and packing.PLAIN.fullmatch(chr(c))]
+    texts = [f"a{c}{c}1{c} b {c}!{c}\n{c}{c} " for c in plain]
+    assert len(plain) > 30_000
+    assert [encode.fast.encode_ordinary(t) for t in texts] == [e.ids for e in encode.exact.encode_batch(texts, add_special_tokens=False)]
+
+
+def test_packing_of_very_long_runs(spark):
+    long = [(1, " " * 2_000_000), (2, "x" * 1_000_000), (None, "a<|endoftext|>b"), (None, None)]
+    rows = packing.pack(frame(spark, long), vocabulary(), shard_bytes=1 << 18).collect()
+    ids = {(d, len(i)): i for (d, _), i in zip(long, reference_ids([t for _, t in long]), strict=True)}
+    for (d, n), want in ids.items():
+        pieces = sorted((r for r in rows if r["doc_id"] == d and r["doc_tokens"] == n), key=lambda r: r["start"])
+        assert [x for r in pieces for x in np.frombuffer(r["ids"], "<u2").tolist()] == want
+    assert len({r["sequence_id"] >> 40 for r in rows}) > 3  # the pieces of a long document are dealt over the shards
+
+
 def test_packing_round_trip(spark):
     d = documents(1)
     d = d[:-1]  # a repeated row is packed twice; its pieces would have to be told apart here
-    rows = packing.pack(frame(spark, d), vocabulary(), shard_docs=15).collect()
+    rows = packing.pack(frame(spark, d), vocabulary(), shard_bytes=20_000).collect()
     ids = dict(zip([k for k, _ in d], reference_ids([t for _, t in d]), strict=True))
     back, windows = {}, {}
     for r in sorted(rows, key=lambda r: r["start"]):
@@ -42,7 +61,7 @@ def test_packing_round_trip(spark):
             assert o == at
             at += n
         assert at == 1024 or at & (at - 1) == 0
-    digest = packing.digests(packing.pack(frame(spark, d), vocabulary(), shard_docs=15)).collect()
+    digest = packing.digests(packing.pack(frame(spark, d), vocabulary(), shard_bytes=20_000)).collect()
     one = next(r for r in digest if r["doc_id"] == 5 and r["start"] == 0)
     assert one["ids_crc32"] == zlib.crc32(np.array(ids[5][: one["length"]], "<u4").tobytes())
 

@@ -12,7 +12,7 @@ from touchline.llm.runtime import table
 def vocabulary() -> str:
     import public_tokenizers
 
-    return public_tokenizers.path("byte_bpe_50k.tiktoken")
+    return public_tokenizers.path("byte_bpe_50k.json")
 
 
 def op1_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
