@@ -123,3 +123,22 @@ def test_ngrams_stay_inside_rows(n):
     _, _, data, offs = next(chunks(pa.array(["abcdef", "", "gh", "ijklm"])))
     h = toxicity.ngrams(data, offs, n)
     assert (h >= 0).sum() == sum(max(0, len(t) - n + 1) for t in ("abcdef", "", "gh", "ijklm"))
+
+
+def test_long_texts_are_learned_from(spark):
+    # every text is longer than 8 KB: the fit uses them all the same
+    rows = [(k, f"{'good calm words here ' * 500}{'vile slur ' if k % 2 else 'kind note '}{k}", "en" if k % 2 else "fr") for k in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(k, k % 2) for k in range(60)] + [(1, 1), (2, None)], "doc_id long, toxic int")
+    got = {r["doc_id"]: r["score"] for r in toxicity.score(df, labels).collect()}
+    assert all((got[k] >= 0.5) == bool(k % 2) for k in range(60))
+    assert {r["lang_pred"] for r in langid.predict(df).collect()} == {"en", "fr"}
+
+
+def test_rows_without_ids_and_repeated_ids(spark):
+    rows = [(None, "kind note", "en"), (None, None, None), *[(7, f"vile slur {k}", "fr") for k in range(30)], *[(8 + k, f"kind note {k}", "en") for k in range(30)]]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(7, 1), (7, 1), (None, 1)] + [(8 + k, 0) for k in range(30)], "doc_id long, toxic int")
+    got = toxicity.score(df, labels).collect()
+    assert len(got) == len(rows) and all(0 <= r["score"] <= 1 and r["held_out"] is not None for r in got)
+    assert len(langid.predict(df).collect()) == len(rows)

@@ -5,13 +5,14 @@ lower-cased, over the whole text), as square roots of shares, which has unit
 length. Family machines are one-versus-rest; inside a family every pair of
 languages has a machine and the votes, then the summed margins, decide.
 
-The fit uses at most ``SAMPLE`` rows a language and ``LANGS`` * ``SAMPLE`` in all, the first by a hash of doc_id
-(languages in turn) among texts of 1..``LONGEST`` bytes; prediction uses whole texts.
+The fit uses at most ``SAMPLE`` documents a language and ``LANGS`` * ``SAMPLE`` in all, the first by a hash of doc_id
+(languages in turn), up to ``SAMPLE_BYTES`` of text (every language's first document whatever its length); prediction
+uses whole texts.
 
 Cases: null, empty and letterless texts give ``und`` with score 0, as does every
 text if nothing can be learned. Null languages are not learned from. A language
-outside ``FAMILIES`` is a family of its own. Repeated rows count as often as they
-occur. Extra columns stay out.
+outside ``FAMILIES`` is a family of its own. Of repeated rows with one doc_id and
+lang the shortest text is learned from, then the least. Extra columns stay out.
 """
 
 from __future__ import annotations
@@ -29,7 +30,7 @@ from touchline.llm.runtime import crc_mod
 from touchline.llm.textcore import LOWER, SPACE, chunks
 
 SAMPLE = 400
-LONGEST = 8192
+SAMPLE_BYTES = 24 << 20
 #: Languages whose samples are sure to fit; the bound of what is collected.
 LANGS = 20
 BITS = 12
@@ -133,17 +134,25 @@ def predict_chunk(model: dict, data: np.ndarray, offs: np.ndarray) -> tuple[np.n
 
 def fitted(docs: DataFrame) -> dict:
     rows = docs.select("doc_id", F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
-    rows = rows.where(F.col("lang").isNotNull() & F.octet_length("text").between(1, LONGEST)).where(crc_mod(F.col("doc_id"), 4) != 2)
-    ids = rows.select("lang", "doc_id", F.xxhash64("doc_id").alias("k"))
-    # a task's first rows, then the first of those: no more than SAMPLE rows of a language leave a task
-    first = ids.withColumn("n", F.row_number().over(Window.partitionBy("lang", F.pmod("k", F.lit(64))).orderBy("k", "doc_id"))).where(F.col("n") <= SAMPLE)
-    first = first.withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy("k", "doc_id"))).where(F.col("n") <= SAMPLE)
-    # every language's first row comes before any second one
-    first = first.groupBy(F.col("doc_id").alias("_i"), F.col("lang").alias("_l")).agg(F.min("n").alias("_n"), F.min("k").alias("_k"))
-    picked = F.broadcast(first.orderBy("_n", "_k", "_i", "_l").limit(LANGS * SAMPLE))
-    got = rows.join(picked, (F.col("doc_id") == F.col("_i")) & (F.col("lang") == F.col("_l"))).select("doc_id", "text", "lang", "_n", "_k")
-    got = got.orderBy("_n", "_k", "doc_id", "lang", "text").limit(LANGS * SAMPLE).select("doc_id", "text", "lang").collect()
-    got.sort(key=lambda r: (r["lang"], r["doc_id"], r["text"]))
+    rows = rows.where(F.col("lang").isNotNull() & (F.octet_length("text") > 0)).where(crc_mod(F.col("doc_id"), 4) != 2)
+    ids = rows.groupBy("lang", "doc_id").agg(F.min(F.octet_length("text")).alias("n")).withColumn("k", F.xxhash64("doc_id"))
+    per = ids.groupBy("lang").agg(F.count("*").alias("docs"))
+    # of a uniform hash so small a share of the values holds some 2 * SAMPLE documents of a language: no more go to one task
+    low = F.col("k").cast("double") + 2.0**63 <= 2.0**64 * (2.0 * SAMPLE + 200) / F.col("docs")
+    near = ids.join(per.withColumnRenamed("lang", "_of"), F.col("lang") == F.col("_of")).where(low)
+    first = near.withColumn("at", F.row_number().over(Window.partitionBy("lang").orderBy("k", "doc_id"))).where(F.col("at") <= SAMPLE)
+    # every language's first document comes before any second one
+    picked, held = [], 0
+    for r in first.orderBy("at", "k", "doc_id", "lang").limit(LANGS * SAMPLE).select("doc_id", "lang", "n", "at").collect():
+        held += r["n"]
+        if held > SAMPLE_BYTES and r["at"] > 1:
+            break
+        picked.append((r["doc_id"], r["lang"]))
+    if not picked:
+        return train([], [])
+    chosen = F.broadcast(docs.sparkSession.createDataFrame(picked, ids.select(F.col("doc_id").alias("_i"), F.col("lang").alias("_l")).schema))
+    least = F.min(F.struct(F.octet_length("text").alias("n"), "text")).alias("least")
+    got = rows.join(chosen, (F.col("doc_id") == F.col("_i")) & (F.col("lang") == F.col("_l"))).groupBy("lang", "doc_id").agg(least).orderBy("lang", "doc_id").select("lang", "least.text").collect()
     return train([r["text"] for r in got], [r["lang"] for r in got])
 
 

@@ -5,13 +5,15 @@ space as one symbol) anywhere in the whole text. The ratio of smoothed presence
 counts in the two classes picks the telling n-grams and scales them; logistic
 regression on the scaled features gives the score.
 
-The fit uses at most ``SAMPLE`` labelled rows a class, the first by a hash of
-doc_id among texts of 1..``LONGEST`` bytes; scoring uses all of every text.
+The fit uses at most ``SAMPLE`` labelled documents a class, the first by a hash
+of doc_id, up to ``SAMPLE_BYTES`` of text a class (the first document whatever
+its length); scoring uses all of every text.
 
 Cases: a null or empty text has no features and gets the score of the bias.
-Labels that are null or repeated: null ones are left out, a repeated row counts
-as often as it occurs. With one class or none in the labels every score is the
-share of toxic labels (0 if there are none). Extra columns stay out. Repeated
+Null labels are left out; a document counts once for each label that it has,
+however often its label or its row is repeated (of several texts with one doc_id
+the shortest is used, then the least). With one class or none in the labels
+every score is the share of toxic labels (0 if there are none). Extra columns stay out. Repeated
 rows get a score each. Very long texts are scored in one pass over their bytes.
 """
 
@@ -28,11 +30,12 @@ from touchline.llm.linear import Rows, fit, sigmoid
 from touchline.llm.runtime import crc_mod
 from touchline.llm.textcore import LOWER, SPACE, chunks
 
-SAMPLE = 1200
-LONGEST = 8192
-FEATURES = 600
-ORDERS = (3, 4, 5)
-BITS = 20
+SAMPLE = 4000
+SAMPLE_BYTES = 12 << 20
+#: Chosen, as the orders, on an inner fold of the training labels.
+FEATURES = 2000
+ORDERS = (3, 5, 7)
+BITS = 22
 
 _FOLD = LOWER.copy()
 _FOLD[SPACE] = 32
@@ -75,15 +78,14 @@ def train(texts: list[str], toxic: np.ndarray, share: float) -> dict:
     flat = {"index": None, "w": np.zeros(1), "b": float(share)}
     if not (y > 0).any() or not (y < 0).any():
         return flat
-    rows, cols = [], []
-    for i, _, data, offs in chunks(pa.array(texts, pa.large_string())):
-        r, c = features(data, offs)
-        rows.append(r + i)
-        cols.append(c.astype(np.int32))
-    row, col = np.concatenate(rows), np.concatenate(cols)
+    held = pa.array(texts, pa.large_string())
     size = 1 << BITS
-    pos = np.bincount(col[y[row] > 0], minlength=size) + 1.0
-    neg = np.bincount(col[y[row] < 0], minlength=size) + 1.0
+    pos, neg = np.ones(size, np.float32), np.ones(size, np.float32)
+    for i, j, data, offs in chunks(held):
+        r, f = features(data, offs)
+        own = y[i:j][r] > 0
+        pos += np.bincount(f[own], minlength=size).astype(np.float32)
+        neg += np.bincount(f[~own], minlength=size).astype(np.float32)
     np_, nn = (y > 0).sum() + 2.0, (y < 0).sum() + 2.0
     ratio = np.log(pos / np_) - np.log(neg / nn)
     # strength of evidence: difference of the shares in their standard error
@@ -95,8 +97,8 @@ def train(texts: list[str], toxic: np.ndarray, share: float) -> dict:
         return flat
     index = np.full(size, -1, np.int32)
     index[kept] = np.arange(len(kept))
-    f = index[col]
-    x = Rows(row[f >= 0], f[f >= 0], (len(y), len(kept)))
+    pairs = [(r + i, f) for i, _, data, offs in chunks(held) for r, f in [features(data, offs, index)]]
+    x = Rows(np.concatenate([r for r, _ in pairs]), np.concatenate([f for _, f in pairs]), (len(y), len(kept)))
     w, b = fit(x, y, "log", 1e-4, scale=ratio[kept], steps=200)
     return {"index": index, "w": w, "b": float(b)}
 
@@ -115,12 +117,23 @@ def fitted(docs: DataFrame, labels: DataFrame) -> dict:
     counts = {r["_y"]: r["n"] for r in lab.groupBy("_y").agg(F.count("*").alias("n")).collect()}
     total = sum(counts.values())
     share = counts.get(1, 0) / total if total else 0.0
-    text = F.col("text").cast("string").alias("text")
-    sized = docs.where(F.octet_length(text).between(1, LONGEST)).select("doc_id").join(lab, F.col("doc_id") == F.col("_id")).select("_y", "_id")
-    first = [sized.where(F.col("_y") == y).orderBy(F.xxhash64("_id"), "_id").limit(SAMPLE) for y in (0, 1)]
-    ids = F.broadcast(first[0].unionByName(first[1]))  # 2 * SAMPLE rows at most
-    got = docs.where(F.octet_length(text).between(1, LONGEST)).select("doc_id", text).join(ids, F.col("doc_id") == F.col("_id")).select("_y", "doc_id", "text").orderBy("_y", "doc_id", "text").limit(2 * SAMPLE).collect()
-    return train([r["text"] for r in got], np.array([r["_y"] for r in got]), share)
+    text = F.col("text").cast("string")
+    rows = docs.where(F.octet_length(text) > 0)
+    sized = rows.select("doc_id", F.octet_length(text).alias("n")).join(lab.distinct(), F.col("doc_id") == F.col("_id")).groupBy("_y", "_id").agg(F.min("n").alias("n"))
+    picked = []
+    for label in (0, 1):
+        held = 0
+        for r in sized.where(F.col("_y") == label).orderBy(F.xxhash64("_id"), "_id").limit(SAMPLE).collect():
+            held += r["n"]
+            if held > SAMPLE_BYTES and held > r["n"]:
+                break
+            picked.append((r["_y"], r["_id"]))
+    if len({y for y, _ in picked}) < 2:
+        return train([], np.zeros(0), share)
+    ids = F.broadcast(docs.sparkSession.createDataFrame(picked, sized.select("_y", "_id").schema))  # 2 * SAMPLE rows at most
+    least = F.min(F.struct(F.octet_length(text).alias("n"), text.alias("t"))).alias("least")
+    got = rows.select("doc_id", "text").join(ids, F.col("doc_id") == F.col("_id")).groupBy("_y", "_id").agg(least).orderBy("_y", "_id").select("_y", "least.t").collect()
+    return train([r["t"] for r in got], np.array([r["_y"] for r in got]), share)
 
 
 def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
