@@ -2,15 +2,17 @@
 
 A page is cut into a flat list of text blocks at block-level tags. A block is
 described by its words, the share of them inside links, the same two figures of
-the blocks before and after it, and where it stands (inside an article, inside a
-part that the markup or a class name declares as furniture, a heading, a list
-item, share of text that looks like a notice). A decision tree, grown once on
-the small labelled table below, keeps or drops each block.
+the blocks before and after it, where it stands (inside an article or main
+element, inside an element such as nav or footer, outside an article on a page
+that has one, on a page without one), what the class
+names around it hint at (one feature), and whether it is a heading, a list item
+or looks like a notice. A decision tree keeps or drops each block. It is grown
+once on the labelled blocks of the small pages in ``LAYOUTS``.
 
 Cases: null and empty pages give an empty text. Unclosed tags, stray end tags,
 comments, cut-off markup and bad character references never fail: what is not a
-tag is text. Repeated rows get a row each. Pages of any length are read in one
-pass. Extra columns stay out.
+tag is text. Repeated rows get a row each. Pages of any length and nesting are
+read in one pass. Extra columns stay out.
 """
 
 from __future__ import annotations
@@ -18,6 +20,7 @@ from __future__ import annotations
 import html as entities
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -32,12 +35,17 @@ SKIPPED = frozenset("script style noscript template title iframe object svg math
 RAW = frozenset("script style textarea title noscript iframe template".split())
 FURNITURE_TAGS = frozenset("head nav header footer aside form menu button select dialog label fieldset option textarea".split())
 MAIN_TAGS = frozenset("article main".split())
+INLINE = frozenset("p b i a span em strong".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-# Words in class names and ids that declare furniture (fixed values).
-FURNITURE_NAMES = re.compile(
-    r"(?:^|[\s_-])(?:ad|ads|adv|advert\w*|banner\w*|promo\w*|sponsor\w*|nav\w*|menu\w*|side-?bar\w*|widget\w*|foot(?:er|note)?s?|head(?:er)?|masthead|comment\w*|disqus\w*|respond|reply|replies|discussion\w*|share\w*|sharing|social\w*|related|recommend\w*|cookies?|consent|gdpr|notice\w*|alert\w*|popup\w*|modal\w*|overlay\w*|newsletter\w*|subscri\w*|signup|login|breadcrumbs?|pagination|pager|tags?|toolbar\w*|copyright|legal|disclaimer|skip|search(?!-?results)\w*|hidden|outbrain|taboola)(?:$|[\s_-])",
+# Words in class names and ids that declare furniture (fixed values): the first list always, the second often.
+_ENDS = r"(?:^|[\s_-])(?:{})(?:$|[\s_-])"
+STRONG_NAMES = re.compile(
+    _ENDS.format(
+        r"ad|ads|adv|advert\w*|banner\w*|promo\w*|sponsor\w*|nav\w*|menu\w*|side-?bar\w*|widget\w*|footer|masthead|comments?|disqus\w*|respond|replies|share|sharing|related|recommend\w*|cookies?|consent|gdpr|popup\w*|modal\w*|newsletter\w*|subscri\w*|signup|login|breadcrumbs?|pagination|pager|search[_-]?(?:form|box|bar)|toolbar\w*|copyright|hidden|outbrain|taboola"
+    ),
     re.I,
 )
+WEAK_NAMES = re.compile(_ENDS.format(r"head(?:er)?|foot(?:note)?s?|reply|discussion\w*|social\w*|notice\w*|alert\w*|overlay\w*|tags?|legal|disclaimer|skip|search\w*"), re.I)
 
 # Class names that say how a part is laid out, not what it is (fixed values).
 LAYOUT_NAMES = re.compile(r"(?<!\S)(?:has|with|no|sticky)[_-]\S*", re.I)
@@ -47,63 +55,67 @@ _ATTR = re.compile(r"""(?:^|\s)(class|id|role|hidden|aria-hidden|style)\b(?:\s*=
 _SPACE = re.compile(r"\s+")
 _NOTICE = re.compile(r"©|\(c\)|copyright|all rights reserved|cookie|subscribe|sign up|log ?in|advertis|privacy policy|terms of", re.I)
 
-COLUMNS = ("words", "links", "before_words", "before_links", "after_words", "after_links", "in_main", "in_furniture", "heading", "item", "notice", "page_has_main")
-
-# The labelled table: features of blocks in the order of COLUMNS, then 1 for main text (made by hand from typical page layouts).
-LABELLED = [
-    # an article body: paragraphs, short and long, with neighbours of their kind
-    (60, 0.0, 55, 0.0, 70, 0.0, 1, 0, 0, 0, 0, 1, 1),
-    (8, 0.0, 0, 0.0, 60, 0.0, 1, 0, 1, 0, 0, 1, 1),
-    (3, 0.0, 60, 0.0, 45, 0.0, 1, 0, 0, 0, 0, 1, 1),
-    (1, 0.0, 30, 0.0, 80, 0.0, 1, 0, 0, 0, 0, 1, 1),
-    (25, 0.1, 30, 0.0, 2, 0.0, 1, 0, 0, 0, 0, 1, 1),
-    (40, 0.4, 30, 0.0, 20, 0.1, 1, 0, 0, 0, 0, 1, 1),
-    (12, 0.0, 10, 0.0, 11, 0.0, 1, 0, 0, 1, 0, 1, 1),
-    (5, 0.0, 40, 0.0, 50, 0.0, 1, 0, 1, 0, 0, 1, 1),
-    (80, 0.0, 8, 0.0, 0, 0.0, 1, 0, 0, 0, 0, 1, 1),
-    (30, 0.0, 25, 0.0, 8, 0.4, 1, 0, 0, 0, 1, 1, 1),
-    (9, 0.0, 2, 1.0, 60, 0.0, 1, 0, 1, 0, 0, 1, 1),
-    (4, 1.0, 50, 0.0, 60, 0.0, 1, 0, 0, 0, 0, 1, 1),
-    # furniture inside or around the article
-    (2, 1.0, 1, 1.0, 1, 1.0, 0, 1, 0, 1, 0, 1, 0),
-    (1, 1.0, 0, 0.0, 1, 1.0, 0, 1, 0, 1, 0, 1, 0),
-    (9, 0.0, 1, 1.0, 8, 0.0, 0, 1, 0, 0, 0, 1, 0),
-    (40, 0.0, 1, 1.0, 50, 0.0, 0, 1, 0, 0, 0, 1, 0),
-    (12, 0.0, 60, 0.0, 0, 0.0, 0, 1, 0, 0, 1, 1, 0),
-    (25, 0.0, 50, 0.0, 20, 0.0, 1, 1, 0, 0, 0, 1, 0),
-    (30, 0.1, 70, 0.0, 30, 0.1, 1, 1, 0, 1, 0, 1, 0),
-    (6, 0.0, 40, 0.0, 9, 0.0, 1, 1, 1, 0, 0, 1, 0),
-    (50, 0.0, 60, 0.0, 40, 0.0, 0, 1, 0, 0, 0, 1, 0),
-    (7, 0.0, 0, 0.0, 30, 0.0, 0, 1, 1, 0, 0, 1, 0),
+COLUMNS = ("words", "links", "before_words", "before_links", "after_words", "after_links", "place", "named", "heading", "item", "notice")
+
+#: place: inside furniture by tag, outside the page's article or main element, on a page without one, inside it.
+FURNITURE, OUTSIDE, ANYWHERE, INSIDE = -2, -1, 0, 1
+
+# The labelled table, as pages: a block whose text begins with + is main text, one with - is not; {n} stands for n words.
+_MENU = "<nav><ul><li><a>-{1}</a><li><a>-{2}</a><li><a>-{1}</a><li><a>-{3}</a></ul></nav>"
+_FOOT = "<footer><p>-&copy; 2024 {6}<p><a>-{2}</a> <a>{1}</a><p>-{14}</footer>"
+_BODY = "<h1>+{8}</h1><p>+{60}<p>+{3}<p>+{45}<h2>+{3}</h2><p>+{1}<p>+{80}<p>+{25} <a>{3}</a><p>+{18}<p>+{7}<p>+{12}<p>+{2}"
+LAYOUTS = [
+    # an article element between menu, advert and footer
+    f"{_MENU}<div class=ad>-{{12}}</div><article>{_BODY}</article>{_FOOT}",
+    f"{_MENU}<div class=ad>-{{45}}</div><article><h1>+{{10}}</h1><p>+{{30}}<p>+{{1}}<p>+{{2}}<p>+{{1}}</article>{_FOOT}",
+    f"<div class=ad>-{{3}}</div><article><p>+{{2}}</article>{_FOOT}",
+    f"{_MENU}<article><h1>+{{4}}</h1><p>+{{9}}</article><div class=comments><p>-{{20}}<p>-{{45}}</div>",
+    # furniture inside the article: adverts, sharing, comments, a form, a side note; a linked list there is a menu
+    f"<article><h1>+{{7}}</h1><p>+{{40}}<div class=ad>-{{14}}</div><p>+{{50}}<div class=share><a>-{{2}}</a></div><p>+{{30}}<section id=comments><h3>-{{2}}</h3><p>-{{35}}<p>-{{8}}</section></article>{_FOOT}",
+    f"<article><h1>+{{7}}</h1><p>+{{40}}<aside>-{{30}}</aside><p>+{{22}}<form>-{{5}} <label>-{{2}}</label><button>-{{1}}</button></form><p>+{{16}}</article>",
+    "<article><h1>+{6}</h1><p>+{35}<p>+{20}<ul><li><a>-{5}</a><li><a>-{4}</a><li><a>-{6}</a><li><a>-{3}</a></ul></article>",
+    "<article><h1>+{6}</h1><ul><li><a>-{2}</a><li><a>-{3}</a><li><a>-{2}</a></ul><p>+{35}<p>+{20}</article>",
+    "<article><h1>+{6}</h1><p>+{35}<ul><li>+{5}<li>+{9}<li>+{2}<li>+{14} <a>{4}</a></ul><p>+{25}</article>",
+    "<article><h1>+{6}</h1><p>+{35}<p><a>+{9}</a><p>+{25}<p><a>+{2}</a><p>+{60}<h2><a>+{5}</a></h2><p>+{30}</article>",
+    "<article><h1>+{6}</h1><p>+{30}<p><a>-{2}</a><p><a>-{3}</a><p><a>-{2}</a></article>",
+    f"<article><h1>+{{6}}</h1><p>+{{30}}<p>+{{12}}<p><a>-{{2}}</a></article><nav><a>-{{2}}</a></nav>{_FOOT}",
+    # a heading, summary or note in a part whose name is often furniture
+    "<article><div class=article-header><h1>+{7}</h1><p>+{20}</div><p>+{40}<p>+{30}</article>",
+    "<article><header><h1>+{5}</h1><p>+{9}</header><p>+{40}<div class=search-summary><p>+{25}<p>+{12}</div><p>+{30}<div class=notice>+{40}</div><p>+{9}</article>",
+    "<article><h1>+{5}</h1><p>+{40}<div class=notice>-{9} cookies {2}</div><p>+{30}<div class=tags><a>-{1}</a> <a>{1}</a></div><div class=social><a>-{2}</a></div></article>",
+    f"<div class=header><p>-{{3}}<p><a>-{{1}}</a></div>{_MENU}<main><div class=head><h1>+{{8}}</h1></div><p>+{{50}}<p>+{{20}}</main>{_FOOT}",
+    "<article><h1>+{5} cookies</h1><p>+{40}<p>+{12} subscribe {9}<p>+{3} copyright {2}<p>+{30} privacy policy {30}<p>+{8}</article>",
     # outside the article of a page that has one
-    (20, 0.0, 2, 1.0, 8, 0.0, 0, 0, 0, 0, 0, 1, 0),
-    (6, 0.0, 60, 0.0, 0, 0.0, 0, 0, 0, 0, 0, 1, 0),
-    (10, 0.5, 3, 1.0, 12, 0.0, 0, 0, 0, 0, 0, 1, 0),
-    (45, 0.0, 30, 0.0, 30, 0.0, 0, 0, 0, 0, 0, 1, 0),
-    (5, 0.0, 1, 1.0, 60, 0.0, 0, 0, 1, 0, 0, 1, 0),
-    # pages without an article element: words and links decide
-    (50, 0.0, 40, 0.0, 60, 0.0, 0, 0, 0, 0, 0, 0, 1),
-    (30, 0.1, 6, 0.0, 40, 0.0, 0, 0, 0, 0, 0, 0, 1),
-    (18, 0.0, 30, 0.0, 25, 0.0, 0, 0, 0, 0, 0, 0, 1),
-    (7, 0.0, 2, 1.0, 50, 0.0, 0, 0, 1, 0, 0, 0, 1),
-    (4, 0.0, 45, 0.0, 50, 0.0, 0, 0, 0, 0, 0, 0, 1),
-    (6, 0.0, 40, 0.0, 35, 0.0, 0, 0, 1, 0, 0, 0, 1),
-    (22, 0.0, 40, 0.0, 3, 1.0, 0, 0, 0, 0, 0, 0, 1),
-    (14, 0.0, 12, 0.0, 15, 0.0, 0, 0, 0, 1, 0, 0, 1),
-    (2, 1.0, 2, 1.0, 2, 1.0, 0, 0, 0, 1, 0, 0, 0),
-    (3, 1.0, 40, 0.0, 4, 1.0, 0, 0, 0, 0, 0, 0, 0),
-    (12, 0.9, 8, 0.9, 10, 0.9, 0, 0, 0, 1, 0, 0, 0),
-    (20, 0.7, 30, 0.0, 15, 0.8, 0, 0, 0, 0, 0, 0, 0),
-    (3, 0.0, 2, 1.0, 2, 1.0, 0, 0, 0, 0, 0, 0, 0),
-    (2, 0.0, 1, 0.0, 3, 1.0, 0, 0, 0, 0, 0, 0, 0),
-    (8, 0.0, 50, 0.0, 0, 0.0, 0, 0, 0, 0, 1, 0, 0),
-    (11, 0.2, 2, 1.0, 0, 0.0, 0, 0, 0, 0, 1, 0, 0),
-    (40, 0.0, 30, 0.0, 20, 0.0, 0, 1, 0, 0, 0, 0, 0),
-    (9, 0.0, 12, 0.0, 6, 0.0, 0, 1, 0, 0, 0, 0, 0),
+    f"<header><a>-{{2}}</a> <p>-{{6}}</header>{_MENU}<p>-{{20}}<article>{_BODY}</article><h3>-{{3}}</h3><p>-{{45}}<p><a>-{{5}}</a> -{{5}}<p>-{{6}}{_FOOT}",
+    f"<div><p>-{{9}}<p>-{{30}}</div><main>{_BODY}</main><div><h4>-{{2}}</h4><p>-{{12}}</div>",
+    # pages without an article element: words and links of a block and its neighbours decide
+    f"<ul><li><a>-{{1}}</a><li><a>-{{1}}</a><li><a>-{{2}}</a></ul><h1>+{{6}}</h1><p>+{{40}}<p>+{{30}}<h2>+{{3}}</h2><p>+{{25}}<ul><li>+{{3}}<li>+{{7}}<li>+{{12}}</ul><p>+{{50}}<p>+{{12}}<p>+{{10}}<p>+{{2}}<div class=footer>-{{2}}</div>",
+    f"{_MENU}<div><h1>+{{8}}</h1><p>+{{22}}<p>+{{60}}<p>+{{4}}<p>+{{35}}<p>+{{11}}<p>+{{1}}</div>{_FOOT}",
+    f"<div class=top><a>-{{1}}</a> <a>{{2}}</a></div><div>-{{2}}</div><div><a>-{{3}}</a></div><div><h1>+{{9}}</h1><div>+{{45}}</div><div>+{{18}} <a>{{2}}</a></div><div>+{{70}}</div></div><div><a>-{{5}}</a></div><div><a>-{{4}}</a></div><div>-&copy; {{4}}</div>",
+    f"<div id=sidebar><h3>-{{2}}</h3><p>-{{25}}<p>-{{9}}</div><h1>+{{5}}</h1><p>+{{33}}<h2>+{{4}}</h2><p>+{{28}}<p>+{{14}}<div class=related><h3>-{{2}}</h3><a>-{{6}}</a><p>-{{18}}</div>",
+    f"<table><tr><td><a>-{{2}}</a><td><a>-{{2}}</a></table><p>+{{50}}<p>+{{20}}<p>+{{40}}<table><tr><td><a>-{{1}}</a><td>-{{2}}<td><a>-{{2}}</a></table><p>-{{5}} all rights reserved",
+    f"<p>-{{2}}<p><a>-{{2}}</a><p><a>-{{3}}</a><h1>+{{4}}</h1><p>+{{25}}<p>+{{3}}<p>+{{16}}<p>-{{4}} subscribe {{3}}<p><a>-{{3}}</a>",
+    f"{_MENU}<h1>+{{6}}</h1><p>+{{34}}<p>+{{25}} copyright {{16}}<p>+{{40}}<ol><li>+{{4}}<li>+{{2}}<li>+{{6}}</ol><p>+{{5}}<h3>+{{2}}</h3><p>+{{28}}<p>+{{9}}<p>-{{2}} cookies {{3}}<ul><li><a>-{{1}}</a><li><a>-{{2}}</a></ul>",
+    f"<p><a>-{{2}}</a><p>-{{3}}<ul><li><a>-{{1}}</a><li><a>-{{1}}</a></ul><h2>+{{5}}</h2><p>+{{20}}<p>+{{30}} <a>{{6}}</a><p>+{{16}}<p><a>-{{4}}</a><p>-{{3}}<p><a>-{{2}}</a>",
+    # no main text at all
+    f"{_MENU}{_FOOT}",
+    f"<ul><li><a>-{{3}}</a><li><a>-{{7}}</a><li><a>-{{5}}</a></ul><div>-{{2}}</div><div><a>-{{8}}</a></div><div>-{{3}}</div><div><a>-{{9}}</a></div>",
+    f"<div class=cookies>-{{30}}</div><div class=menu>-{{2}}</div><form>-{{5}}</form>",
 ]
 
 
-def grow(x: np.ndarray, y: np.ndarray, least: int = 1, depth: int = 8):
+def labelled() -> tuple[np.ndarray, np.ndarray]:
+    """Features of the layouts' blocks, and 1 for main text."""
+    x, y = [], []
+    for page in LAYOUTS:
+        for size in (0.6, 1.0, 1.8):  # shorter and longer texts in the same place
+            got = blocks(re.sub(r"\{(\d+)\}", lambda m, size=size: " ".join(["word"] * max(1, round(size * int(m[1])))), page))
+            y += [b[0][0] == "+" for b in got]
+            x += features(got)
+    return np.array(x, float), np.array(y, float)
+
+
+def grow(x: np.ndarray, y: np.ndarray, least: int = 1, depth: int = 16):
     """A decision tree by Gini impurity: (column, threshold, left, right) or a share of ones."""
     share = float(y.mean())
     if depth == 0 or share in (0.0, 1.0) or len(y) < 2 * least:
@@ -125,9 +137,9 @@ def grow(x: np.ndarray, y: np.ndarray, least: int = 1, depth: int = 8):
     return best[1], best[2], grow(x[left], y[left], least, depth - 1), grow(x[~left], y[~left], least, depth - 1)
 
 
+@lru_cache(1)
 def trained():
-    t = np.array(LABELLED, float)
-    return grow(t[:, :-1], t[:, -1])
+    return grow(*labelled())
 
 
 def decide(tree, row: tuple) -> float:
@@ -137,23 +149,68 @@ def decide(tree, row: tuple) -> float:
     return tree
 
 
-class Block:
-    __slots__ = ("furniture", "heading", "item", "link", "main", "parts")
+class Open:
+    """The open elements of a page and what they say about the text inside; each step takes constant time per element opened."""
+
+    def __init__(self):
+        self.stack: list[tuple] = []  # name, begins main text, begins furniture, changes of strong and weak
+        self.at: dict[str, list[int]] = {}  # places of each name
+        self.walls: list[int] = []  # places of block elements, over which inline end tags do not reach
+        self.main = self.furniture = self.strong = self.weak = self.links = 0
+
+    def add(self, name: str, main: bool, furniture: bool, strong: int, weak: int) -> None:
+        self.at.setdefault(name, []).append(len(self.stack))
+        if name in BLOCK_TAGS and name != "p":
+            self.walls.append(len(self.stack))
+        self.stack.append((name, main, furniture, strong, weak))
+        self._count(self.stack[-1], 1)
+
+    def _count(self, item: tuple, sign: int) -> None:
+        name, main, furniture, strong, weak = item
+        self.main += sign * main
+        self.furniture += sign * furniture
+        self.strong += sign * strong
+        self.weak += sign * weak
+        self.links += sign * (name == "a")
+
+    def place(self, name: str) -> int:
+        """The innermost open element of this name; -1: none."""
+        return (self.at.get(name) or [-1])[-1]
+
+    def shut(self, k: int) -> None:
+        while len(self.stack) > k:
+            item = self.stack.pop()
+            self._count(item, -1)
+            self.at[item[0]].pop()
+            if self.walls and self.walls[-1] == len(self.stack):
+                self.walls.pop()
 
-    def __init__(self, main: bool, furniture: bool, heading: bool, item: bool):
-        self.parts: list[str] = []
-        self.link = 0
-        self.main, self.furniture, self.heading, self.item = main, furniture, heading, item
+    def end(self, name: str) -> None:
+        k = self.place(name)
+        if k >= 0 and not (name in INLINE and self.walls and self.walls[-1] > k):
+            self.shut(k)
+
+    def make_room(self, name: str) -> None:
+        """Ends what a block's start tag ends: an open paragraph, and for an item the one before it."""
+        p, wall = self.place("p"), self.walls[-1] if self.walls else -1
+        if p > wall:
+            self.shut(p)
+        if name == "li" and self.place("li") > max(self.place("ul"), self.place("ol")):
+            self.shut(self.place("li"))
+
+    def where(self) -> tuple[int, int]:
+        """place, as on a page without a main element, and named: 2 and 1 for the two lists of names."""
+        return (FURNITURE if self.furniture else INSIDE if self.main else ANYWHERE), (2 if self.strong else 1 if self.weak else 0)
 
 
 def blocks(page: str) -> list[tuple]:
-    """(text, words, link share, main, furniture, heading, item) of each non-empty block in page order."""
+    """(text, words, link share, place, named, heading, item) of each non-empty block in page order."""
     out: list[tuple] = []
-    stack: list[tuple[str, bool, bool, int]] = []  # open elements: name, begins main text, begins furniture, change of named
-    main = furniture = named = links = 0  # named: open elements that only a class name or id makes furniture
+    open_ = Open()
     seen = False  # an article or main element began
     heading = item = False
     parts: list[tuple[str, bool]] = []
+    unclosed: set[str] = set()  # raw elements that have no further end tag
 
     def flush():
         if parts:
@@ -161,26 +218,17 @@ def blocks(page: str) -> list[tuple]:
             if text:
                 linked = sum(len(p.split()) for p, a in parts if a)
                 words = len(text.split())
-                out.append((text, words, min(1.0, linked / words), main > 0, furniture + named > 0, heading, item))
+                out.append((text, words, min(1.0, linked / words), *open_.where(), heading, item))
             parts.clear()
 
-    def shut(k: int):
-        nonlocal main, furniture, named, links
-        for name, m, f, c in stack[k:]:
-            main -= m
-            furniture -= f
-            named -= c
-            links -= name == "a"
-        del stack[k:]
-
     at, n = 0, len(page)
     while at < n:
         m = _TOKEN.search(page, at)
         if m is None:
-            parts.append((page[at:], links > 0))
+            parts.append((page[at:], open_.links > 0))
             break
         if m.start() > at:
-            parts.append((page[at : m.start()], links > 0))
+            parts.append((page[at : m.start()], open_.links > 0))
         at = m.end()
         name = m[2]
         if name is None:
@@ -193,19 +241,16 @@ def blocks(page: str) -> list[tuple]:
                     heading = False
                 if name == "li":
                     item = False
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == name:
-                    shut(k)
-                    break
-                if name in ("p", "b", "i", "a", "span", "em", "strong") and stack[k][0] in BLOCK_TAGS and stack[k][0] != "p":
-                    break
+            open_.end(name)
             continue
         if name in SKIPPED or name in RAW:
             if m[3].endswith("/"):
                 continue
             if name in BLOCK_TAGS:
                 flush()
-            e = re.compile(rf"</{name}\s*>?", re.I).search(page, at)
+            e = None if name in unclosed else re.compile(rf"</{name}\s*>?", re.I).search(page, at)
+            if e is None:
+                unclosed.add(name)
             at = e.end() if e else n if name in ("script", "style") else at
             continue
         if name in BLOCK_TAGS:
@@ -213,55 +258,57 @@ def blocks(page: str) -> list[tuple]:
             heading = name[0] == "h" and len(name) == 2 and name[1].isdigit()
             item = name == "li"
             if name == "body":  # ends a head that was left open
-                shut(0)
-            if name == "p" and any(s[0] == "p" for s in stack[-3:]):
-                for k in range(len(stack) - 1, -1, -1):
-                    if stack[k][0] == "p":
-                        shut(k)
-                        break
+                open_.shut(0)
+            if name != "br":
+                open_.make_room(name)
         if name in VOID:
             continue
-        is_main, is_furniture, by_name = name in MAIN_TAGS, name in FURNITURE_TAGS, False
-        if m[3]:
-            for a in _ATTR.finditer(m[3]):
-                key, value = a[1].lower(), a[2] or a[3] or a[4] or ""
-                if key in ("class", "id"):
-                    by_name |= FURNITURE_NAMES.search(LAYOUT_NAMES.sub("", value)) is not None
-                elif key == "role":
-                    is_main |= value in ("main", "article")
-                    is_furniture |= value in ("navigation", "banner", "contentinfo", "complementary", "search", "form", "alert", "dialog", "menu")
-                elif key == "hidden" or (key == "aria-hidden" and value == "true") or (key == "style" and re.search(r"display\s*:\s*none", value)):
-                    is_furniture = True
-        if name == "header" and main and not furniture + named:
-            is_furniture = by_name = False  # an article's own heading
-        change = int(by_name and name not in ("html", "body", "article", "main"))
-        if name in MAIN_TAGS and (name == "main" or not (seen or by_name)):
-            change = -named  # a wrapper's class name does not make the page's text furniture; later articles may be comments or teasers
+        is_main, is_furniture, strong, weak = name in MAIN_TAGS, name in FURNITURE_TAGS, False, False
+        for a in _ATTR.finditer(m[3]):
+            key, value = a[1].lower(), a[2] or a[3] or a[4] or ""
+            if key in ("class", "id"):
+                value = LAYOUT_NAMES.sub("", value)
+                strong |= STRONG_NAMES.search(value) is not None
+                weak |= WEAK_NAMES.search(value) is not None
+            elif key == "role":
+                is_main |= value in ("main", "article")
+                is_furniture |= value in ("navigation", "banner", "contentinfo", "complementary", "search", "form", "alert", "dialog", "menu")
+            elif key == "hidden" or (key == "aria-hidden" and value == "true") or (key == "style" and re.search(r"display\s*:\s*none", value)):
+                is_furniture = True
+        if name == "header" and open_.main and not open_.furniture + open_.strong:
+            is_furniture = False  # an article's own heading
+        named = name not in ("html", "body", "article", "main")
+        change = (int(strong and named), int(weak and named))
+        if name in MAIN_TAGS and (name == "main" or not (seen or strong)):
+            change = (-open_.strong, -open_.weak)  # a wrapper's class name does not make the page's text furniture; later articles may be comments or teasers
         seen |= name in MAIN_TAGS
-        stack.append((name, is_main, is_furniture, change))
-        named += change
-        main += is_main
-        furniture += is_furniture
-        links += name == "a"
-        if len(stack) > 4000:
-            shut(2000)
+        open_.add(name, is_main, is_furniture, *change)
     flush()
     return out
 
 
+def length(words: int) -> int:
+    """Words by powers of two: 0, 1-2, 3-6, 7-14, 15-30, more."""
+    return min(5, (words + 1).bit_length() - 1)
+
+
+def features(got: list[tuple]) -> list[tuple]:
+    """A row of COLUMNS for each block."""
+    has_main = any(b[3] == INSIDE for b in got)
+    none = ("", 0, 0.0)
+    out = []
+    for i, (text, words, links, place, named, heading, item) in enumerate(got):
+        p, q = got[i - 1] if i else none, got[i + 1] if i + 1 < len(got) else none
+        place = OUTSIDE if has_main and place == ANYWHERE else place
+        out.append((length(words), links, length(p[1]), p[2], length(q[1]), q[2], place, named, heading, item, _NOTICE.search(text) is not None))
+    return out
+
+
 def main_text(page: str | None, tree) -> str:
     if not page:
         return ""
     got = blocks(page)
-    has_main = float(any(b[3] and not b[4] for b in got))
-    kept = []
-    for i, b in enumerate(got):
-        p = got[i - 1] if i else (None, 0, 0.0)
-        q = got[i + 1] if i + 1 < len(got) else (None, 0, 0.0)
-        row = (b[1], b[2], p[1], p[2], q[1], q[2], b[3], b[4], b[5], b[6], _NOTICE.search(b[0]) is not None, has_main)
-        if decide(tree, row) >= 0.5:
-            kept.append(b[0])
-    return "\n".join(kept)
+    return "\n".join(b[0] for b, row in zip(got, features(got), strict=True) if decide(tree, row) >= 0.5)
 
 
 def _run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
