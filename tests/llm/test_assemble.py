@@ -159,6 +159,40 @@ def test_ann_recall(spark):
     assert recall(*vectors(spark)) >= 0.9
 
 
+def test_ann_looks_at_few_rows_where_neighbours_are_near(spark, monkeypatch):
+    monkeypatch.setattr(annforest, "SHARD_ROWS", 4000)
+    rng = np.random.default_rng(4)
+    x = np.repeat(rng.normal(size=(200, 24)), 60, 0) + 0.05 * rng.normal(size=(12_000, 24))
+    df = spark.createDataFrame([(k, v.tolist(), "x") for k, v in enumerate(x)], "vec_id long, embedding array<double>, score string")
+    assert recall(df, x) >= 0.9
+    r = annforest.stats(df).first()
+    assert (r["queries"], r["shards"]) == (600, 3) and r["share"] < 0.15
+
+
+def test_ann_ties_go_to_the_smaller_id(spark):
+    # 60 vectors tie for the places of query 0 and 300 more lie behind them
+    rng = np.random.default_rng(5)
+    x = np.concatenate([np.eye(64)[[0]], [np.eye(64)[0] + np.eye(64)[1 + k] for k in range(60)], rng.normal(size=(300, 64)) * 0.01])
+    ids = [0, *rng.permutation(np.arange(1, 61)).tolist(), *range(1001, 1600, 2)][: len(x)]
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in zip(ids, x, strict=True)], "vec_id long, embedding array<double>")
+    got = [(r["rank"], r["vec_id"]) for r in annforest.search(df).where("query_id = 0").orderBy("rank").collect()]
+    assert got == [(k, k) for k in range(1, 21)]
+
+
+def test_the_ascent_offers_what_shares_prefixes():
+    rng = np.random.default_rng(6)
+    f = annforest.Forest(rng.normal(size=(300, 16)))
+    q = rng.normal(size=(3, 16))
+    h = annforest.strings(q, f.planes)
+    lo, hi = f.ranges(h)
+    for i in range(3):
+        for s in range(annforest.SYMBOLS + 1):
+            shift = f.bits * (annforest.SYMBOLS - s)
+            assert (hi[i, :, s] - lo[i, :, s]).tolist() == ((f.h >> shift) == (h[i] >> shift)).sum(0).tolist()
+    steps = f.offered((hi - lo).astype(np.int64))
+    assert (np.diff(steps, axis=1) >= 0).all() and (steps[:, -1] == 300 * annforest.TREES).all()
+
+
 def test_ann_small_table_is_exact(spark):
     assert recall(*vectors(spark, 260)) == 1.0
     few = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.5, 0.5]), (2, [1.0, 0.0])], "vec_id long, embedding array<double>")
