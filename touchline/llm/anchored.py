@@ -177,7 +177,7 @@ class Search:
         rows = self.rows.select("doc_id", "th", "a", "f", F.shiftright("p", 20).alias("s"), F.shiftright("p", 10).bitwiseAND(1023).alias("k"))
         if first_only:
             cls = self.classes.select("a", "f", "m", F.struct("doc_id", "s").alias("first")).join(hit, ["a", "f"], "left").where("m > 1 or spans is not null")
-            rows = rows.join(cls, ["a", "f"])
+            rows = rows.join(checkpointed(cls), ["a", "f"])  # written first: a class that holds most rows is split in a join of two plain shuffles
             whole = F.array(F.struct(F.lit(0).cast("long").alias("lo"), F.col("k").alias("n")))
             rows = rows.withColumn("spans", F.when(F.struct("doc_id", "s") > F.col("first"), whole).otherwise(F.col("spans"))).where("spans is not null")
         else:

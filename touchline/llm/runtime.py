@@ -9,10 +9,15 @@ from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; only where the session names none (tests) a temporary one is set."""
+    """The folder in spark.checkpoint.dir. A session that names none gets one in the system's temporary folder if its tasks run in the driver's own process (tests, bench); on a cluster that is an error, for executors do not see the driver's disk."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="ckpt"))
+        named = sc.getConf().get("spark.checkpoint.dir")
+        if not named:
+            if not sc.master.split("[")[0] == "local":
+                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+            named = tempfile.mkdtemp(prefix="ckpt")
+        sc.setCheckpointDir(named)
     return sc.getCheckpointDir()
 
 
