@@ -1,8 +1,8 @@
 """HOTA, CLEAR and Identity metrics from their published definitions.
 
-Frames of a sequence are reduced to matrices of similarity between ground-truth
-and predicted tracks; a sequence is one group, as the association terms need all
-of its frames. Similarity is the IoU of boxes, or for pitch positions
+A sequence is one group, as the association terms need all of its frames. Its
+frames are handled together as one list of similar pairs; only frames in which
+boxes compete are assigned one at a time. Similarity is the IoU of boxes, or for pitch positions
 exp(-d^2 / (2 * sigma^2)) with the tolerance in metres set so that it is 0.05.
 """
 
@@ -14,72 +14,123 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
-from touchline.operators.matching import assign, iou_matrix, renewed
+from touchline.operators.matching import assign, box_iou, frame_pairs, renewed
 
 ALPHAS = np.arange(0.05, 0.99, 0.05)
 OUT = "seq string, hota double, deta double, assa double, mota double, idf1 double, idsw long, tp long, fp long, fn long"
 
 
 def pitch_similarity(a: np.ndarray, b: np.ndarray, tolerance: float = 5.0) -> np.ndarray:
-    d2 = ((a[:, None] - b[None]) ** 2).sum(2)
-    return np.exp(d2 * math.log(0.05) / tolerance**2)
+    """Similarity of rows of positions, one to one."""
+    return np.exp(((a - b) ** 2).sum(1) * math.log(0.05) / tolerance**2)
 
 
-def evaluate(frames: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> dict[str, float]:
-    """frames: (ground-truth ids, predicted ids, similarity) of each frame, ids from 0."""
-    n_gt = max((int(g.max()) + 1 for g, _, _ in frames if len(g)), default=0)
-    n_pr = max((int(p.max()) + 1 for _, p, _ in frames if len(p)), default=0)
-    gts, prs = np.zeros(n_gt), np.zeros(n_pr)
-    together = np.zeros((n_gt, n_pr))
-    for g, p, s in frames:
-        gts[g] += 1
-        prs[p] += 1
-        if len(g) and len(p):
-            total = s.sum(0)[None] + s.sum(1)[:, None] - s
-            together[np.ix_(g, p)] += np.divide(s, total, out=np.zeros_like(s), where=total > 1e-12)
+class Pairs:
+    """Similar pairs of a sequence: frame, ground-truth row and track, predicted row and track, similarity. Sorted by frame."""
+
+    def __init__(self, frame, g_row, p_row, g, p, s):
+        self.frame, self.g_row, self.p_row, self.g, self.p, self.s = frame, g_row, p_row, g, p, s
+
+    def where(self, some: np.ndarray) -> Pairs:
+        return Pairs(*(getattr(self, c)[some] for c in ("frame", "g_row", "p_row", "g", "p", "s")))
+
+    def contested(self) -> np.ndarray:
+        """Pairs of which a box has another pair."""
+        return (np.bincount(self.g_row)[self.g_row] > 1) | (np.bincount(self.p_row)[self.p_row] > 1) if len(self.s) else np.zeros(0, bool)
+
+    def frames(self) -> list[tuple[int, int]]:
+        cuts = np.flatnonzero(np.diff(self.frame)) + 1
+        return [x for x in zip([0, *cuts.tolist()], [*cuts.tolist(), len(self.s)], strict=True) if x[0] < x[1]]
+
+
+def best_of_frame(q: Pairs, a: int, b: int, gain: np.ndarray) -> np.ndarray:
+    """Indices, among a..b, of the one-to-one pairs with the largest total gain."""
+    gs, x = np.unique(q.g_row[a:b], return_inverse=True)
+    ps, y = np.unique(q.p_row[a:b], return_inverse=True)
+    m, at = np.zeros((len(gs), len(ps))), np.full((len(gs), len(ps)), -1)
+    m[x, y], at[x, y] = gain[a:b], np.arange(a, b)
+    got = at[assign(-m)]
+    return got[got >= 0]
+
+
+def chosen(q: Pairs, gain: np.ndarray) -> np.ndarray:
+    """Flags of the pairs of the best assignment of every frame."""
+    keep = ~q.contested()
+    hard = np.flatnonzero(~keep)
+    h = q.where(hard)
+    for a, b in h.frames():
+        keep[hard[best_of_frame(h, a, b, gain[hard])]] = True
+    return keep
+
+
+def switches_of(q: Pairs) -> tuple[int, int]:
+    """Matches and identity switches when each frame keeps the pairs of the one before where they still match."""
+    last: dict[int, int] = {}
+    before: dict[int, int] = {}
+    at, matched, switches = -2, 0, 0
+    contested = q.contested()
+    for a, b in q.frames():
+        frame = int(q.frame[a])
+        if frame != at + 1:
+            before = {}
+        pick = np.arange(a, b)
+        if contested[a:b].any():
+            stay = np.array([before.get(int(g)) == int(p) for g, p in zip(q.g[a:b], q.p[a:b], strict=True)])
+            gain = np.zeros(len(q.s))
+            gain[a:b] = 1000 * stay + q.s[a:b]
+            pick = best_of_frame(q, a, b, gain)
+        now = dict(zip(q.g[pick].tolist(), q.p[pick].tolist(), strict=True))
+        switches += sum(last.get(g, p) != p for g, p in now.items())
+        last.update(now)
+        matched += len(now)
+        before, at = now, frame
+    return matched, switches
+
+
+def measures(q: Pairs, gts: np.ndarray, prs: np.ndarray) -> dict[str, float]:
+    """q: pairs with a similarity above 0; gts, prs: number of boxes of each track."""
+    shape = (len(gts), len(prs))
+    cell = q.g * shape[1] + q.p
+
+    def table(weight=None, some=slice(None)) -> np.ndarray:
+        return np.bincount(cell[some], None if weight is None else weight[some], shape[0] * shape[1]).reshape(shape).astype(float)
+
+    n = max(int(q.g_row.max(initial=-1)), int(q.p_row.max(initial=-1))) + 1
+    by_g, by_p = np.bincount(q.g_row, q.s, n), np.bincount(q.p_row, q.s, n)
+    total = by_g[q.g_row] + by_p[q.p_row] - q.s
+    together = table(np.divide(q.s, total, out=np.zeros_like(q.s), where=total > 1e-12))
     align = together / np.maximum(1e-12, gts[:, None] + prs[None] - together)
-    matches = np.zeros((len(ALPHAS), n_gt, n_pr))
-    tp = np.zeros(len(ALPHAS))
-    for g, p, s in frames:
-        if len(g) and len(p):
-            r, c = assign(-(align[np.ix_(g, p)] * s))
-            for k, a in enumerate(ALPHAS):
-                ok = s[r, c] >= a - 1e-12
-                tp[k] += ok.sum()
-                matches[k, g[r[ok]], p[c[ok]]] += 1
-    fn, fp = gts.sum() - tp, prs.sum() - tp
-    ass = matches / np.maximum(1, gts[None, :, None] + prs[None, None] - matches)
-    assa = (matches * ass).sum((1, 2)) / np.maximum(1, tp)
-    deta = tp / np.maximum(1, tp + fn + fp)
-    # CLEAR: keep last frame's pairs where they still match
-    last, switches, ctp = {}, 0, 0
-    prev: dict[int, int] = {}
-    for g, p, s in frames:
-        now = {}
-        if len(g) and len(p):
-            stay = np.array([[float(prev.get(int(x)) == int(y)) for y in p] for x in g])
-            score = np.where(s >= 0.5, 1000 * stay + s, 0)
-            for i, j in zip(*assign(-score), strict=True):
-                if s[i, j] >= 0.5:
-                    now[int(g[i])] = int(p[j])
-        ctp += len(now)
-        for x, y in now.items():
-            switches += x in last and last[x] != y
-            last[x] = y
-        prev = now
-    # Identity: one global assignment of tracks
-    over = np.zeros((n_gt, n_pr))
-    for g, p, s in frames:
-        if len(g) and len(p):
-            over[np.ix_(g, p)] += s >= 0.5
+    keep = chosen(q, align.ravel()[cell] * q.s if shape[0] * shape[1] else q.s)
+    hota = []
+    for alpha in ALPHAS:
+        m = table(some=keep & (q.s >= alpha - 1e-12))
+        tp = m.sum()
+        fn, fp = gts.sum() - tp, prs.sum() - tp
+        shared = m / np.maximum(1, gts[:, None] + prs[None] - m)
+        hota.append((tp / max(1, tp + fn + fp), (m * shared).sum() / max(1, tp)))
+    deta, assa = np.array(hota).T
+    matched, switches = switches_of(q.where(q.s >= 0.5))
+    over = table(some=q.s >= 0.5)
     idtp = over[assign(-over)].sum() if over.size else 0.0
-    cfn, cfp = gts.sum() - ctp, prs.sum() - ctp
+    fn, fp = gts.sum() - matched, prs.sum() - matched
     return {
-        "hota": float(np.sqrt(deta * assa).mean()), "deta": float(deta.mean()), "assa": float(assa.mean()), "mota": float((ctp - cfp - switches) / max(1, gts.sum())),
-        "idf1": float(2 * idtp / max(1, gts.sum() + prs.sum())), "idsw": int(switches), "tp": int(ctp), "fp": int(cfp), "fn": int(cfn),
+        "hota": float(np.sqrt(deta * assa).mean()), "deta": float(deta.mean()), "assa": float(assa.mean()), "mota": float((matched - fp - switches) / max(1, gts.sum())),
+        "idf1": float(2 * idtp / max(1, gts.sum() + prs.sum())), "idsw": int(switches), "tp": int(matched), "fp": int(fp), "fn": int(fn),
     }
 
 
+def evaluate(frames: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> dict[str, float]:
+    """frames: (ground-truth ids, predicted ids, similarity) of each frame, ids from 0."""
+    rows, at_g, at_p = [], 0, 0
+    for k, (g, p, s) in enumerate(frames):
+        i, j = np.nonzero(np.asarray(s) > 0) if len(g) and len(p) else (np.zeros(0, int), np.zeros(0, int))
+        rows.append((np.full(len(i), k), at_g + i, at_p + j, np.asarray(g, int)[i], np.asarray(p, int)[j], np.asarray(s, float)[i, j] if len(i) else np.zeros(0)))
+        at_g, at_p = at_g + len(g), at_p + len(p)
+    q = Pairs(*(np.concatenate([r[c] for r in rows]) if rows else np.zeros(0, int if c < 5 else float) for c in range(6)))
+    gts, prs = (np.bincount(np.concatenate([np.asarray(f[c], int) for f in frames] or [np.zeros(0, int)])).astype(float) for c in (0, 1))
+    return measures(q, gts, prs)
+
+
 def tracking_metrics(gt: DataFrame, pred: DataFrame, space: str = "image", attributes: bool = False) -> DataFrame:
     """One row per sequence. gt and pred: seq, image_id, track_id, l, t, w, h or px, py; with attributes also ``label``, which must agree."""
     cols = ["l", "t", "w", "h"] if space == "image" else ["px", "py"]
@@ -87,18 +138,20 @@ def tracking_metrics(gt: DataFrame, pred: DataFrame, space: str = "image", attri
 
     def one(g: pd.DataFrame, p: pd.DataFrame) -> pd.DataFrame:
         seq = (g if len(g) else p).seq.iloc[0]
-        g = g.assign(k=pd.factorize(g.track_id, sort=True)[0])
-        p = p.assign(k=pd.factorize(p.track_id, sort=True)[0])
-        by = {k: x for k, x in p.groupby("image_id")}
-        byg = {k: x for k, x in g.groupby("image_id")}
-        frames = []
-        for image in sorted(set(by) | set(byg)):
-            a, b = byg.get(image, g.iloc[:0]), by.get(image, p.iloc[:0])
-            x, y = a[cols].to_numpy(float), b[cols].to_numpy(float)
-            s = iou_matrix(x, y) if space == "image" else pitch_similarity(x, y)
-            if attributes and s.size:
-                s = np.where(a.label.to_numpy()[:, None] == b.label.to_numpy()[None], s, 0.0)
-            frames.append((a.k.to_numpy(), b.k.to_numpy(), s))
-        return pd.DataFrame([{"seq": seq, **evaluate(frames)}])
+        both = pd.concat([g.assign(side=1), p.assign(side=0)], ignore_index=True).sort_values(["image_id", "side", "track_id"], kind="stable")
+        side, frame = both.side.to_numpy(), pd.factorize(both.image_id, sort=True)[0]
+        track, n = np.zeros(len(both), np.int64), [0, 0]
+        for k in (0, 1):
+            codes, names = pd.factorize(both.track_id[side == k], sort=True)
+            track[side == k], n[k] = codes, len(names)
+        x = both[cols].to_numpy(float)
+        i, j = frame_pairs(frame, side)
+        s = box_iou(x[i], x[j]) if space == "image" else pitch_similarity(x[i], x[j])
+        if attributes:
+            label = both.label.to_numpy()
+            s = np.where(label[i] == label[j], s, 0.0)
+        i, j, s = i[s > 0], j[s > 0], s[s > 0]
+        counts = [np.bincount(track[side == k], minlength=n[k]).astype(float) for k in (1, 0)]
+        return pd.DataFrame([{"seq": seq, **measures(Pairs(frame[i], j, i, track[j], track[i], s), *counts)}])
 
     return renewed(gt, keep).groupBy("seq").cogroup(renewed(pred, keep).groupBy("seq")).applyInPandas(one, OUT)
