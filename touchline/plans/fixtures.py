@@ -6,9 +6,16 @@ from pyspark.sql import DataFrame, SparkSession
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 
+
+
+def sequence(key: str) -> str:
+    """Twenty sequences side by side, and twenty new ones after each 751 frames: a sequence is bounded, their number grows with the tables."""
+    return f"concat('s', CAST({key} % 20 + 20 * CAST(floor({key} / 15020.0) AS BIGINT) AS STRING))"
+
+
 #: One row per box. (l_orderkey, l_linenumber) repeats, so boxes are numbered inside their image.
-DETECTIONS = """
-SELECT l_orderkey * 1000 + rn AS det_id, concat('s', CAST(l_orderkey % 20 AS STRING)) AS seq, l_orderkey AS image_id,
+DETECTIONS = f"""
+SELECT l_orderkey * 1000 + rn AS det_id, {sequence('l_orderkey')} AS seq, l_orderkey AS image_id,
        CAST(floor(l_orderkey / 20.0) AS BIGINT) AS frame,
        CAST(l_partkey * 37 % 300 AS DOUBLE) AS l, CAST((l_suppkey * 53 + l_linenumber * 17) % 300 AS DOUBLE) AS t,
        CAST(5 + l_partkey % 56 AS DOUBLE) AS w, CAST(5 + CAST(l_quantity AS BIGINT) * 7 % 116 AS DOUBLE) AS h,
@@ -21,9 +28,9 @@ FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber
 """
 
 #: One row per image.
-FRAMES = """
-SELECT DISTINCT concat('s', CAST(o_orderkey % 20 AS STRING)) AS seq, o_orderkey AS image_id, CAST(floor(o_orderkey / 20.0) AS BIGINT) AS frame,
-       concat('data/s', CAST(o_orderkey % 20 AS STRING), '/img1/', lpad(CAST(CAST(floor(o_orderkey / 20.0) AS BIGINT) AS STRING), 8, '0'), '.jpg') AS file_path,
+FRAMES = f"""
+SELECT DISTINCT {sequence('o_orderkey')} AS seq, o_orderkey AS image_id, CAST(floor(o_orderkey / 20.0) AS BIGINT) AS frame,
+       concat('data/', {sequence('o_orderkey')}, '/img1/', lpad(CAST(CAST(floor(o_orderkey / 20.0) AS BIGINT) AS STRING), 8, '0'), '.jpg') AS file_path,
        CAST(o_custkey % 101 AS DOUBLE) / 100.0E0 AS score, CAST(o_custkey % 90 AS DOUBLE) - 45.0E0 AS pan, CAST(60 + o_custkey % 30 AS DOUBLE) AS tilt,
        CAST(30 + o_custkey % 40 AS DOUBLE) AS hfov, o_custkey % 7 > 0 AS listed
 FROM (SELECT o_orderkey, min(o_custkey) AS o_custkey FROM orders GROUP BY o_orderkey) x

@@ -9,7 +9,7 @@ from touchline.functions import geometry as geo
 from touchline.functions import text
 from touchline.operators import audit, cluster, matching, metrics, overlap, refine, roles, tracks, votes
 from touchline.plans import fixtures as fx
-from touchline.plans.queries import FR, POOL, RANKED, ROLE_SQL, TR, TRAJ, D, both_stats, overlap_sql, pred_gt, r6, register, trajectories
+from touchline.plans.queries import FR, IOU_SQL, POOL, RANKED, ROLE_SQL, TR, TRAJ, D, both_stats, overlap_sql, pred_gt, r6, register, trajectories
 from touchline.sources import state
 
 # --- predicates and boxes ------------------------------------------------------------------------------
@@ -265,18 +265,43 @@ def pairs_by(rule):
     return q
 
 
+#: Pairs of an image in the order in which a rule looks at them; each is taken unless one of its boxes has gone.
+def taken_sql(order: str) -> str:
+    return f"""(WITH RECURSIVE q AS (SELECT image_id, list(struct_pack(p := pred_id, g := gt_id, v := iou) ORDER BY {order}) AS x FROM {IOU_SQL} z WHERE iou >= 0.5 GROUP BY image_id),
+s AS (SELECT image_id, x, 1 AS k, CAST([] AS BIGINT[]) AS ps, CAST([] AS BIGINT[]) AS gs, CAST([] AS DOUBLE[]) AS vs FROM q
+UNION ALL SELECT image_id, x, k + 1, CASE WHEN f THEN list_append(ps, x[k].p) ELSE ps END, CASE WHEN f THEN list_append(gs, x[k].g) ELSE gs END, CASE WHEN f THEN list_append(vs, x[k].v) ELSE vs END
+FROM (SELECT *, NOT list_contains(ps, x[k].p) AND NOT list_contains(gs, x[k].g) AS f FROM s WHERE k <= len(x)) t)
+SELECT image_id, unnest(ps) AS pred_id, unnest(gs) AS gt_id, unnest(vs) AS iou FROM s WHERE k = len(x) + 1)"""
+
+
+GREEDY, ORDERLY = taken_sql("iou DESC, pred_id, gt_id"), taken_sql("pred_id, iou DESC, gt_id DESC")
+#: The largest total IoU of each image: every prediction in turn goes to each free box that it touches, or to none; a state is the set of boxes taken.
+TOTALS = f"""(WITH RECURSIVE p AS (SELECT image_id, pred_id, list(struct_pack(g := gt_id, v := iou)) AS x FROM {IOU_SQL} z WHERE iou > 0 GROUP BY image_id, pred_id),
+q AS (SELECT image_id, list(x ORDER BY pred_id) AS xs FROM p GROUP BY image_id),
+s AS (SELECT image_id, xs, 1 AS k, CAST([] AS BIGINT[]) AS gs, 0.0E0 AS total FROM q
+UNION ALL SELECT image_id, xs, k + 1, CASE WHEN o.v > 0 THEN list_append(gs, o.g) ELSE gs END, total + o.v FROM (SELECT *, unnest(list_append(xs[k], struct_pack(g := CAST(-1 AS BIGINT), v := 0.0E0))) AS o FROM s WHERE k <= len(xs)) t WHERE NOT list_contains(gs, o.g))
+SELECT image_id, max(total) AS total FROM s WHERE k = len(xs) + 1 GROUP BY image_id)"""
+
+
 register("j13_optimal_matches")(pairs_by(matching.optimal))
-register("j14_greedy_matches")(pairs_by(matching.greedy))
-register("j15_matches_in_order")(pairs_by(matching.in_order))
+register("j14_greedy_matches", f"SELECT image_id, pred_id, gt_id, round(iou, 6) AS iou FROM {GREEDY} m")(pairs_by(matching.greedy))
+register("j15_matches_in_order", f"SELECT image_id, pred_id, gt_id, round(iou, 6) AS iou FROM {ORDERLY} m")(pairs_by(matching.in_order))
+
+
+# assignments of one total may differ between engines, their totals do not
+@register("j13_optimal_totals", f"SELECT image_id, round(total, 6) AS total FROM {TOTALS} m")
+def _(spark, d):
+    p, g = pred_gt(spark, d)
+    return matching.match(p, g, matching.optimal, 1e-12).groupBy("image_id").agg(F.round(F.sum("iou"), 6).alias("total"))
 
 
-@register("a25_detection_metrics")
+@register("a25_detection_metrics", f"SELECT tp, n_gt, n_pred, round(m, 6) AS mean_iou, round(tp / CAST(n_pred AS DOUBLE), 6) AS precision, round(tp / CAST(n_gt AS DOUBLE), 6) AS recall, round(2.0 * tp / (n_pred + n_gt), 6) AS f1 FROM (SELECT count(*) AS tp, avg(iou) AS m FROM {GREEDY} x) a, (SELECT count(*) AS n_gt, count(*) FILTER (conf > 0.2) AS n_pred FROM {D} d) b")
 def _(spark, d):
     p, g = pred_gt(spark, d)
     return metrics.detection_summary(g, p, matching.match(p, g, matching.greedy)).select("tp", "n_gt", "n_pred", *r6("mean_iou", "precision", "recall", "f1"))
 
 
-@register("a25_recall_by_height")
+@register("a25_recall_by_height", f"SELECT CASE WHEN h < 40 THEN 0 WHEN h < 80 THEN 40 ELSE 80 END AS bin, count(*) AS n, round(count(gt_id) / CAST(count(*) AS DOUBLE), 6) AS recall FROM {D} d LEFT JOIN {GREEDY} m ON d.det_id = m.gt_id GROUP BY 1")
 def _(spark, d):
     p, g = pred_gt(spark, d)
     return metrics.recall_by_height(g, matching.match(p, g, matching.greedy)).select("bin", "n", *r6("recall"))
@@ -326,13 +351,6 @@ def _(spark, d):
     return det.where("conf > 0.5").select("det_id", "conf", "track_id").unionByName(det.where("track_id = 3").select("track_id", "det_id"), allowMissingColumns=True)
 
 
-@register("o5_set_operations", f"SELECT 'both' AS kind, track_id FROM (SELECT track_id FROM {D} d WHERE conf > 0.9 AND seq = 's1' INTERSECT SELECT track_id FROM {D} d WHERE conf < 0.1 AND seq = 's1') a UNION ALL SELECT 'first', track_id FROM (SELECT track_id FROM {D} d WHERE conf > 0.9 AND seq = 's1' EXCEPT SELECT track_id FROM {D} d WHERE conf < 0.1 AND seq = 's1') b")
-def _(spark, d):
-    det = fx.detections(spark, d).where("seq = 's1'")
-    a, b = det.where("conf > 0.9").select("track_id"), det.where("conf < 0.1").select("track_id")
-    return a.intersect(b).select(F.lit("both").alias("kind"), "track_id").unionByName(a.subtract(b).select(F.lit("first").alias("kind"), "track_id"))
-
-
 # all sequences; the tracks of a fixture column have no low box
 @register("o5_set_operations_whole", f"WITH d AS (SELECT seq, track_id, conf, CASE WHEN track_id % 5 = 0 THEN conf + 1 ELSE conf END AS low FROM {D} d) SELECT 'both' AS kind, seq, track_id FROM (SELECT seq, track_id FROM d WHERE conf > 0.9 INTERSECT SELECT seq, track_id FROM d WHERE low < 0.1) a UNION ALL SELECT 'first', seq, track_id FROM (SELECT seq, track_id FROM d WHERE conf > 0.9 EXCEPT SELECT seq, track_id FROM d WHERE low < 0.1) b")
 def _(spark, d):
@@ -341,10 +359,11 @@ def _(spark, d):
     return a.intersect(b).select(F.lit("both").alias("kind"), "seq", "track_id").unionByName(a.subtract(b).select(F.lit("first").alias("kind"), "seq", "track_id"))
 
 
-@register("o6_stratified_sample")
+# the order of a seed is that of the MD5 of seed and id, which any engine can make
+@register("o6_stratified_sample", f"SELECT det_id, crop_single FROM (SELECT f.det_id, crop_single, row_number() OVER (PARTITION BY crop_single ORDER BY md5(concat('0|', CAST(f.det_id AS STRING))), f.det_id) AS r FROM ({overlap_sql('b.track_id IS NOT NULL')}) f JOIN {D} d ON f.det_id = d.det_id WHERE track_id IS NOT NULL) q WHERE r <= 24")
 def _(spark, d):
     det = overlap.crop_filter(fx.detections(spark, d)).where("track_id IS NOT NULL")
-    halves = [det.where(F.col("crop_single") == s).orderBy(F.xxhash64(F.lit(0), "det_id"), "det_id").limit(24) for s in (True, False)]
+    halves = [det.where(F.col("crop_single") == s).orderBy(F.md5(F.concat(F.lit("0|"), F.col("det_id").cast("string"))), "det_id").limit(24) for s in (True, False)]
     return halves[0].unionByName(halves[1]).select("det_id", "crop_single")
 
 
@@ -358,11 +377,6 @@ def median_with_fallback(r):
     return r.where(F.when(F.col("ns") >= 3, F.col("crop_single")).otherwise(F.col("i") <= 3)).groupBy("seq", "track_id").agg(F.median("l").alias("m"), (F.max("ns") < 3).alias("fallback"))
 
 
-@register("a5_median_with_fallback", f"WITH f AS ({overlap_sql('b.track_id IS NOT NULL')}), r AS (SELECT seq, track_id, det_id, crop_single, l, sum(CAST(crop_single AS INTEGER)) OVER (PARTITION BY seq, track_id) AS ns, row_number() OVER (PARTITION BY seq, track_id ORDER BY crop_rt, det_id) AS i FROM f JOIN {D} d USING (det_id) WHERE track_id IS NOT NULL AND det_id % 5 = 0) SELECT seq, track_id, median(l) AS m, max(ns) < 3 AS fallback FROM r WHERE CASE WHEN ns >= 3 THEN crop_single ELSE i <= 3 END GROUP BY seq, track_id")
-def _(spark, d):
-    return median_with_fallback(overlap.crop_filter(fx.detections(spark, d)).where("track_id IS NOT NULL AND det_id % 5 = 0"))
-
-
 # every tracked box; the tracks of a fixture column have no single crops and fall back
 @register("a5_median_with_fallback_whole", f"WITH f AS ({overlap_sql('b.track_id IS NOT NULL')}), s AS (SELECT seq, track_id, det_id, crop_rt, l, crop_single AND track_id % 8 > 0 AS single FROM f JOIN {D} d USING (det_id) WHERE track_id IS NOT NULL), r AS (SELECT *, sum(CAST(single AS INTEGER)) OVER (PARTITION BY seq, track_id) AS ns, row_number() OVER (PARTITION BY seq, track_id ORDER BY crop_rt, det_id) AS i FROM s) SELECT seq, track_id, median(l) AS m, max(ns) < 3 AS fallback FROM r WHERE CASE WHEN ns >= 3 THEN single ELSE i <= 3 END GROUP BY seq, track_id")
 def _(spark, d):
@@ -509,7 +523,7 @@ def _(spark, d):
     return spark.createDataFrame(geo.pitch_points(), "class string, i int, x double, y double, z double").select("class", "i", *r6("x", "y", "z"))
 
 
-@register("s5_camera_json", f"SELECT concat('s', CAST(image_id % 20 AS STRING)) AS seq, regexp_extract(file_path, '[^/]+$') AS name, score, pan FROM {FR} f WHERE listed")
+@register("s5_camera_json", f"SELECT seq, regexp_extract(file_path, '[^/]+$') AS name, score, pan FROM {FR} f WHERE listed")
 def _(spark, d):
     from touchline.sources import camera_json
 
@@ -532,14 +546,26 @@ def _(spark, d):
     return audit.tracked_share(fx.detections(spark, d)).select("seq", F.round(F.col("observed")["share"], 6).alias("share"), "verdict")
 
 
-@register("q5_crop_label_check", f"SELECT DISTINCT seq, 'PASS' AS verdict FROM {D} d")
+#: Sequences of which a fixture spoils some rows.
+SPOILT = "CAST(substr(seq, 2) AS BIGINT) % 3 = 0"
+
+
+@register("q5_crop_label_check", f"WITH f AS ({overlap_sql('b.track_id IS NOT NULL')}), x AS (SELECT d.seq, crop_single, crop_trigger, {SPOILT} AND d.det_id % 50 = 0 AS flip, {SPOILT} AND d.det_id % 70 = 0 AS mute FROM f JOIN {D} d ON f.det_id = d.det_id), n AS (SELECT seq, count(*) FILTER (flip) AS wrong, count(*) FILTER (flip <> NOT crop_single AND (crop_trigger IS NULL OR mute)) AS silent, count(*) FILTER (flip <> crop_single AND crop_trigger IS NOT NULL AND NOT mute) AS extra FROM x GROUP BY seq) SELECT seq, wrong, silent, extra, CASE WHEN wrong + silent + extra > 0 THEN 'FAIL' ELSE 'PASS' END AS verdict FROM n")
 def _(spark, d):
-    return audit.crop_labels(overlap.crop_filter(fx.detections(spark, d))).select("seq", "verdict")
+    bad = F.expr(SPOILT)
+    t = overlap.crop_filter(fx.detections(spark, d))
+    t = t.withColumn("crop_single", F.col("crop_single") != (bad & (F.col("det_id") % 50 == 0))).withColumn("crop_trigger", F.when(~(bad & (F.col("det_id") % 70 == 0)), F.col("crop_trigger")))
+    return audit.crop_labels(t).select("seq", *[F.col("observed")[c].cast("long").alias(c) for c in ("wrong", "silent", "extra")], "verdict")
 
 
-@register("q7_gate_check", f"SELECT DISTINCT seq, 'PASS' AS verdict FROM {D} d")
+@register("q7_gate_check", f"WITH m AS (SELECT seq, track_id, avg(px) AS x, avg(py) AS y FROM {D} d WHERE px IS NOT NULL AND py IS NOT NULL AND track_id IS NOT NULL GROUP BY seq, track_id), r AS (SELECT d.seq, d.track_id, det_id, x, {SPOILT.replace('seq', 'd.seq')} AS bad, coalesce(abs(x) > 57.5 OR abs(y) > 39, FALSE) AS off FROM {D} d LEFT JOIN m ON d.seq = m.seq AND d.track_id = m.track_id), n AS (SELECT seq, count(*) FILTER (bad AND track_id % 7 = 1 AND x IS NOT NULL) AS means, count(*) FILTER (bad AND track_id % 7 = 2) AS flags, count(*) FILTER (bad AND (track_id % 7 = 2 OR (track_id % 7 = 3 AND NOT off AND det_id % 2 = 0))) AS ids FROM r GROUP BY seq) SELECT seq, means, flags, ids, CASE WHEN means + flags + ids > 0 THEN 'FAIL' ELSE 'PASS' END AS verdict FROM n")
 def _(spark, d):
-    return audit.pitch_gate(tracks.pitch_gate(fx.detections(spark, d)), 5.0).select("seq", "verdict")
+    bad, k = F.expr(SPOILT), F.col("track_id_pregate") % 7
+    t = tracks.pitch_gate(fx.detections(spark, d))
+    t = t.withColumn("pitch_mean_x", F.when(bad & (k == 1), F.col("pitch_mean_x") + 1).otherwise(F.col("pitch_mean_x")))
+    t = t.withColumn("pitch_gate_offpitch", F.when(bad & (k == 2), ~F.col("pitch_gate_offpitch")).otherwise(F.col("pitch_gate_offpitch")))
+    t = t.withColumn("track_id", F.when(bad & (k == 3) & ~F.col("pitch_gate_offpitch") & (F.col("det_id") % 2 == 0), F.lit(None)).otherwise(F.col("track_id")))
+    return audit.pitch_gate(t, 5.0).select("seq", *[F.col("observed")[c].cast("long").alias(c) for c in ("means", "flags", "ids")], "verdict")
 
 
 @register("q14_column_population", f"SELECT seq, 'number' AS col, CASE WHEN count(number) = 0 THEN 'FAIL' WHEN count(number) < count(*) THEN 'WARN' ELSE 'PASS' END AS verdict FROM {D} d GROUP BY seq UNION ALL SELECT seq, 'conf', CASE WHEN count(conf) = 0 THEN 'FAIL' WHEN count(conf) < count(*) THEN 'WARN' ELSE 'PASS' END FROM {D} d GROUP BY seq")
@@ -587,8 +613,10 @@ def _(spark, d):
     from touchline.operators import rule_chain
 
     fx.views(spark, d, "embeddings")
-    unit_ = spark.table("embeddings").where("vec_id < 25").select(F.col("vec_id").alias("track_id"), F.col("embedding").alias("unit"))
-    return rule_chain.rule_chain(trajectories(spark, d).join(unit_, "track_id"))
+    vec = spark.table("embeddings")
+    t = trajectories(spark, d).withColumn("vec_id", F.col("track_id") + 25 * F.substring("seq", 2, 9).cast("long"))
+    t = t.crossJoin(F.broadcast(vec.agg(F.count("*").alias("n_vec")))).withColumn("vec_id", F.col("vec_id") % F.col("n_vec"))  # one row
+    return rule_chain.rule_chain(t.join(vec.select("vec_id", F.col("embedding").alias("unit")), "vec_id"))
 
 
 @register("a28_calibration_metrics")
@@ -602,7 +630,7 @@ def _(spark, d):
     return calibration.calibration_metrics(calibration.image_scores(rows)).select(*r6("jac5", "jac10", "cr", "final_score"), F.round("mre", 4).alias("mre"), F.round("medre", 4).alias("medre"), "n_frames", "n_points")
 
 
-@register("c14_label_preparation")
+@register("c14_label_preparation", r"WITH w AS (SELECT doc_id, lower(regexp_replace(strip_accents(unnest(string_split_regex(text, '\s+'))), '[^\x00-\x7F]', '', 'g')) AS s FROM documents) SELECT doc_id, regexp_replace(s, '[^a-z0-9]', '', 'g') AS label FROM w WHERE length(s) <= 25 AND regexp_matches(s, '[a-z0-9]')")
 def _(spark, d):
     from touchline.functions.labels import prepared
 
@@ -653,10 +681,6 @@ def _(spark, d):
     return k.withColumn("far", far).groupBy("label").agg(F.round(F.max_by("d", F.struct(F.round("far", 9), -F.col("x"))), 5).alias("eps"))
 
 
-FL = f"""(WITH r AS (SELECT seq, track_id, frame, l, w, row_number() OVER (PARTITION BY seq, track_id ORDER BY frame, det_id) AS a, row_number() OVER (PARTITION BY seq, track_id ORDER BY frame DESC, det_id) AS b FROM {TR} t WHERE frame % 20 = track_id % 20)
-SELECT seq, track_id, max(CASE WHEN a = 1 THEN frame END) AS f0, max(CASE WHEN b = 1 THEN frame END) AS f1, bool_or(a = 1 AND l + w / 2 < 150) AS in_left, bool_or(b = 1 AND l + w / 2 < 150) AS out_left FROM r GROUP BY seq, track_id)"""
-
-
 def return_side(t):
     left = F.col("l") + F.col("w") / 2 < 150
     t = t.groupBy("seq", "track_id").agg(F.min("frame").alias("f0"), F.max("frame").alias("f1"), F.min_by(left, F.struct("frame", "det_id")).alias("i"), F.max_by(left, F.struct("frame", -F.col("det_id"))).alias("o"))
@@ -665,11 +689,6 @@ def return_side(t):
     return a.join(b, (F.col("a.seq") == F.col("b.seq")) & (F.col("a.track_id") < F.col("b.track_id"))).select("a.seq", F.col("a.track_id").alias("a"), F.col("b.track_id").alias("b"), ok.alias("ok"))
 
 
-@register("j11_return_side", f"SELECT a.seq, a.track_id AS a, b.track_id AS b, CASE WHEN a.f1 < b.f0 THEN a.out_left = b.in_left WHEN b.f1 < a.f0 THEN b.out_left = a.in_left ELSE TRUE END AS ok FROM {FL} a JOIN {FL} b ON a.seq = b.seq AND a.track_id < b.track_id")
-def _(spark, d):
-    return return_side(fx.tracked(spark, d).where("frame % 20 = track_id % 20"))
-
-
 # every tracked box; a fixture column cuts each track into the quarters of its sequence, so that some end before others begin
 FW = f"""(WITH q AS (SELECT seq, frame, det_id, l, w, track_id * 4 + 4 * frame // (max(frame) OVER (PARTITION BY seq) + 1) AS track_id FROM {TR} t),
 r AS (SELECT *, row_number() OVER (PARTITION BY seq, track_id ORDER BY frame, det_id) AS a, row_number() OVER (PARTITION BY seq, track_id ORDER BY frame DESC, det_id) AS b FROM q)
@@ -725,9 +744,12 @@ def _(spark, d):
     return audit.jersey(e, a).select("seq", F.col("observed")["n"].cast("long").alias("n"), F.col("observed")["missing"].cast("long").alias("missing"), "verdict")
 
 
-@register("q12_voted_check", f"WITH t AS (SELECT seq, track_id, count(DISTINCT number) AS k FROM {D} d WHERE track_id IS NOT NULL GROUP BY seq, track_id) SELECT seq, count(*) FILTER (k > 1) AS mixed, CASE WHEN count(*) FILTER (k > 1) > 0 THEN 'FAIL' ELSE 'PASS' END AS verdict FROM t GROUP BY seq")
+@register("q12_voted_check", f"WITH v AS (SELECT seq, track_id, min(number) AS number FROM {D} d WHERE track_id IS NOT NULL GROUP BY seq, track_id), t AS (SELECT d.seq, d.track_id, count(DISTINCT CASE WHEN {SPOILT.replace('seq', 'd.seq')} AND det_id % 40 = 0 THEN 'odd' ELSE v.number END) AS k, count(*) FILTER (CASE WHEN {SPOILT.replace('seq', 'd.seq')} AND det_id % 40 = 0 THEN 'odd' ELSE v.number END IS DISTINCT FROM d.number) AS c FROM {D} d JOIN v ON d.seq = v.seq AND d.track_id = v.track_id GROUP BY d.seq, d.track_id) SELECT seq, count(*) FILTER (k > 1) AS mixed, count(*) FILTER (c > 0) AS changed, CASE WHEN count(*) FILTER (k > 1) > 0 THEN 'FAIL' WHEN count(*) FILTER (c > 0) > 0 THEN 'WARN' ELSE 'PASS' END AS verdict FROM t GROUP BY seq")
 def _(spark, d):
-    return audit.voted(fx.detections(spark, d), "number", "number").select("seq", F.col("observed")["mixed"].cast("long").alias("mixed"), "verdict")
+    det = fx.detections(spark, d)
+    one = F.min("number").over(Window.partitionBy("seq", "track_id"))
+    det = det.withColumn("voted", F.when(F.expr(SPOILT) & (F.col("det_id") % 40 == 0), "odd").otherwise(one))
+    return audit.voted(det, "number", "voted").select("seq", *[F.col("observed")[c].cast("long").alias(c) for c in ("mixed", "changed")], "verdict")
 
 
 @register("q13_drawable_check", f"SELECT d.seq, count(*) FILTER (px IS NOT NULL AND coalesce(role, '') <> 'referee' AND team IS NULL) AS blank FROM {D} d LEFT JOIN ({ROLE_SQL}) r ON d.seq = r.seq AND d.track_id = r.track_id GROUP BY d.seq")
