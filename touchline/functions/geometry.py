@@ -113,54 +113,113 @@ def angles(r: list[list[Column]]) -> Column:
     return F.when(F.abs(a["roll"]) < F.abs(b["roll"]), a).otherwise(b)
 
 
-def distort(x: Column, y: Column, k: Column) -> Column:
-    """Radially distorted point of the normalised image plane."""
+def let(value: Column, use) -> Column:
+    """use(value) with the value computed once: plans stay small where a formula needs an intermediate result many times."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def bend(x: Column, y: Column, k: Column, p: Column | None = None, s: Column | None = None) -> tuple[Column, Column, Column]:
+    """What a lens does to a point of the normalised image plane: a factor by the six radial coefficients, and a shift by tangential (2) and thin-prism (4) ones."""
     r2 = x * x + y * y
-    top = 1 + sum(F.get(k, F.lit(i)) * F.pow(r2, i + 1.0) for i in range(3))
-    low = 1 + sum(F.get(k, F.lit(i + 3)) * F.pow(r2, i + 1.0) for i in range(3))
-    return F.struct((x * top / low).alias("x"), (y * top / low).alias("y"))
+    at = lambda c, i: F.get(c, F.lit(i))
+    factor = (1 + sum(at(k, i) * F.pow(r2, i + 1.0) for i in range(3))) / (1 + sum(at(k, i + 3) * F.pow(r2, i + 1.0) for i in range(3)))
+    dx = dy = F.lit(0.0)
+    if p is not None:
+        dx, dy = dx + 2 * at(p, 0) * x * y + at(p, 1) * (r2 + 2 * x * x), dy + 2 * at(p, 1) * x * y + at(p, 0) * (r2 + 2 * y * y)
+    if s is not None:
+        dx, dy = dx + at(s, 0) * r2 + at(s, 1) * r2 * r2, dy + at(s, 2) * r2 + at(s, 3) * r2 * r2
+    return factor, dx, dy
+
 
+def distort(x: Column, y: Column, k: Column, p: Column | None = None, s: Column | None = None) -> Column:
+    """Distorted point of the normalised image plane."""
+    factor, dx, dy = bend(x, y, k, p, s)
+    return F.struct((x * factor + dx).alias("x"), (y * factor + dy).alias("y"))
 
-def undistort(x: Column, y: Column, k: Column, rounds: int = 8) -> Column:
+
+def undistort(x: Column, y: Column, k: Column, p: Column | None = None, s: Column | None = None, rounds: int = 8) -> Column:
     """Inverse of distort by fixed-point iteration."""
     start = F.struct(x.alias("x"), y.alias("y"))
 
-    def step(p, _):
-        r2 = p["x"] * p["x"] + p["y"] * p["y"]
-        top = 1 + sum(F.get(k, F.lit(i)) * F.pow(r2, i + 1.0) for i in range(3))
-        low = 1 + sum(F.get(k, F.lit(i + 3)) * F.pow(r2, i + 1.0) for i in range(3))
-        return F.struct((x * low / top).alias("x"), (y * low / top).alias("y"))
+    def step(q, _):
+        factor, dx, dy = bend(q["x"], q["y"], k, p, s)
+        return F.struct(((x - dx) / factor).alias("x"), ((y - dy) / factor).alias("y"))
 
     return F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), start, step)
 
 
-def project(cam: Column, x: Column, y: Column, z: Column) -> Column:
+def lens(cam: Column, whole: bool) -> list[Column]:
+    """Distortion coefficients of a camera; ``whole`` adds the tangential and thin-prism ones."""
+    return [cam["radial_distortion"], *([cam["tangential_distortion"], cam["thin_prism_distortion"]] if whole else [])]
+
+
+def project(cam: Column, x: Column, y: Column, z: Column, whole: bool = False) -> Column:
     """Pixel of a world point; null behind the camera."""
     r = rotation(cam["pan_degrees"], cam["tilt_degrees"], cam["roll_degrees"])
     d = [v - F.get(cam["position_meters"], F.lit(i)) for i, v in enumerate((x, y, z))]
-    c = [sum(r[i][j] * d[j] for j in range(3)) for i in range(3)]
-    p = distort(c[0] / c[2], c[1] / c[2], cam["radial_distortion"])
-    pix = F.struct((p["x"] * cam["x_focal_length"] + F.get(cam["principal_point"], F.lit(0))).alias("x"), (p["y"] * cam["y_focal_length"] + F.get(cam["principal_point"], F.lit(1))).alias("y"))
-    return F.when(c[2] > 1e-3, pix)
+    c = F.struct(*[sum(r[i][j] * d[j] for j in range(3)).alias(n) for i, n in enumerate("xyz")])
+
+    def pixel(q):
+        return F.struct((q["x"] * cam["x_focal_length"] + F.get(cam["principal_point"], F.lit(0))).alias("x"), (q["y"] * cam["y_focal_length"] + F.get(cam["principal_point"], F.lit(1))).alias("y"))
+
+    return let(c, lambda q: F.when(q["z"] > 1e-3, let(F.struct((q["x"] / q["z"]).alias("x"), (q["y"] / q["z"]).alias("y")), lambda n: let(distort(n["x"], n["y"], *lens(cam, whole)), pixel))))
+
+
+def project_homogeneous(cam: Column, x: Column, y: Column, z: Column, whole: bool = True) -> Column:
+    """(x, y, 1) of a world point's pixel; the zero vector behind the camera."""
+    p = project(cam, x, y, z, whole)
+    return F.when(p.isNull(), F.array(*[F.lit(0.0)] * 3)).otherwise(F.array(p["x"], p["y"], F.lit(1.0)))
+
+
+def project_from_calibrator(cp: Column, x: Column, y: Column, z: Column) -> Column:
+    """Pixel by the calibrator's own terms: the offset from the centre is scaled by a series in its length over the image height. Null behind the camera."""
+    w, h = cp["sensorResolutionWidthPixels"], cp["sensorResolutionHeightPixels"]
+    r = rotation(cp["panDegrees"], cp["tiltDegrees"], cp["rollDegrees"])
+    d = [v - cp[f"position{n}Meters"] for n, v in zip("XYZ", (x, y, z), strict=True)]
+    f = focal_from_hfov(w, cp["horizontalFieldOfViewDegrees"])
+    c = F.struct(*[sum(r[i][j] * d[j] for j in range(3)).alias(n) for i, n in enumerate("xyz")])
+
+    def pixel(q):
+        far = (q["u"] * q["u"] + q["v"] * q["v"]) / (h * h)
+        series = F.aggregate(F.transform(cp["normalizedRadialDistortionCoefficients"], lambda k, i: k * F.pow(far, i + 1.0)), F.lit(1.0), lambda a, t: a + t)
+        return F.struct((w / 2 + q["u"] * series).alias("x"), (h / 2 + q["v"] * series).alias("y"))
+
+    return let(c, lambda q: F.when(q["z"] > 1e-3, let(F.struct((f * q["x"] / q["z"]).alias("u"), (f * q["y"] / q["z"]).alias("v")), pixel)))
+
+
+# Names of a camera's fields in JSON (fixed values).
+CAMERA_FIELDS = ("pan_degrees", "tilt_degrees", "roll_degrees", "position_meters", "x_focal_length", "y_focal_length", "principal_point", "radial_distortion", "tangential_distortion", "thin_prism_distortion")
+CAMERA_TYPE = "struct<" + ",".join(f"{n}:{'double' if n.endswith(('degrees', 'length')) else 'array<double>'}" for n in CAMERA_FIELDS) + ">"
 
 
-def to_ground(cam: Column, u: Column, v: Column) -> Column:
+def camera_to_json(cam: Column) -> Column:
+    return F.to_json(F.struct(*[cam[n].alias(n) for n in CAMERA_FIELDS]))
+
+
+def camera_from_json(text: Column) -> Column:
+    return F.from_json(text, CAMERA_TYPE)
+
+
+def to_ground(cam: Column, u: Column, v: Column, whole: bool = False) -> Column:
     """Point of the plane z = 0 that is seen at a pixel; null where the ray is level."""
     r = rotation(cam["pan_degrees"], cam["tilt_degrees"], cam["roll_degrees"])
-    p = undistort((u - F.get(cam["principal_point"], F.lit(0))) / cam["x_focal_length"], (v - F.get(cam["principal_point"], F.lit(1))) / cam["y_focal_length"], cam["radial_distortion"])
-    ray = [r[0][i] * p["x"] + r[1][i] * p["y"] + r[2][i] for i in range(3)]
+    p = undistort((u - F.get(cam["principal_point"], F.lit(0))) / cam["x_focal_length"], (v - F.get(cam["principal_point"], F.lit(1))) / cam["y_focal_length"], *lens(cam, whole))
     pos = [F.get(cam["position_meters"], F.lit(i)) for i in range(3)]
-    s = F.try_divide(-pos[2], ray[2])
-    return F.when(s.isNotNull(), F.struct((pos[0] + s * ray[0]).alias("x"), (pos[1] + s * ray[1]).alias("y")))
+    ray = let(p, lambda q: F.array(*[r[0][i] * q["x"] + r[1][i] * q["y"] + r[2][i] for i in range(3)]))
+
+    def ground(q):
+        s = F.try_divide(-pos[2], F.get(q, F.lit(2)))
+        return F.when(s.isNotNull(), F.struct((pos[0] + s * F.get(q, F.lit(0))).alias("x"), (pos[1] + s * F.get(q, F.lit(1))).alias("y")))
+
+    return let(ray, ground)
 
 
 def bbox_pitch(cam: Column, l: Column, t: Column, w: Column, h: Column) -> Column:
     """Ground points of the lower left, right and middle of a box; null if any has none."""
-    pts = {n: to_ground(cam, u, t + h) for n, u in (("left", l), ("right", l + w), ("middle", l + w / 2))}
-    whole = F.lit(True)
-    for p in pts.values():
-        whole &= p.isNotNull() & ~F.isnan(p["x"]) & ~F.isnan(p["y"])
-    return F.when(whole, F.struct(*[p[a].alias(f"{a}_bottom_{n}") for n, p in pts.items() for a in ("x", "y")]))
+    names = ("left", "right", "middle")
+    pts = F.transform(F.array(l, l + w, l + w / 2), lambda u: to_ground(cam, u, t + h))
+    whole = lambda q: F.forall(q, lambda p: p.isNotNull() & ~F.isnan(p["x"]) & ~F.isnan(p["y"]))
+    return let(pts, lambda q: F.when(whole(q), F.struct(*[F.get(q, F.lit(i))[a].alias(f"{a}_bottom_{n}") for i, n in enumerate(names) for a in ("x", "y")])))
 
 
 def rescaled(cam: Column, width: float, height: float) -> Column:

@@ -63,9 +63,9 @@ def stride_samples(det: DataFrame, stride: int = 5, most: int = 16) -> DataFrame
     return rows.withColumn("is_crop", F.array_contains(picks, F.col("i").cast("int"))).drop("i", "n")
 
 
-def positional_stride(det: DataFrame, stride: int = 3) -> DataFrame:
-    """Every stride-th row of each track in order, counted from its first row."""
-    w = Window.partitionBy("seq", "track_id").orderBy("frame", "det_id")
+def positional_stride(det: DataFrame, stride: int = 3, *more: str) -> DataFrame:
+    """Every stride-th row of each track (and value of the further columns) in order, counted from its first row."""
+    w = Window.partitionBy("seq", "track_id", *more).orderBy("frame", "det_id")
     return det.where("track_id IS NOT NULL").withColumn("_i", F.row_number().over(w)).where((F.col("_i") - 1) % stride == 0).drop("_i")
 
 

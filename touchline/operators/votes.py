@@ -63,7 +63,11 @@ def ranked(stats: DataFrame, *by: str) -> DataFrame:
 
 def vote_pool(a: DataFrame, b: DataFrame, *by: str) -> DataFrame:
     """The production rule: most pooled votes; share is that of the pooled votes."""
-    p = pooled(a.select(*by, "label", "mx", "conf_sum", "votes", "strength").unionByName(b.select(*by, "label", "mx", "conf_sum", "votes", "strength")), *by)
+    return most_votes(pooled(a.select(*by, "label", "mx", "conf_sum", "votes", "strength").unionByName(b.select(*by, "label", "mx", "conf_sum", "votes", "strength")), *by), *by)
+
+
+def most_votes(p: DataFrame, *by: str) -> DataFrame:
+    """The label with most votes of pooled statistics."""
     best = F.max_by(F.struct("label", "votes"), tied(F.col("votes").cast("double"), F.col("votes"), F.col("strength"), F.col("label")))
     return p.groupBy(*by).agg(best.alias("x"), F.sum("votes").alias("all")).select(*by, F.col("x.label").alias("label"), (F.col("x.votes") / F.col("all")).alias("share"))
 
@@ -131,3 +135,32 @@ def keep_some(rows: DataFrame, by: str, p: str, threshold: float) -> DataFrame:
     w = Window.partitionBy(by)
     some = F.bool_or(F.col(p) < threshold).over(w)
     return rows.withColumn("_some", some).withColumn("_min", F.min(p).over(w)).where(F.when(F.col("_some"), F.col(p) < threshold).otherwise(F.col(p) == F.col("_min"))).withColumn("kept_by_minimum", ~F.col("_some")).drop("_some", "_min")
+
+
+# Pairs of rules whose agreement is reported (fixed values).
+AGREEMENTS = (("sum", "vote"), ("vote", "wvote"), ("sum", "wvote"), ("wvote", "slogconf"), ("wvote", "maxconf"), ("sum", "sumexp"))
+
+
+def rule_agreement(stats: DataFrame, reads: DataFrame, by: str, min_conf: float | None = None) -> DataFrame:
+    """Winners of all rules of one reader side by side, a flag per pair of AGREEMENTS, and ``agree`` for sum and vote."""
+    sums = position_sums(reads, by, min_conf)
+    if min_conf is None:
+        sums = sums.withColumn("sumexp", F.col("sum"))
+    else:
+        sums = sums.join(position_sums(reads, by).select(by, F.col("sum").alias("sumexp")), by)
+    out = single_rules(stats, by).join(sums, by)
+    return out.withColumns({f"agree_{a}_{b}": F.col(a) == F.col(b) for a, b in AGREEMENTS} | {"agree": F.col("sum") == F.col("vote")})
+
+
+def gate_sweep(reads_a: DataFrame, reads_b: DataFrame, truth: DataFrame, by: str, thresholds: list[float], detector: float = 0.52) -> DataFrame:
+    """Accuracy of the pooled vote at each legibility threshold from one ungated table: threshold, answered, correct, n. truth: by, number."""
+
+    def stats(reads):
+        t = F.explode(F.array(*[F.lit(float(x)) for x in thresholds])).alias("threshold")
+        rows = reads.select("*", t).where((F.col("legibility") > F.col("threshold")) & (F.col("det_score") > detector))
+        return label_stats(decoded(rows), "threshold", by)
+
+    won = vote_pool(stats(reads_a), stats(reads_b), "threshold", by)
+    n = truth.agg(F.count("*").alias("n"))
+    hit = won.join(truth, by).groupBy("threshold").agg(F.count("*").alias("answered"), F.count_if(F.col("label") == F.col("number")).alias("correct"))
+    return hit.crossJoin(n)  # one row
