@@ -83,7 +83,7 @@ def _(spark, d):
 def gate_sql(x: str, y: str, margin: float) -> str:
     return f"""WITH d AS {D}, m AS (SELECT *, abs(mean_x) > 52.5 + {margin} OR abs(mean_y) > 34 + {margin} AS gone FROM
     (SELECT seq, track_id, avg(CASE WHEN py IS NOT NULL THEN {x} END) AS mean_x, avg(CASE WHEN px IS NOT NULL THEN {y} END) AS mean_y FROM d WHERE track_id IS NOT NULL GROUP BY seq, track_id) q)
-    SELECT det_id, d.track_id AS track_id_pregate, CASE WHEN NOT coalesce(gone, FALSE) THEN d.track_id END AS track_id, round(mean_x, 6) AS pitch_mean_x, round(mean_y, 6) AS pitch_mean_y, coalesce(gone, FALSE) AS pitch_gate_offpitch
+    SELECT det_id, d.track_id AS track_id_pregate, CASE WHEN NOT coalesce(gone, FALSE) THEN d.track_id END AS track_id, round(mean_x, 9) AS pitch_mean_x, round(mean_y, 9) AS pitch_mean_y, coalesce(gone, FALSE) AS pitch_gate_offpitch
     FROM d LEFT JOIN m ON d.seq = m.seq AND d.track_id = m.track_id"""
 
 
@@ -91,7 +91,8 @@ def gate_sql(x: str, y: str, margin: float) -> str:
 def _(spark, d):
     # shifted by track, so that some tracks lie off the pitch
     det = fx.detections(spark, d).withColumns({"px": F.col("px") + 3 * F.col("track_id"), "py": F.col("py") + 2 * F.col("track_id")})
-    return tracks.pitch_gate(det).select("det_id", "track_id_pregate", "track_id", *r6("pitch_mean_x", "pitch_mean_y"), "pitch_gate_offpitch")
+    # nine places: means over 64 rows end in a 5 at the seventh, which six would round by the order of addition
+    return tracks.pitch_gate(det).select("det_id", "track_id_pregate", "track_id", *[F.round(c, 9).alias(c) for c in ("pitch_mean_x", "pitch_mean_y")], "pitch_gate_offpitch")
 
 
 STATS = f"""SELECT seq, track_id, count(*) AS n, avg(px) AS mx, stddev_pop(px) AS sx, quantile_cont(abs(px), 0.75) AS q75, CASE WHEN count(py) >= 3 THEN avg(py) END AS my,
