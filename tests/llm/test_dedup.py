@@ -100,3 +100,31 @@ def test_fm_index_counts():
         best = max(k for k in range(7) if p[6 - k :] in s)
         assert n == best
         assert b - a == sum(s.startswith(p[6 - n :], i) for i in range(len(s))) if n else True
+
+
+@pytest.mark.parametrize("most", [1, 2, 5, 12])
+def test_hot_buckets_are_narrowed_first(spark, monkeypatch, most):
+    # one passage with other words in its middle, before and behind: buckets of many distinct blocks at every length of context
+    rnd = random.Random(8)
+    passage = [f"p{rnd.randrange(90)}" for _ in range(160)]
+    d = []
+    for k in range(36):
+        t = list(passage)
+        t[rnd.choice((30, 80, 81, 130))] = f"x{k % 9}"
+        d.append((k, " ".join([*(f"w{rnd.randrange(900)}" for _ in range(rnd.randint(0, 40))), *t, *(f"v{rnd.randrange(900)}" for _ in range(rnd.randint(0, 40)))])))
+    monkeypatch.setattr(anchored, "HOT", most)
+    assert rows(suffixdedup.digests(frame(spark, d)), "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256") == brute.suffix_dedup(d)
+    assert rows(fmdedup.digests(frame(spark, d)), "doc_id", "n_words", "n_removed", "kept_sha256") == brute.substring_dedup(d)
+
+
+def test_narrowed_blocks_keep_their_windows():
+    import pyarrow as pa
+
+    window, gram = 12, 3
+    raw = bytes(range(40))
+    b = pa.RecordBatch.from_pydict({"a": [1], "b": [1], "base": [5], "n": [9], "d": [8], "raw": [raw[: 9 - 1 + window]]})
+    for v in (1, 2, 4):
+        out = next(anchored.narrowed(v, gram, window, 1)([b])).to_pylist()
+        got = [(r["base"] + k, r["raw"][k : k + window], r["d"] - k) for r in out for k in range(r["n"])]
+        assert got == [(5 + k, raw[k : k + window], 8 - k) for k in range(9)]
+        assert len({r["b"] for r in out}) == len(out)

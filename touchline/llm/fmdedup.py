@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from touchline.llm.anchored import Runs, Search, covered, unpacked, window_counts
+from touchline.llm.anchored import KEY, Runs, Search, covered, unpacked
 from touchline.llm.suffixdedup import ranges_of
 from touchline.llm.textcore import Poly, chunks, ranges, word_spans
 
@@ -36,6 +36,7 @@ GRAM = 5
 BLOCK = 1 << 17
 
 _BYTES, _WORDS = Poly(31), Poly(32)
+_BYTES2, _WORDS2 = Poly(33), Poly(34)
 
 
 def suffix_array(t: np.ndarray) -> np.ndarray:
@@ -148,73 +149,69 @@ def words_of(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray
 def find(texts: pa.Array, full: bool) -> Iterator[tuple[int, dict]]:
     seek = Runs(_WORDS, WINDOW, GRAM)
     for i, _, data, offs in chunks(texts):
-        h, _, _, rows = words_of(data, offs)
-        yield i, seek.find(_WORDS.prefix(h), rows, full)
+        h, lo, hi, rows = words_of(data, offs)
 
+        def second(data=data, lo=lo, hi=hi):
+            return _WORDS2, _WORDS2.prefix(_BYTES2.slices(_BYTES2.of_bytes(data), lo, hi))
 
-BLOCKS = "a long, f long, doc_id long, s long, n long, words binary"
+        yield i, seek.find(_WORDS.prefix(h), rows, second if full else None)
+
+
+BLOCKS = "a long, f long, g long, b long, base long, m long, doc_id long, s long, n long, d long, raw binary"
+_NAMES = [c.split()[0] for c in BLOCKS.split(", ")]
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         for i, _, data, offs in chunks(unpacked(b["z"])):
             h, _, _, rows = words_of(data, offs)
-            cols: list[list] = [[] for _ in range(6)]
+            cols: list[list] = [[] for _ in _NAMES]
             ids = b["doc_id"].slice(i, len(offs) - 1).to_pylist()
             for k, blocks in enumerate(b["blocks"].slice(i, len(offs) - 1).to_pylist()):
                 for x in blocks:
-                    s, n = x["p"] >> 20, x["p"] >> 10 & 1023
+                    s, n, d = x["p"] >> 20, x["p"] >> 10 & 1023, x["p"] & 1023
                     at = rows[k] + s
-                    for c, v in zip(cols, (x["a"], x["f"], ids[k], s, n, h[at : at + n - 1 + WINDOW].tobytes()), strict=True):
+                    for c, v in zip(cols, (x["a"], x["f"], x["g"], x["a"], 0, x["m"], ids[k], s, n, d, h[at : at + n - 1 + WINDOW].tobytes()), strict=True):
                         c.append(v)
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary() if k == 5 else pa.int64()) for k, c in enumerate(cols)], ["a", "f", "doc_id", "s", "n", "words"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary() if name == "raw" else pa.int64()) for name, c in zip(_NAMES, cols, strict=True)], _NAMES)
 
 
 def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The windows of hot buckets' blocks by hash."""
+    """The windows of blocks by hash."""
     for b in batches:
-        for i, _, data, offs in chunks(unpacked(b["z"])):
-            h, _, _, rows = words_of(data, offs)
-            p = _WORDS.prefix(h)
-            ids = b["doc_id"].slice(i, len(offs) - 1).to_pylist()
-            for k, blocks in enumerate(b["blocks"].slice(i, len(offs) - 1).to_pylist()):
-                for x in blocks:
-                    s, n = x["p"] >> 20, x["p"] >> 10 & 1023
-                    at = rows[k] + s + np.arange(n)
-                    key = _WORDS.slices(p, at, at + WINDOW).view(np.int64)
-                    same = [pa.array(np.full(n, v, np.int64)) for v in (x["a"], x["f"], x["m"], ids[k])]
-                    yield pa.RecordBatch.from_arrays([*same, pa.array(s + np.arange(n)), pa.array(np.arange(n)), pa.array(key)], ["a", "f", "m", "doc_id", "s", "lo", "key"])
+        for x in b.to_pylist():
+            at = np.arange(x["n"])
+            key = _WORDS.slices(_WORDS.prefix(np.frombuffer(x["raw"], np.uint64)), at, at + WINDOW).view(np.int64)
+            same = [pa.array(np.full(len(at), v, np.int64)) for v in (x["a"], x["f"], x["g"], x["m"], x["doc_id"])]
+            yield pa.RecordBatch.from_arrays([*same, *(pa.array(at + v) for v in (x["s"] + x["base"], x["base"])), pa.array(key)], [*KEY, "m", "doc_id", "s", "lo", "key"])
 
 
 def _judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows come sorted by anchor: whole buckets are gathered up to BLOCK words."""
+    """Rows come sorted by bucket: whole buckets are gathered up to BLOCK words."""
     held: list[tuple] = []
     size, last = 0, None
 
     def done():
-        k, w = judge([h[2:] for h in held])
+        k, w = judge([h[4:] for h in held])
         order = np.lexsort((w, k))
         k, lo, n = ranges_of(k[order], w[order])
-        a, f = (np.array([h[x] for h in held], np.int64) for x in (0, 1))
-        return pa.RecordBatch.from_arrays([pa.array(x) for x in (a[k], f[k], lo, n)], ["a", "f", "lo", "n"])
+        a, f, g, base = (np.array([h[x] for h in held], np.int64) for x in range(4))
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in (a[k], f[k], g[k], lo + base[k], n)], [*KEY, "lo", "n"])
 
     for b in batches:
-        for a, f, doc, s, n, raw in zip(*(b[c].to_pylist() for c in ("a", "f", "doc_id", "s", "n", "words")), strict=True):
-            if a != last and size > BLOCK:
+        for key, a, f, g, base, doc, s, n, raw in zip(*(b[c].to_pylist() for c in ("b", *KEY, "base", "doc_id", "s", "n", "raw")), strict=True):
+            if key != last and size > BLOCK:
                 yield done()
                 held, size = [], 0
-            last = a
-            held.append((a, f, np.frombuffer(raw, np.uint64), n, doc, s))
+            last = key
+            held.append((a, f, g, base, np.frombuffer(raw, np.uint64), n, doc, s + base))
             size += len(raw) // 8
     if held:
         yield done()
 
 
 def spans(search: Search) -> DataFrame:
-    blocks = search.blocks(False, _cut, BLOCKS).repartition("a").sortWithinPartitions("a")
-    verdicts = blocks.mapInArrow(_judge, "a long, f long, lo long, n long")
-    hot = window_counts(search.blocks(True, _windows, "a long, f long, m long, doc_id long, s long, lo long, key long"), True)
-    return search.spread(verdicts.unionByName(hot), True)
+    return search.spread(search.judged(_cut, BLOCKS, _judge, _windows, True, GRAM, WINDOW, 8), True)
 
 
 def _left(b: pa.RecordBatch) -> Iterator[tuple[int, int, bytes]]:

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from touchline.llm.anchored import Runs, Search, covered, unpack, unpacked, window_counts
+from touchline.llm.anchored import KEY, Runs, Search, covered, unpacked
 from touchline.llm.textcore import Poly, chunks, ranges, runs
 
 WINDOW = 400
@@ -44,7 +44,7 @@ BLOCK = 1 << 20
 #: Suffixes sorted at once; larger buckets of equal leading bytes are sorted whole.
 BUCKET = 1 << 16
 
-_POLY = Poly(21)
+_POLY, _OTHER = Poly(21), Poly(22)
 
 
 def difference_cover(v: int) -> list[int]:
@@ -167,35 +167,33 @@ def judge(blocks: list[tuple], window: int = WINDOW) -> tuple[np.ndarray, np.nda
 def find(texts: pa.Array, full: bool) -> Iterator[tuple[int, dict]]:
     seek = Runs(_POLY, WINDOW, GRAM)
     for i, _, data, offs in chunks(texts):
-        yield i, seek.find(_POLY.of_bytes(data), offs, full)
+        yield i, seek.find(_POLY.of_bytes(data), offs, (lambda data=data: (_OTHER, _OTHER.of_bytes(data))) if full else None)
 
 
-BLOCKS = "a long, f long, m long, n long, d long, bytes binary"
+BLOCKS = "a long, f long, g long, b long, base long, m long, n long, d long, raw binary"
+_NAMES = [c.split()[0] for c in BLOCKS.split(", ")]
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        cols: list[list] = [[] for _ in range(6)]
+        cols: list[list] = [[] for _ in _NAMES]
         for text, blocks in zip(unpacked(b["z"]), b["blocks"].to_pylist(), strict=True):
             raw = text.as_py().encode()
             for x in blocks:
                 s, n, d = x["p"] >> 20, x["p"] >> 10 & 1023, x["p"] & 1023
-                for c, v in zip(cols, (x["a"], x["f"], x["m"], n, d, raw[s : s + n - 1 + WINDOW]), strict=True):
+                for c, v in zip(cols, (x["a"], x["f"], x["g"], x["a"], 0, x["m"], n, d, raw[s : s + n - 1 + WINDOW]), strict=True):
                     c.append(v)
-        yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary() if k == 5 else pa.int64()) for k, c in enumerate(cols)], ["a", "f", "m", "n", "d", "bytes"])
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary() if name == "raw" else pa.int64()) for name, c in zip(_NAMES, cols, strict=True)], _NAMES)
 
 
 def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The windows of hot buckets' blocks by hash."""
+    """The windows of blocks by hash."""
     for b in batches:
-        for i, _, data, offs in chunks(unpacked(b["z"])):
-            p = _POLY.of_bytes(data)
-            for k, blocks in enumerate(b["blocks"].slice(i, len(offs) - 1).to_pylist()):
-                for x in blocks:
-                    s, n, _ = (int(v) for v in unpack(np.int64(x["p"])))
-                    at = offs[k] + s + np.arange(n)
-                    key = _POLY.slices(p, at, at + WINDOW).view(np.int64)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(n, x[c], np.int64)) for c in ("a", "f", "m")] + [pa.array(np.arange(n)), pa.array(key)], ["a", "f", "m", "lo", "key"])
+        for x in b.to_pylist():
+            at = np.arange(x["n"])
+            key = _POLY.slices(_POLY.of_bytes(np.frombuffer(x["raw"], np.uint8)), at, at + WINDOW).view(np.int64)
+            same = [pa.array(np.full(len(at), v, np.int64)) for v in (x["a"], x["f"], x["g"], x["m"], 0, 0)]
+            yield pa.RecordBatch.from_arrays([*same, pa.array(at + x["base"]), pa.array(key)], [*KEY, "m", "doc_id", "s", "lo", "key"])
 
 
 def ranges_of(k: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -207,33 +205,31 @@ def ranges_of(k: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.
 
 
 def _judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows come sorted by anchor: whole buckets are gathered up to BLOCK bytes."""
+    """Rows come sorted by bucket: whole buckets are gathered up to BLOCK bytes."""
     held: list[tuple] = []
     size, last = 0, None
 
     def done():
-        k, w = judge([h[2:] for h in held])
+        k, w = judge([h[4:] for h in held])
         k, lo, n = ranges_of(k, w)
-        a, f = (np.array([h[x] for h in held], np.int64) for x in (0, 1))
-        return pa.RecordBatch.from_arrays([pa.array(x) for x in (a[k], f[k], lo, n)], ["a", "f", "lo", "n"])
+        a, f, g, base = (np.array([h[x] for h in held], np.int64) for x in range(4))
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in (a[k], f[k], g[k], lo + base[k], n)], [*KEY, "lo", "n"])
 
     for b in batches:
-        for a, f, m, n, d, raw in zip(*(b[c].to_pylist() for c in ("a", "f", "m", "n", "d", "bytes")), strict=True):
-            if a != last and size > BLOCK:
+        for key, *block, raw, n, d, m in zip(*(b[c].to_pylist() for c in ("b", *KEY, "base", "raw", "n", "d", "m")), strict=True):
+            if key != last and size > BLOCK:
                 yield done()
                 held, size = [], 0
-            last = a
-            held.append((a, f, raw, n, d, m))
+            last = key
+            held.append((*block, raw, n, d, m))
             size += len(raw)
     if held:
         yield done()
 
 
 def spans(search: Search) -> DataFrame:
-    blocks = search.blocks(False, _cut, BLOCKS).repartition("a").sortWithinPartitions("a")
-    verdicts = blocks.mapInArrow(_judge, "a long, f long, lo long, n long")
-    hot = window_counts(search.blocks(True, _windows, "a long, f long, m long, lo long, key long"), False)
-    return search.spread(verdicts.unionByName(hot).unionByName(search.alone()), False)
+    verdicts = search.judged(_cut, BLOCKS, _judge, _windows, False, GRAM, WINDOW, 1)
+    return search.spread(verdicts.unionByName(search.alone()), False)
 
 
 def _left(b: pa.RecordBatch) -> Iterator[tuple[bytes, bytes, int]]:
