@@ -41,6 +41,8 @@ from touchline.llm.textcore import Poly, U, mix, ranges, runs
 
 #: Distinct blocks of one anchor up to which they are judged in one task.
 HOT = 6000
+#: Buckets over HOT (8 bytes each) up to which their list is broadcast.
+BROADCAST_BUCKETS = 100_000
 #: Stands for a null doc_id inside the search.
 NO_ID = -(1 << 63)
 #: What names a class: the anchor's hash and two hashes of the block.
@@ -185,13 +187,17 @@ class Search:
         out = settled(self.blocks(False, cut, schema))
         if not self.classes.where(F.col("c") > HOT).limit(1).count():
             return out
-        rows = checkpointed(self.blocks(True, cut, schema))
+        rows = self.blocks(True, cut, schema)
         longest = (window - gram) // 2
         for v in (longest // 6, longest):
             rows = checkpointed(rows.mapInArrow(narrowed(v, gram, window, unit), schema))
-            # as everywhere, the aggregate is grouped by a further column so that a join can split a hot key
-            large = rows.groupBy("b", F.bitwise_not("b").alias("x")).agg(F.count("*").alias("c")).where(F.col("c") > HOT).select("b")
+            large = checkpointed(rows.groupBy("b").agg(F.count("*").alias("c")).where(F.col("c") > HOT).select("b"))
+            n = large.count()
+            if n <= BROADCAST_BUCKETS:  # else both sides are shuffled
+                large = F.broadcast(large)
             out = out.unionByName(settled(rows.join(large, "b", "left_anti")))
+            if not n:
+                return out
             rows = rows.join(large, "b", "left_semi").select(rows.columns)
         return out.unionByName(window_counts(rows.mapInArrow(windows, WINDOWS), first_only))
 
