@@ -156,7 +156,8 @@ class Search:
 
     def __init__(self, docs: DataFrame, find: Finder, sift: bool):
         self.docs = keyed(docs)
-        self.texts = packed(self.docs.select("doc_id", "th", "text"))
+        # the keys are never null; a join would add this filter to some uses only, and equal uses share one shuffle
+        self.texts = packed(self.docs.select("doc_id", "th", "text")).where("doc_id IS NOT NULL AND th IS NOT NULL")
         rows = self.docs.select("doc_id", "th", "text").mapInArrow(_emit(find, True), "doc_id long, th long, a long, f long, g long, p long")
         if sift:
             once = self.docs.select("text").mapInArrow(_emit(find, False), "a long")

@@ -18,7 +18,7 @@ import pyarrow as pa
 
 U = np.uint64
 #: Bytes of text handled at once; a longer document is a chunk of its own.
-CHUNK_BYTES = 1 << 19
+CHUNK_BYTES = 1 << 18
 
 # The white space of the word pattern [^\x20\x09-\x0D]+ (fixed values).
 SPACE = np.zeros(256, bool)
