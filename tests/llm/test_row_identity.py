@@ -82,3 +82,28 @@ def test_one_document_of_each_group_where_ids_are_shared(spark):
     # 5 leads the group of b; its other text is a near copy of 4's and must go
     assert texts(simhash.first_of_each(frame(spark, [(4, a), (5, near), (5, b), (9, b)]))) == sorted([("4", a), ("5", b)])
     assert len(texts(simhash.first_of_each(frame(spark, [(4, a), (4, near)])))) == 1
+
+
+def test_columns_with_the_stages_own_names_go_by(spark, sf):
+    names = ["doc", "own_id", "least_id", "h", "i", "j", "first", "taken", "size", "_d", "_s", "_k", "th", "row", "spans", "name", "fingerprint"]
+    rnd = random.Random(15)
+    rows = [(k, words(rnd, 60, 4000), "en", "ab"[k % 2], 1, *(f"{n}{k}" for n in names)) for k in range(12)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"`{n}` string" for n in names))
+    for name in ("simhash_near_dedup", "suffix_array_dedup", "source_mixing"):
+        got = STAGES[name](spark, df, sf)
+        assert got.columns == df.columns
+        assert all(r[n] == f"{n}{r['doc_id']}" for r in got.collect() for n in names)
+
+
+def test_documents_without_an_id_spread_over_the_mix(spark):
+    rnd = random.Random(16)
+    df = frame(spark, [(None, words(rnd, 20)) for _ in range(40)])
+    assert len({r["taken"] for r in mixing.mix(df).collect()}) > 1
+    assert sorted(map(str, mixing.mix(df).collect())) == sorted(map(str, mixing.mix(df.repartition(3)).collect()))
+
+
+def test_stages_take_empty_tables(spark, empty, sf):
+    docs = empty
+    for name in ("simhash_near_dedup", "suffix_array_dedup", "source_mixing", "packing"):
+        docs = STAGES[name](spark, docs, sf)
+        assert docs.count() == 0

@@ -43,9 +43,10 @@ def _sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def sizes(docs: DataFrame, keyed: bool = False) -> DataFrame:
-    """doc_id, source and number of words, and with ``keyed`` the text's key h."""
+    """doc_id, source, number of words, the name that a document's random key comes from (its doc_id, else its text's MD5), and with ``keyed`` the text's key h."""
     more = [text_key().alias("h")] if keyed else []
-    return docs.select("doc_id", F.col("source").cast("string"), F.col("text").cast("string"), *more).mapInArrow(_sizes, f"doc_id long, source string, {'h binary, ' if keyed else ''}size long")
+    name = F.coalesce(F.col("doc_id").cast("string"), F.md5(F.col("text").cast("string")), F.lit("")).alias("name")
+    return docs.select("doc_id", F.col("source").cast("string"), F.col("text").cast("string"), name, *more).mapInArrow(_sizes, f"doc_id long, source string, name string, {'h binary, ' if keyed else ''}size long")
 
 
 def targets(per_source: DataFrame) -> DataFrame:
@@ -71,8 +72,8 @@ def targets(per_source: DataFrame) -> DataFrame:
 def mix(docs: DataFrame, seed: int = 1, keyed: bool = False) -> DataFrame:
     """One row per document: doc_id, source, size, source_size, target, taken (words the mix takes, repeats counted), and with ``keyed`` h."""
     # a key that any engine can compute: the first 15 hex digits of an MD5
-    key = F.conv(F.left(F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("doc_id").cast("string"))), F.lit(15)), 16, 10).cast("long")
-    sized = checkpointed(sizes(docs, keyed).withColumn("k", key))
+    key = F.conv(F.left(F.md5(F.concat_ws("|", F.lit(str(seed)), "name")), F.lit(15)), 16, 10).cast("long")
+    sized = checkpointed(sizes(docs, keyed).withColumn("k", key).drop("name"))
     per = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("docs"))
     goal = targets(per).withColumn("width", F.ceil((1 << KEY_BITS) / F.ceil(F.col("docs") / BUCKET)).cast("long"))
     goal = checkpointed(goal.withColumnRenamed("source", "s"))
@@ -97,19 +98,20 @@ def mixed(docs: DataFrame, seed: int = 1) -> DataFrame:
     """The mix as documents: each as often as it is taken, and one per source cut after its last taken word. Repeats keep their doc_id; n_chars follows a cut."""
     share = ["doc_id", "source", "h"]
     took = checkpointed(mix(docs, seed, keyed=True).select(*share, "size", "taken"))
-    rows = docs.withColumn("_s", F.col("source").cast("string")).withColumn("_k", text_key())
-    on = F.col("doc_id").eqNullSafe(F.col("_d")) & F.col("_s").eqNullSafe(F.col("_o")) & F.col("_k").eqNullSafe(F.col("_h"))
+    # columns of docs go by as one struct, so none of their names can clash
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), F.col("doc_id").alias("own_id"), F.col("source").cast("string").alias("own_source"), text_key().alias("own_text"))
+    on = F.col("own_id").eqNullSafe(F.col("doc_id")) & F.col("own_source").eqNullSafe(F.col("source")) & F.col("own_text").eqNullSafe(F.col("h"))
     if took.where("size > 0").groupBy(*share).agg(F.count("*").alias("n")).where("n > 1").limit(1).count():
         # equal texts with one doc_id and source are paired with their shares by number, shares of nothing included
-        took = took.withColumn("_i", F.row_number().over(Window.partitionBy(*share).orderBy("taken")))
-        rows = rows.withColumn("_j", F.row_number().over(Window.partitionBy("doc_id", "_s", "_k").orderBy("doc_id")))
-        on &= F.col("_i") == F.col("_j")
-    names = {"doc_id": "_d", "source": "_o", "h": "_h", "size": "_n", "taken": "_t"}
-    rows = rows.join(took.where("taken > 0").withColumnsRenamed(names), on)
-    whole = F.floor(F.col("_t") / F.col("_n")).cast("int")
-    rest = (F.col("_t") % F.col("_n")).cast("int")
-    rows = rows.withColumn("_w", F.explode(F.concat(F.array_repeat(F.lit(0), whole), F.when(rest > 0, F.array(rest)).otherwise(F.expr("array()").cast("array<int>")))))
-    cut = F.expr(r"array_join(slice(regexp_extract_all(text, '[\\x20\\x09-\\x0D]*[^\\x20\\x09-\\x0D]+', 0), 1, _w), '')")
-    text = F.when(F.col("_w") > 0, cut).otherwise(F.col("text"))
-    named = {"text": text, "n_chars": F.when(F.col("_w") > 0, F.length(cut)).otherwise(F.col("n_chars"))} if "n_chars" in docs.columns else {"text": text}
-    return rows.select(*[named[c].cast(docs.schema[c].dataType).alias(c) if c in named else F.col(c) for c in docs.columns])
+        took = took.withColumn("i", F.row_number().over(Window.partitionBy(*share).orderBy("taken")))
+        rows = rows.withColumn("j", F.row_number().over(Window.partitionBy("own_id", "own_source", "own_text").orderBy("own_id")))
+        on &= F.col("i") == F.col("j")
+    rows = rows.join(took.where("taken > 0"), on)
+    whole = F.floor(F.col("taken") / F.col("size")).cast("int")
+    rest = (F.col("taken") % F.col("size")).cast("int")
+    rows = rows.select("doc", F.col("doc.text").cast("string").alias("text"), F.explode(F.concat(F.array_repeat(F.lit(0), whole), F.when(rest > 0, F.array(rest)).otherwise(F.expr("array()").cast("array<int>")))).alias("first"))
+    cut = F.expr(r"array_join(slice(regexp_extract_all(text, '[\\x20\\x09-\\x0D]*[^\\x20\\x09-\\x0D]+', 0), 1, first), '')")
+    new = {"text": F.when(F.col("first") > 0, cut).otherwise(F.col("text"))}
+    if "n_chars" in docs.columns:
+        new["n_chars"] = F.when(F.col("first") > 0, F.length(cut)).otherwise(F.col("doc.n_chars"))
+    return rows.select(*[(new[c].cast(docs.schema[c].dataType) if c in new else F.col("doc").getField(c)).alias(c) for c in docs.columns])

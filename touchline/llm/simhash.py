@@ -42,6 +42,10 @@ SEED = 42
 RANGES = ((0, 21), (21, 21), (42, 22))
 RING = 3
 SHARD_ROWS = 20_000
+#: Shards over SHARD_ROWS (12 bytes each) up to which their list is broadcast.
+BROADCAST_SHARDS = 100_000
+#: Most levels whose cells a long can number: enough for 7e11 fingerprints.
+LEVELS = 18
 #: A shard's usual size at which no further level of vantage points is added.
 SHARD_GOAL = 2000
 LEAF = 192
@@ -221,11 +225,12 @@ def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def link(points: DataFrame, n: int) -> DataFrame:
     """Spanning forests (a, b) over the distinct fingerprints in points(fp)."""
-    levels = min(14, max(1, math.ceil(math.log(max(n, 1) / SHARD_GOAL + 1, 3))))
+    levels = min(LEVELS, max(1, math.ceil(math.log(max(n, 1) / SHARD_GOAL + 1, 3))))
     rows = points.mapInArrow(_copies(levels), "shard long, fp long")
     sizes = rows.groupBy("shard").agg(F.count("*").alias("n")).where(F.col("n") > SHARD_ROWS)
-    big = sizes.select(F.col("shard").alias("big"), F.ceil(F.col("n") / SHARD_ROWS).cast("int").alias("blocks"))
-    rows = rows.join(F.broadcast(big), F.col("shard") == F.col("big"), "left")  # at most copies / SHARD_ROWS rows
+    big = checkpointed(sizes.select(F.col("shard").alias("big"), F.ceil(F.col("n") / SHARD_ROWS).cast("int").alias("blocks")))
+    few = big.count() <= BROADCAST_SHARDS  # else both sides are shuffled
+    rows = rows.join(F.broadcast(big) if few else big, F.col("shard") == F.col("big"), "left")
     c = F.coalesce(F.pmod(F.xxhash64("fp"), F.col("blocks")), F.lit(0)).cast("int")
     other = F.explode(F.sequence(F.lit(0), F.coalesce(F.col("blocks"), F.lit(1)) - 1))
     rows = rows.select("shard", "fp", c.alias("c"), other.alias("o")).select("shard", "fp", "c", F.least("c", "o").alias("i"), F.greatest("c", "o").alias("j"))
@@ -257,6 +262,8 @@ def first_of_each(docs: DataFrame) -> DataFrame:
     fps = docs.select("doc_id", F.col("text").cast("string"), text_key().alias("h")).mapInArrow(_fingerprint, f"doc_id {kind}, h binary, fingerprint long")
     first = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("d"), F.col("h").isNull().alias("blank"), "h")
     points = checkpointed(fps.groupBy(F.col("fingerprint").alias("fp")).agg(F.min(first).alias("first")))
-    keep = labelled(points).groupBy("label").agg(F.min("first").alias("first")).select(F.col("first.d").alias("_d"), F.col("first.h").alias("_h"))
-    kept = docs.join(keep, F.col("doc_id").eqNullSafe(F.col("_d")) & text_key().eqNullSafe(F.col("_h")), "left_semi")
-    return kept.dropDuplicates(["doc_id", "text"])
+    keep = labelled(points).groupBy("label").agg(F.min("first").alias("first")).select(F.col("first.d").alias("least_id"), F.col("first.h").alias("least_text"))
+    # columns of docs go by as one struct, so none of their names can clash
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), F.col("doc_id").alias("own_id"), text_key().alias("own_text"))
+    kept = rows.join(keep, F.col("own_id").eqNullSafe(F.col("least_id")) & F.col("own_text").eqNullSafe(F.col("least_text")), "left_semi")
+    return kept.dropDuplicates(["own_id", "own_text"]).select("doc.*")

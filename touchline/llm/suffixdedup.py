@@ -40,7 +40,7 @@ WINDOW = 400
 GRAM = 32
 V = 16
 #: Bytes of text in whose suffixes a task sorts at once.
-BLOCK = 1 << 20
+BLOCK = 1 << 19
 #: Suffixes sorted at once; larger buckets of equal leading bytes are sorted whole.
 BUCKET = 1 << 16
 
