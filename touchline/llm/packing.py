@@ -28,6 +28,7 @@ import json
 import re
 import zlib
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -65,20 +66,26 @@ class Encoder:
     """
 
     def __init__(self, vocabulary: str, pattern: str | None = None):
+        with open(vocabulary, encoding="utf-8") as f:
+            kind = json.load(f)
+        added = {t["content"] for t in kind.get("added_tokens") or []}
+        self.vocabulary = vocabulary
+        self.added = re.compile("|".join(map(re.escape, sorted(added))) or r"(?!)")
+        self.fast = self._ranked(kind, added, pattern)
+
+    @cached_property
+    def exact(self):
+        """The file's own encoder; tasks whose texts are all plain never hold it."""
         from tokenizers import Tokenizer
 
-        self.exact = Tokenizer.from_file(vocabulary)
-        self.added = re.compile("|".join(re.escape(t.content) for t in self.exact.get_added_tokens_decoder().values()) or r"(?!)")
-        self.fast = self._ranked(vocabulary, pattern)
+        return Tokenizer.from_file(self.vocabulary)
 
-    def _ranked(self, vocabulary: str, pattern: str | None):
-        with open(vocabulary, encoding="utf-8") as f:
-            kind = json.load(f)
+    @staticmethod
+    def _ranked(kind: dict, added: set, pattern: str | None):
         split, model = kind.get("pre_tokenizer") or {}, kind["model"]
         if kind.get("normalizer") or split.get("type") != "ByteLevel" or split.get("add_prefix_space") or not split.get("use_regex") or model.get("type") != "BPE":
             return None
         symbols = byte_symbols()
-        added = {t.content for t in self.exact.get_added_tokens_decoder().values()}
         ranks = {bytes(symbols[c] for c in w): k for w, k in model["vocab"].items() if w not in added}
         made = [m if isinstance(m, list) else m.split(" ") for m in model["merges"]]
         if sorted(ranks.values()) != list(range(len(ranks))) or [model["vocab"][a + b] for a, b in made] != list(range(256, len(ranks))):
