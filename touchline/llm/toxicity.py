@@ -31,11 +31,11 @@ from touchline.llm.runtime import crc_mod
 from touchline.llm.textcore import LOWER, SPACE, chunks
 
 SAMPLE = 4000
-SAMPLE_BYTES = 12 << 20
+SAMPLE_BYTES = 6 << 20
 #: Chosen, as the orders, on an inner fold of the training labels.
 FEATURES = 2000
 ORDERS = (3, 5, 7)
-BITS = 22
+BITS = 21
 
 _FOLD = LOWER.copy()
 _FOLD[SPACE] = 32
