@@ -36,7 +36,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from touchline.llm.runtime import checkpointed
+from touchline.llm.runtime import checkpointed, tidy
 from touchline.llm.textcore import Poly, U, mix, ranges, runs
 
 #: Distinct blocks of one anchor up to which they are judged in one task.
@@ -125,7 +125,7 @@ def packed(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b["doc_id"], b["th"], z, *([b["row"]] if "row" in b.schema.names else [])], ["doc_id", "th", "z", *(["row"] if "row" in b.schema.names else [])])
 
     row = f", row {docs.schema['row'].dataType.simpleString()}" if "row" in docs.columns else ""
-    return docs.mapInArrow(run, f"doc_id long, th long, z binary{row}")
+    return docs.mapInArrow(tidy(run), f"doc_id long, th long, z binary{row}")
 
 
 Finder = Callable[[pa.Array, bool], Iterator[tuple[int, dict]]]
@@ -158,9 +158,9 @@ class Search:
         self.docs = keyed(docs)
         # the keys are never null; a join would add this filter to some uses only, and equal uses share one shuffle
         self.texts = packed(self.docs.select("doc_id", "th", "text")).where("doc_id IS NOT NULL AND th IS NOT NULL")
-        rows = self.docs.select("doc_id", "th", "text").mapInArrow(_emit(find, True), "doc_id long, th long, a long, f long, g long, p long")
+        rows = self.docs.select("doc_id", "th", "text").mapInArrow(tidy(_emit(find, True)), "doc_id long, th long, a long, f long, g long, p long")
         if sift:
-            once = self.docs.select("text").mapInArrow(_emit(find, False), "a long")
+            once = self.docs.select("text").mapInArrow(tidy(_emit(find, False)), "a long")
             often = once.groupBy("a", F.bitwise_not("a").alias("x")).agg(F.count("*").alias("c")).where("c > 1").select("a")
             rows = rows.join(often, "a", "left_semi")
         self.rows = checkpointed(rows)
@@ -172,7 +172,7 @@ class Search:
         """cut applied to each document with the list of its blocks that stand for a class."""
         some = self.classes.where(F.col("c") > HOT if hot else F.col("c").between(2, HOT))
         lists = some.groupBy("doc_id", "th").agg(F.collect_list(F.struct(*KEY, "m", "p")).alias("blocks"))
-        return self.texts.join(lists, ["doc_id", "th"]).select("doc_id", "z", "blocks").mapInArrow(cut, schema)
+        return self.texts.join(lists, ["doc_id", "th"]).select("doc_id", "z", "blocks").mapInArrow(tidy(cut), schema)
 
     def judged(self, cut, schema: str, judge, windows, first_only: bool, gram: int, window: int, unit: int) -> DataFrame:
         """VERDICTS on the windows of all buckets of several classes.
@@ -183,7 +183,7 @@ class Search:
         """
 
         def settled(rows: DataFrame) -> DataFrame:
-            return rows.repartition("b").sortWithinPartitions("b").mapInArrow(judge, VERDICTS)
+            return rows.repartition("b").sortWithinPartitions("b").mapInArrow(tidy(judge), VERDICTS)
 
         out = settled(self.blocks(False, cut, schema))
         if not self.classes.where(F.col("c") > HOT).limit(1).count():
@@ -191,7 +191,7 @@ class Search:
         rows = self.blocks(True, cut, schema)
         longest = (window - gram) // 2
         for v in (longest // 6, longest):
-            rows = checkpointed(rows.mapInArrow(narrowed(v, gram, window, unit), schema))
+            rows = checkpointed(rows.mapInArrow(tidy(narrowed(v, gram, window, unit)), schema))
             large = checkpointed(rows.groupBy("b").agg(F.count("*").alias("c")).where(F.col("c") > HOT).select("b"))
             n = large.count()
             if n <= BROADCAST_BUCKETS:  # else both sides are shuffled
@@ -200,7 +200,7 @@ class Search:
             if not n:
                 return out
             rows = rows.join(large, "b", "left_semi").select(rows.columns)
-        return out.unionByName(window_counts(rows.mapInArrow(windows, WINDOWS), first_only))
+        return out.unionByName(window_counts(rows.mapInArrow(tidy(windows), WINDOWS), first_only))
 
     def alone(self) -> DataFrame:
         """Verdicts of buckets with one distinct block: it equals its copies in every window, and nothing else has its anchor."""

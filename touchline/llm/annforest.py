@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from touchline.llm.runtime import checkpointed
+from touchline.llm.runtime import checkpointed, tidy
 
 TREES = 64
 SYMBOLS = 6
@@ -234,7 +234,7 @@ def found(rows: DataFrame, shards: int) -> DataFrame:
     dealt = stored.unionByName(asks).repartition(shards, "shard").sortWithinPartitions("shard", "query", "key")
     # of the K nearest a shard holds a binomial number: its mean and two deviations
     k = min(K, math.ceil(K / shards + 2 * math.sqrt(K / shards * (1 - 1 / shards))))
-    return dealt.mapInArrow(_search(k), FOUND)
+    return dealt.mapInArrow(tidy(_search(k)), FOUND)
 
 
 def prepared(vectors: DataFrame) -> tuple[DataFrame, DataFrame, int]:

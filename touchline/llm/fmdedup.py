@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 
 from touchline.llm.anchored import KEY, Runs, Search, covered, unpacked
 from touchline.llm.suffixdedup import ranges_of
+from touchline.llm.runtime import tidy
 from touchline.llm.textcore import Poly, chunks, ranges, word_spans
 
 WINDOW = 20
@@ -245,10 +246,10 @@ def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def digests(docs: DataFrame) -> DataFrame:
     """doc_id, n_words, n_removed and kept_sha256 of each row of docs."""
     search = Search(docs, find, sift=True)
-    return search.annotated(spans(search)).select("doc_id", "z", "spans").mapInArrow(_digest, "doc_id long, n_words long, n_removed long, kept_sha256 string")
+    return search.annotated(spans(search)).select("doc_id", "z", "spans").mapInArrow(tidy(_digest), "doc_id long, n_words long, n_removed long, kept_sha256 string")
 
 
 def kept_text(docs: DataFrame) -> DataFrame:
     """doc_id and the words that are left, joined by one space."""
     search = Search(docs, find, sift=True)
-    return search.annotated(spans(search)).select("doc_id", "z", "spans").mapInArrow(_texts, "doc_id long, kept_text string")
+    return search.annotated(spans(search)).select("doc_id", "z", "spans").mapInArrow(tidy(_texts), "doc_id long, kept_text string")

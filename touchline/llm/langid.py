@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from touchline.llm.linear import Dense, fit
-from touchline.llm.runtime import crc_mod
+from touchline.llm.runtime import crc_mod, tidy
 from touchline.llm.textcore import LOWER, SPACE, chunks
 
 SAMPLE = 400
@@ -174,5 +174,5 @@ def predict(docs: DataFrame) -> DataFrame:
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     text = F.col("text").cast("string")
-    out = docs.select("doc_id", text.alias("text"), F.coalesce(text.rlike(r"\p{L}"), F.lit(False)).alias("letters")).mapInArrow(run, f"doc_id {kind}, lang_pred string, score double")
+    out = docs.select("doc_id", text.alias("text"), F.coalesce(text.rlike(r"\p{L}"), F.lit(False)).alias("letters")).mapInArrow(tidy(run), f"doc_id {kind}, lang_pred string, score double")
     return out.select("doc_id", (F.coalesce(crc_mod(F.col("doc_id"), 4), F.lit(0)) == 2).alias("held_out"), "lang_pred", "score")

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from touchline.llm.runtime import checkpointed, text_key
+from touchline.llm.runtime import checkpointed, text_key, tidy
 from touchline.llm.textcore import chunks, word_spans
 
 BUCKET = 4000
@@ -46,7 +46,7 @@ def sizes(docs: DataFrame, keyed: bool = False) -> DataFrame:
     """doc_id, source, number of words, the name that a document's random key comes from (its doc_id, else its text's MD5), and with ``keyed`` the text's key h."""
     more = [text_key().alias("h")] if keyed else []
     name = F.coalesce(F.col("doc_id").cast("string"), F.md5(F.col("text").cast("string")), F.lit("")).alias("name")
-    return docs.select("doc_id", F.col("source").cast("string"), F.col("text").cast("string"), name, *more).mapInArrow(_sizes, f"doc_id long, source string, name string, {'h binary, ' if keyed else ''}size long")
+    return docs.select("doc_id", F.col("source").cast("string"), F.col("text").cast("string"), name, *more).mapInArrow(tidy(_sizes), f"doc_id long, source string, name string, {'h binary, ' if keyed else ''}size long")
 
 
 def targets(per_source: DataFrame) -> DataFrame:

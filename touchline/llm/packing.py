@@ -36,6 +36,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from touchline.llm.runtime import tidy
+
 WINDOW = 1024
 END = 0
 #: Bytes of text for which there is a shard.
@@ -241,10 +243,10 @@ def pack(docs: DataFrame, vocabulary: str, window: int = WINDOW, shard_bytes: in
     """
     mass = docs.select(F.coalesce(F.octet_length(F.col("text").cast("string")), F.lit(0)).alias("n")).agg(F.sum("n")).first()[0] or 0
     shards = 1 + mass // shard_bytes
-    toks = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(_tokenise(vocabulary, window), "doc_id long, start long, ids binary, doc_tokens long")
+    toks = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(tidy(_tokenise(vocabulary, window)), "doc_id long, start long, ids binary, doc_tokens long")
     place = F.xxhash64("doc_id", "start", "doc_tokens", "ids")
     dealt = toks.repartition(shards, place).sortWithinPartitions(place, "doc_id", "start", "doc_tokens", "ids")
-    return dealt.mapInArrow(_place(window), SCHEMA)
+    return dealt.mapInArrow(tidy(_place(window)), SCHEMA)
 
 
 def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -258,4 +260,4 @@ def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def digests(packed: DataFrame) -> DataFrame:
     """Pieces with a checksum (of 32-bit little-endian ids) in place of the ids."""
-    return packed.mapInArrow(_digests, "doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, ids_crc32 long")
+    return packed.mapInArrow(tidy(_digests), "doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, ids_crc32 long")

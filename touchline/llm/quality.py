@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from touchline.llm.runtime import checkpointed, text_key
+from touchline.llm.runtime import checkpointed, text_key, tidy
 from touchline.llm.textcore import LOWER, Poly, U, chunks, mix, ranges, runs, word_spans
 
 LINE_DOCS = 50
@@ -122,7 +122,7 @@ def _measured(docs: DataFrame, keyed: bool = False) -> DataFrame:
     """Base figures and lines of each row of docs, its row number and host, and with ``keyed`` its source and text key h."""
     kind = docs.schema["doc_id"].dataType.simpleString()
     more = [text_key().alias("h")] if keyed else []
-    got = docs.select("doc_id", F.col("source").cast("string"), F.col("text").cast("string"), *more).mapInArrow(_run, f"doc_id {kind}, source string, {'h binary, ' if keyed else ''}{', '.join(f'{c} long' for c in BASE)}, lines array<struct<line: long, words: long>>")
+    got = docs.select("doc_id", F.col("source").cast("string"), F.col("text").cast("string"), *more).mapInArrow(tidy(_run), f"doc_id {kind}, source string, {'h binary, ' if keyed else ''}{', '.join(f'{c} long' for c in BASE)}, lines array<struct<line: long, words: long>>")
     return checkpointed(got.withColumn("row", F.monotonically_increasing_id()).withColumn("host", F.when(F.col("source").isNull(), 0).otherwise(F.xxhash64("source"))))
 
 
@@ -173,5 +173,5 @@ def cleaned(docs: DataFrame) -> DataFrame:
     kept = _verdicts(got, lost).where("kept").groupBy(F.col("doc_id").alias("_d"), F.col("source").alias("_s"), F.col("h").alias("_h")).agg(F.first("gone").alias("gone"))
     on = F.col("doc_id").eqNullSafe(F.col("_d")) & F.col("source").cast("string").eqNullSafe(F.col("_s")) & text_key().eqNullSafe(F.col("_h"))
     rows = docs.withColumn("text", F.col("text").cast("string")).join(kept, on).select(*docs.columns, "gone")
-    out = rows.mapInArrow(_cut, rows.drop("gone").schema)
+    out = rows.mapInArrow(tidy(_cut), rows.drop("gone").schema)
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out

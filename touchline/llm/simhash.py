@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from touchline.llm.components import connected
-from touchline.llm.runtime import checkpointed, text_key
+from touchline.llm.runtime import checkpointed, text_key, tidy
 from touchline.llm.textcore import LOWER, SPACE, U, chunks, ranges, word_spans
 
 RADIUS = 4
@@ -226,7 +226,7 @@ def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def link(points: DataFrame, n: int) -> DataFrame:
     """Spanning forests (a, b) over the distinct fingerprints in points(fp)."""
     levels = min(LEVELS, max(1, math.ceil(math.log(max(n, 1) / SHARD_GOAL + 1, 3))))
-    rows = points.mapInArrow(_copies(levels), "shard long, fp long")
+    rows = points.mapInArrow(tidy(_copies(levels)), "shard long, fp long")
     sizes = rows.groupBy("shard").agg(F.count("*").alias("n")).where(F.col("n") > SHARD_ROWS)
     big = checkpointed(sizes.select(F.col("shard").alias("big"), F.ceil(F.col("n") / SHARD_ROWS).cast("int").alias("blocks")))
     few = big.count() <= BROADCAST_SHARDS  # else both sides are shuffled
@@ -235,7 +235,7 @@ def link(points: DataFrame, n: int) -> DataFrame:
     other = F.explode(F.sequence(F.lit(0), F.coalesce(F.col("blocks"), F.lit(1)) - 1))
     rows = rows.select("shard", "fp", c.alias("c"), other.alias("o")).select("shard", "fp", "c", F.least("c", "o").alias("i"), F.greatest("c", "o").alias("j"))
     dealt = rows.repartition("shard", "i", "j").sortWithinPartitions("shard", "i", "j")
-    return dealt.mapInArrow(_links, "a long, b long")
+    return dealt.mapInArrow(tidy(_links), "a long, b long")
 
 
 def labelled(points: DataFrame) -> DataFrame:
@@ -247,7 +247,7 @@ def labelled(points: DataFrame) -> DataFrame:
 def components(docs: DataFrame) -> DataFrame:
     """doc_id, fingerprint (its 64 bits as a long) and component_id for each row of docs."""
     kind = docs.schema["doc_id"].dataType.simpleString()
-    fps = checkpointed(docs.select("doc_id", F.col("text").cast("string")).mapInArrow(_fingerprint, f"doc_id {kind}, fingerprint long"))
+    fps = checkpointed(docs.select("doc_id", F.col("text").cast("string")).mapInArrow(tidy(_fingerprint), f"doc_id {kind}, fingerprint long"))
     points = checkpointed(fps.groupBy(F.col("fingerprint").alias("fp")).agg(F.min("doc_id").alias("least")))
     own = labelled(points)
     least = own.groupBy("label").agg(F.min("least").alias("component_id"))
@@ -259,7 +259,7 @@ def components(docs: DataFrame) -> DataFrame:
 def first_of_each(docs: DataFrame) -> DataFrame:
     """One document of each component, the one with the least doc_id, null last, and of those the one with the least text hash; all columns stay."""
     kind = docs.schema["doc_id"].dataType.simpleString()
-    fps = docs.select("doc_id", F.col("text").cast("string"), text_key().alias("h")).mapInArrow(_fingerprint, f"doc_id {kind}, h binary, fingerprint long")
+    fps = docs.select("doc_id", F.col("text").cast("string"), text_key().alias("h")).mapInArrow(tidy(_fingerprint), f"doc_id {kind}, h binary, fingerprint long")
     first = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("d"), F.col("h").isNull().alias("blank"), "h")
     points = checkpointed(fps.groupBy(F.col("fingerprint").alias("fp")).agg(F.min(first).alias("first")))
     keep = labelled(points).groupBy("label").agg(F.min("first").alias("first")).select(F.col("first.d").alias("least_id"), F.col("first.h").alias("least_text"))

@@ -34,6 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from touchline.llm.anchored import KEY, Runs, Search, covered, unpacked
+from touchline.llm.runtime import tidy
 from touchline.llm.textcore import Poly, chunks, ranges, runs
 
 WINDOW = 400
@@ -256,13 +257,13 @@ def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def digests(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and kept_sha256 of each row of docs."""
     search = Search(docs, find, sift=True)
-    return search.annotated(spans(search)).select("doc_id", "z", "spans").mapInArrow(_digest, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return search.annotated(spans(search)).select("doc_id", "z", "spans").mapInArrow(tidy(_digest), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def removed(docs: DataFrame) -> DataFrame:
     """docs with the text that is left in place of the text (and n_chars to match); all columns and rows stay."""
     search = Search(docs, find, sift=True)
     kind = search.docs.schema["row"].dataType.simpleString()
-    got = search.annotated(spans(search), rows=True).select("z", "spans", "row").mapInArrow(_texts, f"row {kind}, kept string")
+    got = search.annotated(spans(search), rows=True).select("z", "spans", "row").mapInArrow(tidy(_texts), f"row {kind}, kept string")
     new = {"text": F.col("kept"), "n_chars": F.length("kept").cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {"text": F.col("kept")}
     return got.select(*[new[c].alias(c) if c in new else F.col("row").getField(c).alias(c) for c in docs.columns])

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from touchline.llm.linear import Rows, fit, sigmoid
-from touchline.llm.runtime import crc_mod
+from touchline.llm.runtime import crc_mod, tidy
 from touchline.llm.textcore import LOWER, SPACE, chunks
 
 SAMPLE = 4000
@@ -148,7 +148,7 @@ def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b["doc_id"], pa.array(s)], ["doc_id", "score"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    out = docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(run, f"doc_id {kind}, score double")
+    out = docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(tidy(run), f"doc_id {kind}, score double")
     return out.select("doc_id", (F.coalesce(crc_mod(F.col("doc_id"), 5), F.lit(1)) == 0).alias("held_out"), "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).cast("int").alias("predicted"))
 
 
@@ -163,4 +163,4 @@ def clean(docs: DataFrame, labels: DataFrame) -> DataFrame:
                 s[i:j] = score_chunk(model.value, data, offs)
             yield b.filter(pa.array(s < 0.5))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidy(run), docs.schema)
