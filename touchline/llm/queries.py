@@ -5,14 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from touchline.llm import annforest, fmdedup, html, langid, mixing, packing, quality, simhash, suffixdedup, toxicity
+from touchline.llm import alignment, annforest, capfilters, divergence, fmdedup, html, langid, mixing, packing, quality, simhash, suffixdedup, toxicity
 from touchline.llm.runtime import table
 
 
-def vocabulary() -> str:
+def vocabulary(name: str = "byte_bpe_50k.json") -> str:
     import public_tokenizers
 
-    return public_tokenizers.path("byte_bpe_50k.json")
+    return public_tokenizers.path(name)
 
 
 def op1_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -56,7 +56,19 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fmdedup.digests(table(spark, sf_dir, "documents"))
 
 
-QUERIES = (op1_html_extraction, op2_ann_forest, op3_toxicity, op4_suffix_dedup, op5_language_id, op6_quality_rules, op7_packing, op8_mixing, op9_simhash, op10_substring_dedup)
+def op11_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.alignment(table(spark, sf_dir, "documents"), vocabulary(), vocabulary("piece_bpe_32k.model"))
+
+
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
+def op13_cap_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return capfilters.clusters(table(spark, sf_dir, "embeddings"))
+
+
+QUERIES = (op1_html_extraction, op2_ann_forest, op3_toxicity, op4_suffix_dedup, op5_language_id, op6_quality_rules, op7_packing, op8_mixing, op9_simhash, op10_substring_dedup, op11_tokenizer_alignment, op12_source_divergence, op13_cap_filters)
 
 
 def queries() -> dict:
@@ -100,5 +112,27 @@ kept AS (SELECT word.doc_id, string_agg(v, ' ' ORDER BY word.x) AS t FROM word L
 SELECT d.doc_id, len(w) AS n_words, coalesce(n, 0) AS n_removed, sha256(CASE WHEN n IS NULL THEN array_to_string(w, ' ') ELSE coalesce(t, '') END) AS kept_sha256 FROM d LEFT JOIN per USING (doc_id) LEFT JOIN kept USING (doc_id)"""
 
 
+OP12 = r"""
+WITH d AS (SELECT row_number() OVER () AS id, coalesce(lang, '') AS lang, coalesce(source, '') AS source, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+w AS (SELECT id, lang, source, unnest(regexp_extract_all(t, '[^\x{00}-\x{40}\x{5B}-\x{60}\x{7B}-\x{7F}]+')) AS term FROM d),
+k AS (SELECT lang, term, count(*) AS n FROM w GROUP BY lang, term HAVING count(DISTINCT id) >= 10),
+c AS (SELECT lang, source, term, count(*) AS n FROM w SEMI JOIN k USING (lang, term) GROUP BY lang, source, term),
+g AS (SELECT lang, source, coalesce(total, 0) AS total, coalesce(size, 0) AS size, coalesce(lang_total, 0) AS lang_total FROM (SELECT DISTINCT lang, source FROM d) LEFT JOIN (SELECT lang, source, sum(n) AS total FROM c GROUP BY lang, source) USING (lang, source) LEFT JOIN (SELECT lang, count(*) AS size, sum(n) AS lang_total FROM k GROUP BY lang) USING (lang)),
+cell AS (SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n, 1 + 1000000000::HUGEINT * (coalesce(c.n, 0) + 2) // (total + 2 * size) AS p, 1 + 1000000000::HUGEINT * (k.n + 2) // (lang_total + 2 * size) AS q FROM g JOIN k USING (lang) LEFT JOIN c USING (lang, source, term)),
+pair AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(v, 0) AS value FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN (SELECT x.lang, x.source AS s, y.source AS t, sum((x.p - y.p) * (x.p - y.p) // (x.p + y.p)) AS v FROM cell x JOIN cell y ON x.lang = y.lang AND x.term = y.term AND x.source <> y.source GROUP BY ALL) q ON q.lang = a.lang AND q.s = a.source AND q.t = b.source),
+term AS (SELECT lang, source, 'term' AS part, term AS item, (p - q) * (p - q) // (p + q) AS value FROM cell WHERE n > 0 AND p > q),
+r AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM (FROM pair UNION ALL FROM term))
+SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(rank AS INTEGER) AS rank FROM r WHERE part = 'pair' OR rank <= 10"""
+
+OP13 = """
+WITH RECURSIVE v AS (SELECT row_number() OVER () AS r, vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+ok AS (SELECT r, vec_id, label, e, sqrt(list_inner_product(e, e)) AS norm FROM v WHERE label IS NOT NULL AND len(e) > 0 AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0),
+pair AS MATERIALIZED (SELECT a.r AS a, b.r AS b FROM ok a JOIN ok b ON a.label = b.label AND len(a.e) = len(b.e) AND a.r <> b.r WHERE list_inner_product(a.e, b.e) / (a.norm * b.norm) >= 0.93),
+reach AS (SELECT r, r AS other FROM v UNION SELECT reach.r, pair.b FROM reach JOIN pair ON reach.other = pair.a),
+c AS (SELECT reach.r, min(v.vec_id) AS component_id FROM reach JOIN v ON reach.other = v.r GROUP BY reach.r),
+n AS (SELECT a AS r, count(*) AS n FROM pair GROUP BY a)
+SELECT vec_id, coalesce(n, 0) AS n_links, component_id, coalesce(vec_id = component_id, component_id IS NULL) AS kept FROM v JOIN c USING (r) LEFT JOIN n USING (r)"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op6_quality_rules": OP6, "op8_mixing": OP8, "op10_substring_dedup": OP10}
+    return {"op6_quality_rules": OP6, "op8_mixing": OP8, "op10_substring_dedup": OP10, "op12_source_divergence": OP12, "op13_cap_filters": OP13}
