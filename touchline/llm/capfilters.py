@@ -11,9 +11,10 @@ partial sums that cannot reach it any more (``Code.decode``).
 The measure of a cap gives the threshold at which a vector has ``LIST`` filters on
 average, over ``TURNS`` independent rotations. The number of blocks grows with
 the number of vectors, so a filter holds about as many unrelated vectors at every
-size. A pair at the limit of similarity shares about a third of its filters; that
-it shares none has a chance below 1e-4 (tests measure it). Filters with a single
-vector are dropped before vectors move.
+size. A vector with few filters in a rotation gets a lower threshold there. Pairs
+exactly at the limit of similarity share a filter in all but about one of a thousand
+cases or fewer (0 of 6,000 missed with four and with five blocks; a test measures it), nearer pairs more surely.
+Filters with a single vector are dropped before vectors move.
 
 Copies of a vector within a label are one point with a weight. Points of a filter
 are compared in double precision; a filter of more than ``BLOCK`` points is cut
@@ -46,9 +47,11 @@ from touchline.llm.textcore import ranges
 
 COSINE = 0.93
 #: Codewords a block, rotations, filters a vector on average, and at least.
-WORDS, TURNS, LIST, LEAST = 32, 2, 40, 12
+WORDS, TURNS, LIST, LEAST = 32, 4, 48, 40
 #: Directions for each vector, at least.
 SPREAD = 16
+#: Components of a block at least.
+LEAST_WIDTH = 8
 #: Points of a filter that are compared in one task.
 BLOCK = 2048
 #: Lesser filters that are looked up for all pairs of a block at once.
@@ -76,7 +79,7 @@ class Code:
 
     def __init__(self, dims: int, blocks: int, turn: int):
         rng = np.random.default_rng([turn, dims, blocks])
-        self.blocks = min(blocks, dims)
+        self.blocks = max(1, min(blocks, dims // LEAST_WIDTH))  # narrower blocks would repeat their few directions
         self.width = -(-dims // self.blocks)
         self.size = self.width * self.blocks
         self.rotation = np.linalg.qr(rng.normal(size=(self.size, self.size)))[0][:dims]
@@ -101,7 +104,7 @@ class Code:
             row, code, total = row[i], code[i] * WORDS + k, reach[i, k]
         few = np.flatnonzero(np.bincount(row, minlength=len(x)) < min(LEAST // TURNS, WORDS**self.blocks))
         if len(few) and limit > -1.5:
-            more_row, more = self.decode(x[few], 0.92 * limit if limit > 0.05 else limit - 0.3)
+            more_row, more = self.decode(x[few], 0.95 * limit if limit > 0.05 else limit - 0.3)
             stay = ~np.isin(row, few)
             row, code = np.concatenate([row[stay], few[more_row]]), np.concatenate([code[stay], more])
         return row, code
