@@ -245,10 +245,10 @@ def test_pairs_at_the_limit_share_a_filter(blocks):
 
 def test_decoding_finds_every_direction_above_the_limit():
     rng = np.random.default_rng(0)
-    code = capfilters.Code(12, 2, 0)
-    x = rng.normal(size=(20, 12))
+    code = capfilters.Code(16, 2, 0)
+    x = rng.normal(size=(20, 16))
     x /= np.linalg.norm(x, axis=1, keepdims=True)
     row, c = code.decode(x, 0.2)
-    z = (x @ code.rotation).reshape(20, 2, 6)
+    z = (x @ code.rotation).reshape(20, 2, 8)
     want = {(i, a * 32 + b) for i in range(20) for a in range(32) for b in range(32) if z[i, 0] @ code.words[0, a] + z[i, 1] @ code.words[1, b] >= 0.2}
     assert set(zip(row.tolist(), c.tolist(), strict=True)) == want
