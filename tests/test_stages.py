@@ -189,21 +189,3 @@ def test_audit_negative_controls(spark):
     assert {r["component"]: r["verdict"] for r in p.collect()} == {"number": "PASS", "z": "FAIL"}
     assert audit.run_gate(p).first()["failed"]
 
-
-def test_stream_equals_batch(spark, tmp_path):
-    from touchline.operators import tracker
-
-    rows = [("a", f, f * 10 + k, 10.0 + 2 * f + 100 * k, 10.0, 40.0, 80.0, 0.9) for f in range(12) for k in range(3) if not (k == 1 and 4 < f < 7)]
-    det = spark.createDataFrame(rows, "seq string, frame long, det_id long, l double, t double, w double, h double, conf double")
-    frames = spark.range(12).select(F.lit("a").alias("seq"), F.col("id").alias("frame"))
-    batch = {tuple(r) for r in tracker.track(det, frames).collect()}
-    driven = tracker.driven(det, frames)
-    for k in range(3):
-        driven.where(F.floor(F.col("frame") / 4) == k).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
-    stream = spark.readStream.schema(driven.schema).option("maxFilesPerTrigger", 1).option("latestFirst", False).parquet(str(tmp_path / "in"))
-    q = tracker.track_stream(stream).writeStream.format("memory").queryName("tracked_out").outputMode("append").start()
-    try:
-        q.processAllAvailable()
-    finally:
-        q.stop()
-    assert {tuple(r) for r in spark.table("tracked_out").collect()} == batch and len(batch) > 20
