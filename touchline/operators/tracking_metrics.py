@@ -1,7 +1,8 @@
 """HOTA, CLEAR and Identity metrics from their published definitions.
 
-A sequence is one group, as the association terms need all of its frames. Its
-frames are handled together as one list of similar pairs; only frames in which
+``tracking_metrics`` works on tables in two passes: how well two tracks align over
+all frames is an aggregate, and frames are assigned in parallel with it joined in.
+``evaluate`` gives the same for one sequence held in arrays. Only frames in which
 boxes compete are assigned one at a time. Similarity is the IoU of boxes, or for pitch positions
 exp(-d^2 / (2 * sigma^2)) with the tolerance in metres set so that it is 0.05.
 """
@@ -9,20 +10,20 @@ exp(-d^2 / (2 * sigma^2)) with the tolerance in metres set so that it is 0.05.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
 
-from touchline.operators.matching import assign, box_iou, frame_pairs, renewed
+from touchline.operators.matching import assign, in_frames, renewed
+from touchline.sources.scratch import scratch
 
 ALPHAS = np.arange(0.05, 0.99, 0.05)
-OUT = "seq string, hota double, deta double, assa double, mota double, idf1 double, idsw long, tp long, fp long, fn long"
-
-
-def pitch_similarity(a: np.ndarray, b: np.ndarray, tolerance: float = 5.0) -> np.ndarray:
-    """Similarity of rows of positions, one to one."""
-    return np.exp(((a - b) ** 2).sum(1) * math.log(0.05) / tolerance**2)
+#: Metres at which two positions have a similarity of 0.05.
+TOLERANCE = 5.0
 
 
 class Pairs:
@@ -131,27 +132,156 @@ def evaluate(frames: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> dict[st
     return measures(q, gts, prs)
 
 
-def tracking_metrics(gt: DataFrame, pred: DataFrame, space: str = "image", attributes: bool = False) -> DataFrame:
-    """One row per sequence. gt and pred: seq, image_id, track_id, l, t, w, h or px, py; with attributes also ``label``, which must agree."""
+# --- over tables, parallel by frame -------------------------------------------------------------------
+
+
+def similar(gt: DataFrame, pred: DataFrame, space: str, attributes: bool) -> DataFrame:
+    """seq, image_id, g, p, s of the boxes of a frame that are similar at all, with the sums of s of either box, and whether a box has another pair."""
     cols = ["l", "t", "w", "h"] if space == "image" else ["px", "py"]
-    keep = ["seq", "image_id", "track_id", *cols, *(["label"] if attributes else [])]
-
-    def one(g: pd.DataFrame, p: pd.DataFrame) -> pd.DataFrame:
-        seq = (g if len(g) else p).seq.iloc[0]
-        both = pd.concat([g.assign(side=1), p.assign(side=0)], ignore_index=True).sort_values(["image_id", "side", "track_id"], kind="stable")
-        side, frame = both.side.to_numpy(), pd.factorize(both.image_id, sort=True)[0]
-        track, n = np.zeros(len(both), np.int64), [0, 0]
-        for k in (0, 1):
-            codes, names = pd.factorize(both.track_id[side == k], sort=True)
-            track[side == k], n[k] = codes, len(names)
-        x = both[cols].to_numpy(float)
-        i, j = frame_pairs(frame, side)
-        s = box_iou(x[i], x[j]) if space == "image" else pitch_similarity(x[i], x[j])
-        if attributes:
-            label = both.label.to_numpy()
-            s = np.where(label[i] == label[j], s, 0.0)
-        i, j, s = i[s > 0], j[s > 0], s[s > 0]
-        counts = [np.bincount(track[side == k], minlength=n[k]).astype(float) for k in (1, 0)]
-        return pd.DataFrame([{"seq": seq, **measures(Pairs(frame[i], j, i, track[j], track[i], s), *counts)}])
-
-    return renewed(gt, keep).groupBy("seq").cogroup(renewed(pred, keep).groupBy("seq")).applyInPandas(one, OUT)
+    more = ["label"] if attributes else []
+
+    def side(df, name):
+        return df.select("seq", "image_id", F.col("track_id").alias(name), *[F.col(c).alias(f"{name}_{c}") for c in cols + more])
+
+    g, p = (lambda c: F.col(f"g_{c}")), (lambda c: F.col(f"p_{c}"))
+    if space == "image":
+
+        def along(at, size):
+            return F.greatest(F.lit(0.0), F.least(g(at) + g(size), p(at) + p(size)) - F.greatest(g(at), p(at)))
+
+        inter = along("l", "w") * along("t", "h")
+        union = g("w") * g("h") + p("w") * p("h") - inter
+        s = F.when(union > 0, inter / union)
+    else:
+        apart = (g("px") - p("px")) * (g("px") - p("px")) + (g("py") - p("py")) * (g("py") - p("py"))
+        s = F.exp(apart * (math.log(0.05) / TOLERANCE**2))
+    if attributes:
+        s = F.when(g("label") == p("label"), s)
+    rows = side(gt, "g").join(side(pred, "p"), ["seq", "image_id"]).select("seq", "image_id", "g", "p", s.alias("s")).where("s > 0")
+    sums = [F.sum("s").over(Window.partitionBy("seq", "image_id", k)).alias(f"sum_{k}") for k in "gp"]
+    return rows.select("*", *sums, contested().alias("hard"))
+
+
+def contested() -> Column:
+    return F.greatest(*[F.count("*").over(Window.partitionBy("seq", "image_id", k)) for k in "gp"]) > 1
+
+
+def _best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of contested pairs sorted by frame, those of the largest total gain."""
+    for t, frame in in_frames(batches):
+        g, p, s, gain = (t[c].to_numpy() for c in ("g", "p", "s", "gain"))
+        rows = [np.unique(np.stack([frame, x], 1), axis=0, return_inverse=True)[1].ravel() for x in (g, p)]
+        if len(np.unique(np.stack(rows, 1), axis=0)) < len(s):
+            raise ValueError("a track has two boxes in a frame")
+        q = Pairs(frame, *rows, g, p, s)
+        pick = np.concatenate([best_of_frame(q, a, b, gain) for a, b in q.frames()])
+        yield pa.RecordBatch.from_arrays([t[c].combine_chunks().take(pa.array(pick)) for c in ("seq", "image_id", "g", "p", "s")], ["seq", "image_id", "g", "p", "s"])
+
+
+def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs of runs of frames, sorted by (seq, run, rank): the pairs each frame keeps, given those of the one before."""
+    for t, run in in_frames(batches):
+        g, p, s, rank = (t[c].to_numpy() for c in ("g", "p", "s", "rank"))
+        frame = np.concatenate([[0], np.cumsum((rank[1:] != rank[:-1]) | (run[1:] != run[:-1]))])
+        rows = [np.unique(np.stack([frame, x], 1), axis=0, return_inverse=True)[1].ravel() for x in (g, p)]
+        q, out, before, last = Pairs(frame, *rows, g, p, s), [], {}, -1
+        hard = q.contested()
+        for a, b in q.frames():
+            before = before if run[a] == last else {}
+            pick = np.arange(a, b)
+            if hard[a:b].any():
+                stay = np.array([before.get(x) == y for x, y in zip(g[a:b].tolist(), p[a:b].tolist(), strict=True)])
+                gain = np.zeros(len(s))
+                gain[a:b] = 1000 * stay + s[a:b]
+                pick = best_of_frame(q, a, b, gain)
+            before, last = dict(zip(g[pick].tolist(), p[pick].tolist(), strict=True)), run[a]
+            out.append(pick)
+        pick = pa.array(np.concatenate(out))
+        yield pa.RecordBatch.from_arrays([t[c].combine_chunks().take(pick) for c in ("seq", "rank", "g", "p")], ["seq", "rank", "g", "p"])
+
+
+def over_alphas(pairs: DataFrame, gts: DataFrame, prs: DataFrame) -> DataFrame:
+    """seq, hota, deta, assa. First pass: how well each two tracks align over all frames. Second: frames are assigned with that table joined in, and matches are counted by level."""
+    together = pairs.groupBy("seq", "g", "p").agg(F.sum(F.when(total_of() > 1e-12, F.col("s") / total_of()).otherwise(0.0)).alias("together"))
+    tracks = together.join(gts, ["seq", "g"]).join(prs, ["seq", "p"])
+    align = tracks.select("seq", "g", "p", "n_g", "n_p", (F.col("together") / F.greatest(F.lit(1e-12), F.col("n_g") + F.col("n_p") - F.col("together"))).alias("align"))
+    hard = pairs.where("hard").join(align, ["seq", "g", "p"]).select("seq", "image_id", "g", "p", "s", (F.col("align") * F.col("s")).alias("gain"))
+    kinds = {f.name: f.dataType.simpleString() for f in pairs.schema}
+    best = hard.repartition("seq", "image_id").sortWithinPartitions("seq", "image_id", "g", "p").mapInArrow(_best, ", ".join(f"{c} {kinds[c]}" for c in ("seq", "image_id", "g", "p", "s")))
+    chosen = pairs.where("NOT hard").select("seq", "g", "p", "s").unionByName(best.select("seq", "g", "p", "s"))
+    levels = chosen.groupBy("seq", "g", "p").agg(*[F.count_if(F.col("s") >= float(a) - 1e-12).alias(f"m{k}") for k, a in enumerate(ALPHAS)]).join(align, ["seq", "g", "p"])
+    m = [F.col(f"m{k}") for k in range(len(ALPHAS))]
+    sums = levels.groupBy("seq").agg(*[F.sum(c).alias(f"tp{k}") for k, c in enumerate(m)], *[F.sum(c * (c / F.greatest(F.lit(1), F.col("n_g") + F.col("n_p") - c))).alias(f"shared{k}") for k, c in enumerate(m)])
+    sizes = sizes_of(gts, prs).join(sums, "seq", "left")
+    deta, assa = [], []
+    for k in range(len(ALPHAS)):
+        tp = F.coalesce(f"tp{k}", F.lit(0))
+        deta.append(tp / F.greatest(F.lit(1), F.col("gts") + F.col("prs") - tp))
+        assa.append(F.coalesce(f"shared{k}", F.lit(0.0)) / F.greatest(F.lit(1), tp))
+
+    def mean(cs):
+        return sum(cs[1:], cs[0]) / len(cs)
+
+    return sizes.select("seq", mean([F.sqrt(d * a) for d, a in zip(deta, assa, strict=True)]).alias("hota"), mean(deta).alias("deta"), mean(assa).alias("assa"))
+
+
+def total_of() -> Column:
+    return F.col("sum_g") + F.col("sum_p") - F.col("s")
+
+
+def sizes_of(gts: DataFrame, prs: DataFrame) -> DataFrame:
+    """Boxes of a sequence on either side."""
+    g, p = gts.groupBy("seq").agg(F.sum("n_g").alias("gts")), prs.groupBy("seq").agg(F.sum("n_p").alias("prs"))
+    return g.join(p, "seq", "full_outer").na.fill(0, ["gts", "prs"])
+
+
+def kept_matches(pairs: DataFrame, frames: DataFrame) -> DataFrame:
+    """seq, rank, g, p of the matches when each frame keeps the pairs of the one before where they still match.
+
+    Only a frame in which boxes compete looks back, so a run is such frames in a row
+    and the one before them; runs are independent, and a run is one unit of a task.
+    """
+    close = pairs.where("s >= 0.5").select("seq", "image_id", "g", "p", "s").withColumn("hard", contested()).join(frames, ["seq", "image_id"])
+    order = Window.partitionBy("seq").orderBy("rank")
+    own = close.groupBy("seq", "rank").agg(F.bool_or("hard").alias("frame_hard"))
+    starts = own.withColumn("new", (~F.col("frame_hard") | ~F.coalesce(F.lag("rank").over(order) == F.col("rank") - 1, F.lit(False))).cast("long"))
+    runs = starts.withColumn("run", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0))).withColumn("run_hard", F.bool_or("frame_hard").over(Window.partitionBy("seq", "run")))
+    close = close.drop("image_id").join(runs.select("seq", "rank", "run", "run_hard"), ["seq", "rank"])
+    kinds = {f.name: f.dataType.simpleString() for f in close.schema}
+    hard = close.where("run_hard").select("seq", F.col("run").alias("image_id"), "rank", "g", "p", "s")
+    kept = hard.repartition("seq", "image_id").sortWithinPartitions("seq", "image_id", "rank", "g", "p").mapInArrow(_kept, ", ".join(f"{c} {kinds[c]}" for c in ("seq", "rank", "g", "p")))
+    return close.where("NOT run_hard").select("seq", "rank", "g", "p").unionByName(kept)
+
+
+def identity(pairs: DataFrame) -> DataFrame:
+    """seq and the boxes of the best one-to-one assignment of whole tracks, from a table of a row per two tracks."""
+    cells = pairs.where("s >= 0.5").groupBy("seq", "g", "p").agg(F.count("*").alias("n"))
+
+    def one(c: pd.DataFrame) -> pd.DataFrame:
+        over = c.pivot(index="g", columns="p", values="n").fillna(0).to_numpy()
+        return pd.DataFrame({"seq": [c.seq.iloc[0]], "idtp": [int(over[assign(-over)].sum())]})
+
+    return cells.groupBy("seq").applyInPandas(one, f"seq {cells.schema['seq'].dataType.simpleString()}, idtp long")
+
+
+def tracking_metrics(gt: DataFrame, pred: DataFrame, space: str = "image", attributes: bool = False) -> DataFrame:
+    """One row per sequence. gt and pred: seq, image_id, track_id, l, t, w, h or px, py; with attributes also ``label``, which must agree.
+
+    Rows without a track are left out. A track has one box a frame. No step holds a
+    sequence's boxes together: frames are joined, assigned and counted in parallel,
+    and only a table of a row per two similar tracks is assigned by sequence.
+    """
+    gt, pred = (renewed(df.where("track_id IS NOT NULL"), df.columns) for df in (gt, pred))
+    gts = gt.groupBy("seq", F.col("track_id").alias("g")).agg(F.count("*").alias("n_g"))
+    prs = pred.groupBy("seq", F.col("track_id").alias("p")).agg(F.count("*").alias("n_p"))
+    path = scratch(gt.sparkSession, "pairs")
+    similar(gt, pred, space, attributes).write.parquet(path)
+    pairs = gt.sparkSession.read.parquet(path)
+    frames = gt.select("seq", "image_id").union(pred.select("seq", "image_id")).distinct().withColumn("rank", F.row_number().over(Window.partitionBy("seq").orderBy("image_id")))
+    matches = kept_matches(pairs, frames)
+    before = F.lag("p").over(Window.partitionBy("seq", "g").orderBy("rank"))
+    clear = matches.withColumn("switch", before != F.col("p")).groupBy("seq").agg(F.count("*").alias("tp"), F.count_if("switch").alias("idsw"))
+    out = sizes_of(gts, prs).join(over_alphas(pairs, gts, prs), "seq").join(clear, "seq", "left").join(identity(pairs), "seq", "left").na.fill(0, ["tp", "idsw", "idtp"])
+    fp, fn = F.col("prs") - F.col("tp"), F.col("gts") - F.col("tp")
+    mota = (F.col("tp") - fp - F.col("idsw")) / F.greatest(F.lit(1), F.col("gts"))
+    return out.select(F.col("seq").cast("string").alias("seq"), "hota", "deta", "assa", mota.alias("mota"), (2 * F.col("idtp") / F.greatest(F.lit(1), F.col("gts") + F.col("prs"))).alias("idf1"), *[c.cast("long").alias(n) for n, c in (("idsw", F.col("idsw")), ("tp", F.col("tp")), ("fp", fp), ("fn", fn))])

@@ -600,6 +600,28 @@ def _(spark, d):
     return tm.tracking_metrics(gt, pred).select("seq", *r6("hota", "deta", "assa", "mota", "idf1"), "idsw", "tp", "fp", "fn")
 
 
+#: Boxes of a track keep to a strip of their own, so every frame has one possible assignment and SQL can give the figures.
+STRIPS = f"(SELECT seq, image_id, frame, track_id AS g, CASE WHEN frame % 50 > 40 THEN track_id + 100 ELSE track_id END AS p, (w - det_id % 5) / (w + det_id % 5) AS s, det_id % 10 > 0 AS has FROM {TR} t)"
+
+
+@register(
+    "a31_separate_tracks",
+    f"""WITH b AS {STRIPS}, ng AS (SELECT seq, g, count(*) AS n_g FROM b GROUP BY seq, g), np AS (SELECT seq, p, count(*) AS n_p FROM b WHERE has GROUP BY seq, p), t AS (SELECT seq, count(*) AS gts, count(*) FILTER (has) AS prs FROM b GROUP BY seq),
+    m AS (SELECT seq, g, p, i, count(*) AS m FROM b, (SELECT unnest(range(1, 20)) AS i) k WHERE has AND s >= CAST(i AS DOUBLE) / 20 - 1e-9 GROUP BY seq, g, p, i), a AS (SELECT seq, i, sum(m) AS tp, sum(CAST(m AS DOUBLE) * m / greatest(1, n_g + n_p - m)) AS shared FROM m JOIN ng USING (seq, g) JOIN np USING (seq, p) GROUP BY seq, i),
+    h AS (SELECT t.seq, coalesce(tp, 0) / CAST(greatest(1, gts + prs - coalesce(tp, 0)) AS DOUBLE) AS deta, coalesce(shared, 0) / greatest(1, coalesce(tp, 0)) AS assa FROM t CROSS JOIN (SELECT unnest(range(1, 20)) AS i) k LEFT JOIN a ON a.seq = t.seq AND a.i = k.i),
+    x AS (SELECT seq, count(*) AS tp, count(*) FILTER (p <> q) AS idsw FROM (SELECT seq, p, lag(p) OVER (PARTITION BY seq, g ORDER BY image_id) AS q FROM b WHERE has AND s >= 0.5) z GROUP BY seq),
+    y AS (SELECT seq, sum(n) AS idtp FROM (SELECT seq, g, max(n) AS n FROM (SELECT seq, g, p, count(*) AS n FROM b WHERE has AND s >= 0.5 GROUP BY seq, g, p) z GROUP BY seq, g) v GROUP BY seq)
+    SELECT t.seq, hota, deta, assa, round((tp - (prs - tp) - idsw) / CAST(gts AS DOUBLE), 6) AS mota, round(2 * idtp / CAST(gts + prs AS DOUBLE), 6) AS idf1, idsw, tp, prs - tp AS fp, gts - tp AS fn
+    FROM t JOIN (SELECT seq, round(avg(sqrt(deta * assa)), 6) AS hota, round(avg(deta), 6) AS deta, round(avg(assa), 6) AS assa FROM h GROUP BY seq) q USING (seq) JOIN x USING (seq) JOIN y USING (seq)""",
+)
+def _(spark, d):
+    from touchline.operators import tracking_metrics as tm
+
+    gt = fx.tracked(spark, d).withColumn("l", F.col("track_id") * 70.0)
+    pred = gt.where("det_id % 10 > 0").withColumns({"l": F.col("l") + F.col("det_id") % 5, "track_id": F.when(F.col("frame") % 50 > 40, F.col("track_id") + 100).otherwise(F.col("track_id"))})
+    return tm.tracking_metrics(gt, pred).select("seq", *r6("hota", "deta", "assa", "mota", "idf1"), "idsw", "tp", "fp", "fn")
+
+
 @register("ext_windowed_counts", "SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY date_trunc('hour', ts), event_type")
 def _(spark, d):
     from touchline.streaming import windows
