@@ -1,11 +1,10 @@
-"""Clustering kernels in numpy and their grouped forms: density clusters, two means, tracklet splitting."""
+"""Clustering kernels in numpy and their grouped forms: density clusters, two means, tracklet splitting. Groups of any size: metric_space."""
 
 from __future__ import annotations
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 NOISE = -1
 
@@ -150,25 +149,3 @@ def team_clusters(desc: DataFrame, k: float = 3.25) -> DataFrame:
 
     return desc.select("seq", "track_id", "unit").groupBy("seq").applyInPandas(one, "seq string, track_id long, cluster int, nearest int, distance double")
 
-
-def density_clusters(points: DataFrame, by: str, eps: float, min_samples: int) -> DataFrame:
-    """vec_id and label of density clusters by cosine distance inside each group."""
-
-    def one(p: pd.DataFrame) -> pd.DataFrame:
-        p = p.sort_values("vec_id")
-        return pd.DataFrame({by: p[by], "vec_id": p.vec_id, "cluster": dbscan(cosine_distances(unit(vectors(p.embedding))), eps, min_samples)})
-
-    kind = points.schema[by].dataType.simpleString()
-    return points.select(by, "vec_id", "embedding").groupBy(by).applyInPandas(one, f"{by} {kind}, vec_id long, cluster long")
-
-
-def neighbour_distance(points: DataFrame, by: str, k: int = 3) -> DataFrame:
-    """Cosine distance of every row to its k-th nearest other row of the group."""
-    from pyspark.sql import Window
-
-    from touchline.operators.tracks import cosine_distance
-
-    a = points.select(by, F.col("vec_id").alias("a"), F.col("embedding").alias("x"))
-    b = points.select(by, F.col("vec_id").alias("b"), F.col("embedding").alias("y"))
-    d = a.join(b, by).where("a <> b").withColumn("d", cosine_distance(F.col("x"), F.col("y")))
-    return d.withColumn("r", F.row_number().over(Window.partitionBy(by, "a").orderBy("d", "b"))).where(F.col("r") == k).select(by, F.col("a").alias("vec_id"), "d")

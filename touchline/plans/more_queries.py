@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from touchline.functions import geometry as geo
 from touchline.functions import text
-from touchline.operators import audit, cluster, matching, metrics, overlap, refine, roles, tracks, votes
+from touchline.operators import audit, cluster, matching, metric_space, metrics, overlap, refine, roles, tracks, votes
 from touchline.plans import fixtures as fx
 from touchline.plans.queries import FR, IOU_SQL, POOL, RANKED, ROLE_SQL, TR, TRAJ, D, both_stats, overlap_sql, pred_gt, r6, register, trajectories
 from touchline.sources import state
@@ -446,13 +446,13 @@ def _(spark, d):
 @register("w9_kth_neighbour", "WITH p AS (SELECT a.label, a.vec_id, b.vec_id AS o, greatest(0, least(2, 1 - list_sum(list_transform(range(1, 65), lambda i: CAST(a.embedding[i] AS DOUBLE) * b.embedding[i])))) AS d FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id <> b.vec_id) SELECT label, vec_id, round(d, 5) AS d FROM (SELECT *, row_number() OVER (PARTITION BY label, vec_id ORDER BY d, o) AS r FROM p) q WHERE r = 3")
 def _(spark, d):
     fx.views(spark, d, "embeddings")
-    return cluster.neighbour_distance(spark.table("embeddings"), "label").select("label", "vec_id", F.round("d", 5).alias("d"))
+    return metric_space.neighbour_distance(spark.table("embeddings"), "label").select("label", "vec_id", F.round("d", 5).alias("d"))
 
 
 @register("a10_density_clusters")
 def _(spark, d):
     fx.views(spark, d, "embeddings")
-    return cluster.density_clusters(spark.table("embeddings"), "label", 0.75, 3)
+    return metric_space.density_clusters(spark.table("embeddings"), "label", 0.75, 3)
 
 
 @register("a9_team_clusters")
@@ -697,7 +697,7 @@ def _(spark, d):
 def _(spark, d):
     fx.views(spark, d, "embeddings")
     w = Window.partitionBy("label")
-    k = cluster.neighbour_distance(spark.table("embeddings"), "label")
+    k = metric_space.neighbour_distance(spark.table("embeddings"), "label")
     k = k.withColumn("x", (F.row_number().over(w.orderBy("d")) - 1) / (F.count("*").over(w) - 1)).withColumn("y", (F.col("d") - F.min("d").over(w)) / (F.max("d").over(w) - F.min("d").over(w) + 1e-9))
     far = F.abs(F.col("x") * F.max("y").over(w) - F.col("y"))
     return k.withColumn("far", far).groupBy("label").agg(F.round(F.max_by("d", F.struct(F.round("far", 9), -F.col("x"))), 5).alias("eps"))
