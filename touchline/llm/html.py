@@ -33,7 +33,7 @@ from touchline.llm.runtime import tidy
 BLOCK_TAGS = frozenset(
     "address article aside blockquote body br caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol option p pre section select summary table tbody td tfoot th thead title tr ul".split()
 )
-SKIPPED = frozenset("script style noscript template title iframe object svg math canvas audio video map".split())
+SKIPPED = frozenset("script style noscript template title iframe object svg canvas audio video map".split())
 RAW = frozenset("script style textarea title noscript iframe template".split())
 FURNITURE_TAGS = frozenset("head nav header footer aside form menu button select dialog label fieldset option textarea".split())
 MAIN_TAGS = frozenset("article main".split())
@@ -49,9 +49,15 @@ STRONG_NAMES = re.compile(
 )
 WEAK_NAMES = re.compile(_ENDS.format(r"head(?:er)?|foot(?:note)?s?|reply|discussion\w*|social\w*|notice\w*|alert\w*|overlay\w*|tags?|legal|disclaimer|skip|search\w*"), re.I)
 
+# Parts of an id that name a place in a page; an id with any other word, as a heading's slug has, declares nothing (fixed values).
+PLACE_NAMES = frozenset(
+    "main site page global top bottom left right primary secondary mobile desktop container wrapper wrap section block area list box bar inner outer content body form links items posts articles button panel region row column col mod js".split()
+)
+
 # Class names that say how a part is laid out, not what it is (fixed values).
 LAYOUT_NAMES = re.compile(r"(?<!\S)(?:has|with|no|sticky)[_-]\S*", re.I)
 
+HEADING = re.compile("h[1-6]")
 _TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>?", re.S)
 _ATTR = re.compile(r"""(?:^|\s)(class|id|role|hidden|aria-hidden|style)\b(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""", re.I)
 _SPACE = re.compile(r"\s+")
@@ -246,7 +252,7 @@ def blocks(page: str) -> list[tuple]:
             open_.end(name)
             continue
         if name in SKIPPED or name in RAW:
-            if m[3].endswith("/"):
+            if m[3].endswith("/") and name not in RAW:  # HTML knows no empty script or title, and an unquoted address may end in a slash
                 continue
             if name in BLOCK_TAGS:
                 flush()
@@ -270,6 +276,8 @@ def blocks(page: str) -> list[tuple]:
             key, value = a[1].lower(), a[2] or a[3] or a[4] or ""
             if key in ("class", "id"):
                 value = LAYOUT_NAMES.sub("", value)
+                if key == "id" and (HEADING.fullmatch(name) or any(not known(w) for w in re.split(r"[\s_-]+", value.lower()) if w)):
+                    continue
                 strong |= STRONG_NAMES.search(value) is not None
                 weak |= WEAK_NAMES.search(value) is not None
             elif key == "role":
@@ -289,6 +297,11 @@ def blocks(page: str) -> list[tuple]:
     return out
 
 
+def known(word: str) -> bool:
+    """Whether part of an id names furniture or a place."""
+    return word in PLACE_NAMES or word.isdigit() or STRONG_NAMES.fullmatch(word) is not None or WEAK_NAMES.fullmatch(word) is not None
+
+
 def length(words: int) -> int:
     """Words by powers of two: 0, 1-2, 3-6, 7-14, 15-30, more."""
     return min(5, (words + 1).bit_length() - 1)

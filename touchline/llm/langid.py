@@ -6,8 +6,8 @@ length. Family machines are one-versus-rest; inside a family every pair of
 languages has a machine and the votes, then the summed margins, decide.
 
 The fit uses at most ``SAMPLE`` documents a language and ``LANGS`` * ``SAMPLE`` in all, the first by a hash of doc_id
-(languages in turn), up to ``SAMPLE_BYTES`` of text (every language's first document whatever its length); prediction
-uses whole texts.
+(languages in turn), up to ``SAMPLE_BYTES`` of text: a document that would pass the bound, or that is longer than
+``SAMPLE_BYTES / LANGS``, is left out of the fit and the next one is tried. Prediction uses whole texts.
 
 Cases: null, empty and letterless texts give ``und`` with score 0, as does every
 text if nothing can be learned. Null languages are not learned from. A language
@@ -135,7 +135,7 @@ def predict_chunk(model: dict, data: np.ndarray, offs: np.ndarray) -> tuple[np.n
 def fitted(docs: DataFrame) -> dict:
     rows = docs.select("doc_id", F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
     rows = rows.where(F.col("lang").isNotNull() & (F.octet_length("text") > 0)).where(crc_mod(F.col("doc_id"), 4) != 2)
-    ids = rows.groupBy("lang", "doc_id").agg(F.min(F.octet_length("text")).alias("n")).withColumn("k", F.xxhash64("doc_id"))
+    ids = rows.groupBy("lang", "doc_id").agg(F.min(F.octet_length("text")).alias("n")).where(F.col("n") <= SAMPLE_BYTES // LANGS).withColumn("k", F.xxhash64("doc_id"))
     # of 64 parts by the hash, each holds some SAMPLE / 64 of a language's first SAMPLE documents: six times as many and 24 are kept, far beyond chance, and no more go to one task
     part = Window.partitionBy("lang", F.pmod("k", F.lit(64))).orderBy("k", "doc_id")
     near = ids.withColumn("at", F.row_number().over(part)).where(F.col("at") <= min(SAMPLE, 6 * SAMPLE // 64 + 24)).drop("at")
@@ -143,10 +143,9 @@ def fitted(docs: DataFrame) -> dict:
     # every language's first document comes before any second one
     picked, held = [], 0
     for r in first.orderBy("at", "k", "doc_id", "lang").limit(LANGS * SAMPLE).select("doc_id", "lang", "n", "at").collect():
-        held += r["n"]
-        if held > SAMPLE_BYTES and r["at"] > 1:
-            break
-        picked.append((r["doc_id"], r["lang"]))
+        if held + r["n"] <= SAMPLE_BYTES:
+            held += r["n"]
+            picked.append((r["doc_id"], r["lang"]))
     if not picked:
         return train([], [])
     chosen = F.broadcast(docs.sparkSession.createDataFrame(picked, ids.select(F.col("doc_id").alias("_i"), F.col("lang").alias("_l")).schema))

@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from touchline.llm.runtime import checkpointed, text_key, tidy
 from touchline.llm.textcore import LOWER, Poly, U, chunks, mix, ranges, runs, word_spans
 
-LINE_DOCS = 50
+LINE_DOCS = 10
 LINE_SHARE = 0.005
 DEPLETED = 0.5
 MIN_WORDS = 20
@@ -161,8 +161,7 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     x, y = cuts[k - i], cuts[k - i + 1]
                     out = set(place[x:y][np.isin(norm[x:y].view(np.int64), gone[k])].tolist())
                     text[k] = "\n".join(t for n, t in enumerate(text[k].split("\n")) if n not in out)
-        keep = [c for c in b.schema.names if c != "gone"]
-        yield pa.RecordBatch.from_arrays([pa.array(text, b["text"].type) if c == "text" else b[c] for c in keep], keep)
+        yield pa.RecordBatch.from_arrays([b["row"], pa.array(text, pa.string())], ["row", "left"])
 
 
 def cleaned(docs: DataFrame) -> DataFrame:
@@ -170,8 +169,13 @@ def cleaned(docs: DataFrame) -> DataFrame:
     got = _measured(docs, keyed=True)
     lost = _boilerplate(got).groupBy("row").agg(F.sum("words").alias("lost"), F.collect_list("line").alias("gone"))
     # rows equal in doc_id, source and text lose the same lines
-    kept = _verdicts(got, lost).where("kept").groupBy(F.col("doc_id").alias("_d"), F.col("source").alias("_s"), F.col("h").alias("_h")).agg(F.first("gone").alias("gone"))
-    on = F.col("doc_id").eqNullSafe(F.col("_d")) & F.col("source").cast("string").eqNullSafe(F.col("_s")) & text_key().eqNullSafe(F.col("_h"))
-    rows = docs.withColumn("text", F.col("text").cast("string")).join(kept, on).select(*docs.columns, "gone")
-    out = rows.mapInArrow(tidy(_cut), rows.drop("gone").schema)
-    return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
+    kept = _verdicts(got, lost).where("kept").groupBy(F.col("doc_id").alias("kept_id"), F.col("source").alias("kept_source"), F.col("h").alias("kept_text")).agg(F.first("gone").alias("gone"))
+    # columns of docs go by as one struct, so none of their names can clash
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("text").cast("string").alias("text"), F.col("doc_id").alias("own_id"), F.col("source").cast("string").alias("own_source"), text_key().alias("own_text"))
+    on = F.col("own_id").eqNullSafe(F.col("kept_id")) & F.col("own_source").eqNullSafe(F.col("kept_source")) & F.col("own_text").eqNullSafe(F.col("kept_text"))
+    rows = rows.join(kept, on).select("row", "text", "gone")
+    out = rows.mapInArrow(tidy(_cut), f"row {rows.schema['row'].dataType.simpleString()}, left string")
+    new = {"text": F.col("left")}
+    if "n_chars" in docs.columns:
+        new["n_chars"] = F.length("left").cast(docs.schema["n_chars"].dataType)
+    return out.select(*[new[c].alias(c) if c in new else F.col("row").getField(c).alias(c) for c in docs.columns])

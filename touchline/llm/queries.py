@@ -85,7 +85,7 @@ rep AS (SELECT id, count(DISTINCT x) AS n FROM (SELECT win.id, unnest(range(i, i
 line AS (SELECT id, doc_id, source, l, regexp_extract_all(l, '[^\x20\x09-\x0D]+') AS lw FROM (SELECT *, unnest(string_split(text, chr(10))) AS l FROM d) q),
 real AS (SELECT *, translate(array_to_string(lw, ' '), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS norm FROM line WHERE len(lw) > 0),
 dup AS (SELECT id, count(*) - count(DISTINCT l) AS n FROM real GROUP BY id),
-host AS (SELECT source, greatest(50.0, 0.005 * count(*)) AS most FROM d GROUP BY source),
+host AS (SELECT source, greatest(10.0, 0.005 * count(*)) AS most FROM d GROUP BY source),
 often AS (SELECT o.source, norm FROM (SELECT source, norm, count(DISTINCT id) AS docs FROM real GROUP BY source, norm) o JOIN host h ON o.source IS NOT DISTINCT FROM h.source WHERE docs > most),
 lost AS (SELECT id, sum(len(lw)) AS n FROM real r JOIN often o ON r.source IS NOT DISTINCT FROM o.source AND r.norm = o.norm GROUP BY id),
 f AS (SELECT d.doc_id, len(w) AS n_words, coalesce(length(array_to_string(w, '')), 0) AS word_chars, len(regexp_extract_all(text, '[#*$%&|<>]')) AS n_symbols, coalesce(dup.n, 0) AS n_dup_lines, coalesce(rep.n, 0) AS n_repeat_words, CAST(coalesce(lost.n, 0) AS BIGINT) AS n_boiler_words

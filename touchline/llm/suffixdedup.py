@@ -1,4 +1,4 @@
-"""Exact removal of repeated 400-byte strings by suffix arrays built block by block.
+"""Exact removal of repeated strings (400 bytes, or as given) by suffix arrays built block by block.
 
 ``anchored.Search`` brings the distinct blocks of text that can hold a repeated
 string together in buckets. A task takes whole buckets up to ``BLOCK`` bytes and
@@ -27,6 +27,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -165,34 +166,37 @@ def judge(blocks: list[tuple], window: int = WINDOW) -> tuple[np.ndarray, np.nda
     return k, s - base[k]
 
 
-def find(texts: pa.Array, full: bool) -> Iterator[tuple[int, dict]]:
-    seek = Runs(_POLY, WINDOW, GRAM)
-    for i, _, data, offs in chunks(texts):
-        yield i, seek.find(_POLY.of_bytes(data), offs, (lambda data=data: (_OTHER, _OTHER.of_bytes(data))) if full else None)
+def finder(window: int):
+    def find(texts: pa.Array, full: bool) -> Iterator[tuple[int, dict]]:
+        seek = Runs(_POLY, window, GRAM)
+        for i, _, data, offs in chunks(texts):
+            yield i, seek.find(_POLY.of_bytes(data), offs, (lambda data=data: (_OTHER, _OTHER.of_bytes(data))) if full else None)
+
+    return find
 
 
 BLOCKS = "a long, f long, g long, b long, base long, m long, n long, d long, raw binary"
 _NAMES = [c.split()[0] for c in BLOCKS.split(", ")]
 
 
-def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _cut(batches: Iterator[pa.RecordBatch], window: int = WINDOW) -> Iterator[pa.RecordBatch]:
     for b in batches:
         cols: list[list] = [[] for _ in _NAMES]
         for text, blocks in zip(unpacked(b["z"]), b["blocks"].to_pylist(), strict=True):
             raw = text.as_py().encode()
             for x in blocks:
                 s, n, d = x["p"] >> 20, x["p"] >> 10 & 1023, x["p"] & 1023
-                for c, v in zip(cols, (x["a"], x["f"], x["g"], x["a"], 0, x["m"], n, d, raw[s : s + n - 1 + WINDOW]), strict=True):
+                for c, v in zip(cols, (x["a"], x["f"], x["g"], x["a"], 0, x["m"], n, d, raw[s : s + n - 1 + window]), strict=True):
                     c.append(v)
         yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary() if name == "raw" else pa.int64()) for name, c in zip(_NAMES, cols, strict=True)], _NAMES)
 
 
-def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _windows(batches: Iterator[pa.RecordBatch], window: int = WINDOW) -> Iterator[pa.RecordBatch]:
     """The windows of blocks by hash."""
     for b in batches:
         for x in b.to_pylist():
             at = np.arange(x["n"])
-            key = _POLY.slices(_POLY.of_bytes(np.frombuffer(x["raw"], np.uint8)), at, at + WINDOW).view(np.int64)
+            key = _POLY.slices(_POLY.of_bytes(np.frombuffer(x["raw"], np.uint8)), at, at + window).view(np.int64)
             same = [pa.array(np.full(len(at), v, np.int64)) for v in (x["a"], x["f"], x["g"], x["m"], 0, 0)]
             yield pa.RecordBatch.from_arrays([*same, pa.array(at + x["base"]), pa.array(key)], [*KEY, "m", "doc_id", "s", "lo", "key"])
 
@@ -205,13 +209,13 @@ def ranges_of(k: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.
     return k[first], w[first], count
 
 
-def _judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _judge(batches: Iterator[pa.RecordBatch], window: int = WINDOW) -> Iterator[pa.RecordBatch]:
     """Rows come sorted by bucket: whole buckets are gathered up to BLOCK bytes."""
     held: list[tuple] = []
     size, last = 0, None
 
     def done():
-        k, w = judge([h[4:] for h in held])
+        k, w = judge([h[4:] for h in held], window)
         k, lo, n = ranges_of(k, w)
         a, f, g, base = (np.array([h[x] for h in held], np.int64) for x in range(4))
         return pa.RecordBatch.from_arrays([pa.array(x) for x in (a[k], f[k], g[k], lo + base[k], n)], [*KEY, "lo", "n"])
@@ -228,42 +232,43 @@ def _judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield done()
 
 
-def spans(search: Search) -> DataFrame:
-    verdicts = search.judged(_cut, BLOCKS, _judge, _windows, False, GRAM, WINDOW, 1)
+def spans(search: Search, window: int) -> DataFrame:
+    cut, judge_, windows = (partial(f, window=window) for f in (_cut, _judge, _windows))
+    verdicts = search.judged(cut, BLOCKS, judge_, windows, False, GRAM, window, 1)
     return search.spread(verdicts.unionByName(search.alone()), False)
 
 
-def _left(b: pa.RecordBatch) -> Iterator[tuple[bytes, bytes, int]]:
+def _left(b: pa.RecordBatch, window: int) -> Iterator[tuple[bytes, bytes, int]]:
     """Bytes, bytes that are left, and removed runs of each row."""
     for text, got in zip(unpacked(b["z"]), b["spans"].to_pylist(), strict=True):
         raw = text.as_py().encode()
-        cut = covered(got or [], WINDOW, len(raw))
+        cut = covered(got or [], window, len(raw))
         ends = [0, *(x for c in cut for x in c), len(raw)]
         yield raw, b"".join(raw[x:y] for x, y in zip(ends[::2], ends[1::2], strict=True)) if cut else raw, len(cut)
 
 
-def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _digest(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        out = [(len(raw), len(raw) - len(kept), n, hashlib.sha256(kept).hexdigest()) for raw, kept, n in _left(b)]
+        out = [(len(raw), len(raw) - len(kept), n, hashlib.sha256(kept).hexdigest()) for raw, kept, n in _left(b, window)]
         cols = [list(c) for c in zip(*out, strict=True)] or [[]] * 4
         yield pa.RecordBatch.from_arrays([b["doc_id"], *(pa.array(c, pa.string() if k == 3 else pa.int64()) for k, c in enumerate(cols))], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
 
-def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _texts(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        yield pa.RecordBatch.from_arrays([b["row"], pa.array([kept.decode("utf-8", "ignore") for _, kept, _ in _left(b)], pa.string())], ["row", "kept"])
+        yield pa.RecordBatch.from_arrays([b["row"], pa.array([kept.decode("utf-8", "ignore") for _, kept, _ in _left(b, window)], pa.string())], ["row", "kept"])
 
 
-def digests(docs: DataFrame) -> DataFrame:
+def digests(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and kept_sha256 of each row of docs."""
-    search = Search(docs, find, sift=True)
-    return search.annotated(spans(search)).select("doc_id", "z", "spans").mapInArrow(tidy(_digest), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    search = Search(docs, finder(window), sift=True)
+    return search.annotated(spans(search, window)).select("doc_id", "z", "spans").mapInArrow(tidy(partial(_digest, window=window)), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
-def removed(docs: DataFrame) -> DataFrame:
-    """docs with the text that is left in place of the text (and n_chars to match); all columns and rows stay."""
-    search = Search(docs, find, sift=True)
+def removed(docs: DataFrame, window: int = WINDOW) -> DataFrame:
+    """docs with the text that is left in place of the text (and n_chars to match); all columns and rows stay. window: bytes of the repeated strings that go."""
+    search = Search(docs, finder(window), sift=True)
     kind = search.docs.schema["row"].dataType.simpleString()
-    got = search.annotated(spans(search), rows=True).select("z", "spans", "row").mapInArrow(tidy(_texts), f"row {kind}, kept string")
+    got = search.annotated(spans(search, window), rows=True).select("z", "spans", "row").mapInArrow(tidy(partial(_texts, window=window)), f"row {kind}, kept string")
     new = {"text": F.col("kept"), "n_chars": F.length("kept").cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {"text": F.col("kept")}
     return got.select(*[new[c].alias(c) if c in new else F.col("row").getField(c).alias(c) for c in docs.columns])

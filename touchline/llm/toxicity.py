@@ -6,8 +6,8 @@ counts in the two classes picks the telling n-grams and scales them; logistic
 regression on the scaled features gives the score.
 
 The fit uses at most ``SAMPLE`` labelled documents a class, the first by a hash
-of doc_id, up to ``SAMPLE_BYTES`` of text a class (the first document whatever
-its length); scoring uses all of every text.
+of doc_id, up to ``SAMPLE_BYTES`` of text a class: a document that would pass the
+bound is left out of the fit and the next one is tried. Scoring uses all of every text.
 
 Cases: a null or empty text has no features and gets the score of the bias.
 Null labels are left out; a document counts once for each label that it has,
@@ -119,15 +119,14 @@ def fitted(docs: DataFrame, labels: DataFrame) -> dict:
     share = counts.get(1, 0) / total if total else 0.0
     text = F.col("text").cast("string")
     rows = docs.where(F.octet_length(text) > 0)
-    sized = rows.select("doc_id", F.octet_length(text).alias("n")).join(lab.distinct(), F.col("doc_id") == F.col("_id")).groupBy("_y", "_id").agg(F.min("n").alias("n"))
+    sized = rows.select("doc_id", F.octet_length(text).alias("n")).join(lab.distinct(), F.col("doc_id") == F.col("_id")).groupBy("_y", "_id").agg(F.min("n").alias("n")).where(F.col("n") <= SAMPLE_BYTES)
     picked = []
     for label in (0, 1):
         held = 0
         for r in sized.where(F.col("_y") == label).orderBy(F.xxhash64("_id"), "_id").limit(SAMPLE).collect():
-            held += r["n"]
-            if held > SAMPLE_BYTES and held > r["n"]:
-                break
-            picked.append((r["_y"], r["_id"]))
+            if held + r["n"] <= SAMPLE_BYTES:
+                held += r["n"]
+                picked.append((r["_y"], r["_id"]))
     if len({y for y, _ in picked}) < 2:
         return train([], np.zeros(0), share)
     ids = F.broadcast(docs.sparkSession.createDataFrame(picked, sized.select("_y", "_id").schema))  # 2 * SAMPLE rows at most
