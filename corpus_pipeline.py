@@ -15,6 +15,10 @@ from touchline.llm.queries import vocabulary
 from touchline.llm.runtime import shared_folder, table
 
 
+#: Bytes of the repeated strings that the third stage removes: less than a passage of fifty short words has.
+PASSAGE = 200
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents scored below 0.5."""
     return toxicity.clean(docs, table(spark, sf_dir, "labels"))
@@ -26,8 +30,8 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without the bytes of repeated 400-byte strings."""
-    return suffixdedup.removed(docs)
+    """All documents, without the bytes of repeated strings of PASSAGE bytes."""
+    return suffixdedup.removed(docs, PASSAGE)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
