@@ -131,14 +131,27 @@ def jersey(eligible: DataFrame, answers: DataFrame) -> DataFrame:
     return finding(per, "jersey_number_detect", {c: F.col(c) for c in ("n", "missing", "extra")}, (F.col("missing") > 0, "FAIL", "eligible tracks without an answer"), (F.col("extra") > 0, "WARN", "answers without an eligible track"))
 
 
-def refine(det: DataFrame) -> DataFrame:
-    """Rows neither gained nor lost, one row per frame and trajectory, numbers constant on it."""
+def refine(det: DataFrame, merges: DataFrame | None = None, tau: float = 0.25) -> DataFrame:
+    """Rows neither gained nor lost, one row per frame and trajectory, numbers constant on it.
+
+    merges: seq, kept, absorbed, distance of every merge. Trajectories before less merges must be those after, no
+    absorbed one may be left, and no distance may be unknown or over tau.
+    """
     slot = det.where("track_id IS NOT NULL").groupBy("seq", "image_id", "track_id").agg(F.count("*").alias("n"))
     hits = slot.groupBy("seq").agg(F.count_if(F.col("n") > 1).alias("collisions"))
     numbers = det.where("track_id IS NOT NULL").groupBy("seq", "track_id").agg(F.count_distinct("number").alias("k")).groupBy("seq").agg(F.count_if(F.col("k") > 1).alias("mixed"))
-    rows = det.groupBy("seq").agg(F.count("track_id_prerefine").alias("before"), F.count("track_id").alias("after"))
+    rows = det.groupBy("seq").agg(F.count("track_id_prerefine").alias("before"), F.count("track_id").alias("after"), F.count_distinct("track_id_prerefine").alias("parts"), F.count_distinct("track_id").alias("whole"))
     per = rows.join(hits, "seq", "left").join(numbers, "seq", "left")
-    return finding(per, "traj_refine", {c: F.col(c) for c in ("before", "after", "collisions", "mixed")}, (F.col("after") > F.col("before"), "FAIL", "tracked rows appeared"), (F.col("collisions") > 0, "FAIL", "two rows of a trajectory in a frame"), (F.col("mixed") > 0, "FAIL", "numbers differ on a trajectory"))
+    seen = ["before", "after", "collisions", "mixed"]
+    rules = [(F.col("after") > F.col("before"), "FAIL", "tracked rows appeared"), (F.col("collisions") > 0, "FAIL", "two rows of a trajectory in a frame"), (F.col("mixed") > 0, "FAIL", "numbers differ on a trajectory")]
+    if merges is not None:
+        left = det.where("track_id IS NOT NULL").select("seq", F.col("track_id").alias("absorbed")).distinct().withColumn("left", F.lit(True))
+        log = merges.select("seq", "absorbed", "distance").join(left, ["seq", "absorbed"], "left")
+        log = log.groupBy("seq").agg(F.count("*").alias("merges"), F.count_if(~F.coalesce(F.col("distance") <= tau, F.lit(False))).alias("far"), F.count("left").alias("undead"))
+        per = per.join(log, "seq", "left").na.fill(0, ["merges", "far", "undead"]).withColumn("unexplained", F.col("parts") - F.col("merges") - F.col("whole"))
+        seen += ["merges", "far", "undead", "unexplained"]
+        rules += [(F.col("unexplained") != 0, "FAIL", "merges do not add up"), (F.col("undead") > 0, "FAIL", "an absorbed trajectory is left"), (F.col("far") > 0, "FAIL", "a merge beyond the limit")]
+    return finding(per, "traj_refine", {c: F.col(c) for c in seen}, *rules)
 
 
 def voted(det: DataFrame, source: str, result: str) -> DataFrame:

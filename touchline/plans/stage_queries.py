@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from touchline.functions import geometry as geo
@@ -252,6 +252,29 @@ def _(spark, d):
     return audit.refine(det).select("seq", *[F.col("observed")[c].cast("long").alias(c) for c in ("before", "after", "collisions", "mixed")], "verdict")
 
 
+MERGED = f"""(WITH t AS (SELECT seq, image_id, det_id, track_id AS pre, CASE WHEN track_id % 5 = 4 AND NOT ({SPOILT} AND det_id % 100 = 0) THEN track_id - 1 ELSE track_id END AS f FROM ({fx.TRACKED}) d)
+SELECT *, CASE WHEN row_number() OVER (PARTITION BY image_id, f ORDER BY pre) = 1 THEN f END AS final FROM t)"""
+
+
+@register(
+    "q11_merge_check",
+    f"""WITH r AS {MERGED}, m AS (SELECT DISTINCT seq, pre AS absorbed, CASE WHEN {SPOILT} AND pre = 9 THEN 0.9 ELSE 0.1 END AS distance FROM r WHERE pre % 5 = 4 AND NOT ({SPOILT} AND pre = 14)),
+    s AS (SELECT seq, count(pre) AS before, count(final) AS after, count(DISTINCT pre) AS parts, count(DISTINCT final) AS whole FROM r GROUP BY seq),
+    l AS (SELECT m.seq, count(*) AS merges, count(*) FILTER (distance > 0.25) AS far, count(x.final) AS undead FROM m LEFT JOIN (SELECT DISTINCT seq, final FROM r) x ON x.seq = m.seq AND x.final = m.absorbed GROUP BY m.seq),
+    q AS (SELECT s.*, coalesce(merges, 0) AS merges, coalesce(far, 0) AS far, coalesce(undead, 0) AS undead FROM s LEFT JOIN l ON l.seq = s.seq)
+    SELECT seq, before, after, merges, far, undead, parts - merges - whole AS unexplained, CASE WHEN far + undead > 0 OR parts - merges <> whole THEN 'FAIL' ELSE 'PASS' END AS verdict FROM q""",
+)
+def _(spark, d):
+    bad, t = F.expr(SPOILT), F.col("track_id")
+    det = fx.tracked(spark, d).withColumn("track_id_prerefine", t)
+    det = det.withColumn("track_id", F.when((t % 5 == 4) & ~(bad & (F.col("det_id") % 100 == 0)), t - 1).otherwise(t))
+    slot = Window.partitionBy("image_id", "track_id").orderBy("track_id_prerefine")
+    det = det.withColumn("first", F.row_number().over(slot) == 1).withColumn("track_id", F.when(F.col("first"), F.col("track_id"))).withColumn("number", F.col("track_id").cast("string"))
+    merges = det.where("track_id_prerefine % 5 = 4").where(~(bad & (F.col("track_id_prerefine") == 14))).select("seq", F.col("track_id_prerefine").alias("absorbed")).distinct()
+    merges = merges.withColumn("distance", F.when(bad & (F.col("absorbed") == 9), 0.9).otherwise(0.1))
+    return audit.refine(det, merges).select("seq", *[F.col("observed")[c].cast("long").alias(c) for c in ("before", "after", "merges", "far", "undead", "unexplained")], "verdict")
+
+
 @register("ext_sessions", "WITH g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER w <= INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)), s AS (SELECT user_id, ts, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM g) SELECT user_id, min(ts) AS start, max(ts) + INTERVAL 30 MINUTE AS \"end\", count(*) AS n FROM s GROUP BY user_id, k")
 def _(spark, d):
     from touchline.streaming import windows
