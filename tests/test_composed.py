@@ -147,7 +147,7 @@ def test_image_and_array_files(spark, tmp_path):
 def test_json_sink_replaces_its_folder(spark, tmp_path):
     for n in (3, 1):
         state.write_json(spark.range(n), str(tmp_path / "j"))
-    assert spark.read.json(str(tmp_path / "j")).count() == 1
+    assert state.read_json(spark, str(tmp_path / "j")).count() == 1
 
 
 def test_split_check_sees_merges_and_losses(spark):

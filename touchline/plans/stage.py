@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass, field
+from operator import attrgetter
 
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
@@ -32,9 +33,9 @@ class Stage:
 
 
 def validate(stages: list[Stage], columns: dict[str, T.DataType]) -> None:
-    """Every stage's inputs are columns of the source or outputs of an earlier stage."""
+    """Every enabled stage's inputs are columns of the source or outputs of an earlier enabled stage."""
     have = dict(columns)
-    for s in stages:
+    for s in filter(attrgetter("enabled"), stages):
         for name, kind in s.inputs.items():
             if name not in have:
                 raise ContractError(f"{s.name}: nothing before it makes {name!r}")
@@ -44,9 +45,9 @@ def validate(stages: list[Stage], columns: dict[str, T.DataType]) -> None:
 
 
 def compose(stages: list[Stage], detections: DataFrame, frames: DataFrame) -> DataFrame:
-    """Runs the stages in order; plans only, nothing is computed."""
+    """Runs the enabled stages in order; plans only, nothing is computed."""
     validate(stages, {f.name: f.dataType for f in detections.schema.fields})
-    for s in stages:
+    for s in filter(attrgetter("enabled"), stages):
         check(detections, s.inputs, s.name)
         detections = s.run(detections, frames)
         check(detections, s.outputs, s.name)
