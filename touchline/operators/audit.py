@@ -41,6 +41,24 @@ def run_gate(findings: DataFrame) -> DataFrame:
     return findings.agg(F.bool_or(F.col("verdict") == "WARN").alias("warned"), F.bool_or(F.col("verdict") == "FAIL").alias("failed"))
 
 
+def run_integrity(findings: DataFrame, log: DataFrame, artifacts: DataFrame, required: dict[str, int], patterns: tuple | None = None) -> DataFrame:
+    """One row for a run: failed, its problems and its notes, each in order.
+
+    A check that failed, a line of the log (value) with a pattern of failure, an
+    artifact of a required kind that is missing, empty or unreadable, and a kind that covers fewer
+    sequences than required are problems; warnings are notes. artifacts: kind, seq, entries (null: unreadable).
+    """
+    checks = findings.where("verdict IN ('FAIL', 'WARN')").select(F.col("verdict").alias("v"), F.concat(F.lit("check "), "seq", F.lit(": "), "component").alias("t"))
+    lines = log_failures(log, patterns or FAILURES).select(F.lit("FAIL").alias("v"), F.format_string("log: %s (%d)", "pattern", "n").alias("t"))
+    empty = artifacts.where("coalesce(entries, 0) = 0").select(F.lit("FAIL").alias("v"), F.concat("kind", F.lit(" "), "seq", F.when(F.col("entries").isNull(), ": unreadable").otherwise(": empty")).alias("t"))
+    kinds = F.explode(F.create_map(*[F.lit(x) for k, n in sorted(required.items()) for x in (k, n)])).alias("kind", "want")
+    have = artifacts.groupBy("kind").agg(F.count_distinct("seq").alias("n"))
+    short = findings.sparkSession.range(1).select(kinds).join(have, "kind", "left").withColumn("n", F.coalesce("n", F.lit(0))).where("n < want").select(F.lit("FAIL").alias("v"), F.format_string("%s covers %d of %d sequences", "kind", "n", "want").alias("t"))
+    told = audit(checks, lines, empty, short)
+    pick = lambda v: F.array_sort(F.collect_list(F.when(F.col("v") == v, F.col("t"))))
+    return told.agg(F.coalesce(F.bool_or(F.col("v") == "FAIL"), F.lit(False)).alias("failed"), pick("FAIL").alias("problems"), pick("WARN").alias("notes"))
+
+
 def detector(det: DataFrame, frames: DataFrame, least: float = 0.98) -> DataFrame:
     """Frames with a detection."""
     have = det.select("seq", "image_id").distinct().withColumn("hit", F.lit(1))
@@ -61,13 +79,24 @@ def track_lengths(det: DataFrame, least: int = 3) -> DataFrame:
     return finding(per, "track_lengths", {"median": F.col("m"), "min": F.col("s"), "tracks": F.col("t")}, (F.col("m") < least, "WARN", "short tracks"))
 
 
-def tracker_internals(sidecar: DataFrame, frames: DataFrame) -> DataFrame:
-    """sidecar: seq, image_id, ran, identity (warp is the identity), clipped. Coverage, and shares without the first frame."""
+def tracker_internals(sidecar: DataFrame, frames: DataFrame, zero_warn: float = 0.01, clipped_warn: float = 0.001) -> DataFrame:
+    """sidecar: seq, image_id, ran, identity (warp is the identity), clipped. Coverage, and shares without the first frame.
+
+    With n_high (confident boxes), zero_emb (of them with a zero embedding) and n_clipped a frame, also the shares of those.
+    """
+    more = {"n_high", "zero_emb", "n_clipped"} <= set(sidecar.columns)
     first = F.min("image_id").over(Window.partitionBy("seq"))
-    s = sidecar.withColumn("first", first == F.col("image_id")).groupBy("seq").agg(F.count("*").alias("k"), F.count_if(~F.col("ran")).alias("idle"), F.count_if(F.col("identity") & ~F.col("first")).alias("ident"), F.count_if(F.col("clipped")).alias("clip"))
+    sums = [F.sum(c).alias(c) for c in ("n_high", "zero_emb", "n_clipped")] if more else []
+    s = sidecar.withColumn("first", first == F.col("image_id")).groupBy("seq").agg(F.count("*").alias("k"), F.count_if(~F.col("ran")).alias("idle"), F.count_if(F.col("identity") & ~F.col("first")).alias("ident"), F.count_if(F.col("clipped")).alias("clip"), *sums)
     per = frames.groupBy("seq").agg(F.count("*").alias("n")).join(s, "seq", "left")
     cover, ident = share(F.coalesce("k", F.lit(0)), F.col("n")), share(F.col("ident"), F.greatest(F.col("k") - 1, F.lit(1)))
-    return finding(per, "tracker", {"coverage": cover, "identity": ident, "clipped": share(F.col("clip"), F.col("k"))}, (cover < 1, "FAIL", "frames without tracker record"), (F.col("idle") > 0, "FAIL", "declared but not run"), (ident > 0.5, "WARN", "camera motion is mostly the identity"))
+    seen = {"coverage": cover, "identity": ident, "clipped": share(F.col("clip"), F.col("k"))}
+    rules = [(cover < 1, "FAIL", "frames without tracker record"), (F.col("idle") > 0, "FAIL", "declared but not run"), (ident > 0.5, "WARN", "camera motion is mostly the identity")]
+    if more:
+        zero, cut = share(F.col("zero_emb"), F.col("n_high")), share(F.col("n_clipped"), F.col("n_high"))
+        seen |= {"zero": zero, "clipped_crops": cut}
+        rules += [((F.col("n_high") > 0) & (F.col("zero_emb") == F.col("n_high")), "FAIL", "no confident box has an embedding"), (zero > zero_warn, "WARN", "many zero embeddings"), (cut > clipped_warn, "WARN", "many clipped crops")]
+    return finding(per, "tracker", seen, *rules)
 
 
 def crop_labels(det: DataFrame, thr_target: float = 0.25, thr_other: float = 0.40) -> DataFrame:
@@ -131,6 +160,49 @@ def jersey(eligible: DataFrame, answers: DataFrame) -> DataFrame:
     return finding(per, "jersey_number_detect", {c: F.col(c) for c in ("n", "missing", "extra")}, (F.col("missing") > 0, "FAIL", "eligible tracks without an answer"), (F.col("extra") > 0, "WARN", "answers without an eligible track"))
 
 
+def jersey_cache(rows: DataFrame, blobs: DataFrame, results: DataFrame, digests: dict[str, str], rule: str, single_only: bool = True) -> DataFrame:
+    """The number column against the cached answers it was made from.
+
+    rows: seq, track_id, crop_single, number of tracked boxes. blobs: a row per
+    sequence with rule, single_crops_only, manifest_tracklets, manifest_frames and the digests of the files that answered, under the names in ``digests``, which has
+    the digests of the files as they are. results: seq, track_id, number, n_used of cached answers.
+    """
+    per = rows.where("track_id IS NOT NULL").groupBy("seq", "track_id").agg(
+        F.count_distinct("number").alias("kinds"), F.max(F.expr("cast(try_cast(number AS int) AS string)")).alias("shown"), F.bool_or("crop_single").alias("single"), F.count_if("crop_single").alias("crops")
+    )
+    eligible = F.coalesce("single", F.lit(False)) if single_only else F.lit(True)
+    said = results.select("seq", "track_id", F.when(F.col("number").rlike("^[0-9]+$"), F.expr("cast(cast(number AS int) AS string)")).alias("said"), F.lit(True).alias("answered"))
+    j = per.withColumn("eligible", eligible).join(said, ["seq", "track_id"], "left")
+    n = j.groupBy("seq").agg(
+        F.count_if("eligible").alias("eligible"), F.count_if(F.col("eligible") & F.col("answered").isNull()).alias("missing"), F.count_if(F.col("kinds") > 1).alias("mixed"),
+        F.count_if(F.col("answered").isNotNull() & ~F.col("shown").eqNullSafe(F.col("said"))).alias("disagree"), F.count_if(~F.col("eligible") & F.col("shown").isNotNull()).alias("unasked"),
+        F.sum(F.when(F.col("eligible"), F.col("crops")).otherwise(0)).alias("crops"),
+    )
+    p = n.join(blobs.withColumn("blob", F.lit(True)), "seq", "left")
+    no = F.lit(False)
+    fake = sum([F.coalesce(~F.col(c).rlike("^[0-9a-f]{64}$"), F.lit(True)).cast("int") for c in digests], F.lit(0))
+    other = sum([F.coalesce(F.col(c).rlike("^[0-9a-f]{64}$") & (F.col(c) != v), no).cast("int") for c, v in digests.items()], F.lit(0))
+    seen = {c: F.col(c) for c in ("eligible", "missing", "mixed", "disagree", "unasked")} | {"no_digest": F.when(F.col("blob"), fake), "other_digest": F.when(F.col("blob"), other)}
+    there = F.coalesce("blob", no)
+    return finding(
+        p, "jersey_cache", seen, (~there, "FAIL", "no cached answers"), (there & ~F.col("rule").eqNullSafe(F.lit(rule)), "FAIL", "answered by another rule"),
+        (there & ~F.col("single_crops_only").eqNullSafe(F.lit(single_only)), "FAIL", "asked about other crops"), (there & (F.col("manifest_tracklets") != F.col("eligible")), "FAIL", "asked about other tracks"),
+        (there & single_only & (F.col("manifest_frames") != F.col("crops")), "FAIL", "asked about another number of crops"), (there & (fake > 0), "FAIL", "no real digest"), (there & (other > 0), "FAIL", "answered by other files"),
+        (there & (F.col("missing") > 0), "FAIL", "eligible tracks without an answer"), (F.col("mixed") > 0, "FAIL", "numbers differ on a track"), (there & (F.col("disagree") > 0), "FAIL", "column differs from the answers"),
+        (F.col("unasked") > 0, "FAIL" if single_only else "WARN", "numbers on tracks that were not asked about"),
+    )
+
+
+def role_reasons(per: DataFrame, level: DataFrame, tracks_: DataFrame) -> DataFrame:
+    """per: seq, track_id, why of each trajectory; level: seq, n_fallback_nearest, n_fallback_half as the stage counted; tracks_: seq, track_id of the rows."""
+    own = per.groupBy("seq").agg(F.count("*").alias("told"), F.count_if(F.col("why") == "player_nearest_centroid").alias("near"), F.count_if(F.col("why") == "player_half_fallback").alias("half"), F.count_if(F.col("why") == "assistant").alias("assistants"), F.count_if(F.col("why") == "main_2.14").alias("main"))
+    n = tracks_.where("track_id IS NOT NULL").groupBy("seq").agg(F.count_distinct("track_id").alias("n"))
+    p = n.join(own, "seq", "left").join(level, "seq", "left").na.fill(0)
+    off = (F.col("near") != F.col("n_fallback_nearest")).cast("int") + (F.col("half") != F.col("n_fallback_half")).cast("int")
+    seen = {"told": F.col("told"), "n": F.col("n"), "near": F.col("near"), "half": F.col("half"), "off": off}
+    return finding(p, "role_reasons", seen, (off > 0, "FAIL", "fallback counts disagree with the reasons"), (F.col("told") != F.col("n"), "FAIL", "reasons do not cover the trajectories"), (F.col("main") > 1, "FAIL", "several main referees"), (F.col("assistants") > 2, "FAIL", "more than two assistants"), (F.col("half") > 0, "WARN", "trajectories placed by their half"))
+
+
 def refine(det: DataFrame, merges: DataFrame | None = None, tau: float = 0.25) -> DataFrame:
     """Rows neither gained nor lost, one row per frame and trajectory, numbers constant on it.
 

@@ -191,6 +191,35 @@ def neighbour_distance(points: DataFrame, by: str, k: int = 3) -> DataFrame:
     return Neighbours(own, k).distances().join(own, "p").select(F.col("by").alias(by), "vec_id", "d")
 
 
+# --- nearest centre -----------------------------------------------------------------------------------
+
+
+def nearest_centre(rows: DataFrame, centres: DataFrame) -> DataFrame:
+    """vec_id, nearest and distance (1 - x.y to nine places; the lesser label among equal ones) of rows(vec_id, embedding) to centres(label, centroid).
+
+    Blocks of rows meet blocks of centres, so neither has to fit anywhere. Rows without a vector are left out.
+    """
+    kind = centres.schema["label"].dataType.simpleString()
+    own = numbered(rows.withColumn("by", F.lit(0)), "by", False).select("p", "vec_id", "x")
+    mine = written(centres.where("centroid IS NOT NULL").select("label", F.transform("centroid", lambda v: v.cast("double")).alias("x")), "centres")
+    n, m = -(-own.count() // MEET) or 1, -(-mine.count() // BLOCK) or 1
+    a = own.select(F.pmod(F.xxhash64("p"), F.lit(n)).cast("int").alias("i"), F.explode(F.sequence(F.lit(0), F.lit(m - 1))).alias("j"), F.lit(1).alias("side"), F.lit(None).cast(kind).alias("label"), "p", "x")
+    b = mine.select(F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("i"), F.pmod(F.xxhash64("label"), F.lit(m)).cast("int").alias("j"), F.lit(0).alias("side"), "label", F.lit(None).cast("long").alias("p"), "x")
+
+    def near(t: pa.Table) -> pa.RecordBatch | None:
+        k = int((t["side"].to_numpy() == 0).sum())
+        if not 0 < k < t.num_rows:
+            return None
+        x = matrix(t, "x")
+        d = np.concatenate([np.round(1 - x[s : s + 1024] @ x[:k].T, 9) for s in range(k, len(x), 1024)])
+        at = d.argmin(1)
+        return pa.RecordBatch.from_arrays([t["p"].combine_chunks()[k:], t["label"].combine_chunks().take(pa.array(at)), pa.array(d.min(1))], ["p", "label", "d"])
+
+    found = each_group(a.unionByName(b), ["i", "j"], near, f"p long, label {kind}, d double", ("side", "label"))
+    best = found.groupBy("p").agg(F.min(F.struct("d", "label")).alias("best"))
+    return own.join(best, "p").select("vec_id", F.col("best.label").alias("nearest"), F.col("best.d").alias("distance"))
+
+
 # --- density clusters ------------------------------------------------------------------------------------
 
 

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from touchline.functions import text
-from touchline.operators import metrics, overlap, roles, tracks, votes
+from touchline.operators import metric_space, metrics, overlap, roles, tracks, votes
 from touchline.plans import fixtures as fx
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -219,11 +219,8 @@ def _(spark, d):
 def _(spark, d):
     fx.views(spark, d, "embeddings")
     rows = spark.table("embeddings").withColumn("t", F.lit(True))
-    cents = tracks.centroids(rows.where("vec_id % 2 = 0"), ["label"], "embedding", "t").select(F.col("label").alias("l"), "centroid")
-    # ten labels; a row per label
-    dist = 1 - F.aggregate(F.zip_with("embedding", "centroid", lambda a, b: a.cast("double") * b), F.lit(0.0), lambda s, x: s + x)
-    j = rows.where("vec_id % 2 = 1").crossJoin(F.broadcast(cents)).groupBy("vec_id").agg(F.min(F.struct(F.round(dist, 9).alias("d"), F.col("l").alias("l"))).alias("b"))
-    return j.select("vec_id", F.col("b.l").alias("nearest"), F.round("b.d", 6).alias("distance"))
+    cents = tracks.centroids(rows.where("vec_id % 2 = 0"), ["label"], "embedding", "t")
+    return metric_space.nearest_centre(rows.where("vec_id % 2 = 1"), cents).select("vec_id", "nearest", *r6("distance"))
 
 
 # --- votes ---------------------------------------------------------------------------------------

@@ -12,7 +12,7 @@ from touchline.plans.more_queries import CAM_SQL, SPOILT, cameras, embedded, gro
 from touchline.plans.queries import FR, RANKED, D, r6, reads, reads_sql, register, single_sql, stats_sql, sum_sql
 from touchline.sources import labels, state
 
-SPOILT_D = SPOILT.replace("seq", "d.seq")
+SPOILT_D, SPOILT_N = SPOILT.replace("seq", "d.seq"), SPOILT.replace("seq", "n.seq")
 
 # --- lens and pose -----------------------------------------------------------------------------
 
@@ -256,6 +256,66 @@ MERGED = f"""(WITH t AS (SELECT seq, image_id, det_id, track_id AS pre, CASE WHE
 SELECT *, CASE WHEN row_number() OVER (PARTITION BY image_id, f ORDER BY pre) = 1 THEN f END AS final FROM t)"""
 
 
+@register("q3_tracker_shares", f"WITH s AS (SELECT seq, image_id % 5 AS h, CASE WHEN {SPOILT} THEN image_id % 5 WHEN image_id % 200 = 1 THEN 1 ELSE 0 END AS z, CASE WHEN image_id % 50 = 2 THEN 1 ELSE 0 END AS c FROM {FR} f), g AS (SELECT seq, sum(h) AS h, sum(z) AS z, sum(c) AS c FROM s GROUP BY seq) SELECT seq, round(coalesce(z / CAST(nullif(h, 0) AS DOUBLE), 0), 6) AS zero, round(coalesce(c / CAST(nullif(h, 0) AS DOUBLE), 0), 6) AS clipped_crops, CASE WHEN h > 0 AND z = h THEN 'FAIL' WHEN z > 0.01 * h OR c > 0.001 * h THEN 'WARN' ELSE 'PASS' END AS verdict FROM g")
+def _(spark, d):
+    i = F.col("image_id")
+    f = fx.frames(spark, d)
+    side = f.select("seq", "image_id", F.lit(True).alias("ran"), F.lit(False).alias("identity"), F.lit(False).alias("clipped"), (i % 5).alias("n_high"), F.when(F.expr(SPOILT), i % 5).when(i % 200 == 1, 1).otherwise(0).alias("zero_emb"), F.when(i % 50 == 2, 1).otherwise(0).alias("n_clipped"))
+    return audit.tracker_internals(side, f).select("seq", *[F.round(F.col("observed")[c], 6).alias(c) for c in ("zero", "clipped_crops")], "verdict")
+
+
+WHY = f"(SELECT seq, track_id, CASE track_id % 9 WHEN 0 THEN 'player_nearest_centroid' WHEN 1 THEN 'assistant' WHEN 2 THEN 'player_half_fallback' ELSE 'player' END AS why FROM (SELECT DISTINCT seq, track_id FROM {D} d WHERE track_id IS NOT NULL AND NOT ({SPOILT} AND track_id = 11)) q)"
+
+
+@register("q9_role_reasons", f"WITH w AS (SELECT seq, count(*) AS told, count(*) FILTER (why = 'player_nearest_centroid') AS near, count(*) FILTER (why = 'player_half_fallback') AS half, count(*) FILTER (why = 'assistant') AS assistants FROM {WHY} y GROUP BY seq), n AS (SELECT seq, count(DISTINCT track_id) AS n FROM {D} d GROUP BY seq) SELECT n.seq, told, n, near, half, CASE WHEN {SPOILT_N} AND near > 0 THEN 1 ELSE 0 END AS off, CASE WHEN ({SPOILT_N} AND near > 0) OR told <> n OR assistants > 2 THEN 'FAIL' WHEN half > 0 THEN 'WARN' ELSE 'PASS' END AS verdict FROM n JOIN w ON w.seq = n.seq")
+def _(spark, d):
+    det, bad = fx.detections(spark, d).where("track_id IS NOT NULL"), F.expr(SPOILT)
+    why = F.when(F.col("track_id") % 9 == 0, "player_nearest_centroid").when(F.col("track_id") % 9 == 1, "assistant").when(F.col("track_id") % 9 == 2, "player_half_fallback").otherwise("player")
+    per = det.where(~(bad & (F.col("track_id") == 11))).select("seq", "track_id").distinct().withColumn("why", why)
+    level = per.groupBy("seq").agg(F.when(bad, 0).otherwise(F.count_if(F.col("why") == "player_nearest_centroid")).alias("n_fallback_nearest"), F.count_if(F.col("why") == "player_half_fallback").alias("n_fallback_half"))
+    return audit.role_reasons(per, level, det).select("seq", *[F.col("observed")[c].cast("long").alias(c) for c in ("told", "n", "near", "half", "off")], "verdict")
+
+
+CACHED = f"(SELECT seq, track_id, count(*) FILTER (conf > 0.9 AND track_id % 4 > 0) AS crops, bool_or({SPOILT} AND det_id % 900 = 0) AND (bool_or(conf > 0.9 AND track_id % 4 > 0) OR (track_id % 5 = 0 AND bool_or({SPOILT}))) AND count(*) > count(*) FILTER (det_id % 900 = 0) AS mixed FROM {D} d WHERE track_id IS NOT NULL GROUP BY seq, track_id)"
+
+
+@register(
+    "q10_cache_check",
+    f"""WITH t AS (SELECT *, crops > 0 AS asked, {SPOILT} AND track_id % 7 = 0 AS gone, {SPOILT} AND track_id % 7 = 1 AS moved FROM {CACHED} c),
+    g AS (SELECT seq, count(*) FILTER (asked) AS eligible, count(*) FILTER (asked AND gone) AS missing, count(*) FILTER (mixed) AS mixed, count(*) FILTER (asked AND NOT gone AND moved) AS disagree, count(*) FILTER (NOT asked AND track_id % 5 = 0 AND {SPOILT}) AS unasked FROM t GROUP BY seq)
+    SELECT seq, eligible, missing, mixed, disagree, unasked, CASE WHEN {SPOILT} THEN 1 ELSE 0 END AS other_digest, CASE WHEN {SPOILT} OR missing + mixed + disagree + unasked > 0 THEN 'FAIL' ELSE 'PASS' END AS verdict FROM g""",
+)
+def _(spark, d):
+    bad, t = F.expr(SPOILT), F.col("track_id")
+    det = fx.detections(spark, d).where("track_id IS NOT NULL").withColumn("crop_single", (F.col("conf") > 0.9) & (t % 4 > 0))
+    asked = F.bool_or("crop_single").over(Window.partitionBy("seq", "track_id"))
+    number = F.when(asked | ((t % 5 == 0) & bad), F.when(bad & (F.col("det_id") % 900 == 0), F.concat(F.lit("0"), (t + 1).cast("string"))).otherwise((t + 1).cast("string")))
+    rows = det.withColumn("number", number)
+    per = rows.groupBy("seq", "track_id").agg(F.count_if("crop_single").alias("crops")).where("crops > 0")
+    results = per.where(~(bad & (t % 7 == 0))).select("seq", "track_id", F.when(bad & (t % 7 == 1), "-1").otherwise((t + 1).cast("string")).alias("number"), F.col("crops").alias("n_used"))
+    digest = F.when(bad, F.repeat(F.lit("b"), F.lit(64))).otherwise(F.repeat(F.lit("a"), F.lit(64)))
+    blobs = per.groupBy("seq").agg(F.lit("vote_pool").alias("rule"), F.lit(True).alias("single_crops_only"), F.count("*").alias("manifest_tracklets"), F.sum("crops").alias("manifest_frames"))
+    q = audit.jersey_cache(rows, blobs.withColumn("first_sha", digest), results, {"first_sha": "a" * 64}, "vote_pool")
+    return q.select("seq", *[F.col("observed")[c].cast("long").alias(c) for c in ("eligible", "missing", "mixed", "disagree", "unasked", "other_digest")], "verdict")
+
+
+@register(
+    "q17_run_integrity",
+    f"""WITH f AS (SELECT 'check ' || seq || ': track' AS t FROM {D} d GROUP BY seq HAVING count(track_id) = 0), l AS (SELECT 'log: ' || p || ' (' || count(*) || ')' AS t FROM conversations, (SELECT unnest(['Killed', 'the']) AS p) x WHERE regexp_matches(text, p) GROUP BY p),
+    e AS (SELECT 'calibration ' || seq || ': empty' AS t FROM {FR} f GROUP BY seq HAVING count(*) FILTER (listed AND NOT ({SPOILT})) = 0), s AS (SELECT 'jersey covers ' || n || ' of ' || (n + 1) || ' sequences' AS t FROM (SELECT count(DISTINCT seq) AS n FROM {D} d) q)
+    SELECT TRUE AS failed, array_to_string(list_sort(list(t)), '|') AS problems FROM (SELECT t FROM f UNION ALL SELECT t FROM l UNION ALL SELECT t FROM e UNION ALL SELECT t FROM s) q""",
+)
+def _(spark, d):
+    fx.views(spark, d, "conversations")
+    det, f = fx.detections(spark, d), fx.frames(spark, d)
+    cams = f.groupBy("seq").agg(F.count_if(F.col("listed") & ~F.expr(SPOILT)).alias("entries")).select(F.lit("calibration").alias("kind"), "seq", "entries")
+    numbers = det.groupBy("seq").agg(F.count("*").alias("entries")).select(F.lit("jersey").alias("kind"), "seq", "entries")
+    n = det.select("seq").distinct().count()
+    log = spark.table("conversations").select(F.col("text").alias("value"))
+    q = audit.run_integrity(audit.tracked_share(det), log, cams.unionByName(numbers), {"calibration": 1, "jersey": n + 1}, ("Killed", "the"))
+    return q.select("failed", F.array_join("problems", "|").alias("problems"))
+
+
 @register(
     "q11_merge_check",
     f"""WITH r AS {MERGED}, m AS (SELECT DISTINCT seq, pre AS absorbed, CASE WHEN {SPOILT} AND pre = 9 THEN 0.9 ELSE 0.1 END AS distance FROM r WHERE pre % 5 = 4 AND NOT ({SPOILT} AND pre = 14)),
