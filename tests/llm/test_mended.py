@@ -1,6 +1,7 @@
 """Cases that earlier versions got wrong."""
 
 import random
+import re
 
 import pytest
 from tests.llm import brute
@@ -81,3 +82,29 @@ def test_the_line_limit_is_reached(spark, sf):
     df = spark.createDataFrame([(k, t, "h") for k, t in rows], "doc_id long, text string, source string")
     assert {r["n_boiler_words"] for r in quality.rules(df).collect()} == {3}
     assert {r["n_boiler_words"] for r in quality.rules(df.where("doc_id > 0")).collect()} == {0}
+
+
+def test_comments_without_a_class_go_and_talk_in_an_article_stays():
+    tree = html.trained()
+    text = f"<h1>A title of a page</h1><p>{BODY}</p><p>{BODY} Second.</p>"
+    comments = f"<h3>2 comments</h3><p>Reply by Ann</p><p>I liked it a lot, thank you for it.</p><p>Ben says:</p><p>{BODY[:60]}</p>"
+    assert html.main_text(f"<body>{text}{comments}</body>", tree) == f"A title of a page\n{BODY}\n{BODY} Second."
+    talk = f"<p>Ann says:</p><p>I liked it a lot, thank you for it.</p>"
+    assert "Ann says:\nI liked it" in html.main_text(f"<body><article>{text}{talk}</article></body>", tree)
+
+
+def test_word_counts_are_whole_and_neighbours_decide_where_no_article_tells():
+    tree = html.trained()
+    pages = [p for p in html.LAYOUTS if "<article" not in p and "<main" not in p]
+    changed = wrong = n = 0
+    for page in pages:
+        got = html.blocks(re.sub(r"\{(\d+)\}", lambda m: " ".join(["word"] * int(m[1])), page))
+        for block, row in zip(got, html.features(got), strict=True):
+            alone = (*row[:2], 0, 0.0, 0, 0.0, *row[6:])
+            kept, blind = html.decide(tree, row) >= 0.5, html.decide(tree, alone) >= 0.5
+            n += 1
+            changed += kept != blind
+            wrong += blind != (block[0][0] == "+")
+    assert changed >= 5 and wrong >= 5
+    long = html.blocks(f"<p>{'word ' * 500}</p>")
+    assert html.features(long)[0][0] == 500

@@ -5,8 +5,8 @@ described by its words, the share of them inside links, the same two figures of
 the blocks before and after it, where it stands (inside an article or main
 element, inside an element such as nav or footer, outside an article on a page
 that has one, on a page without one), what the class
-names around it hint at (one feature), and whether it is a heading, a list item
-or looks like a notice. A decision tree keeps or drops each block. It is grown
+names around it hint at (one feature), and whether it is a heading, a list item,
+looks like a notice, or is or follows the line over a reader's comment. A decision tree keeps or drops each block. It is grown
 once on the labelled blocks of the small pages in ``LAYOUTS``.
 
 Cases: null and empty pages give an empty text. Unclosed tags, stray end tags,
@@ -62,8 +62,10 @@ _TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*>?|<(
 _ATTR = re.compile(r"""(?:^|\s)(class|id|role|hidden|aria-hidden|style)\b(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""", re.I)
 _SPACE = re.compile(r"\s+")
 _NOTICE = re.compile(r"©|\(c\)|copyright|all rights reserved|cookie|subscribe|sign up|log ?in|advertis|privacy policy|terms of", re.I)
+# Lines over a reader's comment.
+_REPLY = re.compile(r"^(?:reply|repl(?:y|ied) to|comment|posted|response|submitted) (?:by|from)\b|\b(?:wrote|says|said|commented|replied)(?: (?:on|at)\b.*)?:?$|^(?:\d+ )?(?:comments?|replies|responses)(?: \(\d+\))?:?$|^leave a (?:reply|comment)", re.I)
 
-COLUMNS = ("words", "links", "before_words", "before_links", "after_words", "after_links", "place", "named", "heading", "item", "notice")
+COLUMNS = ("words", "links", "before_words", "before_links", "after_words", "after_links", "place", "named", "heading", "item", "notice", "reply")
 
 #: place: inside furniture by tag, outside the page's article or main element, on a page without one, inside it.
 FURNITURE, OUTSIDE, ANYWHERE, INSIDE = -2, -1, 0, 1
@@ -105,6 +107,21 @@ LAYOUTS = [
     f"<p>-{{2}}<p><a>-{{2}}</a><p><a>-{{3}}</a><h1>+{{4}}</h1><p>+{{25}}<p>+{{3}}<p>+{{16}}<p>-{{4}} subscribe {{3}}<p><a>-{{3}}</a>",
     f"{_MENU}<h1>+{{6}}</h1><p>+{{34}}<p>+{{25}} copyright {{16}}<p>+{{40}}<ol><li>+{{4}}<li>+{{2}}<li>+{{6}}</ol><p>+{{5}}<h3>+{{2}}</h3><p>+{{28}}<p>+{{9}}<p>-{{2}} cookies {{3}}<ul><li><a>-{{1}}</a><li><a>-{{2}}</a></ul>",
     f"<p><a>-{{2}}</a><p>-{{3}}<ul><li><a>-{{1}}</a><li><a>-{{1}}</a></ul><h2>+{{5}}</h2><p>+{{20}}<p>+{{30}} <a>{{6}}</a><p>+{{16}}<p><a>-{{4}}</a><p>-{{3}}<p><a>-{{2}}</a>",
+    # main text to the end of the page
+    "<h1>+{7}</h1><p>+{45}<p>+{28}<h2>+{3}</h2><p>+{52}<p>+{17}",
+    "<div><p>+{30}<p>+{25}</div>",
+    "<div><h1>+{3}</h1><p>+{22}</div>",
+    f"{_MENU}<h2>+{{4}}</h2><p>+{{38}}<p>+{{26}}<p>+{{9}}",
+    "<div class=head><a>-{2}</a></div><div><p>+{60}</p><p>+{3}</p><p>+{33}</p></div>",
+    "<h1>+{5}</h1><p>+{36}<ul><li>+{2}<li>+{6}</ul><p>+{11}<p>+{12}<p>+{14}",
+    "<h1>+{4}</h1><p>+{40}<h2>+{1}</h2><ul><li>+{2}<li>+{1}</ul><p>+{25}<h2>+{1}</h2><ol><li>+{1}<li>+{3}</ol><p>+{44}",
+    "<p>+{48}<p>+{31}<p>+{2}<p>+{10}<p>+{29}<p>+{70}<p>+{6}<p>+{90}",
+    # reader comments that no class name tells, and talk inside an article
+    "<h1>+{6}</h1><p>+{40}<p>+{30}<h3>-3 comments</h3><p>-Reply by {1}<p>-{12}<p>-Reply by {2}<p>-{30}<p>-{45}<p>-{3} says:<p>-{9}<footer>-{4}</footer>",
+    "<div><h2>+{5}</h2><p>+{25}<p>+{60}<p>+{12}</div><div><p>-Posted by {1}<p>-{22}<p>-{4} wrote<p>-{2}<p>-Comment from {2}<p>-{70}</div>",
+    "<h1>+{4}</h1><p>+{33}<p>+{2}<p>+{40}<p>-Leave a reply<p>-{8}<p>-{3}",
+    "<article><h1>+{5}</h1><p>+{40}<p>+{2} says:<p>+{15}<p>+{3} wrote<p>+{28}<h2>+Comments</h2><p>+{20}<p>+{3}</article>",
+    "<main><p>+{3} said:<p>+{9}<p>+{35}<p>+Reply by {2}<p>+{14}</main>",
     # no main text at all
     f"{_MENU}{_FOOT}",
     f"<ul><li><a>-{{3}}</a><li><a>-{{7}}</a><li><a>-{{5}}</a></ul><div>-{{2}}</div><div><a>-{{8}}</a></div><div>-{{3}}</div><div><a>-{{9}}</a></div>",
@@ -123,7 +140,7 @@ def labelled() -> tuple[np.ndarray, np.ndarray]:
     return np.array(x, float), np.array(y, float)
 
 
-def grow(x: np.ndarray, y: np.ndarray, least: int = 1, depth: int = 16):
+def grow(x: np.ndarray, y: np.ndarray, least: int = 1, depth: int = 24):
     """A decision tree by Gini impurity: (column, threshold, left, right) or a share of ones."""
     share = float(y.mean())
     if depth == 0 or share in (0.0, 1.0) or len(y) < 2 * least:
@@ -302,20 +319,21 @@ def known(word: str) -> bool:
     return word in PLACE_NAMES or word.isdigit() or STRONG_NAMES.fullmatch(word) is not None or WEAK_NAMES.fullmatch(word) is not None
 
 
-def length(words: int) -> int:
-    """Words by powers of two: 0, 1-2, 3-6, 7-14, 15-30, more."""
-    return min(5, (words + 1).bit_length() - 1)
-
-
 def features(got: list[tuple]) -> list[tuple]:
     """A row of COLUMNS for each block."""
     has_main = any(b[3] == INSIDE for b in got)
     none = ("", 0, 0.0)
-    out = []
+    out, reply = [], 0
     for i, (text, words, links, place, named, heading, item) in enumerate(got):
         p, q = got[i - 1] if i else none, got[i + 1] if i + 1 < len(got) else none
         place = OUTSIDE if has_main and place == ANYWHERE else place
-        out.append((length(words), links, length(p[1]), p[2], length(q[1]), q[2], place, named, heading, item, _NOTICE.search(text) is not None))
+        if _REPLY.search(text) and words <= 8:
+            reply = 1
+        elif heading:
+            reply = 0
+        elif reply:
+            reply = 2
+        out.append((words, links, p[1], p[2], q[1], q[2], place, named, heading, item, _NOTICE.search(text) is not None, reply))
     return out
 
 
