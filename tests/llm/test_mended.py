@@ -1,7 +1,10 @@
 """Cases that earlier versions got wrong."""
 
+import math
 import random
 import re
+import zlib
+from collections import Counter
 
 import pytest
 from tests.llm import brute
@@ -60,10 +63,46 @@ def test_a_long_text_does_not_end_the_fit(spark, monkeypatch):
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
     labels = spark.createDataFrame([(k, 1, k % 2) for k in range(400)], "doc_id long, quality int, toxic int")
     held = []
-    monkeypatch.setattr(toxicity, "train", lambda texts, y, share: held.append((texts, list(y))) or {"index": None, "b": 0.5})
+    monkeypatch.setattr(toxicity, "train", lambda sample, share: held.extend(sample.collect()) or {"index": None, "b": 0.5})
     toxicity.fitted(docs, labels)
-    texts, y = held[0]
-    assert all(sum(len(t) for t, v in zip(texts, y, strict=True) if v == c) <= 20_000 and y.count(c) > 80 for c in (0, 1))
+    for c in (0, 1):
+        own = [r["t"] for r in held if r["y"] == c]
+        assert sum(map(len, own)) <= 20_000 and len(own) > 80
+
+
+def test_toxicity_equals_a_dictionary_version(spark):
+    rnd = random.Random(5)
+    rows = [(k, " ".join(rnd.choice(["vile", "Scum!", "träge", "ßü", "you"] if k % 2 and rnd.random() < 0.4 else ["fine", "day", "träge", "Sun\n", "ßü"]) for _ in range(rnd.randint(0, 25)))) for k in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(k, k % 2) for k in range(300)], "doc_id long, toxic int")
+    model = toxicity.fitted(docs, labels)
+
+    def hashed(gram):
+        h = len(gram) * 0x9E3779B1 & 0xFFFFFFFF
+        for c in gram:
+            h = (h * (0x01000193 * 2 + 1) & 0xFFFFFFFF) ^ ord(c)
+        h ^= h >> 15
+        return (h * 0x85EBCA6B & 0xFFFFFFFF) >> 32 - toxicity.BITS
+
+    def has(text):
+        t = "".join(" " if c in " \t\n\v\f\r" else c.lower() if "A" <= c <= "Z" else c for c in text)
+        return {hashed(t[i : i + n]) for n in toxicity.ORDERS for i in range(len(t) - n + 1)}
+
+    fit = [(k, t) for k, t in rows if t and zlib.crc32(str(k).encode()) % 5]
+    seen = [Counter(h for k, t in fit if k % 2 == c for h in has(t)) for c in (0, 1)]
+    n = [sum(k % 2 == c for k, _ in fit) + 2 for c in (0, 1)]
+    z = {}
+    for h in seen[0].keys() | seen[1].keys():
+        a, b = seen[1][h] + 1, seen[0][h] + 1
+        p = (a + b) / sum(n)
+        z[h] = abs(a / n[1] - b / n[0]) / math.sqrt(p * (1 - p) * (1 / n[1] + 1 / n[0]) + 1e-12)
+    best = sorted((h for h in z if z[h] > 2), key=lambda h: (-round(z[h], 9), h))[: toxicity.FEATURES]
+    assert sorted(best) == [int(h) for h in (model["index"] >= 0).nonzero()[0]] and len(best) > 20
+    got = {r["doc_id"]: r["score"] for r in toxicity.score(docs, labels).collect()}
+    for k, t in rows:
+        total = model["b"] + sum(model["w"][model["index"][h]] for h in has(t) if model["index"][h] >= 0)
+        assert got[k] == pytest.approx(1 / (1 + math.exp(-total)), abs=1e-9)
+    assert sum((got[k] >= 0.5) == bool(k % 2) for k, t in rows if t) > 230
 
 
 def test_language_fit_skips_what_does_not_fit(spark, monkeypatch):

@@ -1,10 +1,13 @@
 """Toxicity by a linear classifier over character n-grams scaled by naive Bayes log-count ratios.
 
-Features are the presence of hashed byte n-grams (lower-cased ASCII, white
+Features are the presence of hashed character n-grams (lower-cased ASCII, white
 space as one symbol) anywhere in the whole text. The ratio of smoothed presence
 counts in the two classes picks the telling n-grams and scales them; logistic
 regression on the scaled features gives the score.
 
+Presence is counted in tasks and summed by hash; the driver gets the picked
+n-grams and, of each sample document, which of them it has, but no text.
+
 The fit uses at most ``SAMPLE`` labelled documents a class, the first by a hash
 of doc_id, up to ``SAMPLE_BYTES`` of text a class: a document that would pass the
 bound is left out of the fit and the next one is tried. Scoring uses all of every text.
@@ -27,23 +30,34 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from touchline.llm.linear import Rows, fit, sigmoid
-from touchline.llm.runtime import crc_mod, tidy
+from touchline.llm.runtime import checkpointed, crc_mod, tidy
 from touchline.llm.textcore import LOWER, SPACE, chunks
 
 SAMPLE = 4000
-SAMPLE_BYTES = 6 << 20
+SAMPLE_BYTES = 12 << 20
 #: Chosen, as the orders, on an inner fold of the training labels.
 FEATURES = 2000
 ORDERS = (3, 5, 7)
-BITS = 21
+BITS = 22
+
+#: Tasks that count the sample.
+TASKS = 4
 
 _FOLD = LOWER.copy()
 _FOLD[SPACE] = 32
 
 
-def ngrams(data: np.ndarray, offs: np.ndarray, n: int) -> np.ndarray:
-    """Hash of the n bytes from each position; -1 where they leave the row."""
-    d = _FOLD[data].astype(np.uint32)
+def characters(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Folded code points of UTF-8 bytes, and the rows' offsets among them."""
+    c = np.frombuffer(data.tobytes().decode().encode("utf-32-le"), np.uint32).copy()
+    plain = np.flatnonzero(c < 128)
+    c[plain] = _FOLD[c[plain]]
+    before = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
+    return c, before[offs]
+
+
+def ngrams(d: np.ndarray, offs: np.ndarray, n: int) -> np.ndarray:
+    """Hash of the n characters from each position; -1 where they leave the row."""
     m = len(d) - n + 1
     if m <= 0:
         return np.zeros(0, np.int64)
@@ -62,8 +76,9 @@ def ngrams(data: np.ndarray, offs: np.ndarray, n: int) -> np.ndarray:
 def features(data: np.ndarray, offs: np.ndarray, index: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Distinct (row, feature) pairs; index maps hashes to features, negative ones are dropped."""
     every = []
+    d, offs = characters(data, offs)
     for n in ORDERS:
-        h = ngrams(data, offs, n)
+        h = ngrams(d, offs, n)
         at = np.flatnonzero(h >= 0) if index is None else np.flatnonzero(index[h] >= 0)
         at = at[h[at] >= 0]
         f = h[at] if index is None else index[h[at]]
@@ -72,34 +87,64 @@ def features(data: np.ndarray, offs: np.ndarray, index: np.ndarray | None = None
     return pairs >> BITS, pairs & (1 << BITS) - 1
 
 
-def train(texts: list[str], toxic: np.ndarray, share: float) -> dict:
-    """The model. share: of toxic rows among all labels, the score of every text if nothing can be learned."""
-    y = np.where(toxic == 1, 1.0, -1.0)
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Documents of either class with each hash, of this task's rows."""
+    seen = np.zeros((2, 1 << BITS), np.int32)
+    for b in batches:
+        y = b["y"].to_numpy(zero_copy_only=False)
+        for i, j, data, offs in chunks(b["t"]):
+            r, f = features(data, offs)
+            for c in (0, 1):
+                seen[c] += np.bincount(f[y[i:j][r] == c], minlength=1 << BITS).astype(np.int32)
+    h = np.flatnonzero(seen.any(0))
+    for i in range(0, len(h), 1 << 18):
+        at = h[i : i + (1 << 18)]
+        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(seen[0, at].astype(np.int64)), pa.array(seen[1, at].astype(np.int64))], ["h", "neg", "pos"])
+
+
+def _held(index: np.ndarray):
+    """Of each row, the picked n-grams that it has."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i, j, data, offs in chunks(b["t"]):
+                r, f = features(data, offs, index)
+                cuts = np.searchsorted(r, np.arange(j - i + 1)).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([b["y"].slice(i, j - i), b["id"].slice(i, j - i), pa.ListArray.from_arrays(pa.array(cuts), pa.array(f.astype(np.int16)))], ["y", "id", "f"])
+
+    return run
+
+
+def picked(sample: DataFrame, n_pos: int, n_neg: int) -> list[tuple[int, float]]:
+    """(hash, log-count ratio) of the most telling n-grams: the largest difference of the classes' shares in its standard error, over two."""
+    counts = sample.repartition(TASKS).mapInArrow(tidy(_counted), "h int, neg long, pos long").groupBy("h").agg((F.sum("pos") + 1.0).alias("pos"), (F.sum("neg") + 1.0).alias("neg"))
+    np_, nn = n_pos + 2.0, n_neg + 2.0
+    p = (F.col("pos") + F.col("neg")) / (np_ + nn)
+    z = F.abs(F.col("pos") / np_ - F.col("neg") / nn) / F.sqrt(p * (1 - p) * (1 / np_ + 1 / nn) + 1e-12)
+    ratio = F.log(F.col("pos") / np_) - F.log(F.col("neg") / nn)
+    best = counts.select("h", z.alias("z"), ratio.alias("ratio")).where("z > 2").orderBy(F.desc(F.round("z", 9)), "h").limit(FEATURES)
+    return sorted((r["h"], r["ratio"]) for r in best.collect())
+
+
+def train(sample: DataFrame, share: float) -> dict:
+    """The model of sample(y, id, t). share: of toxic rows among all labels, the score of every text if nothing can be learned."""
     flat = {"index": None, "w": np.zeros(1), "b": float(share)}
-    if not (y > 0).any() or not (y < 0).any():
+    n = {r["y"]: r["n"] for r in sample.groupBy("y").agg(F.count("*").alias("n")).collect()}
+    if len(n) < 2:
         return flat
-    held = pa.array(texts, pa.large_string())
-    size = 1 << BITS
-    pos, neg = np.ones(size, np.float32), np.ones(size, np.float32)
-    for i, j, data, offs in chunks(held):
-        r, f = features(data, offs)
-        own = y[i:j][r] > 0
-        pos += np.bincount(f[own], minlength=size).astype(np.float32)
-        neg += np.bincount(f[~own], minlength=size).astype(np.float32)
-    np_, nn = (y > 0).sum() + 2.0, (y < 0).sum() + 2.0
-    ratio = np.log(pos / np_) - np.log(neg / nn)
-    # strength of evidence: difference of the shares in their standard error
-    p = (pos + neg) / (np_ + nn)
-    z = np.abs(pos / np_ - neg / nn) / np.sqrt(p * (1 - p) * (1 / np_ + 1 / nn) + 1e-12)
-    kept = np.argsort(-z, kind="stable")[:FEATURES]
-    kept = np.sort(kept[z[kept] > 2])
-    if not len(kept):
+    best = picked(sample, n[1], n[0])
+    if not best:
         return flat
-    index = np.full(size, -1, np.int32)
-    index[kept] = np.arange(len(kept))
-    pairs = [(r + i, f) for i, _, data, offs in chunks(held) for r, f in [features(data, offs, index)]]
-    x = Rows(np.concatenate([r for r, _ in pairs]), np.concatenate([f for _, f in pairs]), (len(y), len(kept)))
-    w, b = fit(x, y, "log", 1e-4, scale=ratio[kept], steps=200)
+    index = np.full(1 << BITS, -1, np.int32)
+    index[[h for h, _ in best]] = np.arange(len(best))
+    kind = sample.schema["id"].dataType.simpleString()
+    rows = sample.mapInArrow(tidy(_held(index)), f"y int, id {kind}, f array<smallint>").orderBy("y", "id").collect()
+    size = np.array([len(r["f"]) for r in rows])
+    col = np.fromiter((k for r in rows for k in r["f"]), np.int32, int(size.sum()))
+    x = Rows(np.repeat(np.arange(len(rows), dtype=np.int32), size), col, (len(rows), len(best)))
+    y = np.array([1.0 if r["y"] == 1 else -1.0 for r in rows])
+    del rows
+    w, b = fit(x, y, "log", 1e-4, scale=np.array([v for _, v in best]), steps=200)
     return {"index": index, "w": w, "b": float(b)}
 
 
@@ -120,19 +165,17 @@ def fitted(docs: DataFrame, labels: DataFrame) -> dict:
     text = F.col("text").cast("string")
     rows = docs.where(F.octet_length(text) > 0)
     sized = rows.select("doc_id", F.octet_length(text).alias("n")).join(lab.distinct(), F.col("doc_id") == F.col("_id")).groupBy("_y", "_id").agg(F.min("n").alias("n")).where(F.col("n") <= SAMPLE_BYTES)
-    picked = []
+    chosen = []
     for label in (0, 1):
         held = 0
         for r in sized.where(F.col("_y") == label).orderBy(F.xxhash64("_id"), "_id").limit(SAMPLE).collect():
             if held + r["n"] <= SAMPLE_BYTES:
                 held += r["n"]
-                picked.append((r["_y"], r["_id"]))
-    if len({y for y, _ in picked}) < 2:
-        return train([], np.zeros(0), share)
-    ids = F.broadcast(docs.sparkSession.createDataFrame(picked, sized.select("_y", "_id").schema))  # 2 * SAMPLE rows at most
+                chosen.append((r["_y"], r["_id"]))
+    ids = F.broadcast(docs.sparkSession.createDataFrame(chosen, sized.select("_y", "_id").schema))  # 2 * SAMPLE rows at most
     least = F.min(F.struct(F.octet_length(text).alias("n"), text.alias("t"))).alias("least")
-    got = rows.select("doc_id", "text").join(ids, F.col("doc_id") == F.col("_id")).groupBy("_y", "_id").agg(least).orderBy("_y", "_id").select("_y", "least.t").collect()
-    return train([r["t"] for r in got], np.array([r["_y"] for r in got]), share)
+    sample = rows.select("doc_id", "text").join(ids, F.col("doc_id") == F.col("_id")).groupBy("_y", "_id").agg(least)
+    return train(checkpointed(sample.select(F.col("_y").alias("y"), F.col("_id").alias("id"), "least.t")), share)
 
 
 def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
