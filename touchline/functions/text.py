@@ -68,3 +68,23 @@ def until_end(tokens: Column, end: int) -> Column:
     """Tokens before the first end mark."""
     at = F.array_position(tokens, end)
     return F.when(at > 0, F.slice(tokens, F.lit(1), (at - 1).cast("int"))).otherwise(tokens)
+
+
+def tokens(label: Column, charset: str) -> Column:
+    """Place of each character of the label in the charset, from 1 on; a character outside it is an error, a null label null."""
+    known = F.array(*[F.lit(c) for c in charset])
+    at = F.transform(F.filter(F.split(label, ""), lambda c: c != ""), lambda c: F.array_position(known, c).cast("int"))
+    foreign = F.exists(at, lambda i: i == 0)
+    return F.when(foreign, F.raise_error(F.concat(F.lit("not in the charset: "), label)).cast("array<int>")).otherwise(at)
+
+
+def encode(label: Column, charset: str, width: Column, end_marked: bool = True) -> Column:
+    """Token ids of a label, padded to width.
+
+    End-marked: begin mark, tokens, end mark 0, with the begin mark and the padding after the charset's ids. Otherwise (CTC): tokens, padded with the blank 0.
+    """
+    n = len(charset)
+    ids = tokens(label, charset)
+    full = F.concat(F.array(F.lit(n + 1)), ids, F.array(F.lit(0))) if end_marked else ids
+    pad = F.lit(n + 2 if end_marked else 0)
+    return F.concat(full, F.array_repeat(pad, F.greatest(F.lit(0), width - F.size(full)).cast("int")))

@@ -321,6 +321,26 @@ def _(spark, d):
     return metrics.jersey_counts(pairs).crossJoin(metrics.jersey_tracks(pairs, g)).select(*r6("det_acc_all"), "tp", "fp", "fn", *r6("precision", "recall", "f1", "trk_acc_all", "trk_acc_numbered"), "n_tracks")  # one row each
 
 
+APART = f"(SELECT *, CASE WHEN number IS NULL THEN -1 ELSE CAST(number AS BIGINT) END AS g_jn, CASE WHEN det_id % 7 = 0 OR number IS NULL THEN -1 WHEN det_id % 11 = 0 THEN CAST(number AS BIGINT) + 1 ELSE CAST(number AS BIGINT) END AS p_jn, CASE WHEN frame % 50 > 40 THEN track_id + 100 ELSE track_id END AS p_track FROM {TR} t)"
+
+
+# boxes of a track keep to a strip of their own, so each has one possible match
+@register(
+    "a27_separate_tracks",
+    f"""WITH b AS {APART}, m AS (SELECT * FROM b WHERE det_id % 10 > 0 AND (w - det_id % 5) / (w + det_id % 5) >= 0.5), c AS (SELECT avg(CASE WHEN p_jn = g_jn THEN 1.0 ELSE 0 END) AS acc, count(*) FILTER (g_jn <> -1 AND p_jn = g_jn) AS tp, count(*) FILTER (p_jn <> -1 AND p_jn <> g_jn) AS fp, count(*) FILTER (g_jn <> -1 AND p_jn <> g_jn) AS fn FROM m),
+    t AS (SELECT track_id, arg_min(g_jn, (-n, g_jn)) AS number FROM (SELECT track_id, g_jn, count(*) AS n FROM b GROUP BY track_id, g_jn) q GROUP BY track_id), p AS (SELECT p_track, arg_min(p_jn, (-n, p_jn)) AS number FROM (SELECT p_track, p_jn, count(*) AS n FROM m GROUP BY p_track, p_jn) q GROUP BY p_track),
+    o AS (SELECT p_track, arg_min(track_id, (-n, track_id)) AS track_id FROM (SELECT p_track, track_id, count(*) AS n FROM m GROUP BY p_track, track_id) q GROUP BY p_track),
+    k AS (SELECT avg(CASE WHEN p.number = t.number THEN 1.0 ELSE 0 END) AS a, avg(CASE WHEN t.number <> -1 THEN CASE WHEN p.number = t.number THEN 1.0 ELSE 0 END END) AS n, count(*) AS n_tracks FROM p JOIN o USING (p_track) LEFT JOIN t USING (track_id))
+    SELECT round(acc, 6) AS det_acc_all, tp, fp, fn, round(tp / CAST(tp + fp AS DOUBLE), 6) AS precision, round(tp / CAST(tp + fn AS DOUBLE), 6) AS recall, round(2.0 * tp / (2 * tp + fp + fn), 6) AS f1, round(a, 6) AS trk_acc_all, round(n, 6) AS trk_acc_numbered, n_tracks FROM c, k""",
+)
+def _(spark, d):
+    k, jn = F.col("det_id"), F.coalesce(text.norm_jn(F.col("number")), F.lit(-1))
+    g = fx.tracked(spark, d).withColumn("l", F.col("track_id") * 70.0).withColumn("jn", jn)
+    p = g.where("det_id % 10 > 0").withColumns({"l": F.col("l") + k % 5, "jn": F.when((k % 7 == 0) | (F.col("jn") == -1), -1).when(k % 11 == 0, F.col("jn") + 1).otherwise(F.col("jn")), "track_id": F.when(F.col("frame") % 50 > 40, F.col("track_id") + 100).otherwise(F.col("track_id"))})
+    pairs = matching.pairs_of(matching.match(p, g, matching.optimal), p, g)
+    return metrics.jersey_counts(pairs).crossJoin(metrics.jersey_tracks(pairs, g)).select(*r6("det_acc_all"), "tp", "fp", "fn", *r6("precision", "recall", "f1", "trk_acc_all", "trk_acc_numbered"), "n_tracks")  # one row each
+
+
 @register("j17_cache_compare", f"SELECT count(*) FILTER (a.det_id IS NULL OR b.det_id IS NULL) AS one_sided, count(*) FILTER (a.conf IS DISTINCT FROM b.conf) AS differ, count(*) AS n FROM (SELECT det_id, conf FROM {D} d WHERE det_id % 11 > 0) a FULL JOIN (SELECT det_id, CASE WHEN det_id % 17 = 0 THEN conf + 1 ELSE conf END AS conf FROM {D} d WHERE det_id % 13 > 0) b ON a.det_id = b.det_id")
 def _(spark, d):
     det = fx.detections(spark, d)
@@ -449,7 +469,17 @@ def _(spark, d):
     return metric_space.neighbour_distance(spark.table("embeddings"), "label").select("label", "vec_id", F.round("d", 5).alias("d"))
 
 
-@register("a10_density_clusters")
+NEAR = "SELECT a.label, a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label WHERE greatest(0, least(2, 1 - list_inner_product(a.e, b.e) / (a.n * b.n))) <= 0.75"
+
+
+@register(
+    "a10_density_clusters",
+    f"""WITH RECURSIVE v AS (SELECT label, vec_id, CAST(embedding AS DOUBLE[]) AS e, sqrt(list_inner_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[]))) AS n FROM embeddings), near AS MATERIALIZED ({NEAR}),
+    core AS MATERIALIZED (SELECT label, a FROM near GROUP BY label, a HAVING count(*) >= 3), tie AS MATERIALIZED (SELECT n.* FROM near n JOIN core x ON n.a = x.a JOIN core y ON n.b = y.a),
+    reach AS (SELECT label, a, a AS b FROM core UNION SELECT r.label, r.a, t.b FROM reach r JOIN tie t ON r.b = t.a), root AS (SELECT label, a, min(b) AS root FROM reach GROUP BY label, a),
+    num AS (SELECT label, a, dense_rank() OVER (PARTITION BY label ORDER BY root) - 1 AS k FROM root), fringe AS (SELECT n.a, min(k) AS k FROM near n JOIN num ON n.b = num.a WHERE n.a NOT IN (SELECT a FROM core) GROUP BY n.a)
+    SELECT v.label, v.vec_id, coalesce(num.k, fringe.k, -1) AS cluster FROM v LEFT JOIN num ON v.vec_id = num.a LEFT JOIN fringe ON v.vec_id = fringe.a""",
+)
 def _(spark, d):
     fx.views(spark, d, "embeddings")
     return metric_space.density_clusters(spark.table("embeddings"), "label", 0.75, 3)
@@ -508,6 +538,17 @@ def _(spark, d):
     return g.select("image_id", F.array_join(text.ctc_collapse(F.col("x")), ",").alias("ctc"), F.array_join(text.until_end(F.col("x"), 2), ",").alias("until_end"))
 
 
+CODED = f"(SELECT det_id, image_id, number, list_transform(regexp_extract_all(number, '.'), lambda c: CAST(strpos('0123456789', c) AS INTEGER)) AS ids FROM {D} d WHERE number IS NOT NULL)"
+
+
+# labels of an image are a batch, padded to its longest
+@register("c15_token_encode", f"SELECT det_id, array_to_string([11] || ids || [0] || list_transform(range(CAST(max(len(ids)) OVER w AS BIGINT) - len(ids)), lambda i: 12), ',') AS attended, array_to_string(ids || list_transform(range(CAST(max(len(ids)) OVER w AS BIGINT) - len(ids)), lambda i: 0), ',') AS ctc FROM {CODED} c WINDOW w AS (PARTITION BY image_id)")
+def _(spark, d):
+    rows = fx.detections(spark, d).where("number IS NOT NULL").withColumn("n", F.max(F.length("number")).over(Window.partitionBy("image_id")))
+    both = [text.encode(F.col("number"), "0123456789", F.col("n") + more, marked) for more, marked in ((2, True), (0, False))]
+    return rows.select("det_id", *[F.array_join(c.cast("array<string>"), ",").alias(k) for k, c in zip(("attended", "ctc"), both, strict=True)])
+
+
 @register("c17_metric_cells", f"SELECT det_id, CASE WHEN v IS NULL THEN '-' WHEN v = floor(v) THEN CAST(CAST(v AS BIGINT) AS STRING) ELSE printf('%.4f', v) END AS cell FROM (SELECT det_id, px / 4 AS v FROM {D} d) q")
 def _(spark, d):
     return fx.detections(spark, d).select("det_id", text.metric_cell(F.col("px") / 4).alias("cell"))
