@@ -138,12 +138,13 @@ def _(spark, d):
 
 
 @register("p20_bbox_pitch", f"""WITH c AS {CAM_SQL}, g AS (SELECT det_id, {ground_sql("l * 6", "(t + h) * 3", "bottom_left")}, {ground_sql("(l + w) * 6", "(t + h) * 3", "bottom_right")}, {ground_sql("(l + w / 2) * 6", "(t + h) * 3", "bottom_middle")} FROM {D} d JOIN c USING (image_id))
-SELECT det_id, {", ".join(f"round({a}_bottom_{n}, 4) AS {a}_bottom_{n}" for n in ("left", "right", "middle") for a in "xy")} FROM g WHERE abs(x_bottom_middle) < 1000 AND abs(y_bottom_middle) < 1000""")
+SELECT det_id, {", ".join(f"CASE WHEN abs(x_bottom_middle) < 1000 AND abs(y_bottom_middle) < 1000 THEN round({a}_bottom_{n}, 4) END AS {a}_bottom_{n}" for n in ("left", "right", "middle") for a in "xy")}, NOT (abs(x_bottom_middle) < 1000 AND abs(y_bottom_middle) < 1000) AS far FROM g""")
 def _(spark, d):
     cams = cameras(fx.frames(spark, d)).select("image_id", "cam")
     p = fx.detections(spark, d).join(cams, "image_id").select("det_id", geo.bbox_pitch(F.col("cam"), F.col("l") * 6, F.col("t") * 3, F.col("w") * 6, F.col("h") * 3).alias("p")).where("p IS NOT NULL").select("det_id", "p.*")
     names = [f"{a}_bottom_{n}" for n in ("left", "right", "middle") for a in "xy"]
-    return p.where("abs(x_bottom_middle) < 1000 AND abs(y_bottom_middle) < 1000").select("det_id", *[F.round(c, 4).alias(c) for c in names])
+    near = F.expr("abs(x_bottom_middle) < 1000 AND abs(y_bottom_middle) < 1000")  # places near the horizon are flagged: their last digits are noise
+    return p.select("det_id", *[F.when(near, F.round(c, 4)).alias(c) for c in names], (~near).alias("far"))
 
 
 @register("p22_project", f"SELECT image_id, CASE WHEN z > 1e-3 THEN round(f * (cp * x + sp * y) / z + 960, 4) END AS u, CASE WHEN z > 1e-3 THEN round(f * (-sp * ct * x + cp * ct * y + st * 15) / z + 540, 4) END AS v FROM (SELECT *, sp * st * x - cp * st * y + ct * 15 AS z FROM (SELECT *, image_id % 100 - 50.0 AS x, image_id % 60 - 30.0 - 60 AS y FROM {CAM_SQL} c) q) w")
@@ -158,6 +159,24 @@ def _(spark, d):
     return fx.frames(spark, d).select("image_id", geo.angles(r).alias("a")).select("image_id", *[F.round(f"a.{c}", 6).alias(c) for c in ("pan", "tilt", "roll")])
 
 
+#: The product of the three turns, step by step, and its transpose.
+TURNED = f"(SELECT image_id, cp, -sp * ct AS a01, sp * st AS a02, sp, cp * ct AS a11, -cp * st AS a12, st AS a21, ct AS a22, cos(radians(2.0)) AS cr, sin(radians(2.0)) AS sr FROM (SELECT image_id, cos(radians(pan)) AS cp, sin(radians(pan)) AS sp, cos(radians(tilt)) AS ct, sin(radians(tilt)) AS st FROM {FR} f) q)"
+
+
+@register("p23_rotation", f"SELECT image_id, round(cp * cr + a01 * sr, 6) AS r00, round(sp * cr + a11 * sr, 6) AS r01, round(a21 * sr, 6) AS r02, round(-cp * sr + a01 * cr, 6) AS r10, round(-sp * sr + a11 * cr, 6) AS r11, round(a21 * cr, 6) AS r12, round(a02, 6) AS r20, round(a12, 6) AS r21, round(a22, 6) AS r22 FROM {TURNED} t")
+def _(spark, d):
+    r = geo.rotation(F.col("pan"), F.col("tilt"), F.lit(2.0))
+    return fx.frames(spark, d).select("image_id", *[F.round(r[i][j], 6).alias(f"r{i}{j}") for i in range(3) for j in range(3)])
+
+
+@register("p24_homography", f"SELECT image_id, CASE WHEN abs(z) > 0.5 THEN round(f * (cp * x + sp * y) / z + 960, 4) END AS u, CASE WHEN abs(z) > 0.5 THEN round(f * (-sp * ct * x + cp * ct * y + st * 15) / z + 540, 4) END AS v FROM (SELECT *, sp * st * x - cp * st * y + ct * 15 AS z FROM (SELECT *, image_id % 90 - 45.0E0 AS x, image_id % 50 - 25.0E0 - 60 AS y FROM {CAM_SQL} c) q) w")
+def _(spark, d):
+    f = cameras(fx.frames(spark, d))
+    p = geo.apply_homography(geo.homography(F.col("cam")), (F.col("image_id") % 90 - 45).cast("double"), (F.col("image_id") % 50 - 25).cast("double"))
+    depth = F.expr("abs(sin(radians(pan)) * sin(radians(tilt)) * (image_id % 90 - 45.0D) - cos(radians(pan)) * sin(radians(tilt)) * (image_id % 50 - 85.0D) + cos(radians(tilt)) * 15)")
+    return f.select("image_id", "pan", "tilt", p.alias("p")).select("image_id", F.when(depth > 0.5, F.round("p.x", 4)).alias("u"), F.when(depth > 0.5, F.round("p.y", 4)).alias("v"))
+
+
 @register("p24_homography_round_trip", f"SELECT image_id, CAST(image_id % 90 - 45 AS DOUBLE) AS x, CAST(image_id % 50 - 25 AS DOUBLE) AS y FROM {FR} f")
 def _(spark, d):
     h = geo.homography(F.col("cam"))
@@ -176,12 +195,12 @@ def pt(x, y):
     return F.struct(x.alias("x"), y.alias("y"))
 
 
-@register("p28_scaled_lines", f"SELECT det_id, round(CASE WHEN det_id % 2 = 0 THEN l / 400 * 960 ELSE l * 0.5 END, 6) AS x, round(CASE WHEN det_id % 2 = 0 THEN t / 400 * 540 ELSE t * 0.5 END, 6) AS y FROM {D} d WHERE greatest(l, t) > 1.5")
+@register("p28_scaled_lines", f"SELECT det_id, round(CASE WHEN det_id % 2 = 0 THEN l / 400 * 960 WHEN greatest(l, t) > 1.5 THEN l * 0.5 ELSE l * 960 END, 6) AS x, round(CASE WHEN det_id % 2 = 0 THEN t / 400 * 540 WHEN greatest(l, t) > 1.5 THEN t * 0.5 ELSE t * 540 END, 6) AS y FROM {D} d")
 def _(spark, d):
     k = F.when(F.col("det_id") % 2 == 0, 400.0).otherwise(1.0)
     lines = F.create_map(F.lit("a"), F.array(pt(F.col("l") / k, F.col("t") / k)))
     s = geo.scaled_lines(lines, 960.0, 540.0)
-    return fx.detections(spark, d).where("greatest(l, t) > 1.5").select("det_id", F.get(s["a"], F.lit(0)).alias("p")).select("det_id", *[F.round(f"p.{c}", 6).alias(c) for c in "xy"])
+    return fx.detections(spark, d).select("det_id", F.get(s["a"], F.lit(0)).alias("p")).select("det_id", *[F.round(f"p.{c}", 6).alias(c) for c in "xy"])
 
 
 SEG = "sqrt(power({x} - ({a} + k{i} * ({c} - {a})), 2) + power({y} - ({b} + k{i} * ({e} - {b})), 2))"

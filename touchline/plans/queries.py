@@ -344,7 +344,7 @@ def _(spark, d):
 
 
 def trajectories(spark, d):
-    t = tracks.position_stats(fx.detections(spark, d).where("px IS NULL OR px IS NOT NULL"))
+    t = tracks.position_stats(fx.detections(spark, d))
     near = (F.col("track_id") % 2).cast("int")
     return t.withColumns({"my": F.col("my") * 1.5 + F.col("track_id") - 12, "mx": F.col("mx") + 6 * (F.col("track_id") - 12), "q75": F.col("q75") + F.col("track_id") - 10, "sy": F.col("sy") / 10}).withColumns({"nearest": near, "cluster": F.when(F.col("track_id") % 6 > 0, near)})
 

@@ -49,6 +49,13 @@ def bent_sql(u: str, v: str) -> tuple[str, str]:
     return x, y
 
 
+@register("p21_distort", f"SELECT image_id, round({bent_sql('x', 'y')[0]}, 6) AS u, round({bent_sql('x', 'y')[1]}, 6) AS v FROM (SELECT image_id, {PLANE} FROM {FR} f) q")
+def _(spark, d):
+    f = with_lens(fx.frames(spark, d)).selectExpr("image_id", "cam", *PLANE.split(", "))
+    there = f.select("image_id", geo.distort(F.col("x"), F.col("y"), *geo.lens(F.col("cam"), True)).alias("p"))
+    return there.select("image_id", (F.round("p.x", 6) + 0.0).alias("u"), (F.round("p.y", 6) + 0.0).alias("v"))
+
+
 #: A ground point of each frame in its camera's frame, as a point of the normalised plane where z is positive.
 SEEN = f"(SELECT image_id, f, z, qx / z AS a, qy / z AS b FROM (SELECT image_id, f, cp * x + sp * y AS qx, -sp * ct * x + cp * ct * y + st * 15 AS qy, sp * st * x - cp * st * y + ct * 15 AS z FROM (SELECT *, image_id % 30 - 15.0E0 AS x, image_id % 60 - 30.0E0 - 60 AS y FROM {CAM_SQL} c) q) w)"
 BENT = bent_sql("a", "b")
@@ -133,7 +140,7 @@ def _(spark, d):
 CARRIED = f"(SELECT seq, image_id, hfov, pan, tilt, ok FROM (SELECT seq, image_id, ok, last_value(CASE WHEN ok THEN hfov END IGNORE NULLS) OVER w AS hfov, last_value(CASE WHEN ok THEN pan END IGNORE NULLS) OVER w AS pan, last_value(CASE WHEN ok THEN tilt END IGNORE NULLS) OVER w AS tilt FROM (SELECT *, listed AND score >= 0.5 AS ok FROM ({RANKED}) q) r WINDOW w AS (PARTITION BY seq ORDER BY rank ROWS UNBOUNDED PRECEDING)) z WHERE pan IS NOT NULL)"
 
 
-@register("x14_calibration_stage", f"WITH c AS (SELECT image_id, ok, 960 / tan(radians(hfov) / 2) AS f, cos(radians(pan)) AS cp, sin(radians(pan)) AS sp, cos(radians(tilt)) AS ct, sin(radians(tilt)) AS st FROM {CARRIED} k), g AS (SELECT det_id, ok, {ground_sql('(l + w / 2) * 6', '(t + h) * 3', 'm')} FROM {D} d JOIN c USING (image_id)) SELECT det_id, NOT ok AS carried, round(x_m, 4) AS x, round(y_m, 4) AS y FROM g WHERE abs(x_m) < 1000 AND abs(y_m) < 1000")
+@register("x14_calibration_stage", f"WITH c AS (SELECT image_id, ok, 960 / tan(radians(hfov) / 2) AS f, cos(radians(pan)) AS cp, sin(radians(pan)) AS sp, cos(radians(tilt)) AS ct, sin(radians(tilt)) AS st FROM {CARRIED} k), g AS (SELECT det_id, ok, {ground_sql('(l + w / 2) * 6', '(t + h) * 3', 'm')} FROM {D} d JOIN c USING (image_id)) SELECT det_id, NOT ok AS carried, CASE WHEN abs(x_m) < 1000 AND abs(y_m) < 1000 THEN round(x_m, 4) END AS x, CASE WHEN abs(x_m) < 1000 AND abs(y_m) < 1000 THEN round(y_m, 4) END AS y, NOT (abs(x_m) < 1000 AND abs(y_m) < 1000) AS far FROM g")
 def _(spark, d):
     f = fx.frames(spark, d)
     entries = f.where("listed").select("seq", F.concat(F.lit("/elsewhere/"), F.regexp_extract("file_path", "[^/]+$", 0)).alias("path"), "score", calibrator().alias("cp"))
@@ -141,7 +148,9 @@ def _(spark, d):
     rows, cams = stages.calibration(det, f, entries)
     p = F.col("bbox_pitch")
     rows = rows.where(p.isNotNull()).join(cams.select("image_id", "carried"), "image_id")
-    return rows.select("det_id", "carried", F.round(p["x_bottom_middle"], 4).alias("x"), F.round(p["y_bottom_middle"], 4).alias("y")).where((F.abs(p["x_bottom_middle"]) < 1000) & (F.abs(p["y_bottom_middle"]) < 1000))
+    x, y = p["x_bottom_middle"], p["y_bottom_middle"]
+    near = (F.abs(x) < 1000) & (F.abs(y) < 1000)  # places near the horizon are flagged: their last digits are noise
+    return rows.select("det_id", "carried", F.when(near, F.round(x, 4)).alias("x"), F.when(near, F.round(y, 4)).alias("y"), (~near).alias("far"))
 
 
 GATED = f"legibility > 0.5 AND det_score > 0.52 AND det_id IN (SELECT det_id FROM (SELECT det_id, row_number() OVER (PARTITION BY seq, track_id ORDER BY frame, det_id) AS i FROM {D} d WHERE track_id IS NOT NULL) s WHERE (i - 1) % 3 = 0)"
