@@ -24,6 +24,12 @@ def shared_folder(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
+def discard(spark: SparkSession, path: str) -> None:
+    """Removes a folder that this run has made in the shared folder."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """Writes df to the shared folder and cuts its lineage; survives lost executors."""
     shared_folder(df.sparkSession)
