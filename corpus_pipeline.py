@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from touchline.llm import mixing, packing, simhash, suffixdedup, toxicity
 from touchline.llm.queries import vocabulary
-from touchline.llm.runtime import shared_folder, table
+from touchline.llm.runtime import discard, shared_folder, table
 
 
 #: Bytes of the repeated strings that the third stage removes: less than a passage of fifty short words has.
@@ -57,11 +57,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The last stage's rows, over the whole documents table."""
-    docs = table(spark, sf_dir, "documents")
+    """The last stage's rows, over the whole documents table. A stage's table is removed when the next one's is written."""
+    docs, last = table(spark, sf_dir, "documents"), None
     folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
     for k, (name, stage) in enumerate(STAGES):
         path = f"{folder}/{k}_{name}"
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
+        if last:
+            discard(spark, last)
+        last = path
     return docs
