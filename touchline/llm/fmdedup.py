@@ -12,7 +12,8 @@ then start) tells whether the window starts earlier elsewhere.
 
 Cases: null texts have no words; documents under 20 words lose nothing. Rows that
 share a doc_id and a text are one document's repeats: none is earlier than the
-other at equal starts. Overlaps inside a document count. Extra columns stay out.
+other at equal starts. Overlaps inside a document count. A doc_id that is no number is
+an error (it is cast to long). Extra columns stay out.
 Words are compared by 64-bit hashes; windows are 20 of them in a row.
 """
 

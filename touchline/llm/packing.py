@@ -19,7 +19,8 @@ equal ids for plain text; see there.
 
 Cases: null and empty texts are one token long (the end mark). Rows with the
 same doc_id are packed each for itself. Extra columns are ignored. No rows give
-no rows. Documents of any length stream through; one is held at a time.
+no rows. Documents of any length stream through; one is held at a time. A
+vocabulary with ids over 65,535 is refused: pieces keep two bytes an id.
 """
 
 from __future__ import annotations

@@ -18,7 +18,8 @@ one group; a group's multiplicity is the sum of its blocks' multiplicities, and
 from two on its windows are covered.
 
 Cases: null texts are empty; texts under 400 bytes lose nothing. Repeated rows,
-also with one doc_id, are separate occurrences. Extra columns stay out. The text
+also with one doc_id, are separate occurrences. A doc_id that is no number is an
+error (it is cast to long). Extra columns stay out. The text
 left over may hold cut UTF-8 sequences; ``digests`` hashes its bytes and ``removed``
 drops the stray bytes.
 """
