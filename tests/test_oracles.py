@@ -6,7 +6,7 @@ import duckdb
 import pandas as pd
 import pytest
 
-from touchline.plans import more_queries, stage_queries  # noqa: F401
+from touchline.plans import more_queries, stage_queries, stream_queries  # noqa: F401
 from touchline.plans.fixtures import TABLES
 from touchline.plans.queries import ORACLES, QUERIES
 
