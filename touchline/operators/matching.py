@@ -9,6 +9,7 @@ a frame goes through the rule. No group function is called per frame.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -145,7 +146,7 @@ def paired(frame: np.ndarray, side: np.ndarray, box: np.ndarray, rule: Callable,
 def in_frames(batches: Iterator[pa.RecordBatch], rows: int = 20_000) -> Iterator[tuple[pa.Table, np.ndarray]]:
     """Whole frames of batches sorted by (seq, image_id), some thousands of rows at a time, with the number of each row's frame."""
     held: list[pa.Table] = []
-    for b in (*batches, None):
+    for b in chain(batches, [None]):  # one batch at a time: a tuple of them would hold the whole partition
         if b is not None and b.num_rows:
             held.append(pa.Table.from_batches([b]))
         size = sum(t.num_rows for t in held)
