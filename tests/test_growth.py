@@ -29,3 +29,16 @@ def test_frames_are_matched_before_all_batches_are_read():
     next(frames)
     assert len(taken) < 5
     assert sum(t.num_rows for t, _ in frames) + 10 * 1 >= 80
+
+
+def test_votes_are_decoded_without_interpreted_arrays(spark, sf):
+    r = queries.reads(spark, sf, "a")
+    assert "lambdafunction" not in plan(r)
+    assert "Generate" not in plan(votes.position_sums(r, "track"))
+
+
+def test_vectors_of_another_length_are_decoded_too(spark):
+    df = spark.createDataFrame([([-1.0, -0.5, -3.0], [-0.1, -2.0, -3.0])], "tens array<double>, units array<double>")
+    r = votes.decoded(df).first()
+    a, b = np.exp([-1.0, -0.5, -3.0]), np.exp([-0.1, -2.0, -3.0])
+    assert r["label"] == "10" and abs(r["conf"] - a[1] / a.sum() * b[0] / b.sum()) < 1e-12
