@@ -57,3 +57,22 @@ def test_ground_points_of_boxes_are_computed_once(spark):
     only = cameras(f).select("image_id", geo.bbox_pitch(F.col("cam"), *box).alias("p")).where("p IS NOT NULL").select("image_id", "p.*")
     assert only._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 1
     assert [r["image_id"] for r in only.collect()] == [1]
+
+
+def test_sequences_are_tracked_in_several_tasks(spark):
+    det = spark.createDataFrame([("s", 1, 1, 0.0, 0.0, 9.0, 9.0, 0.9)], "seq string, frame long, det_id long, l double, t double, w double, h double, conf double")
+    got = track(det, det.select("seq", "frame"))
+    assert "REPARTITION_BY_NUM" in got._jdf.queryExecution().executedPlan().toString()
+    assert [tuple(r) for r in got.collect()] == [("s", 1, 1, 1)]
+
+
+def test_tracks_move_together_as_each_alone():
+    boxes = np.array([[0.0, 0, 40, 80], [300, 0, 40, 80], [600, 50, 30, 60]])
+    both, alone = Tracker(Config()), [Tracker(Config()) for _ in boxes]
+    for k in range(6):
+        at = boxes + [3 * k, k, 0, 0]
+        both.update(k, at, np.full(3, 0.9), [None] * 3)
+        for t, b in zip(alone, at, strict=True):
+            t.update(k, b[None], np.array([0.9]), [None])
+    for t, own in zip(both.tracks, alone, strict=True):
+        assert np.allclose(t.mean, own.tracks[0].mean) and np.allclose(t.cov, own.tracks[0].cov) and t.mean[4] > 1
