@@ -76,3 +76,18 @@ def test_tracks_move_together_as_each_alone():
             t.update(k, b[None], np.array([0.9]), [None])
     for t, own in zip(both.tracks, alone, strict=True):
         assert np.allclose(t.mean, own.tracks[0].mean) and np.allclose(t.cov, own.tracks[0].cov) and t.mean[4] > 1
+
+
+def test_images_are_scored_in_several_tasks(spark):
+    f = cameras(spark.createDataFrame([(1, 20.0, 75.0, 40.0)], "image_id long, pan double, tilt double, hfov double"))
+    point = F.struct(F.lit(960.0).alias("x"), F.lit(400.0).alias("y"))
+    got = calibration.image_scores(f.withColumn("lines", F.create_map(F.lit("Middle line"), F.array(point, point))))
+    assert "REPARTITION_BY_NUM" in got._jdf.queryExecution().executedPlan().toString()
+    r = got.first()
+    assert r["calibrated"] and len(r["errors"]) == 2
+
+
+def test_clipping_keeps_runs_and_crossings():
+    p = np.array([[-10.0, 5], [10, 5], [20, 5], [np.nan, np.nan], [2000, 5], [30, 5]])
+    assert calibration.clipped(p).tolist() == [[0, 5], [10, 5], [20, 5], [959, 5], [959, 5], [30, 5]]
+    assert calibration.clipped(p[:1]).shape == calibration.clipped(p[:0]).shape == (0, 2)

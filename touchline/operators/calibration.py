@@ -6,12 +6,16 @@ model. Uncalibrated images lower the completeness only.
 
 from __future__ import annotations
 
+import functools
+from collections.abc import Iterator
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from touchline.functions.geometry import mirrored, pitch_points
+from touchline.operators.groups import spread
 
 WIDTH, HEIGHT = 960.0, 540.0
 
@@ -29,14 +33,15 @@ def rotation(pan: float, tilt: float, roll: float) -> np.ndarray:
 
 def project(cam: dict, xyz: np.ndarray) -> np.ndarray:
     """Pixels at WIDTH x HEIGHT; NaN for points behind the camera."""
-    c = (xyz - np.asarray(cam["position_meters"])) @ rotation(cam["pan_degrees"], cam["tilt_degrees"], cam["roll_degrees"]).T
-    front = c[:, 2] > 1e-3
-    n = np.full((len(xyz), 2), np.nan)
-    n[front] = c[front, :2] / c[front, 2:]
-    r2 = (n**2).sum(1)
-    k = [*(cam["radial_distortion"] if cam["radial_distortion"] is not None else []), *[0.0] * 6]
-    n *= ((1 + k[0] * r2 + k[1] * r2**2 + k[2] * r2**3) / (1 + k[3] * r2 + k[4] * r2**2 + k[5] * r2**3))[:, None]
+    rot = rotation(cam["pan_degrees"], cam["tilt_degrees"], cam["roll_degrees"])
+    k = [*(cam["radial_distortion"] if cam["radial_distortion"] is not None else []), *[0.0] * 6][:6]
     cx, cy = cam["principal_point"]
+    c = (xyz - np.asarray(cam["position_meters"])) @ rot.T
+    with np.errstate(divide="ignore", invalid="ignore"):
+        n = np.where(c[:, 2:] > 1e-3, c[:, :2] / c[:, 2:], np.nan)
+    r2 = (n**2).sum(1)
+    if any(k):
+        n *= ((1 + k[0] * r2 + k[1] * r2**2 + k[2] * r2**3) / (1 + k[3] * r2 + k[4] * r2**2 + k[5] * r2**3))[:, None]
     return n * [cam["x_focal_length"] * WIDTH / (2 * cx), cam["y_focal_length"] * HEIGHT / (2 * cy)] + [WIDTH / 2, HEIGHT / 2]
 
 
@@ -55,15 +60,12 @@ def clipped(pixels: np.ndarray) -> np.ndarray:
     """The part of a projected polyline inside the frame, with its border crossings; points behind the camera are skipped."""
     p = pixels[~np.isnan(pixels).any(1)]
     inside = ((p >= 0) & (p < [WIDTH, HEIGHT])).all(1)
-    out = []
-    for i in range(len(p)):
-        if inside[i]:
-            if i and not inside[i - 1] and (c := crossing(p[i], p[i - 1])) is not None:
-                out.append(c)
-            out.append(p[i])
-        elif i and inside[i - 1] and (c := crossing(p[i - 1], p[i])) is not None:
-            out.append(c)
-    return np.array(out).reshape(-1, 2)
+    out, at = [], 0
+    for i in np.flatnonzero(inside[1:] != inside[:-1]) + 1:  # a border lies between i - 1 and i
+        c = crossing(p[i], p[i - 1]) if inside[i] else crossing(p[i - 1], p[i])
+        out += [p[at:i][inside[at:i]], *([c[None]] if c is not None else [])]
+        at = i
+    return np.concatenate([*out, p[at:][inside[at:]]]).reshape(-1, 2)
 
 
 def model() -> dict[str, np.ndarray]:
@@ -73,10 +75,22 @@ def model() -> dict[str, np.ndarray]:
     return {k: np.array(v) for k, v in by.items()}
 
 
-def polylines(cam: dict, pitch: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
-    """Classes of the pitch that are in the frame, as pixel polylines."""
-    out = {k: clipped(project(cam, v)) for k, v in pitch.items()}
-    return {k: v for k, v in out.items() if len(v)}
+class Pitch:
+    """The model's points in one table, class by class."""
+
+    def __init__(self):
+        by = model()
+        self.names = list(by)
+        self.points = np.concatenate(list(by.values()))
+        ends = np.cumsum([len(v) for v in by.values()])
+        self.at = {n: slice(e - len(v), e) for (n, v), e in zip(by.items(), ends, strict=True)}
+        self.starts = np.array([s.start for s in self.at.values()])
+
+    def seen(self, cam: dict) -> tuple[set[str], np.ndarray]:
+        """Classes with a point in the frame, and the pixels of all points."""
+        p = project(cam, self.points)
+        inside = ((p >= 0) & (p < [WIDTH, HEIGHT])).all(1)
+        return {self.names[i] for i in np.flatnonzero(np.logical_or.reduceat(inside, self.starts))}, p
 
 
 def distances(points: np.ndarray, line: np.ndarray) -> np.ndarray:
@@ -89,19 +103,15 @@ def distances(points: np.ndarray, line: np.ndarray) -> np.ndarray:
     return np.linalg.norm(rel - k[..., None] * d, axis=2).min(1)
 
 
-def compare(pred: dict[str, np.ndarray], gt: dict[str, np.ndarray], threshold: float) -> tuple[float, list[float]]:
-    """Share of line classes that are right (all points nearer than the threshold), and all point distances."""
-    right, wrong, errors = 0, len(set(pred) - set(gt)), []
-    missed = len(set(gt) - set(pred))
-    for name in set(pred) & set(gt):
-        d = distances(gt[name], pred[name])
-        errors += d.tolist()
-        if (d < threshold).all():
-            right += 1
-        else:
-            wrong += 1
-    total = right + wrong + missed
-    return (right / total if total else 0.0), errors
+def compare(seen: set[str], pixels: dict[str, np.ndarray], gt: dict[str, np.ndarray], thresholds: tuple[float, ...]) -> tuple[list[float], list[float]]:
+    """Share of line classes that are right (all points nearer than the threshold) at each threshold, and all point distances.
+
+    seen: classes in the frame; pixels: the polylines of those that are annotated.
+    """
+    apart = [distances(gt[name], pixels[name]) for name in gt if name in seen]
+    total = len(seen | set(gt))
+    most = [d.max() for d in apart]
+    return [sum(m < t for m in most) / total if total else 0.0 for t in thresholds], [x for d in apart for x in d.tolist()]
 
 
 def scaled(lines: dict) -> dict[str, np.ndarray]:
@@ -118,26 +128,27 @@ OUT = "image_id long, calibrated boolean, jac5 double, jac10 double, errors arra
 def image_scores(frames: DataFrame) -> DataFrame:
     """Scores of each annotated image (image_id, cam, lines). The mirrored annotation is tried too, per threshold; ties keep the plain one."""
 
-    def run(batches):
-        pitch = model()
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pitch, turn = Pitch(), functools.cache(mirrored)
         for b in batches:
             rows = []
-            for r in b.itertuples():
-                lines = dict(r.lines) if r.lines is not None else {}
-                gt = scaled(lines)
+            for image, cam, lines in zip(*(b[c].to_pylist() for c in ("image_id", "cam", "lines")), strict=True):
+                gt = scaled(dict(lines or {}))
                 if not gt:
                     continue
-                if r.cam is None:
-                    rows.append((r.image_id, False, None, None, []))
+                if cam is None:
+                    rows.append((image, False, None, None, []))
                     continue
-                cam = r.cam if isinstance(r.cam, dict) else r.cam.asDict()
-                pred = polylines(cam, pitch)
-                turned = {m: v for k, v in gt.items() if (m := mirrored(k)) is not None}
-                best = {t: max((compare(pred, g, t) for g in (gt, turned)), key=lambda x: x[0]) for t in (5.0, 10.0)}
-                rows.append((r.image_id, True, best[5.0][0], best[10.0][0], best[5.0][1]))
-            yield pd.DataFrame(rows, columns=["image_id", "calibrated", "jac5", "jac10", "errors"])
-
-    return frames.select("image_id", "cam", "lines").mapInPandas(run, OUT)
+                seen, p = pitch.seen(cam)
+                turned = {m: v for k, v in gt.items() if (m := turn(k)) is not None}
+                pixels = {k: clipped(p[pitch.at[k]]) for k in {*gt, *turned} & seen}
+                plain, other = (compare(seen, pixels, g, (5.0, 10.0)) for g in (gt, turned))
+                best = [max(a, c) for a, c in zip(plain[0], other[0], strict=True)]
+                rows.append((image, True, *best, (other if other[0][0] > plain[0][0] else plain)[1]))
+            kinds = (pa.int64(), pa.bool_(), pa.float64(), pa.float64(), pa.list_(pa.float64()))
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], ["image_id", "calibrated", "jac5", "jac10", "errors"])
+
+    return spread(frames.select(F.col("image_id").cast("long").alias("image_id"), "cam", "lines"), "image_id").mapInArrow(run, OUT)
 
 
 def calibration_metrics(scores: DataFrame) -> DataFrame:
