@@ -91,3 +91,22 @@ def test_clipping_keeps_runs_and_crossings():
     p = np.array([[-10.0, 5], [10, 5], [20, 5], [np.nan, np.nan], [2000, 5], [30, 5]])
     assert calibration.clipped(p).tolist() == [[0, 5], [10, 5], [20, 5], [959, 5], [959, 5], [30, 5]]
     assert calibration.clipped(p[:1]).shape == calibration.clipped(p[:0]).shape == (0, 2)
+
+
+def test_frames_are_solved_together_as_each_alone():
+    f, c = np.array([1500.0, 1500.0]), np.array([960.0, 540.0])
+    world = np.array([(x, y, 0.0) for x in (-15.0, 0, 15) for y in (-20.0, 0, 20)])
+    frames = []
+    for k in range(5):
+        rot, pos = pose.turn(np.array([np.radians(100 + k), 0, 0.0])), np.array([k, 60.0, -15.0])
+        q = (world - pos) @ rot.T
+        m = np.concatenate([world, q[:, :2] / q[:, 2:] * f + c], 1)
+        m[k, 3] += 200 * (k % 2)
+        frames.append(m)
+    rot, pos, near, good = pose.solve_all(np.array(frames), np.tile(f, (5, 1)), np.tile(c, (5, 1)))
+    for k, m in enumerate(frames):
+        one = pose.solve(m, f, c)
+        assert good[k] == (one is not None)
+        if one is not None:
+            assert np.allclose(rot[k], one[0], atol=1e-8) and np.allclose(pos[k], one[1], atol=1e-6) and (near[k] == one[2]).all()
+    assert good.any()

@@ -12,6 +12,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+#: Matches of the frames that are solved at once.
+TOGETHER = 20_000
 SOLVED = "solved boolean, pan_degrees double, tilt_degrees double, roll_degrees double, position_meters array<double>, error double, inliers long"
 
 
@@ -24,60 +26,84 @@ def turn(w: np.ndarray) -> np.ndarray:
     return np.eye(3) + np.sin(angle) / angle * k + (1 - np.cos(angle)) / angle**2 * k @ k
 
 
+def turns(w: np.ndarray) -> np.ndarray:
+    """``turn`` of rows of vectors."""
+    angle = np.linalg.norm(w, axis=1)[:, None, None]
+    k = np.zeros((len(w), 3, 3))
+    k[:, 0, 1], k[:, 0, 2], k[:, 1, 0], k[:, 1, 2], k[:, 2, 0], k[:, 2, 1] = -w[:, 2], w[:, 1], w[:, 2], -w[:, 0], -w[:, 1], w[:, 0]
+    tiny = angle < 1e-12
+    a = np.where(tiny, 1.0, angle)
+    return np.eye(3) + np.where(tiny, 1.0, np.sin(a) / a) * k + np.where(tiny, 0.0, (1 - np.cos(a)) / a**2) * (k @ k)
+
+
 def residual(rot: np.ndarray, pos: np.ndarray, m: np.ndarray, f: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Pixel errors, and points in the camera's frame."""
-    q = (m[:, :3] - pos) @ rot.T
-    z = np.where(np.abs(q[:, 2]) < 1e-9, 1e-9, q[:, 2])
-    return (q[:, :2] / z[:, None] * f + c - m[:, 3:]).ravel(), q
+    """Pixel errors, a pair a match, and points in the camera's frame; of one frame or of rows of frames."""
+    q = (m[..., :3] - pos[..., None, :]) @ np.swapaxes(rot, -1, -2)
+    z = np.where(np.abs(q[..., 2:]) < 1e-9, 1e-9, q[..., 2:])
+    return q[..., :2] / z * f[..., None, :] + c[..., None, :] - m[..., 3:], q
 
 
-def refine(rot: np.ndarray, pos: np.ndarray, m: np.ndarray, f: np.ndarray, c: np.ndarray, rounds: int = 50) -> tuple[np.ndarray, np.ndarray]:
-    """The pose nearby with the least squared pixel error (Levenberg-Marquardt)."""
-    damp, (e, q) = 1e-3, residual(rot, pos, m, f, c)
+def refine_all(rot: np.ndarray, pos: np.ndarray, m: np.ndarray, f: np.ndarray, c: np.ndarray, use: np.ndarray, rounds: int = 50) -> tuple[np.ndarray, np.ndarray]:
+    """The poses nearby with the least squared pixel error over the matches in use (Levenberg-Marquardt), a row a frame; a frame that is done rests."""
+    rot, pos = rot.copy(), pos.copy()
+    live, damp = np.arange(len(m)), np.full(len(m), 1e-3)
     for _ in range(rounds):
-        z = np.where(np.abs(q[:, 2]) < 1e-9, 1e-9, q[:, 2])
-        to_pixel = np.zeros((len(m), 2, 3))
-        to_pixel[:, 0, 0], to_pixel[:, 1, 1] = f[0] / z, f[1] / z
-        to_pixel[:, 0, 2], to_pixel[:, 1, 2] = -f[0] * q[:, 0] / z**2, -f[1] * q[:, 1] / z**2
-        spin = np.zeros((len(m), 3, 3))  # of q by a small turn
-        spin[:, 0, 1], spin[:, 0, 2], spin[:, 1, 0], spin[:, 1, 2], spin[:, 2, 0], spin[:, 2, 1] = q[:, 2], -q[:, 1], -q[:, 2], q[:, 0], q[:, 1], -q[:, 0]
-        j = np.concatenate([to_pixel @ spin, to_pixel @ -rot], 2).reshape(-1, 6)
-        a, g = j.T @ j, j.T @ e
-        step = -np.linalg.lstsq(a + damp * np.diag(np.diag(a) + 1e-12), g, rcond=None)[0]
-        rot2, pos2 = turn(step[:3]) @ rot, pos + step[3:]
-        e2, q2 = residual(rot2, pos2, m, f, c)
-        if e2 @ e2 < e @ e:
-            small = np.abs(step).max() < 1e-12
-            rot, pos, e, q, damp = rot2, pos2, e2, q2, max(damp / 10, 1e-12)
-            if small:
-                break
-        else:
-            damp *= 10
-            if damp > 1e12:
-                break
+        if not len(live):
+            break
+        r, p, mm, ff, cc, on = rot[live], pos[live], m[live], f[live], c[live], use[live][..., None]
+        e, q = residual(r, p, mm, ff, cc)
+        e = np.where(on, e, 0.0)
+        z = np.where(np.abs(q[..., 2]) < 1e-9, 1e-9, q[..., 2])
+        to_pixel = np.zeros((*q.shape[:2], 2, 3))
+        to_pixel[..., 0, 0], to_pixel[..., 1, 1] = ff[:, None, 0] / z, ff[:, None, 1] / z
+        to_pixel[..., 0, 2], to_pixel[..., 1, 2] = -ff[:, None, 0] * q[..., 0] / z**2, -ff[:, None, 1] * q[..., 1] / z**2
+        spin = np.zeros((*q.shape[:2], 3, 3))  # of q by a small turn
+        spin[..., 0, 1], spin[..., 0, 2], spin[..., 1, 0], spin[..., 1, 2], spin[..., 2, 0], spin[..., 2, 1] = q[..., 2], -q[..., 1], -q[..., 2], q[..., 0], q[..., 1], -q[..., 0]
+        j = np.concatenate([to_pixel @ spin, to_pixel @ -r[:, None]], 3) * on[..., None]
+        j = j.reshape(len(live), -1, 6)
+        jt, flat = np.swapaxes(j, 1, 2), e.reshape(len(live), -1)
+        a, g = jt @ j, jt @ flat[..., None]
+        d = np.einsum("nii->ni", a)
+        left = a + (damp[live][:, None] * (d + 1e-12))[:, :, None] * np.eye(6)
+        try:
+            step = -np.linalg.solve(left, g)[..., 0]
+        except np.linalg.LinAlgError:  # some frame fixes too little: least norm, as for one frame
+            step = -(np.linalg.pinv(left) @ g)[..., 0]
+        r2, p2 = turns(step[:, :3]) @ r, p + step[:, 3:]
+        e2 = np.where(on, residual(r2, p2, mm, ff, cc)[0], 0.0).reshape(len(live), -1)
+        before, after = (flat**2).sum(1), (e2**2).sum(1)
+        better = after < before
+        rot[live[better]], pos[live[better]] = r2[better], p2[better]
+        damp[live] = np.where(better, np.maximum(damp[live] / 10, 1e-12), damp[live] * 10)
+        done = np.where(better, np.abs(step).max(1) < 1e-12, damp[live] > 1e12)
+        live = live[~done]
     return rot, pos
 
 
-def from_plane(m: np.ndarray, f: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray] | None:
-    """Pose from at least four matches on the plane z = 0, by the homography; null if they do not fix it."""
-    scale = np.abs(m[:, :2]).max() or 1.0
-    xy, uv = m[:, :2] / scale, (m[:, 3:] - c) / f
-    rows = []
-    for (x, y), (u, v) in zip(xy, uv, strict=True):
-        rows += [[x, y, 1, 0, 0, 0, -u * x, -u * y, -u], [0, 0, 0, x, y, 1, -v * x, -v * y, -v]]
-    _, size, vt = np.linalg.svd(np.array(rows))
-    if len(size) < 8 or size[7] < 1e-9:
-        return None
-    h = vt[8].reshape(3, 3) @ np.diag([1 / scale, 1 / scale, 1])
-    norm = (np.linalg.norm(h[:, 0]) + np.linalg.norm(h[:, 1])) / 2
-    if norm < 1e-12:
-        return None
-    h /= norm
-    if h[2] @ np.array([m[:, 0].mean(), m[:, 1].mean(), 1.0]) < 0:  # the points are before the camera
-        h = -h
-    u, _, vt = np.linalg.svd(np.stack([h[:, 0], h[:, 1], np.cross(h[:, 0], h[:, 1])], 1))
-    rot = u @ np.diag([1, 1, np.linalg.det(u @ vt)]) @ vt
-    return rot, -rot.T @ h[:, 2]
+def refine(rot: np.ndarray, pos: np.ndarray, m: np.ndarray, f: np.ndarray, c: np.ndarray, rounds: int = 50) -> tuple[np.ndarray, np.ndarray]:
+    """``refine_all`` of one frame with all its matches."""
+    r, p = refine_all(rot[None], pos[None], m[None], f[None], c[None], np.ones((1, len(m)), bool), rounds)
+    return r[0], p[0]
+
+
+def from_planes(m: np.ndarray, f: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Poses from at least four matches a row on the plane z = 0, by the homography, and whether they are fixed."""
+    scale = np.abs(m[..., :2]).max((1, 2))
+    scale = np.where(scale > 0, scale, 1.0)
+    (x, y), (u, v) = np.moveaxis(m[..., :2] / scale[:, None, None], 2, 0), np.moveaxis((m[..., 3:] - c[:, None]) / f[:, None], 2, 0)
+    one, nil = np.ones_like(x), np.zeros_like(x)
+    rows = np.stack([np.stack([x, y, one, nil, nil, nil, -u * x, -u * y, -u], 2), np.stack([nil, nil, nil, x, y, one, -v * x, -v * y, -v], 2)], 2).reshape(len(m), -1, 9)
+    _, size, vt = np.linalg.svd(rows, full_matrices=rows.shape[1] < 9)
+    h = vt[:, 8].reshape(-1, 3, 3) / np.stack([scale, scale, np.ones(len(m))], 1)[:, None]
+    norm = (np.linalg.norm(h[:, :, 0], axis=1) + np.linalg.norm(h[:, :, 1], axis=1)) / 2
+    fixed = (size[:, 7] >= 1e-9) & (norm >= 1e-12)
+    h = h / np.where(norm > 0, norm, 1.0)[:, None, None]
+    middle = np.concatenate([m[..., :2].mean(1), np.ones((len(m), 1))], 1)
+    h = np.where(((h[:, 2] * middle).sum(1) < 0)[:, None, None], -h, h)  # the points are before the camera
+    u, _, vt = np.linalg.svd(np.stack([h[..., 0], h[..., 1], np.cross(h[..., 0], h[..., 1])], 2))
+    u[:, :, 2] *= np.linalg.det(u @ vt)[:, None]
+    rot = u @ vt
+    return rot, -(np.swapaxes(rot, 1, 2) @ h[:, :, 2:])[..., 0], fixed
 
 
 def angles(rot: np.ndarray) -> tuple[float, float, float]:
@@ -91,27 +117,45 @@ def angles(rot: np.ndarray) -> tuple[float, float, float]:
     return tuple(float(v) for v in (both[0] if abs(both[0][2]) < abs(both[1][2]) else both[1]))
 
 
-def solve(m: np.ndarray, f: np.ndarray, c: np.ndarray, tolerance: float = 8.0, tries: int = 60) -> tuple[np.ndarray, np.ndarray, np.ndarray] | None:
-    """Pose and flags of the matches that fit it, from the sample of four plane matches with which most agree; the samples are drawn alike every time."""
-    flat = np.flatnonzero(np.abs(m[:, 2]) < 1e-9)
+def fitting(rot: np.ndarray, pos: np.ndarray, m: np.ndarray, f: np.ndarray, c: np.ndarray, tolerance: float) -> np.ndarray:
+    return np.linalg.norm(residual(rot, pos, m, f, c)[0], axis=-1) <= tolerance
+
+
+def solve_all(m: np.ndarray, f: np.ndarray, c: np.ndarray, tolerance: float = 8.0, tries: int = 60) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """``solve`` of rows of frames that have as many matches, of which the same lie on the plane: poses, flags of the fitting matches, and whether a frame is solved."""
+    flat = np.flatnonzero(np.abs(m[0, :, 2]) < 1e-9)
     if len(flat) < 4:
-        return None
-    rng, best = np.random.default_rng(0), None
-    for k in range(tries):
-        pick = flat if k == 0 else rng.choice(flat, 4, replace=False)
-        start = from_plane(m[pick], f, c)
-        if start is None:
-            continue
-        near = np.linalg.norm(residual(*start, m, f, c)[0].reshape(-1, 2), axis=1) <= tolerance
-        if best is None or near.sum() > best[2].sum():
-            best = (*start, near)
-        if near.all():
+        return np.zeros((len(m), 3, 3)), np.zeros((len(m), 3)), np.zeros(m.shape[:2], bool), np.zeros(len(m), bool)
+    rot, pos, fixed = from_planes(m[:, flat], f, c)
+    near = fitting(rot, pos, m, f, c, tolerance) & fixed[:, None]
+    most = np.where(fixed, near.sum(1), -1)
+    rng = np.random.default_rng(0)
+    for pick in [rng.choice(flat, 4, replace=False) for _ in range(tries - 1)]:
+        some = np.flatnonzero(most < m.shape[1])  # the others are fitted by all their matches
+        if not len(some):
             break
-    if best is None or best[2].sum() < 4:
+        r, p, fixed = from_planes(m[some][:, pick], f[some], c[some])
+        fits = fitting(r, p, m[some], f[some], c[some], tolerance)
+        better = fixed & (fits.sum(1) > most[some])
+        at = some[better]
+        rot[at], pos[at], near[at], most[at] = r[better], p[better], fits[better], fits[better].sum(1)
+    ok = np.flatnonzero(most >= 4)
+    for k in range(2):
+        rot[ok], pos[ok] = refine_all(rot[ok], pos[ok], m[ok], f[ok], c[ok], near[ok])
+        if k == 0:
+            near[ok] = fitting(rot[ok], pos[ok], m[ok], f[ok], c[ok], tolerance)
+            ok = ok[near[ok].sum(1) >= 4]
+    good = np.zeros(len(m), bool)
+    good[ok] = True
+    return rot, pos, near, good
+
+
+def solve(m: np.ndarray, f: np.ndarray, c: np.ndarray, tolerance: float = 8.0, tries: int = 60) -> tuple[np.ndarray, np.ndarray, np.ndarray] | None:
+    """Pose and flags of the matches that fit it, from the sample of four plane matches with which most agree; the samples are drawn alike every time."""
+    if len(m) < 4:
         return None
-    rot, pos = refine(best[0], best[1], m[best[2]], f, c)
-    near = np.linalg.norm(residual(rot, pos, m, f, c)[0].reshape(-1, 2), axis=1) <= tolerance
-    return (*refine(rot, pos, m[near], f, c), near) if near.sum() >= 4 else None
+    rot, pos, near, good = solve_all(m[None], f[None], c[None], tolerance, tries)
+    return (rot[0], pos[0], near[0]) if good[0] else None
 
 
 def solved(frames: DataFrame, key: str = "image_id") -> DataFrame:
@@ -119,16 +163,20 @@ def solved(frames: DataFrame, key: str = "image_id") -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out: list[tuple] = []
-            for focal, cx, cy, matches in zip(*(b[c].to_pylist() for c in ("focal", "centre_x", "centre_y", "matches")), strict=True):
+            out: list[tuple] = [(False, None, None, None, None, None, 0)] * b.num_rows
+            alike: dict[tuple, list] = {}  # frames that are solved together
+            for i, (focal, cx, cy, matches) in enumerate(zip(*(b[c].to_pylist() for c in ("focal", "centre_x", "centre_y", "matches")), strict=True)):
                 m = np.array([[p[c] for c in "xyzuv"] for p in matches or []], float).reshape(-1, 5)
-                got = solve(m, np.array([focal, focal]), np.array([cx, cy])) if focal else None
-                if got is None:
-                    out.append((False, None, None, None, None, None, 0))
-                    continue
-                rot, pos, near = got
-                error = float(np.linalg.norm(residual(rot, pos, m[near], np.array([focal, focal]), np.array([cx, cy]))[0].reshape(-1, 2), axis=1).mean())
-                out.append((True, *angles(rot), pos.tolist(), error, int(near.sum())))
+                if focal and len(m) >= 4:
+                    alike.setdefault((len(m), (np.abs(m[:, 2]) < 1e-9).tobytes()), []).append((i, m, (focal, focal), (cx, cy)))
+            for (n, _), all_rows in alike.items():
+                most = max(1, TOGETHER // n)
+                for rows in (all_rows[k : k + most] for k in range(0, len(all_rows), most)):
+                    m, f, c = (np.array([r[k] for r in rows], float) for k in (1, 2, 3))
+                    rot, pos, near, good = solve_all(m, f, c)
+                    away = np.linalg.norm(residual(rot, pos, m, f, c)[0], axis=2)
+                    for k in np.flatnonzero(good):
+                        out[rows[k][0]] = (True, *angles(rot[k]), pos[k].tolist(), float(away[k][near[k]].mean()), int(near[k].sum()))
             kinds = (pa.bool_(), pa.float64(), pa.float64(), pa.float64(), pa.list_(pa.float64()), pa.float64(), pa.int64())
             names = ["solved", "pan_degrees", "tilt_degrees", "roll_degrees", "position_meters", "error", "inliers"]
             yield pa.RecordBatch.from_arrays([b[key], *(pa.array([r[k] for r in out], t) for k, t in enumerate(kinds))], [key, *names])
