@@ -110,3 +110,48 @@ def test_frames_are_solved_together_as_each_alone():
         if one is not None:
             assert np.allclose(rot[k], one[0], atol=1e-8) and np.allclose(pos[k], one[1], atol=1e-6) and (near[k] == one[2]).all()
     assert good.any()
+
+
+def test_a_sequence_costs_few_state_calls():
+    calls = []
+
+    class State:
+        value: list = []
+
+        def __getattr__(self, name):
+            def f(*a):
+                calls.append(name)
+                if name == "appendValue":
+                    self.value = [*self.value, a[0]]
+                return {"exists": bool(self.value), "get": iter(self.value)}.get(name)
+
+            return f
+
+    own = State()
+    own.value = []
+
+    class Handle:
+        def getListState(self, *a):
+            return State()
+
+        def getMapState(self, *a):
+            return State()
+
+        def getValueState(self, *a):
+            return own
+
+        def registerTimer(self, at):
+            calls.append("registerTimer")
+
+    class Time:
+        def getCurrentWatermarkInMs(self):
+            return 10**15
+
+    p = CameraProcessor(0.5, 0)
+    p.init(Handle())
+    n = 200
+    ts = pd.to_datetime(np.arange(n) * 40, unit="ms")
+    rows = pd.DataFrame({"ts": ts, "image_id": np.arange(n), "file_path": "x", "score": 0.9, "pan": 1.0, "tilt": 2.0, "hfov": 3.0})
+    list(p.handleInputRows(("s",), iter([rows]), Time()))
+    out = pd.concat(p.handleExpiredTimer(("s",), Time(), None))
+    assert len(out) == n and out["rank"].tolist() == list(range(n)) and len(calls) < 15
