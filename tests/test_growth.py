@@ -155,3 +155,12 @@ def test_a_sequence_costs_few_state_calls():
     list(p.handleInputRows(("s",), iter([rows]), Time()))
     out = pd.concat(p.handleExpiredTimer(("s",), Time(), None))
     assert len(out) == n and out["rank"].tolist() == list(range(n)) and len(calls) < 15
+
+
+def test_labels_are_prepared_once(spark):
+    from touchline.functions.labels import prepared
+
+    df = spark.createDataFrame([("Été",), ("a1",), ("a1",), ("!!",), (None,)], "w string")
+    got = df.select(prepared("abcdefghijklmnopqrstuvwxyz0123456789", 25)("w").alias("label")).where("label IS NOT NULL")
+    assert got._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 1
+    assert sorted(r["label"] for r in got.collect()) == ["a1", "a1", "ete"]

@@ -20,10 +20,10 @@ def prepare(label: str | None, charset: str, most: int) -> str | None:
 
 
 def prepared(charset: str, most: int):
-    """The same as a vectorised function of a string column."""
+    """The same as a vectorised function of a string column; a text that repeats is prepared once a batch."""
 
     @F.pandas_udf("string")
     def f(s: pd.Series) -> pd.Series:
-        return s.map(lambda x: prepare(x, charset, most))
+        return s.map({x: prepare(x, charset, most) for x in s.dropna().unique()}).astype(object)
 
-    return f
+    return f.asNondeterministic()  # a filter on its null would compute it once more
