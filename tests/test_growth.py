@@ -6,7 +6,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from touchline.functions import geometry as geo
-from touchline.operators import calibration, matching, pose, votes
+from touchline.operators import calibration, matching, pose, tracks, votes
 from touchline.operators.tracker import Config, Tracker, track
 from touchline.plans import more_queries, queries  # noqa: F401
 from touchline.plans.more_queries import cameras
@@ -164,3 +164,17 @@ def test_labels_are_prepared_once(spark):
     got = df.select(prepared("abcdefghijklmnopqrstuvwxyz0123456789", 25)("w").alias("label")).where("label IS NOT NULL")
     assert got._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 1
     assert sorted(r["label"] for r in got.collect()) == ["a1", "a1", "ete"]
+
+
+def test_quantiles_end_in_the_digits_of_the_sql(spark):
+    import duckdb
+
+    rng = np.random.default_rng(5)
+    rows = [(k, (rng.integers(0, 1300, n) / 10.0 - 65.0).tolist()) for k, n in enumerate(rng.integers(1, 120, 300))]
+    long = pd.DataFrame([(k, x) for k, xs in rows for x in xs], columns=["track_id", "px"])
+    duck = duckdb.connect()
+    duck.register("long", long)
+    want = dict(duck.execute("SELECT track_id, quantile_cont(abs(px), 0.75) FROM long GROUP BY track_id").fetchall())
+    det = spark.createDataFrame([("s", k, x, None) for k, xs in rows for x in xs] + [("s", 1000, None, None)], "seq string, track_id long, px double, py double")
+    got = {r["track_id"]: r["q75"] for r in tracks.position_stats(det).collect()}
+    assert got.pop(1000) is None and got == want

@@ -36,13 +36,33 @@ def pitch_gate(det: DataFrame, margin: float = 5.0, enabled: bool = True) -> Dat
     return out.withColumn("track_id", F.when(~F.col("pitch_gate_offpitch"), F.col("track_id"))) if enabled else out
 
 
+def product_sum(a: Column, b: Column, c: Column) -> Column:
+    """a * b + c of doubles, rounded once: the errors of the product and of the sum are added at the end."""
+
+    def halves(x):
+        high = x * 134217729.0 - (x * 134217729.0 - x)
+        return high, x - high
+
+    (a1, a2), (b1, b2), p = halves(a), halves(b), a * b
+    s = p + c
+    lost = a2 * b2 - (((p - a1 * b1) - a2 * b1) - a1 * b2) + ((p - (s - (s - p))) + (c - (s - p)))
+    return F.when(F.isnan(lost), s).otherwise(s + lost)
+
+
+def quantile(values: Column, q: float) -> Column:
+    """Linear quantile of a sorted array; null of an empty one. Rounded as DuckDB's quantile_cont: F.percentile ends in other last digits, which decide comparisons with a limit."""
+    at = (F.size(values) - 1) * F.lit(q)
+    low = F.floor(at)
+    return product_sum(F.get(values, low.cast("int")), 1 - (at - low), F.get(values, F.ceil(at).cast("int")) * (at - low))
+
+
 def position_stats(det: DataFrame) -> DataFrame:
     """Per track: samples, mean and population deviation of x, 75th percentile of |x|; of y only from three values on; least and largest y."""
     three = F.count("py") >= 3
     return det.where("track_id IS NOT NULL").groupBy("seq", "track_id").agg(
-        F.count("*").alias("n"), F.avg("px").alias("mx"), F.stddev_pop("px").alias("sx"), F.percentile(F.abs("px"), F.lit(0.75)).alias("q75"),
+        F.count("*").alias("n"), F.avg("px").alias("mx"), F.stddev_pop("px").alias("sx"), F.sort_array(F.collect_list(F.abs("px"))).alias("q75"),
         F.when(three, F.avg("py")).alias("my"), F.when(three, F.stddev_pop("py")).alias("sy"), F.min("py").alias("ymin"), F.max("py").alias("ymax"),
-    )
+    ).withColumn("q75", quantile(F.col("q75"), 0.75))
 
 
 def frame_rank(frames: DataFrame) -> DataFrame:
