@@ -178,3 +178,16 @@ def test_quantiles_end_in_the_digits_of_the_sql(spark):
     det = spark.createDataFrame([("s", k, x, None) for k, xs in rows for x in xs] + [("s", 1000, None, None)], "seq string, track_id long, px double, py double")
     got = {r["track_id"]: r["q75"] for r in tracks.position_stats(det).collect()}
     assert got.pop(1000) is None and got == want
+
+
+def test_interpolated_rows_are_not_shuffled(spark):
+    frames = spark.createDataFrame([("s", k, f"{k:03d}.jpg") for k in range(12)], "seq string, image_id long, file_path string")
+    boxes = [(0, 1), (1, 1), (5, 1), (6, 1), (9, 1), (2, 2), (9, 2), (3, None), (99, 1)]
+    det = spark.createDataFrame([(k, "s", i, t, float(i), 0.0, 4.0, 8.0, 0.5) for k, (i, t) in enumerate(boxes)], "det_id long, seq string, image_id long, track_id long, l double, t double, w double, h double, conf double")
+    got = tracks.interpolate(det, frames)
+    p = got._jdf.queryExecution().optimizedPlan().toString()
+    above = p[: p.index("Generate")]
+    assert "Join" not in above and "Repartition" not in above
+    rows = sorted((r["image_id"], r["track_id"] or 0, r["l"], r["interpolated"]) for r in got.collect())
+    assert [r[:3] for r in rows if not r[3]] == sorted((i, t or 0, float(i)) for i, t in boxes)
+    assert [r[:3] for r in rows if r[3]] == [(k, 1, float(k)) for k in (2, 3, 4, 7, 8)]

@@ -106,19 +106,24 @@ def carry_forward(frames: DataFrame, min_score: float = 0.5, most: int = 0) -> D
 
 
 def interpolate(det: DataFrame, frames: DataFrame, n_dti: int = 25, n_min: int = 5) -> DataFrame:
-    """Adds linear rows in gaps of 1 < dt < n_dti frame ranks, on tracks of n_min rows or more. conf is the mean of the ends."""
+    """Adds linear rows in gaps of 1 < dt < n_dti frame ranks, on tracks of n_min rows or more. conf is the mean of the ends.
+
+    Rows are dealt by sequence before they grow: a sequence's images, in order of rank, are joined to them as one array.
+    """
     ranks = frame_rank(frames).select("seq", "image_id", "rank")
+    images = ranks.groupBy("seq").agg(F.sort_array(F.collect_list(F.struct("rank", "image_id"))).getField("image_id").alias("images"))
     w = Window.partitionBy("seq", "track_id")
-    rows = det.where("track_id IS NOT NULL").join(ranks, ["seq", "image_id"]).withColumn("n", F.count("*").over(w)).where(F.col("n") >= n_min)
     ends = ["rank", "l", "t", "w", "h", "conf"]
-    nxt = F.lead(F.struct(*ends)).over(w.orderBy("rank", "det_id"))
-    gaps = rows.withColumn("nxt", nxt).withColumn("dt", F.col("nxt.rank") - F.col("rank")).where((F.col("dt") > 1) & (F.col("dt") < n_dti))
-    fill = gaps.withColumn("j", F.explode(F.sequence(F.lit(1), (F.col("dt") - 1).cast("int"))))
-    step = {c: F.col(c) + (F.col(f"nxt.{c}") - F.col(c)) * (F.col("j") / F.col("dt")) for c in "ltwh"}
-    conf = F.coalesce((F.col("conf") + F.col("nxt.conf")) / 2, F.col("conf"), F.col("nxt.conf"))
-    new = fill.select("seq", "track_id", (F.col("rank") + F.col("j")).alias("rank"), *[step[c].alias(c) for c in "ltwh"], conf.alias("conf"))
-    new = new.join(ranks, ["seq", "rank"]).select("seq", "image_id", "track_id", "l", "t", "w", "h", "conf", F.lit(True).alias("interpolated"))
-    return det.select("seq", "image_id", "track_id", "l", "t", "w", "h", "conf", F.lit(False).alias("interpolated")).unionByName(new)
+    rows = det.select("seq", "image_id", "track_id", "det_id", *ends[1:]).join(ranks, ["seq", "image_id"], "left").repartition("seq").withColumn("n", F.count("rank").over(w))
+    nxt = F.lead(F.struct(*ends)).over(w.orderBy(F.col("rank").asc_nulls_last(), "det_id"))
+    rows = rows.withColumn("nxt", nxt).withColumn("dt", F.col("nxt.rank") - F.col("rank")).join(images, "seq", "left")
+    gap = F.col("track_id").isNotNull() & (F.col("n") >= n_min) & (F.col("dt") > 1) & (F.col("dt") < n_dti)
+    # the row itself, and the frames up to the next one
+    fill = rows.select("*", F.posexplode(F.when(gap, F.slice("images", F.col("rank") + 1, F.col("dt"))).otherwise(F.array("image_id"))).alias("j", "at"))
+    new = F.col("j") > 0
+    step = {c: F.when(new, F.col(c) + (F.col(f"nxt.{c}") - F.col(c)) * (F.col("j") / F.col("dt"))).otherwise(F.col(c)) for c in "ltwh"}
+    conf = F.when(new, F.coalesce((F.col("conf") + F.col("nxt.conf")) / 2, F.col("conf"), F.col("nxt.conf"))).otherwise(F.col("conf"))
+    return fill.select("seq", F.col("at").alias("image_id"), "track_id", *[step[c].alias(c) for c in "ltwh"], conf.alias("conf"), new.alias("interpolated"))
 
 
 def first_last(det: DataFrame) -> DataFrame:
