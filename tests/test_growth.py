@@ -6,7 +6,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from touchline.functions import geometry as geo
-from touchline.operators import calibration, matching, pose, tracks, votes
+from touchline.operators import calibration, cluster, matching, pose, tracks, votes
 from touchline.operators.tracker import Config, Tracker, track
 from touchline.plans import more_queries, queries  # noqa: F401
 from touchline.plans.more_queries import cameras
@@ -191,3 +191,20 @@ def test_interpolated_rows_are_not_shuffled(spark):
     rows = sorted((r["image_id"], r["track_id"] or 0, r["l"], r["interpolated"]) for r in got.collect())
     assert [r[:3] for r in rows if not r[3]] == sorted((i, t or 0, float(i)) for i, t in boxes)
     assert [r[:3] for r in rows if r[3]] == [(k, 1, float(k)) for k in (2, 3, 4, 7, 8)]
+
+
+def test_many_tracks_are_split_in_a_task(spark):
+    rng = np.random.default_rng(2)
+    rows = []
+    for t in range(12):
+        for f in range(14):
+            x = np.eye(4)[t % 3 if f < 7 else 3] + 0.01 * rng.normal(size=4)
+            rows.append((f"s{t % 2}", t * 100 + f, t, f, None if f == 3 else [float(v) for v in x], None if f == 13 else f % 3 > 0))
+    det = spark.createDataFrame(rows, "seq string, det_id long, track_id long, frame long, embedding array<double>, clean boolean")
+    got = cluster.split_tracks(det)
+    assert "FlatMapGroupsInPandas" not in got._jdf.queryExecution().executedPlan().toString()
+    found = {r["det_id"]: r["fragment"] for r in got.collect()}
+    for t in range(12):
+        own = [r for r in rows if r[2] == t]
+        want = cluster.split_track(cluster.unit(cluster.vectors(pd.Series([r[4] for r in own]))), np.array([bool(r[5]) for r in own]), 0.2, 5)
+        assert [found[r[1]] for r in own] == want.tolist() and len(set(want)) == 2

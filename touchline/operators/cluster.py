@@ -4,7 +4,11 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from touchline.operators.groups import each_group
 
 NOISE = -1
 
@@ -119,16 +123,29 @@ def vectors(col: pd.Series, dim: int | None = None) -> np.ndarray:
     return np.stack([np.zeros(dim) if v is None else np.asarray(v, float) for v in col]) if len(col) else np.zeros((0, dim))
 
 
+def rows_of(col: pa.ChunkedArray) -> np.ndarray:
+    """Rows of a column of lists of one length; null is a zero row."""
+    col = col.combine_chunks()
+    flat = col.flatten().to_numpy(zero_copy_only=False).astype(float)
+    there = col.is_valid().to_numpy(zero_copy_only=False)
+    n = int(there.sum())
+    out = np.zeros((len(col), len(flat) // n if n else 1))
+    out[there] = flat.reshape(n, -1) if n else 0
+    return out
+
+
 def split_tracks(det: DataFrame, eps: float = 0.2, min_samples: int = 5) -> DataFrame:
-    """det_id and fragment of every tracked row. The group is the track, so parallelism is the number of tracks."""
+    """det_id and fragment of every tracked row. A track is one unit; many share a task."""
 
-    def one(p: pd.DataFrame) -> pd.DataFrame:
-        p = p.sort_values(["frame", "det_id"])
-        if p.frame.duplicated().any():
-            raise ValueError(f"track {p.track_id.iloc[0]} of {p.seq.iloc[0]} has two rows in a frame")
-        return pd.DataFrame({"seq": p.seq, "det_id": p.det_id, "track_id": p.track_id, "fragment": split_track(unit(vectors(p.embedding)), p.clean.to_numpy(bool), eps, min_samples)})
+    def one(t: pa.Table) -> pa.RecordBatch:
+        frame = t["frame"].to_numpy()
+        if (frame[1:] == frame[:-1]).any():
+            raise ValueError(f"track {t['track_id'][0]} of {t['seq'][0]} has two rows in a frame")
+        fragment = split_track(unit(rows_of(t["embedding"])), t["clean"].to_numpy(zero_copy_only=False).astype(bool), eps, min_samples)
+        return pa.RecordBatch.from_arrays([*(t[c].combine_chunks() for c in ("seq", "det_id", "track_id")), pa.array(fragment, pa.int64())], ["seq", "det_id", "track_id", "fragment"])
 
-    return det.where("track_id IS NOT NULL").select("seq", "track_id", "frame", "det_id", "embedding", "clean").groupBy("seq", "track_id").applyInPandas(one, "seq string, det_id long, track_id long, fragment long")
+    rows = det.where("track_id IS NOT NULL").select("seq", F.col("track_id").cast("long").alias("track_id"), "frame", F.col("det_id").cast("long").alias("det_id"), "embedding", "clean")
+    return each_group(rows, ["seq", "track_id"], one, "seq string, det_id long, track_id long, fragment long", ("frame", "det_id"))
 
 
 def team_clusters(desc: DataFrame, k: float = 3.25) -> DataFrame:
