@@ -59,6 +59,23 @@ def test_density_clusters_of_5000_rows_hold_no_group_in_a_task(spark, monkeypatc
     assert max(largest) < 1500
 
 
+def test_rows_without_structure_meet_a_block_once(spark, monkeypatch):
+    sent = []
+    plain = metric_space.each_group
+
+    def watched(df, keys, f, schema, order=()):
+        if "i" in keys:
+            sent.append(df.count())
+        return plain(df, keys, f, schema, order)
+
+    monkeypatch.setattr(metric_space, "each_group", watched)
+    monkeypatch.setattr(metric_space, "BLOCK", 100)
+    x = clustered(9, n=1500, dims=16, noise=1.0)
+    got = {r["vec_id"]: r["cluster"] for r in metric_space.density_clusters(table(spark, x, [0] * len(x)), "label", 0.5, 4).collect()}
+    assert got == plain_clusters(x, [0] * len(x), 0.5, 4)
+    assert len(sent) == 2 and max(sent) <= 1500 * (1500 / 100 + 1)
+
+
 def test_odd_vectors_are_noise_and_groups_may_be_null(spark):
     x = [[1.0, 0.0], [0.999, 0.01], [0.0, 0.0], None, [0.0, 1.0], [1.0, 0.0], [1.0, 0.001]]
     rows = metric_space.density_clusters(table(spark, x, [None, None, 1, 1, 1, None, 1]), "label", 0.01, 2).collect()

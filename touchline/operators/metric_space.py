@@ -15,7 +15,7 @@ matrix products rather than as joined rows.
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import cached_property
+from functools import cached_property, partial
 
 import numpy as np
 import pyarrow as pa
@@ -223,6 +223,41 @@ def nearest_centre(rows: DataFrame, centres: DataFrame) -> DataFrame:
 # --- density clusters ------------------------------------------------------------------------------------
 
 
+LAYOUT = "g string, cell long, i long, j long"
+
+
+def _layout(t: pa.Table, far: float, block: int) -> pa.RecordBatch:
+    """Blocks of a group's cells, and pairs of blocks that may hold rows within far of each other.
+
+    With a cell: its first block and their number. Without: a pair of blocks. Cells follow each other by nearness and share blocks
+    of about ``block`` rows; a larger cell is dealt over blocks of its own.
+    """
+    x, cell, reach, members = matrix(t, "x"), t["cell"].to_numpy(), t["reach"].to_numpy(), t["members"].to_numpy()
+    n, at = len(cell), 0
+    left, chain = np.ones(n, bool), [0]
+    for _ in range(n - 1):
+        left[at] = False
+        at = int(np.where(left, squares(x[at : at + 1], x)[0], np.inf).argmin())
+        chain.append(at)
+    first, parts = np.zeros(n, np.int64), np.maximum(1, -(-members // block)).astype(np.int64)
+    k, held = -1, block
+    for c in chain:
+        alone = parts[c] > 1
+        if alone or held >= block:
+            k, held = k + 1, 0
+        first[c] = k
+        k, held = (k + int(parts[c]) - 1, block) if alone else (k, held + int(members[c]))
+    near = np.zeros((k + 1, k + 1), bool)
+    for c in range(n):
+        own = slice(first[c], first[c] + parts[c])
+        for o in np.flatnonzero(np.sqrt(squares(x[c : c + 1], x)[0]) <= reach[c] + reach + far + SLACK):
+            near[own, first[o] : first[o] + parts[o]] = True
+    near |= near.T | np.eye(k + 1, dtype=bool)
+    i, j = np.nonzero(np.triu(near))
+    g = pa.array([t["g"][0].as_py()] * (n + len(i)))
+    return pa.RecordBatch.from_arrays([g, pa.array(cell.tolist() + [None] * len(i), pa.int64()), pa.array(np.concatenate([first, i])), pa.array(np.concatenate([parts, j]))], ["g", "cell", "i", "j"])
+
+
 def density_clusters(points: DataFrame, by: str, eps: float, min_samples: int) -> DataFrame:
     """Group, vec_id and cluster of density clusters by cosine distance, numbered in each group in the order of their first core rows; noise is -1.
 
@@ -234,36 +269,34 @@ def density_clusters(points: DataFrame, by: str, eps: float, min_samples: int) -
         raise ValueError("eps must be at least 0 and below 1")
     own = numbered(points, by, True)
     space = Cells(own)
-    far = float(np.sqrt(2 * eps))
-    visits = space.visits(own.withColumn("radius", F.lit(far)))
-    seen = space.rows.select("p", "cell", F.lit(True).alias("member")).unionByName(visits.select("p", "cell", F.lit(False).alias("member")))
-    sizes = seen.groupBy("cell").agg(F.count("*").alias("n"))
-    seen = written(seen.join(sizes, "cell").join(own.select("p", "x"), "p"), "seen")
-
-    def blocks(rows: DataFrame) -> DataFrame:
-        return block_pairs(rows, F.col("p"), F.ceil(F.col("n") / BLOCK))
+    layout = written(each_group(space.cells.join(space.pivots.select("cell", "x"), "cell"), ["g"], partial(_layout, far=float(np.sqrt(2 * eps)), block=BLOCK), LAYOUT, ("cell",)), "layout")
+    cells = layout.where("cell IS NOT NULL").select("cell", F.col("i").alias("first"), F.col("j").alias("parts"))
+    pairs = layout.where("cell IS NULL").select("g", "i", "j")
+    ends = pairs.select("g", F.col("i").alias("c"), "i", "j").union(pairs.where("i < j").select("g", F.col("j").alias("c"), "i", "j"))
+    dealt = space.rows.join(cells, "cell").select("p", "g", "x", (F.col("first") + F.pmod(F.xxhash64("p"), F.col("parts"))).alias("c"))
+    unit = ["g", "i", "j"]
 
     def sides(t: pa.Table):
-        x, p, c, member = matrix(t, "x"), t["p"].to_numpy(), t["c"].to_numpy(), t["member"].to_numpy(zero_copy_only=False)
+        x, p, c = matrix(t, "x"), t["p"].to_numpy(), t["c"].to_numpy()
         i, j = t["i"][0].as_py(), t["j"][0].as_py()
         a, b = np.flatnonzero(c == i), np.flatnonzero(c == j)
         near = np.clip(1 - x[a] @ x[b].T, 0, 2) <= eps
-        return p, member, ((a, b, near),) if i == j else ((a, b, near), (b, a, near.T))
+        return p, ((a, b, near),) if i == j else ((a, b, near), (b, a, near.T))
 
     def count(t: pa.Table) -> pa.RecordBatch:
-        p, member, both = sides(t)
-        got = [(p[a][member[a]], near[member[a]].sum(1)) for a, _, near in both]
+        p, both = sides(t)
+        got = [(p[a], near.sum(1)) for a, _, near in both]
         return batch("p long, n long", *(np.concatenate([g[k] for g in got]) for k in (0, 1)))
 
-    counts = each_group(blocks(seen), ["cell", "i", "j"], count, "p long, n long")
-    core = counts.groupBy("p").agg((F.sum("n") >= min_samples).alias("core"))
+    counts = each_group(dealt.join(ends, ["g", "c"]), unit, count, "p long, n long")
+    core = written(counts.groupBy("p").agg((F.sum("n") >= min_samples).alias("core")), "core")
 
     def tie(t: pa.Table) -> pa.RecordBatch:
-        """Core neighbours of every member: one of each local component."""
-        p, member, both = sides(t)
+        """Core neighbours of every row: one of each local component."""
+        p, both = sides(t)
         is_core = t["core"].to_numpy(zero_copy_only=False)
         root = np.arange(len(p))
-        for a, b, near in both:
+        for a, b, near in both[:1]:
             m = near[np.ix_(is_core[a], is_core[b])]
             ca, cb = a[is_core[a]], b[is_core[b]]
             moved = True
@@ -278,13 +311,13 @@ def density_clusters(points: DataFrame, by: str, eps: float, min_samples: int) -
         tied = np.flatnonzero(root != np.arange(len(p)))
         out = [(p[tied], p[root[tied]], np.ones(len(tied), bool))]
         for a, b, near in both:
-            fringe = np.flatnonzero(member[a] & ~is_core[a])
+            fringe = np.flatnonzero(~is_core[a])
             q, r = np.nonzero(near[fringe][:, is_core[b]])
             pairs = np.unique(np.stack([a[fringe[q]], root[b[is_core[b]][r]]], 1), axis=0)
             out.append((p[pairs[:, 0]], p[pairs[:, 1]], np.zeros(len(pairs), bool)))
         return batch("a long, b long, core boolean", *(np.concatenate([o[k] for o in out]) for k in range(3)))
 
-    ties = written(each_group(blocks(seen.join(core, "p")), ["cell", "i", "j"], tie, "a long, b long, core boolean"), "ties")
+    ties = written(each_group(dealt.join(core, "p").join(ends, ["g", "c"]), unit, tie, "a long, b long, core boolean"), "ties")
     roots = components(ties.where("core").select("a", "b"))
     cores = core.where("core").join(own.select("p", "g", "vec_id"), "p").join(roots.withColumnRenamed("node", "p"), "p", "left").select("p", "g", "vec_id", F.coalesce("root", "p").alias("root"))
     first = cores.groupBy("g", "root").agg(F.min(F.struct("vec_id", "p")).alias("first"))
