@@ -147,3 +147,16 @@ def test_word_counts_are_whole_and_neighbours_decide_where_no_article_tells():
     assert changed >= 5 and wrong >= 5
     long = html.blocks(f"<p>{'word ' * 500}</p>")
     assert html.features(long)[0][0] == 500
+
+
+def test_op4_shows_what_is_left(spark):
+    import hashlib
+
+    from touchline.llm.queries import op4_suffix_dedup
+
+    got = op4_suffix_dedup(spark, "/root/testdata/sf0.001").collect()
+    assert {"doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "text"} <= set(got[0].asDict())
+    whole = [r for r in got if len(r["text"].encode()) == r["n_bytes"] - r["n_removed"]]  # no character was cut
+    assert any(r["n_removed"] for r in whole) and any(not r["n_removed"] for r in whole)
+    assert all(hashlib.sha256(r["text"].encode()).hexdigest() == r["kept_sha256"] for r in whole)
+    assert all(0 <= r["n_bytes"] - r["n_removed"] - len(r["text"].encode()) <= 6 * r["n_spans"] for r in got)
