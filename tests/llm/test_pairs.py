@@ -9,6 +9,7 @@ from fractions import Fraction
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from tests.llm.conftest import documents, frame
 
 from touchline.llm import alignment, capfilters, divergence
@@ -132,6 +133,16 @@ def test_divergence_in_small_runs_equals_plain_version(spark, monkeypatch):
     assert sorted(map(tuple, divergence.audit(df.repartition(7)).collect())) == plain_audit(rows)
 
 
+def test_divergence_shuffles_its_counts_once(spark, monkeypatch):
+    rows, df = corpus(spark)
+    own = df.select(*[F.coalesce(c, F.lit("")).alias(c) for c in ("lang", "source", "text")])
+    assert divergence.kept_counts(own)._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+    monkeypatch.setattr(divergence, "CHUNK", 200)
+    monkeypatch.setattr(divergence, "ROWS", 64)
+    monkeypatch.setattr(divergence, "GROUPS", 0)
+    assert sorted(map(tuple, divergence.audit(df).collect())) == plain_audit(rows)
+
+
 def test_divergence_of_no_rows_and_of_no_kept_terms(spark, empty):
     assert divergence.audit(empty).count() == 0
     df = spark.createDataFrame([("a b", "en", "s"), ("c", "en", "t")], "text string, lang string, source string")

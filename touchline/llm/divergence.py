@@ -14,7 +14,7 @@ its own histogram, and what the tally has of them with the other group's counts
 taken off. So every combination with its multiplicity is one row of ``histogram``,
 and the difference is computed once per combination.
 
-All arithmetic is in integers and decimals. Group sums move as partial sums; a term's
+All arithmetic is in integers and decimals. Counts of terms are merged in tasks and shuffled once; group sums move as partial sums; a term's
 list of sources is as long as the result's list of groups a language, and the
 best terms of a group are ranked with a limit before the shuffle.
 
@@ -41,6 +41,10 @@ SCALE = 1_000_000_000
 #: Bytes of text counted at once, and combinations of sources tallied at once.
 CHUNK = 4 << 20
 CELLS = 1 << 20
+#: Rows of counts that a task merges before it passes them on.
+ROWS = 1 << 20
+#: Groups whose totals are broadcast; more are joined by a shuffle.
+GROUPS = 20_000
 
 LETTER = np.ones(256, bool)
 LETTER[:0x41] = LETTER[0x5B:0x61] = LETTER[0x7B:0x80] = False
@@ -63,11 +67,18 @@ def terms(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, pa.Dictionary
 
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Per run of documents: count and number of documents of every (lang, source, term)."""
+    names: dict[tuple[str, str], int] = {}
+    held: list[pa.RecordBatch] = []
+
+    def merged() -> Iterator[pa.RecordBatch]:
+        t = pa.Table.from_batches(held).group_by(["g", "term"], use_threads=False).aggregate([("n", "sum"), ("docs", "sum")])
+        held.clear()
+        lang, source = (pa.array(x, pa.string()) for x in zip(*names, strict=True))
+        for b in t.to_batches(max_chunksize=ROWS >> 4):
+            yield pa.RecordBatch.from_arrays([lang.take(b["g"]), source.take(b["g"]), b["term"], b["n_sum"], b["docs_sum"]], ["lang", "source", "term", "n", "docs"])
+
     for b in batches:
-        group = pa.StructArray.from_arrays([b["lang"], b["source"]], ["lang", "source"])
-        names = {}
-        of = np.array([names.setdefault((g["lang"], g["source"]), len(names)) for g in group.to_pylist()], np.int64)
-        names = list(names)
+        of = np.array([names.setdefault(g, len(names)) for g in zip(b["lang"].to_pylist(), b["source"].to_pylist(), strict=True)], np.int64)
         for i, j, data, offs in chunks(b["text"], CHUNK):
             row, coded = terms(data, offs)
             if not len(row):
@@ -76,8 +87,11 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             key, n = np.unique(row * len(words) + code, return_counts=True)
             cell, back = np.unique(of[i:j][key // len(words)] * len(words) + key % len(words), return_inverse=True)
             total, docs = np.bincount(back, n).astype(np.int64), np.bincount(back)
-            g = (cell // len(words)).tolist()
-            yield pa.RecordBatch.from_arrays([pa.array([names[k][0] for k in g]), pa.array([names[k][1] for k in g]), words.take(pa.array(cell % len(words))), pa.array(total), pa.array(docs)], ["lang", "source", "term", "n", "docs"])
+            held.append(pa.RecordBatch.from_arrays([pa.array(cell // len(words)), words.take(pa.array(cell % len(words))), pa.array(total), pa.array(docs)], ["g", "term", "n", "docs"]))
+            if sum(h.num_rows for h in held) >= ROWS:
+                yield from merged()
+    if held:
+        yield from merged()
 
 
 def _tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -142,6 +156,15 @@ def gap(p: Column, q: Column) -> Column:
     return F.call_function("div", (p - q) * (p - q), p + q)
 
 
+def kept_counts(docs: DataFrame) -> DataFrame:
+    """lang, term, source, n and lang_n, the count in the language, of kept terms. Counts are dealt by term once: they are added, documents counted and rare terms dropped where they lie."""
+    counted = docs.mapInArrow(tidy(_counts), "lang string, source string, term string, n long, docs long")
+    counts = counted.repartition("lang", "term").groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
+    of_term = Window.partitionBy("lang", "term")
+    totals = counts.select("lang", "term", "source", "n", F.sum("n").over(of_term).alias("lang_n"), F.sum("docs").over(of_term).alias("lang_docs"))
+    return totals.where(F.col("lang_docs") >= MIN_DOCS).drop("lang_docs")
+
+
 class Audit:
     """The tables from which both parts of the audit come."""
 
@@ -150,10 +173,7 @@ class Audit:
             return F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c)
 
         own = docs.select(text("lang"), text("source"), text("text"))
-        counted = own.mapInArrow(tidy(_counts), "lang string, source string, term string, n long, docs long")
-        counts = checkpointed(counted.groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs")))
-        kept = counts.groupBy("lang", "term").agg(F.sum("docs").alias("docs"), F.sum("n").alias("lang_n")).where(F.col("docs") >= MIN_DOCS).drop("docs")
-        self.counts = checkpointed(counts.select("lang", "source", "term", "n").join(kept, ["lang", "term"]))
+        self.counts = checkpointed(kept_counts(own))
         sums = self.counts.groupBy("lang", "source").agg(F.sum("n").alias("total"))
         sizes = self.counts.groupBy("lang", "term").agg(F.max("lang_n").alias("n")).groupBy("lang").agg(F.count("*").alias("size"), F.sum("n").alias("lang_total"))
         groups = own.select("lang", "source").distinct()
@@ -198,7 +218,8 @@ class Audit:
         return rows.withColumn("rank", F.row_number().over(order()))
 
     def term_rows(self) -> DataFrame:
-        cells = self.counts.join(self.groups, ["lang", "source"])
+        few = self.groups.limit(GROUPS + 1).count() <= GROUPS
+        cells = self.counts.join(F.broadcast(self.groups) if few else self.groups, ["lang", "source"])
         p = share(F.col("n"), F.col("total"), F.col("size"))
         q = share(F.col("lang_n"), F.col("lang_total"), F.col("size"))
         rows = cells.select("lang", "source", F.lit("term").alias("part"), F.col("term").alias("item"), p.alias("p"), q.alias("q")).where("p > q")
