@@ -3,6 +3,7 @@
 import math
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from touchline.operators import tracking_metrics as tm
@@ -83,3 +84,36 @@ def test_two_boxes_of_a_track_in_a_frame_are_refused(spark):
 def test_no_rows(spark):
     df = spark.createDataFrame([], "seq string, image_id long, track_id long, l double, t double, w double, h double")
     assert tm.tracking_metrics(df, df).count() == 0
+
+
+def test_identities_are_spread_over_tasks(spark):
+    pairs = spark.createDataFrame([(f"s{q}", g, p, 0.9) for q in range(40) for g in range(3) for p in range(g, 4) for _ in range(1 + (g + p) % 3)], "seq string, g long, p long, s double")
+    got = tm.identity(pairs)
+    assert got.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions")) > 1
+    assert {(r["seq"], r["idtp"]) for r in got.collect()} == {(f"s{q}", 9) for q in range(40)}
+
+
+def test_frames_whose_pairs_share_a_box_need_no_assignment(monkeypatch):
+    def refuse(_):
+        raise AssertionError("assigned")
+
+    monkeypatch.setattr(tm, "assign", refuse)
+    rows = [(1, 7, 3, 0.2), (1, 7, 5, 0.6), (1, 7, 9, 0.6), (2, 4, 3, 0.5), (2, 8, 3, 0.9)]
+    cols = {"seq": ["a"] * 5, **{c: [r[k] for r in rows] for k, c in enumerate(["image_id", "g", "p", "s"])}, "gain": [r[3] for r in rows]}
+    got = [b.to_pydict() for b in tm._best(iter([pa.RecordBatch.from_pydict(cols)]))]
+    assert [(b["image_id"], b["g"], b["p"]) for b in got] == [([1, 2], [7, 8], [5, 3])]
+
+
+def test_sources_are_worked_out_once_a_side(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    cols = "seq string, image_id long, track_id long, l double, t double, w double, h double"
+    rows = [("a", f, k, 10.0 * k, 0.0, 30.0, 30.0) for f in range(5) for k in range(3)]
+    gt, pred = (spark.createDataFrame(rows, cols).mapInArrow(counted, cols) for _ in range(2))
+    tm.tracking_metrics(gt, pred).collect()
+    assert seen.value == 2 * len(rows)

@@ -13,12 +13,11 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from touchline.operators.matching import assign, in_frames, renewed
+from touchline.operators.matching import assign, in_frames
 from touchline.sources.scratch import scratch
 
 ALPHAS = np.arange(0.05, 0.99, 0.05)
@@ -135,13 +134,22 @@ def evaluate(frames: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> dict[st
 # --- over tables, parallel by frame -------------------------------------------------------------------
 
 
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """df as written to a scratch folder: several steps read it, and what it comes from is worked out once."""
+    path = scratch(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
+def columns(space: str, attributes: bool) -> list[str]:
+    return (["l", "t", "w", "h"] if space == "image" else ["px", "py"]) + (["label"] if attributes else [])
+
+
 def similar(gt: DataFrame, pred: DataFrame, space: str, attributes: bool) -> DataFrame:
     """seq, image_id, g, p, s of the boxes of a frame that are similar at all, with the sums of s of either box, and whether a box has another pair."""
-    cols = ["l", "t", "w", "h"] if space == "image" else ["px", "py"]
-    more = ["label"] if attributes else []
 
     def side(df, name):
-        return df.select("seq", "image_id", F.col("track_id").alias(name), *[F.col(c).alias(f"{name}_{c}") for c in cols + more])
+        return df.select("seq", "image_id", F.col("track_id").alias(name), *[F.col(c).alias(f"{name}_{c}") for c in columns(space, attributes)])
 
     g, p = (lambda c: F.col(f"g_{c}")), (lambda c: F.col(f"p_{c}"))
     if space == "image":
@@ -166,15 +174,26 @@ def contested() -> Column:
     return F.greatest(*[F.count("*").over(Window.partitionBy("seq", "image_id", k)) for k in "gp"]) > 1
 
 
+def boxes_of(frame: np.ndarray, track: np.ndarray) -> np.ndarray:
+    """The number of each row's (frame, track), in their order."""
+    names, code = np.unique(track, return_inverse=True)
+    return np.unique(frame * len(names) + code, return_inverse=True)[1]
+
+
 def _best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of contested pairs sorted by frame, those of the largest total gain."""
     for t, frame in in_frames(batches):
         g, p, s, gain = (t[c].to_numpy() for c in ("g", "p", "s", "gain"))
-        rows = [np.unique(np.stack([frame, x], 1), axis=0, return_inverse=True)[1].ravel() for x in (g, p)]
-        if len(np.unique(np.stack(rows, 1), axis=0)) < len(s):
+        rows = [boxes_of(frame, x) for x in (g, p)]
+        if len(np.unique(boxes_of(*rows))) < len(s):
             raise ValueError("a track has two boxes in a frame")
-        q = Pairs(frame, *rows, g, p, s)
-        pick = np.concatenate([best_of_frame(q, a, b, gain) for a, b in q.frames()])
+        # where all pairs of a frame share a box, the largest gain is the assignment
+        one = np.logical_or(*(np.bincount(frame[np.unique(x, return_index=True)[1]])[frame] == 1 for x in rows))
+        easy, hard = np.flatnonzero(one), np.flatnonzero(~one)
+        easy = easy[np.lexsort([rows[1][easy], rows[0][easy], -gain[easy], frame[easy]])]
+        easy = easy[np.unique(frame[easy], return_index=True)[1]]
+        q = Pairs(frame, *rows, g, p, s).where(hard)
+        pick = np.concatenate([easy, *(hard[best_of_frame(q, a, b, gain[hard])] for a, b in q.frames())])
         yield pa.RecordBatch.from_arrays([t[c].combine_chunks().take(pa.array(pick)) for c in ("seq", "image_id", "g", "p", "s")], ["seq", "image_id", "g", "p", "s"])
 
 
@@ -183,7 +202,7 @@ def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for t, run in in_frames(batches):
         g, p, s, rank = (t[c].to_numpy() for c in ("g", "p", "s", "rank"))
         frame = np.concatenate([[0], np.cumsum((rank[1:] != rank[:-1]) | (run[1:] != run[:-1]))])
-        rows = [np.unique(np.stack([frame, x], 1), axis=0, return_inverse=True)[1].ravel() for x in (g, p)]
+        rows = [boxes_of(frame, x) for x in (g, p)]
         q, out, before, last = Pairs(frame, *rows, g, p, s), [], {}, -1
         hard = q.contested()
         for a, b in q.frames():
@@ -200,6 +219,20 @@ def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([t[c].combine_chunks().take(pick) for c in ("seq", "rank", "g", "p")], ["seq", "rank", "g", "p"])
 
 
+def _identities(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Per sequence the boxes that the best one-to-one assignment of its tracks shares."""
+    for t, number in in_frames(batches):
+        first = np.flatnonzero(np.diff(number, prepend=-1))
+        g, p, n = (t[c].to_numpy() for c in ("g", "p", "n"))
+        shared = []
+        for a, b in zip(first, [*first[1:], len(n)], strict=True):
+            x, y = (np.unique(c[a:b], return_inverse=True)[1] for c in (g, p))
+            over = np.zeros((x.max() + 1, y.max() + 1))
+            over[x, y] = n[a:b]
+            shared.append(int(over[assign(-over)].sum()))
+        yield pa.RecordBatch.from_arrays([t["seq"].combine_chunks().take(pa.array(first)), pa.array(shared, pa.int64())], ["seq", "idtp"])
+
+
 def over_alphas(pairs: DataFrame, gts: DataFrame, prs: DataFrame) -> DataFrame:
     """seq, hota, deta, assa. First pass: how well each two tracks align over all frames. Second: frames are assigned with that table joined in, and matches are counted by level."""
     together = pairs.groupBy("seq", "g", "p").agg(F.sum(F.when(total_of() > 1e-12, F.col("s") / total_of()).otherwise(0.0)).alias("together"))
@@ -255,13 +288,10 @@ def kept_matches(pairs: DataFrame, frames: DataFrame) -> DataFrame:
 
 def identity(pairs: DataFrame) -> DataFrame:
     """seq and the boxes of the best one-to-one assignment of whole tracks, from a table of a row per two tracks."""
-    cells = pairs.where("s >= 0.5").groupBy("seq", "g", "p").agg(F.count("*").alias("n"))
-
-    def one(c: pd.DataFrame) -> pd.DataFrame:
-        over = c.pivot(index="g", columns="p", values="n").fillna(0).to_numpy()
-        return pd.DataFrame({"seq": [c.seq.iloc[0]], "idtp": [int(over[assign(-over)].sum())]})
-
-    return cells.groupBy("seq").applyInPandas(one, f"seq {cells.schema['seq'].dataType.simpleString()}, idtp long")
+    cells = pairs.where("s >= 0.5").groupBy("seq", "g", "p").agg(F.count("*").alias("n")).select("seq", F.lit(0).alias("image_id"), "g", "p", "n")
+    # a fixed number of partitions: so small a table would else be put into one task
+    spread = cells.repartition(int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "seq").sortWithinPartitions("seq")
+    return spread.mapInArrow(_identities, f"seq {cells.schema['seq'].dataType.simpleString()}, idtp long")
 
 
 def tracking_metrics(gt: DataFrame, pred: DataFrame, space: str = "image", attributes: bool = False) -> DataFrame:
@@ -271,12 +301,11 @@ def tracking_metrics(gt: DataFrame, pred: DataFrame, space: str = "image", attri
     sequence's boxes together: frames are joined, assigned and counted in parallel,
     and only a table of a row per two similar tracks is assigned by sequence.
     """
-    gt, pred = (renewed(df.where("track_id IS NOT NULL"), df.columns) for df in (gt, pred))
+    cols = ["seq", "image_id", "track_id", *columns(space, attributes)]
+    gt, pred = (stored(df.where("track_id IS NOT NULL").select(*cols), name) for df, name in ((gt, "truth"), (pred, "predicted")))
     gts = gt.groupBy("seq", F.col("track_id").alias("g")).agg(F.count("*").alias("n_g"))
     prs = pred.groupBy("seq", F.col("track_id").alias("p")).agg(F.count("*").alias("n_p"))
-    path = scratch(gt.sparkSession, "pairs")
-    similar(gt, pred, space, attributes).write.parquet(path)
-    pairs = gt.sparkSession.read.parquet(path)
+    pairs = stored(similar(gt, pred, space, attributes), "pairs")
     frames = gt.select("seq", "image_id").union(pred.select("seq", "image_id")).distinct().withColumn("rank", F.row_number().over(Window.partitionBy("seq").orderBy("image_id")))
     matches = kept_matches(pairs, frames)
     before = F.lag("p").over(Window.partitionBy("seq", "g").orderBy("rank"))
