@@ -55,8 +55,8 @@ def fingerprint(*parts: Column) -> Column:
 
 
 def metric_cell(v: Column) -> Column:
-    """A whole number without decimals, any other with four; a dash for none."""
-    return F.when(v.isNull(), "-").when(v == F.floor(v), F.format_string("%d", v.cast("long"))).otherwise(F.format_string("%.4f", v))
+    """A whole number without decimals, any other with four; a dash for none. The double itself is rounded, as by printf, not the shortest decimal that names it (format_string)."""
+    return F.when(v.isNull(), "-").when(v == F.floor(v), F.format_string("%d", v.cast("long"))).when(F.abs(v) < 0.0001, F.format_string("%.4f", v)).otherwise(F.call_function("format_number", v, F.lit("0.0000")))  # format_number rounds 0.00005 down
 
 
 def ctc_collapse(tokens: Column, blank: int = 0) -> Column:
