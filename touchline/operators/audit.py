@@ -121,7 +121,7 @@ def calibration(frames: DataFrame, least: float = 0.9) -> DataFrame:
 
 def pitch_gate(det: DataFrame, margin: float, enabled: bool = True) -> DataFrame:
     """Means and flags equal those made anew from the incoming ids; ids are cleared exactly where flagged, or nowhere if disabled."""
-    again = tracks.mean_position(det.withColumn("track_id", F.col("track_id_pregate"))).withColumn("off", tracks.off_pitch(margin)).select(F.col("seq").alias("_s"), F.col("track_id").alias("_t"), F.col("mean_x").alias("_x"), F.col("mean_y").alias("_y"), "off")
+    again = tracks.mean_position(det.withColumn("track_id", F.col("track_id_pregate")), tracks.mean).withColumn("off", tracks.off_pitch(margin)).select(F.col("seq").alias("_s"), F.col("track_id").alias("_t"), F.col("mean_x").alias("_x"), F.col("mean_y").alias("_y"), "off")
     j = det.join(again, (F.col("seq") == F.col("_s")) & (F.col("track_id_pregate") == F.col("_t")), "left")
     apart = F.coalesce(F.abs(F.col("pitch_mean_x") - F.col("_x")) > 1e-6, F.lit(False)) | F.coalesce(F.abs(F.col("pitch_mean_y") - F.col("_y")) > 1e-6, F.lit(False)) | (F.col("pitch_mean_x").isNull() != F.col("_x").isNull())
     want = F.when(F.col("pitch_gate_offpitch") & F.lit(enabled), F.lit(None)).otherwise(F.col("track_id_pregate"))

@@ -15,11 +15,18 @@ def located(x: str = "px", y: str = "py") -> Column:
     return F.col(x).isNotNull() & F.col(y).isNotNull()
 
 
-def mean_position(det: DataFrame) -> DataFrame:
-    """Per track: rows, rows with both coordinates, and their mean."""
+def mean(values: Column) -> Column:
+    """Mean of doubles, the same in whatever order their rows come: a sum of 18 decimal places, rounded once. Groups with values that decimals do not hold have the plain mean."""
+    exact = values.try_cast("decimal(38,18)")
+    whole = F.try_sum(exact).cast("double") / F.nullif(F.count(exact), F.lit(0))
+    return F.coalesce(F.when(F.count(exact) == F.count(values), whole), F.avg(values))
+
+
+def mean_position(det: DataFrame, average=F.avg) -> DataFrame:
+    """Per track: rows, rows with both coordinates, and their mean. What compares it with a limit takes ``mean`` as its average."""
     both = located()
     return det.where("track_id IS NOT NULL").groupBy("seq", "track_id").agg(
-        F.count("*").alias("n_rows"), F.count_if(both).alias("n_positions"), F.avg(F.when(both, F.col("px"))).alias("mean_x"), F.avg(F.when(both, F.col("py"))).alias("mean_y")
+        F.count("*").alias("n_rows"), F.count_if(both).alias("n_positions"), average(F.when(both, F.col("px"))).alias("mean_x"), average(F.when(both, F.col("py"))).alias("mean_y")
     )
 
 
@@ -30,7 +37,7 @@ def off_pitch(margin: float) -> Column:
 
 def pitch_gate(det: DataFrame, margin: float = 5.0, enabled: bool = True) -> DataFrame:
     """Clears track_id of off-pitch tracks; the incoming id stays as track_id_pregate. Disabled, it writes the columns only."""
-    per = mean_position(det).withColumn("pitch_gate_offpitch", off_pitch(margin)).select("seq", F.col("track_id").alias("_t"), F.col("mean_x").alias("pitch_mean_x"), F.col("mean_y").alias("pitch_mean_y"), "pitch_gate_offpitch")
+    per = mean_position(det, mean).withColumn("pitch_gate_offpitch", off_pitch(margin)).select("seq", F.col("track_id").alias("_t"), F.col("mean_x").alias("pitch_mean_x"), F.col("mean_y").alias("pitch_mean_y"), "pitch_gate_offpitch")
     out = det.withColumn("track_id_pregate", F.col("track_id")).join(per.withColumnRenamed("seq", "_s"), (F.col("seq") == F.col("_s")) & (F.col("track_id") == F.col("_t")), "left").drop("_s", "_t")
     out = out.withColumn("pitch_gate_offpitch", F.coalesce("pitch_gate_offpitch", F.lit(False)))
     return out.withColumn("track_id", F.when(~F.col("pitch_gate_offpitch"), F.col("track_id"))) if enabled else out
