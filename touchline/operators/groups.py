@@ -21,10 +21,13 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 
 def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """df dealt by the keys over at least as many tasks as a shuffle has. Spark merges small shuffle partitions by their bytes; not these: their rows cost far more time than their bytes tell."""
+    """df dealt by the keys over twice as many tasks as a shuffle has. Spark merges small shuffle partitions by their bytes; not these: their rows cost far more time than their bytes tell.
+
+    Not over as many: a shuffle below by the same keys would be taken for this one, and that one is merged.
+    """
     spark = df.sparkSession
     n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
-    return df.repartition(n, *keys)
+    return df.repartition(2 * n, *keys)
 
 
 def each_group(df: DataFrame, keys: list[str], f: Callable[[pa.Table], pa.RecordBatch | None], schema: str, order: tuple[str, ...] = ()) -> DataFrame:
