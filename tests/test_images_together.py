@@ -7,8 +7,9 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
+from touchline.functions import geometry as geo
 from touchline.functions.geometry import mirrored
-from touchline.operators import calibration
+from touchline.operators import calibration, pose
 from touchline.operators.groups import spread
 
 
@@ -77,3 +78,54 @@ def test_images_together_as_each_alone():
         assert (r["image_id"], r["calibrated"], r["jac5"], r["jac10"]) == e[:4]
         assert len(r["errors"]) == len(e[4]) and np.allclose(r["errors"], e[4], atol=1e-6)
     assert calibration.Scorer().scores(batch.slice(0, 0)).num_rows == 0
+
+
+def test_fours_are_solved_in_closed_form_as_by_the_whole_matrix():
+    rng = np.random.default_rng(4)
+    f, c = np.tile([1500.0, 1500.0], (50, 1)), np.tile([960.0, 540.0], (50, 1))
+    m = np.zeros((50, 4, 5))
+    for k in range(50):
+        m[k, :, :2] = rng.uniform(-30, 30, (4, 2))
+        rot, pos = pose.turn(np.array([np.radians(100 + k % 20), 0, 0.0])) @ pose.turn(np.array([0, 0, k / 100])), np.array([k / 10, 60.0, -15.0])
+        q = (m[k, :, :3] - pos) @ rot.T
+        m[k, :, 3:] = q[:, :2] / q[:, 2:] * f[k] + c[k] + rng.normal(0, 1, (4, 2))
+    m[7, 2] = (m[7, 0] + m[7, 1]) / 2  # three in one line
+    m[7, 2, 3:] = (m[7, 0, 3:] + m[7, 1, 3:]) / 2
+    a, b = pose.from_fours(m, f, c), pose.from_planes(m, f, c)
+    assert (a[2] == b[2]).all() and not a[2][7] and a[2].sum() == 49
+    assert np.allclose(a[0][a[2]], b[0][a[2]], atol=1e-6) and np.allclose(a[1][a[2]], b[1][a[2]], atol=1e-4)
+    u, _, vt = np.linalg.svd(a[0][a[2]])
+    assert np.allclose(u @ vt, a[0][a[2]]) and np.allclose(np.linalg.det(a[0][a[2]]), 1)
+
+
+def test_a_frame_at_its_least_error_rests():
+    f, c = np.array([[1500.0, 1500.0]]), np.array([[960.0, 540.0]])
+    rot, pos = pose.turn(np.array([np.radians(100), 0, 0.0])), np.array([1.0, 60.0, -15.0])
+    world = np.array([(x, y, 0.0) for x in (-15.0, 0, 15) for y in (-20.0, 0, 20)])
+    q = (world - pos) @ rot.T
+    m = np.concatenate([world, q[:, :2] / q[:, 2:] * f + c], 1)[None]
+    m[0, :, 3:] += np.random.default_rng(0).normal(0, 1, (9, 2))
+    steps, own = [], pose.turns
+    pose.turns = lambda w: steps.append(len(w)) or own(w)
+    try:
+        r, p = pose.refine_all(rot[None], pos[None], m, f, c, np.ones((1, 9), bool))
+    finally:
+        pose.turns = own
+    again = pose.refine_all(r, p, m, f, c, np.ones((1, 9), bool))
+    assert len(steps) < 15 and np.allclose(again[1], p, atol=1e-7)
+
+
+def test_poses_of_rows_without_enough_matches(spark):
+    rows = [(1, None, None), (2, 1500.0, []), (3, 1500.0, [(0.0, 0.0, 0.0, 1.0, 1.0)] * 3), (4, None, [(0.0, 0.0, 0.0, 1.0, 1.0)] * 5)]
+    df = spark.createDataFrame(rows, "image_id long, focal double, matches array<struct<x:double,y:double,z:double,u:double,v:double>>").withColumns({"centre_x": F.lit(960.0), "centre_y": F.lit(540.0)})
+    got = pose.solved(df).orderBy("image_id").collect()
+    assert [(r["image_id"], r["solved"], r["position_meters"], r["inliers"]) for r in got] == [(k, False, None, 0) for k in (1, 2, 3, 4)]
+
+
+def test_points_of_a_camera_are_projected_as_each_alone(spark):
+    cam = F.struct(F.array(F.lit(960.0), F.lit(540.0)).alias("principal_point"), F.lit(1500.0).alias("x_focal_length"), F.lit(1400.0).alias("y_focal_length"), (F.col("id") * 5.0 - 20).alias("pan_degrees"), F.lit(75.0).alias("tilt_degrees"), F.lit(1.0).alias("roll_degrees"),
+                   F.array(F.lit(0.0), F.lit(60.0), F.lit(-15.0)).alias("position_meters"), F.when(F.col("id") < 4, F.array_repeat(F.lit(0.0), 6)).otherwise(F.array(*[F.lit(v) for v in (-0.05, 0.01, -0.002, 0.003, -0.001, 0.0005)])).alias("radial_distortion"))
+    places = F.array(*[F.struct(F.lit(x).alias("x"), F.lit(y).alias("y"), F.lit(0.0).alias("z")) for x in (-20.0, 0.0, 20.0) for y in (-30.0, 30.0, 90.0)])
+    df = spark.range(8).select(cam.alias("cam"))
+    got = df.select(geo.project_each(F.col("cam"), places, lambda s, i, p: p).alias("a"), F.transform(places, lambda s: geo.project(F.col("cam"), s["x"], s["y"], s["z"])).alias("b")).collect()
+    assert all(r["a"] == r["b"] for r in got) and any(p is None for r in got for p in r["a"]) and any(p is not None for r in got for p in r["a"])

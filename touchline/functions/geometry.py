@@ -184,16 +184,32 @@ def lens(cam: Column, whole: bool) -> list[Column]:
     return [cam["radial_distortion"], *([cam["tangential_distortion"], cam["thin_prism_distortion"]] if whole else [])]
 
 
-def project(cam: Column, x: Column, y: Column, z: Column, whole: bool = False) -> Column:
-    """Pixel of a world point; null behind the camera."""
-    r = rotation(cam["pan_degrees"], cam["tilt_degrees"], cam["roll_degrees"])
+def project(cam: Column, x: Column, y: Column, z: Column, whole: bool = False, r: list[list[Column]] | None = None, straight: Column | None = None) -> Column:
+    """Pixel of a world point; null behind the camera. Where many points share a camera: r, its rotation, and straight, whether its lens bends nothing."""
+    r = r or rotation(cam["pan_degrees"], cam["tilt_degrees"], cam["roll_degrees"])
     d = [v - F.get(cam["position_meters"], F.lit(i)) for i, v in enumerate((x, y, z))]
     c = F.struct(*[sum(r[i][j] * d[j] for j in range(3)).alias(n) for i, n in enumerate("xyz")])
 
+    def bent(n):
+        there = distort(n["x"], n["y"], *lens(cam, whole))
+        return there if straight is None else F.when(straight, n).otherwise(there)
+
     def pixel(q):
         return F.struct((q["x"] * cam["x_focal_length"] + F.get(cam["principal_point"], F.lit(0))).alias("x"), (q["y"] * cam["y_focal_length"] + F.get(cam["principal_point"], F.lit(1))).alias("y"))
 
-    return let(c, lambda q: F.when(q["z"] > 1e-3, let(F.struct((q["x"] / q["z"]).alias("x"), (q["y"] / q["z"]).alias("y")), lambda n: let(distort(n["x"], n["y"], *lens(cam, whole)), pixel))))
+    return let(c, lambda q: F.when(q["z"] > 1e-3, let(F.struct((q["x"] / q["z"]).alias("x"), (q["y"] / q["z"]).alias("y")), lambda n: let(bent(n), pixel))))
+
+
+def project_each(cam: Column, points: Column, use) -> Column:
+    """use(point, its index, its pixel) of an array of points (x, y, z), with the camera's rotation worked out once, and no bending where all radial coefficients are 0."""
+    turn = F.array(*[v for row in rotation(cam["pan_degrees"], cam["tilt_degrees"], cam["roll_degrees"]) for v in row])
+    straight = F.coalesce(F.size(cam["radial_distortion"]) == 6, F.lit(False)) & F.forall(cam["radial_distortion"], lambda k: k == 0)
+
+    def each(t):
+        r = [[F.get(t["turn"], F.lit(3 * i + j)) for j in range(3)] for i in range(3)]
+        return F.transform(points, lambda s, i: let(project(cam, s["x"], s["y"], s["z"], r=r, straight=t["straight"]), lambda p: use(s, i, p)))
+
+    return let(F.struct(turn.alias("turn"), straight.alias("straight")), each)
 
 
 def project_homogeneous(cam: Column, x: Column, y: Column, z: Column, whole: bool = True) -> Column:

@@ -14,6 +14,8 @@ from pyspark.sql import DataFrame
 
 #: Matches of the frames that are solved at once.
 TOGETHER = 20_000
+#: A step of this many radians and metres is lost in the rounding of the pixels' errors.
+NOTHING = 1e-9
 SOLVED = "solved boolean, pan_degrees double, tilt_degrees double, roll_degrees double, position_meters array<double>, error double, inliers long"
 
 
@@ -44,7 +46,10 @@ def residual(rot: np.ndarray, pos: np.ndarray, m: np.ndarray, f: np.ndarray, c:
 
 
 def refine_all(rot: np.ndarray, pos: np.ndarray, m: np.ndarray, f: np.ndarray, c: np.ndarray, use: np.ndarray, rounds: int = 50) -> tuple[np.ndarray, np.ndarray]:
-    """The poses nearby with the least squared pixel error over the matches in use (Levenberg-Marquardt), a row a frame; a frame that is done rests."""
+    """The poses nearby with the least squared pixel error over the matches in use (Levenberg-Marquardt), a row a frame; a frame that is done rests.
+
+    A step that helps nothing and is shorter than NOTHING ends a frame too: more damping only makes it shorter.
+    """
     rot, pos = rot.copy(), pos.copy()
     live, damp = np.arange(len(m)), np.full(len(m), 1e-3)
     for _ in range(rounds):
@@ -53,13 +58,16 @@ def refine_all(rot: np.ndarray, pos: np.ndarray, m: np.ndarray, f: np.ndarray, c
         r, p, mm, ff, cc, on = rot[live], pos[live], m[live], f[live], c[live], use[live][..., None]
         e, q = residual(r, p, mm, ff, cc)
         e = np.where(on, e, 0.0)
-        z = np.where(np.abs(q[..., 2]) < 1e-9, 1e-9, q[..., 2])
-        to_pixel = np.zeros((*q.shape[:2], 2, 3))
-        to_pixel[..., 0, 0], to_pixel[..., 1, 1] = ff[:, None, 0] / z, ff[:, None, 1] / z
-        to_pixel[..., 0, 2], to_pixel[..., 1, 2] = -ff[:, None, 0] * q[..., 0] / z**2, -ff[:, None, 1] * q[..., 1] / z**2
-        spin = np.zeros((*q.shape[:2], 3, 3))  # of q by a small turn
-        spin[..., 0, 1], spin[..., 0, 2], spin[..., 1, 0], spin[..., 1, 2], spin[..., 2, 0], spin[..., 2, 1] = q[..., 2], -q[..., 1], -q[..., 2], q[..., 0], q[..., 1], -q[..., 0]
-        j = np.concatenate([to_pixel @ spin, to_pixel @ -r[:, None]], 3) * on[..., None]
+        x, y, w = np.moveaxis(q, 2, 0)
+        z = np.where(np.abs(w) < 1e-9, 1e-9, w)
+        j = np.empty((*q.shape[:2], 2, 6))  # of the pixel by a small turn and by the position
+        a, b, d, fx, fy = x / z, y / z, w / z, ff[:, :1], ff[:, 1:]
+        j[..., 0, 0], j[..., 0, 1], j[..., 0, 2] = -fx * a * b, fx * (d + a * a), -fx * b
+        j[..., 1, 0], j[..., 1, 1], j[..., 1, 2] = -fy * (d + b * b), fy * a * b, fy * a
+        for k in range(3):
+            r0, r1, r2 = r[:, :1, k], r[:, 1:2, k], r[:, 2:, k]
+            j[..., 0, 3 + k], j[..., 1, 3 + k] = fx / z * (a * r2 - r0), fy / z * (b * r2 - r1)
+        j *= on[..., None]
         j = j.reshape(len(live), -1, 6)
         jt, flat = np.swapaxes(j, 1, 2), e.reshape(len(live), -1)
         a, g = jt @ j, jt @ flat[..., None]
@@ -75,7 +83,8 @@ def refine_all(rot: np.ndarray, pos: np.ndarray, m: np.ndarray, f: np.ndarray, c
         better = after < before
         rot[live[better]], pos[live[better]] = r2[better], p2[better]
         damp[live] = np.where(better, np.maximum(damp[live] / 10, 1e-12), damp[live] * 10)
-        done = np.where(better, np.abs(step).max(1) < 1e-12, damp[live] > 1e12)
+        size = np.abs(step).max(1)
+        done = np.where(better, size < 1e-12, (damp[live] > 1e12) | (size < NOTHING))
         live = live[~done]
     return rot, pos
 
@@ -95,26 +104,67 @@ def from_planes(m: np.ndarray, f: np.ndarray, c: np.ndarray) -> tuple[np.ndarray
     rows = np.stack([np.stack([x, y, one, nil, nil, nil, -u * x, -u * y, -u], 2), np.stack([nil, nil, nil, x, y, one, -v * x, -v * y, -v], 2)], 2).reshape(len(m), -1, 9)
     _, size, vt = np.linalg.svd(rows, full_matrices=rows.shape[1] < 9)
     h = vt[:, 8].reshape(-1, 3, 3) / np.stack([scale, scale, np.ones(len(m))], 1)[:, None]
-    norm = (np.linalg.norm(h[:, :, 0], axis=1) + np.linalg.norm(h[:, :, 1], axis=1)) / 2
-    fixed = (size[:, 7] >= 1e-9) & (norm >= 1e-12)
+    return *posed(h, m), (size[:, 7] >= 1e-9) & (lengths(h) >= 1e-12)
+
+
+def lengths(h: np.ndarray) -> np.ndarray:
+    """Mean length of a homography's first two columns."""
+    return (np.sqrt((h[:, :, 0] ** 2).sum(1)) + np.sqrt((h[:, :, 1] ** 2).sum(1))) / 2
+
+
+def posed(h: np.ndarray, m: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Poses from homographies of the plane's points to directions, the matches before the camera. The rotation is the nearest one (polar factor) to the two columns and their cross product."""
+    norm = lengths(h)
     h = h / np.where(norm > 0, norm, 1.0)[:, None, None]
-    middle = np.concatenate([m[..., :2].mean(1), np.ones((len(m), 1))], 1)
-    h = np.where(((h[:, 2] * middle).sum(1) < 0)[:, None, None], -h, h)  # the points are before the camera
-    u, _, vt = np.linalg.svd(np.stack([h[..., 0], h[..., 1], np.cross(h[..., 0], h[..., 1])], 2))
-    u[:, :, 2] *= np.linalg.det(u @ vt)[:, None]
-    rot = u @ vt
-    return rot, -(np.swapaxes(rot, 1, 2) @ h[:, :, 2:])[..., 0], fixed
+    before = (h[:, 2, :2] * m[..., :2].mean(1)).sum(1) + h[:, 2, 2]
+    a, b, t = np.moveaxis(np.where((before < 0)[:, None, None], -h, h), 2, 0)
+    with np.errstate(divide="ignore", invalid="ignore"):  # columns in one line fix nothing
+        n = np.stack([a[:, 1] * b[:, 2] - a[:, 2] * b[:, 1], a[:, 2] * b[:, 0] - a[:, 0] * b[:, 2], a[:, 0] * b[:, 1] - a[:, 1] * b[:, 0]], 1)
+        aa, ab, bb, s = (a * a).sum(1), (a * b).sum(1), (b * b).sum(1), np.sqrt((n * n).sum(1))
+        root = s * np.sqrt(aa + bb + 2 * s)
+        rot = np.stack([(a * (bb + s)[:, None] - b * ab[:, None]) / root[:, None], (b * (aa + s)[:, None] - a * ab[:, None]) / root[:, None], n / s[:, None]], 2)
+        return rot, -(np.swapaxes(rot, 1, 2) @ t[:, :, None])[..., 0]
 
 
-def angles(rot: np.ndarray) -> tuple[float, float, float]:
-    """pan, tilt, roll in degrees; of the two solutions the one with the smaller roll."""
-    o = rot.T
-    tilt = np.arccos(np.clip(o[2, 2], -1, 1))
+def crosses(p: np.ndarray) -> np.ndarray:
+    """The triangles' lines (2, 3), (3, 1), (1, 2) of rows of three and more points of the plane (x, y, 1)."""
+    x, y = p[:, :3, 0], p[:, :3, 1]
+    x1, y1, x2, y2 = x[:, [1, 2, 0]], y[:, [1, 2, 0]], x[:, [2, 0, 1]], y[:, [2, 0, 1]]
+    return np.stack([y1 - y2, x2 - x1, x1 * y2 - y1 * x2], 2)
+
+
+def from_fours(m: np.ndarray, f: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``from_planes`` of exactly four matches a row, in closed form. Three points in one line, on the plane or in the picture, fix nothing."""
+    scale = np.abs(m[..., :2]).max((1, 2))
+    scale = np.where(scale > 0, scale, 1.0)
+    one = np.ones((*m.shape[:2], 1))
+    world, seen = np.concatenate([m[..., :2] / scale[:, None, None], one], 2), np.concatenate([(m[..., 3:] - c[:, None]) / f[:, None], one], 2)
+    lines, sights = crosses(world), crosses(seen)
+    share = [np.concatenate([(k * p[:, 3:]).sum(2), (k[:, :1] * p[:, :1]).sum(2)], 1) for k, p in ((lines, world), (sights, seen))]
+    fixed = (np.abs(share[0]).min(1) >= 1e-9) & (np.abs(share[1]).min(1) >= 1e-9)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        weight = share[1][:, :3] / share[0][:, :3]
+        weight /= np.abs(weight).max(1)[:, None]
+        h = (np.swapaxes(seen[:, :3], 1, 2) * weight[:, None]) @ lines
+    h[~fixed] = 0
+    h[:, :, :2] /= scale[:, None, None]
+    return *posed(h, m), fixed & (lengths(h) >= 1e-12)
+
+
+def angles_all(rot: np.ndarray) -> np.ndarray:
+    """pan, tilt, roll in degrees, a row a rotation; of the two solutions the one with the smaller roll."""
+    o = np.swapaxes(rot, 1, 2)
+    tilt = np.arccos(np.clip(o[:, 2, 2], -1, 1))
     both = []
     for t in (tilt, -tilt):
-        s = 1.0 if np.sin(t) > 0 else -1.0
-        both.append((np.degrees(np.arctan2(s * o[0, 2], -s * o[1, 2])), np.degrees(t), np.degrees(np.arctan2(s * o[2, 0], s * o[2, 1]))))
-    return tuple(float(v) for v in (both[0] if abs(both[0][2]) < abs(both[1][2]) else both[1]))
+        s = np.where(np.sin(t) > 0, 1.0, -1.0)
+        both.append(np.degrees([np.arctan2(s * o[:, 0, 2], -s * o[:, 1, 2]), t, np.arctan2(s * o[:, 2, 0], s * o[:, 2, 1])]).T)
+    return np.where((np.abs(both[0][:, 2]) < np.abs(both[1][:, 2]))[:, None], *both)
+
+
+def angles(rot: np.ndarray) -> tuple[float, float, float]:
+    """``angles_all`` of one rotation."""
+    return tuple(angles_all(rot[None])[0].tolist())
 
 
 def fitting(rot: np.ndarray, pos: np.ndarray, m: np.ndarray, f: np.ndarray, c: np.ndarray, tolerance: float) -> np.ndarray:
@@ -134,17 +184,18 @@ def solve_all(m: np.ndarray, f: np.ndarray, c: np.ndarray, tolerance: float = 8.
         some = np.flatnonzero(most < m.shape[1])  # the others are fitted by all their matches
         if not len(some):
             break
-        r, p, fixed = from_planes(m[some][:, pick], f[some], c[some])
+        r, p, fixed = from_fours(m[some[:, None], pick], f[some], c[some])
         fits = fitting(r, p, m[some], f[some], c[some], tolerance)
         better = fixed & (fits.sum(1) > most[some])
         at = some[better]
         rot[at], pos[at], near[at], most[at] = r[better], p[better], fits[better], fits[better].sum(1)
     ok = np.flatnonzero(most >= 4)
-    for k in range(2):
-        rot[ok], pos[ok] = refine_all(rot[ok], pos[ok], m[ok], f[ok], c[ok], near[ok])
-        if k == 0:
-            near[ok] = fitting(rot[ok], pos[ok], m[ok], f[ok], c[ok], tolerance)
-            ok = ok[near[ok].sum(1) >= 4]
+    rot[ok], pos[ok] = refine_all(rot[ok], pos[ok], m[ok], f[ok], c[ok], near[ok])
+    fits = fitting(rot[ok], pos[ok], m[ok], f[ok], c[ok], tolerance)
+    other = ok[(fits != near[ok]).any(1)]  # the rest lie at the least error of their matches already
+    near[ok] = fits
+    ok, other = (x[near[x].sum(1) >= 4] for x in (ok, other))
+    rot[other], pos[other] = refine_all(rot[other], pos[other], m[other], f[other], c[other], near[other])
     good = np.zeros(len(m), bool)
     good[ok] = True
     return rot, pos, near, good
@@ -163,23 +214,31 @@ def solved(frames: DataFrame, key: str = "image_id") -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out: list[tuple] = [(False, None, None, None, None, None, 0)] * b.num_rows
+            focal, cx, cy = (b[c].to_numpy(zero_copy_only=False).astype(float) for c in ("focal", "centre_x", "centre_y"))
+            f, c = np.stack([focal, focal], 1), np.stack([cx, cy], 1)
+            ends = b["matches"].offsets.to_numpy().astype(np.int64)
+            flat = b["matches"].values
+            points = np.stack([flat.field(flat.type.get_field_index(c)).to_numpy(zero_copy_only=False).astype(float) for c in "xyzuv"], 1)
+            plane = np.abs(points[:, 2]) < 1e-9
+            able = b["matches"].is_valid().to_numpy(zero_copy_only=False) & ~np.isnan(focal) & (focal != 0)
             alike: dict[tuple, list] = {}  # frames that are solved together
-            for i, (focal, cx, cy, matches) in enumerate(zip(*(b[c].to_pylist() for c in ("focal", "centre_x", "centre_y", "matches")), strict=True)):
-                m = np.array([[p[c] for c in "xyzuv"] for p in matches or []], float).reshape(-1, 5)
-                if focal and len(m) >= 4:
-                    alike.setdefault((len(m), (np.abs(m[:, 2]) < 1e-9).tobytes()), []).append((i, m, (focal, focal), (cx, cy)))
-            for (n, _), all_rows in alike.items():
+            for i in np.flatnonzero(able & (np.diff(ends) >= 4)).tolist():
+                alike.setdefault((ends[i + 1] - ends[i], plane[ends[i] : ends[i + 1]].tobytes()), []).append(i)
+            solved, pose, inliers = np.zeros(b.num_rows, bool), np.full((b.num_rows, 7), np.nan), np.zeros(b.num_rows, np.int64)
+            for (n, _), every in alike.items():
                 most = max(1, TOGETHER // n)
-                for rows in (all_rows[k : k + most] for k in range(0, len(all_rows), most)):
-                    m, f, c = (np.array([r[k] for r in rows], float) for k in (1, 2, 3))
-                    rot, pos, near, good = solve_all(m, f, c)
-                    away = np.linalg.norm(residual(rot, pos, m, f, c)[0], axis=2)
-                    for k in np.flatnonzero(good):
-                        out[rows[k][0]] = (True, *angles(rot[k]), pos[k].tolist(), float(away[k][near[k]].mean()), int(near[k].sum()))
-            kinds = (pa.bool_(), pa.float64(), pa.float64(), pa.float64(), pa.list_(pa.float64()), pa.float64(), pa.int64())
+                for rows in (np.array(every[k : k + most]) for k in range(0, len(every), most)):
+                    m = points[ends[rows][:, None] + np.arange(n)]
+                    rot, pos, near, good = solve_all(m, f[rows], c[rows])
+                    rot, pos, near, m, rows = rot[good], pos[good], near[good], m[good], rows[good]
+                    away = np.where(near, np.linalg.norm(residual(rot, pos, m, f[rows], c[rows])[0], axis=2), 0.0)
+                    solved[rows], inliers[rows] = True, near.sum(1)
+                    pose[rows] = np.concatenate([angles_all(rot), pos, (away.sum(1) / near.sum(1))[:, None]], 1)
+            gone = ~solved
+            place = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(3 * solved)]).astype(np.int32)), pa.array(pose[solved, 3:6].ravel()), mask=pa.array(gone))
+            one = [pa.array(pose[:, k], mask=gone) for k in (0, 1, 2, 6)]
             names = ["solved", "pan_degrees", "tilt_degrees", "roll_degrees", "position_meters", "error", "inliers"]
-            yield pa.RecordBatch.from_arrays([b[key], *(pa.array([r[k] for r in out], t) for k, t in enumerate(kinds))], [key, *names])
+            yield pa.RecordBatch.from_arrays([b[key], pa.array(solved), *one[:3], place, one[3], pa.array(inliers)], [key, *names])
 
     kind = frames.schema[key].dataType.simpleString()
     return frames.select(key, "focal", "centre_x", "centre_y", "matches").mapInArrow(run, f"{key} {kind}, {SOLVED}")

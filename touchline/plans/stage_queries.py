@@ -97,13 +97,13 @@ def _(spark, d):
 def _(spark, d):
     spots = [(float(x), float(y)) for x in (-16, -8, 0, 8, 16) for y in (-30, -10, 10, 30)]
     f = cameras(spread(fx.frames(spark, d), "image_id"))  # before the matches: they are the larger rows
-    places = F.array(*[F.struct(F.lit(x).alias("x"), F.lit(y).alias("y")) for x, y in spots])
+    places = F.array(*[F.struct(F.lit(x).alias("x"), F.lit(y).alias("y"), F.lit(0.0).alias("z")) for x, y in spots])
     odd = F.when(F.col("image_id") % 5 == 0, 300.0).otherwise(0.0)  # one wrong match in some frames
 
-    def seen(s, i):
-        return geo.let(geo.project(F.col("cam"), s["x"], s["y"], F.lit(0.0)), lambda p: F.struct(s["x"].alias("x"), s["y"].alias("y"), F.lit(0.0).alias("z"), (p["x"] + F.when(i == 7, odd).otherwise(0.0)).alias("u"), p["y"].alias("v")))
+    def seen(s, i, p):
+        return F.struct(*[s[c].alias(c) for c in "xyz"], (p["x"] + F.when(i == 7, odd).otherwise(0.0)).alias("u"), p["y"].alias("v"))
 
-    f = f.select("image_id", F.col("cam.x_focal_length").alias("focal"), F.lit(960.0).alias("centre_x"), F.lit(540.0).alias("centre_y"), F.transform(places, seen).alias("matches"))
+    f = f.select("image_id", F.col("cam.x_focal_length").alias("focal"), F.lit(960.0).alias("centre_x"), F.lit(540.0).alias("centre_y"), geo.project_each(F.col("cam"), places, seen).alias("matches"))
     q = pose.solved(f)
     near = lambda c: F.round(c, 3) + 0.0
     return q.select("image_id", "solved", near(F.col("pan_degrees")).alias("pan"), near(F.col("tilt_degrees")).alias("tilt"), near(F.col("roll_degrees")).alias("roll"), *[near(F.get("position_meters", F.lit(i))).alias(n) for i, n in enumerate("xyz")], "inliers")
