@@ -129,3 +129,13 @@ def test_points_of_a_camera_are_projected_as_each_alone(spark):
     df = spark.range(8).select(cam.alias("cam"))
     got = df.select(geo.project_each(F.col("cam"), places, lambda s, i, p: p).alias("a"), F.transform(places, lambda s: geo.project(F.col("cam"), s["x"], s["y"], s["z"])).alias("b")).collect()
     assert all(r["a"] == r["b"] for r in got) and any(p is None for r in got for p in r["a"]) and any(p is not None for r in got for p in r["a"])
+
+
+def test_reads_move_once(spark, sf):
+    from touchline.operators import stages
+    from touchline.plans import queries
+
+    a, b = (queries.reads(spark, sf, x, "track_id", "frame") for x in "ab")
+    text = physical(stages.jersey_answers(a, b))
+    assert "Join" not in text
+    assert text.count("Exchange hashpartitioning(seq") == 1

@@ -89,19 +89,27 @@ def jersey_answers(a: DataFrame, b: DataFrame, stride: int = 3, legible: float =
     different numbers of frames are an error.
     """
     by = ["seq", "track_id"]
+    ok = F.coalesce(votes.passes(legible, detector), F.lit(False))
     # one table of both readers' reads: its statistics are the pooled ones
     rows = a.withColumn("_second", F.lit(False)).unionByName(b.withColumn("_second", F.lit(True)))
-    rows = votes.gated(tracks.positional_stride(rows, stride, "_second"), legible, detector)
-    n = rows.groupBy(*by).agg(F.count_if(~F.col("_second")).alias("n_a"), F.count_if("_second").alias("n_b"))
-    n = n.where(F.assert_true(F.col("n_a") == F.col("n_b"), F.lit("readers disagree on the number of frames")).isNull()).select(*by, F.col("n_a").alias("n_used"))
-    asked = a.select(*by).distinct()
-    stats = votes.label_stats(votes.decoded(rows), *by)
-    won = votes.most_votes(stats, *by).select(*by, F.col("label").alias("number"), F.col("share").alias("confidence"))
-    pool = votes.ranked(stats, *by)
-    cand = pool.groupBy(*by).agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "label", "mx", "conf_sum", "votes"))), lambda c: F.struct(c["label"].alias("label"), c["mx"].alias("mx"), c["conf_sum"].alias("conf_sum"), c["votes"].alias("votes"))).alias("candidates"))
-    out = asked.join(n, by, "left").join(won, by, "left").join(cand, by, "left")
-    none = F.array().cast("array<struct<label:string,mx:double,conf_sum:double,votes:bigint>>")
-    return out.select(*by, F.coalesce("number", F.lit("-1")).alias("number"), F.coalesce("confidence", F.lit(0.0)).alias("confidence"), F.coalesce("n_used", F.lit(0)).alias("n_used"), F.coalesce("candidates", none).alias("candidates"))
+    rows = rows.select(*by, "frame", "det_id", "_second", ok.alias("_ok"), *[F.when(ok, F.col(c)).alias(c) for c in ("tens", "units")])
+    # what passes is decoded before rows move, as the vectors are most of a row; they move once, by trajectory
+    rows = votes.decoded(rows).drop("tens", "units").repartition(*by)
+    i = F.row_number().over(Window.partitionBy(*by, "_second").orderBy("frame", "det_id"))
+    rows = rows.withColumn("_in", F.col("_ok") & F.col("track_id").isNotNull() & ((i - 1) % stride == 0))
+    rows = rows.withColumns({c: F.when(F.col("_in"), F.col(c)) for c in ("label", "raw", "conf")})
+    stats = rows.groupBy(*by, "label").agg(
+        F.max("raw").alias("mx"), F.sum("conf").alias("conf_sum"), F.count_if("_in").alias("votes"), F.sum("raw").alias("strength"),
+        F.count_if(F.col("_in") & ~F.col("_second")).alias("n_a"), F.count_if(F.col("_in") & F.col("_second")).alias("n_b"), F.bool_or(~F.col("_second")).alias("asked"),
+    )
+    some = F.col("votes") > 0  # a group without votes holds the reads that do not count
+    most = F.max_by(F.struct("label", "votes"), F.when(some, votes.tied(F.col("votes").cast("double"), F.col("votes"), F.col("strength"), F.col("label"))))
+    key = votes.tied(votes.maxconf(), F.col("votes"), F.col("strength"), F.col("label"))
+    listed = F.sort_array(F.collect_list(F.when(some, F.struct(key.alias("key"), "label", "mx", "conf_sum", "votes"))), asc=False)
+    out = stats.groupBy(*by).agg(most.alias("won"), listed.alias("listed"), *[F.sum(c).alias(c) for c in ("votes", "n_a", "n_b")], F.bool_or("asked").alias("asked"))
+    out = out.where(F.assert_true(F.col("n_a") == F.col("n_b"), F.lit("readers disagree on the number of frames")).isNull() & F.col("asked"))
+    cand = F.transform("listed", lambda c: F.struct(*[c[n].alias(n) for n in ("label", "mx", "conf_sum", "votes")]))
+    return out.select(*by, F.coalesce("won.label", F.lit("-1")).alias("number"), F.coalesce(F.col("won.votes") / F.col("votes"), F.lit(0.0)).alias("confidence"), F.col("n_a").alias("n_used"), cand.alias("candidates"))
 
 
 Reader = Callable[[list], np.ndarray]

@@ -127,9 +127,14 @@ def position_sums(reads: DataFrame, by: str, min_conf: float | None = None) -> D
     return j.select(by, label.alias("sum"), conf.alias("sum_conf"), F.exp(F.col("tens_s") + F.col("units_s")).alias("sumexp_conf"))
 
 
+def passes(legible: float = 0.5, detector: float = 0.52) -> Column:
+    """Both gates, each strict."""
+    return (F.col("legibility") > legible) & (F.col("det_score") > detector)
+
+
 def gated(reads: DataFrame, legible: float = 0.5, detector: float = 0.52) -> DataFrame:
     """Reads that pass both gates, each strict. Scores are stored ungated, so thresholds are query parameters."""
-    return reads.where((F.col("legibility") > legible) & (F.col("det_score") > detector))
+    return reads.where(passes(legible, detector))
 
 
 def keep_some(rows: DataFrame, by: str, p: str, threshold: float) -> DataFrame:

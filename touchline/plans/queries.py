@@ -226,8 +226,8 @@ def _(spark, d):
 # --- votes ---------------------------------------------------------------------------------------
 
 
-def reads(spark: SparkSession, sf_dir: str, reader: str) -> DataFrame:
-    """Two 11-vectors of log probabilities per tracked box; ``reader`` a or b shifts the hot symbols."""
+def reads(spark: SparkSession, sf_dir: str, reader: str, *more: str) -> DataFrame:
+    """Two 11-vectors of log probabilities per tracked box; ``reader`` a or b shifts the hot symbols. more: further columns of the box."""
     d = fx.detections(spark, sf_dir).where("track_id IS NOT NULL")
     a = reader == "a"
     hot = (F.col("track_id") * (3 if a else 5) + F.when(F.col("det_id") % 4 == 0, F.col("det_id")).otherwise(0)) % 11
@@ -237,7 +237,7 @@ def reads(spark: SparkSession, sf_dir: str, reader: str) -> DataFrame:
     def vec(i):
         return F.array(*[F.when(i == k, F.ln(p)).otherwise(F.ln((1 - p) / 10)) for k in range(11)])
 
-    return d.select("seq", F.concat_ws("_", "seq", F.col("track_id").cast("string")).alias("track"), "det_id", vec(hot).alias("tens"), vec(unit).alias("units"), ((F.col("det_id") * 13 + F.col("image_id") * 7) % 100 / 100).alias("legibility"), (F.col("image_id") % 100 / 100).alias("det_score"))
+    return d.select("seq", F.concat_ws("_", "seq", F.col("track_id").cast("string")).alias("track"), "det_id", vec(hot).alias("tens"), vec(unit).alias("units"), ((F.col("det_id") * 13 + F.col("image_id") * 7) % 100 / 100).alias("legibility"), (F.col("image_id") % 100 / 100).alias("det_score"), *more)
 
 
 def reads_sql(reader: str) -> str:

@@ -162,8 +162,7 @@ q AS (SELECT *, sum(votes) OVER (PARTITION BY track) AS total, count(*) OVER (PA
 t AS (SELECT DISTINCT concat(seq, '_', CAST(track_id AS STRING)) AS track FROM {D} d WHERE track_id IS NOT NULL)
 SELECT t.track, coalesce(label, '-1') AS number, coalesce(round(votes / CAST(total AS DOUBLE), 6), 0) AS confidence, CAST(coalesce(total, 0) / 2 AS BIGINT) AS n_used, coalesce(n_labels, 0) AS n_labels, top FROM t LEFT JOIN q ON t.track = q.track AND r = 1""")
 def _(spark, d):
-    where = fx.detections(spark, d).where("track_id IS NOT NULL").select("det_id", "track_id", "frame")
-    a, b = (reads(spark, d, x).drop("track").join(where, "det_id") for x in "ab")
+    a, b = (reads(spark, d, x, "track_id", "frame").drop("track") for x in "ab")
     q = stages.jersey_answers(a, b)
     return q.select(F.concat_ws("_", "seq", F.col("track_id").cast("string")).alias("track"), "number", *r6("confidence"), "n_used", F.size("candidates").cast("long").alias("n_labels"), F.get("candidates", F.lit(0))["label"].alias("top"))
 
